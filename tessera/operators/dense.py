@@ -209,6 +209,7 @@ class _Scorer:
         self.scopes = [set(s) for s in queries["scope_ids"]]
         self.kinds = [set(s) for s in queries["kinds"]]
         self.lifecycles = [set(s) or {"active"} for s in queries["lifecycles"]]
+        self.labels = [set(s) for s in queries["label_ids"]]
         self.k, self.dimensions = k, dimensions
         self.best: list[tuple[np.ndarray, np.ndarray]] = [
             (np.empty(0), np.empty(0, dtype=np.int64)) for _ in self.ids
@@ -228,6 +229,12 @@ class _Scorer:
         }
         scores = np.round(_matrix(block.column("vector"), self.dimensions) @ self.matrix.T, RANK_DECIMALS)
         masks: dict = {}
+        if any(self.labels):
+            held = block.column("labels")
+            held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+            sizes = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(block.num_rows), sizes)
+            flat = held.flatten().to_numpy(zero_copy_only=False)
 
         def mask(column: str, wanted: set) -> np.ndarray:
             key = (column, frozenset(wanted))
@@ -239,6 +246,12 @@ class _Scorer:
             keep = mask("scope_id", self.scopes[q]) & mask("lifecycle", self.lifecycles[q])
             if self.kinds[q]:
                 keep = keep & mask("kind", self.kinds[q])
+            for label in self.labels[q]:
+                if ("label", label) not in masks:
+                    on = np.zeros(block.num_rows, dtype=bool)
+                    on[owner[flat == label]] = True
+                    masks["label", label] = on
+                keep = keep & masks["label", label]
             rows = np.flatnonzero(keep)
             old_scores, old_ids = self.best[q]
             all_scores = np.concatenate([old_scores, scores[rows, q]])
@@ -266,6 +279,7 @@ class _Scorer:
         )
 
 
+_VECTOR_COLUMNS = ["record_id", "scope_id", "kind", "lifecycle", "labels", "vector"]
 _HITS = "query_id bigint, record_id bigint, similarity double"
 
 
@@ -276,6 +290,7 @@ def dense_queries(queries: DataFrame, query_vectors: DataFrame, scopes: DataFram
         F.array("scope_id")
     )
     strings = F.array().cast("array<string>")
+    no_ids = F.array().cast("array<bigint>")
 
     def given(name: str) -> Column:
         return F.coalesce(F.col(name), strings) if name in queries.columns else strings
@@ -285,6 +300,9 @@ def dense_queries(queries: DataFrame, query_vectors: DataFrame, scopes: DataFram
         F.array_compact(allowed).alias("scope_ids"),
         given("kinds").alias("kinds"),
         given("lifecycles").alias("lifecycles"),
+        (
+            F.coalesce("label_ids", no_ids) if "label_ids" in queries.columns else no_ids
+        ).alias("label_ids"),
     ).join(query_vectors.select("query_id", "vector"), "query_id")
 
 
@@ -313,6 +331,19 @@ def dense_topk(
     return top_k(hits, k, F.desc("similarity"), F.desc("record_id"), rank="dense_rank")
 
 
+def labelled(vectors: DataFrame, active_assertions: DataFrame) -> DataFrame:
+    """Vectors with the ids of the record's active labels (at most the label catalogue), which
+    queries with a label filter need."""
+    held = active_assertions.groupBy("record_id").agg(F.collect_set("label_id").alias("labels"))
+    return vectors.join(held, "record_id", "left")
+
+
+def _with_labels(vectors: DataFrame) -> DataFrame:
+    if "labels" in vectors.columns:
+        return vectors
+    return vectors.withColumn("labels", F.lit(None).cast("array<bigint>"))
+
+
 def _scan_topk(queries: DataFrame, vectors: DataFrame, dimensions: int, k: int) -> DataFrame:
     spark = queries.sparkSession
     sent = spark.sparkContext.broadcast(queries.toPandas())
@@ -323,8 +354,7 @@ def _scan_topk(queries: DataFrame, vectors: DataFrame, dimensions: int, k: int)
             scorer.add(batch)
         yield from scorer.result().to_batches()
 
-    columns = vectors.select("record_id", "scope_id", "kind", "lifecycle", "vector")
-    return columns.mapInArrow(score, _HITS)
+    return _with_labels(vectors).select(*_VECTOR_COLUMNS).mapInArrow(score, _HITS)
 
 
 def _grid_topk(
@@ -346,7 +376,8 @@ def _grid_topk(
         "cell_v", F.explode(numbers(rows))
     )
     right = (
-        vectors.select("record_id", "scope_id", "kind", "lifecycle", "vector")
+        _with_labels(vectors)
+        .select(*_VECTOR_COLUMNS)
         .withColumn("cell_v", F.pmod(F.xxhash64("record_id"), F.lit(rows)).cast("int"))
         .withColumn("cell_q", F.explode(numbers(cols)).cast("bigint"))
     )

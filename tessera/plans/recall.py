@@ -314,6 +314,11 @@ def recall_context(
     semantic = None
     if complete:
         vectors = dense.embedding_valid(records, embeddings, model, model_revision, dimensions)
+        if "label_ids" in queries.columns:
+            held = views.active_assertions(
+                store.read("label_assertions"), store.read("label_retractions")
+            )
+            vectors = dense.labelled(vectors, held)
         asked = dense.dense_queries(queries, query_vectors, store.read("scopes"))
         semantic = dense.dense_topk(asked, vectors, dimensions, RECALL_CANDIDATES)
     ordered = recall_order(recall_candidates(store, index, queries, semantic))

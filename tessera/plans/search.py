@@ -73,6 +73,11 @@ def semantic_search(
     records = store.read("records")
     status = dense.embedding_status(records, embeddings, model, model_revision, dimensions)
     vectors = dense.embedding_valid(records, embeddings, model, model_revision, dimensions)
+    if "label_ids" in queries.columns:
+        held = views.active_assertions(
+            store.read("label_assertions"), store.read("label_retractions")
+        )
+        vectors = dense.labelled(vectors, held)
     asked = dense.dense_queries(queries, query_vectors, store.read("scopes"))
     hits = dense.dense_topk(asked, dense.require_complete(vectors, status), dimensions, limit)
     explained = views.match_explanation(

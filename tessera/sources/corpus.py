@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.payload import MAIN_TEXT
 from tessera.functions.text import words
 from tessera.limits import DIRECT_RELATIONS, KINDS
+from tessera.operators.textindex import TextIndex, indexed_documents, write_index
 from tessera.schemas import PAYLOAD
 from tessera.session import new_folder
 from tessera.sources.store import LedgerStore
@@ -500,8 +501,33 @@ def ledger(spark: SparkSession, sf_dir: str) -> LedgerStore:
         store.write("lifecycle_transitions", lifecycle_transitions(record_rows))
         store.write("write_keys", write_keys(spark, sf_dir, n))
         store.write("record_embeddings", embeddings(spark, sf_dir, record_rows, n_vectors))
+        asked = queries(spark, sf_dir, n_vectors)
+        asked.write.parquet(store.path("queries"))
+        query_vectors(spark, sf_dir, n_vectors).write.parquet(store.path("query_vectors"))
         store.write(
             "record_embeddings", partial_embeddings(spark, sf_dir, record_rows), folder="partial_embeddings"
         )
         _BUILT[key] = store
     return _BUILT[key]
+
+
+def query_table(store: LedgerStore) -> DataFrame:
+    schema = "query_id bigint, query string, scope_id bigint, include_global boolean, vec_id bigint"
+    return store.spark.read.schema(schema).parquet(store.path("queries"))
+
+
+def query_vector_table(store: LedgerStore) -> DataFrame:
+    schema = "query_id bigint, vector array<float>"
+    return store.spark.read.schema(schema).parquet(store.path("query_vectors"))
+
+
+_INDEXED: dict[str, TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The text index of the derived ledger, built once per ledger."""
+    store = ledger(spark, sf_dir)
+    if store.root not in _INDEXED:
+        documents = indexed_documents(store.read("records"), store.read("record_revisions"))
+        _INDEXED[store.root] = write_index(documents, f"{store.root}/text_index")
+    return _INDEXED[store.root]
