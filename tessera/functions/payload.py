@@ -133,7 +133,7 @@ def decode_error(text: Column) -> Column:
             missing = missing | ((raw["kind"] == kind) & raw[name].isNull())
     missing = missing | (
         raw["interval"].isNotNull()
-        & (raw["interval.start"].isNull() | raw["interval.end"].isNull())
+        & (raw["interval"]["start"].isNull() | raw["interval"]["end"].isNull())
     )
     # from_json turns numbers into strings; the variant schema keeps the written types.
     types = F.schema_of_variant(F.try_parse_json(text))

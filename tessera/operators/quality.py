@@ -116,7 +116,7 @@ def _needs_source(kind: str, sources: Column) -> Column:
 
 def _metric(p: Column, sources: Column) -> Column:
     value = p["value"]
-    start, end = timestamp(p["interval.start"]), timestamp(p["interval.end"])
+    start, end = timestamp(p["interval"]["start"]), timestamp(p["interval"]["end"])
     has_interval = p["interval"].isNotNull()
     entries = F.map_entries(p["dimensions"])
     infinite = F.lit(float("inf"))
