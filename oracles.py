@@ -384,3 +384,440 @@ O["bm25_score"] = sql("l_scores", """SELECT query_id, record_id, round(score, 6)
     FROM l_scores""")
 O["bm25_topk"] = sql("l_lexical", """SELECT query_id, bm25_rank, record_id,
     round(score, 6) AS score FROM l_lexical""")
+
+# Vector index and dense retrieval
+
+O["embedding_valid"] = sql("l_partial l_records", """SELECT p.record_id FROM l_partial p
+    JOIN l_records r ON r.id = p.record_id AND r.readable AND r.current_revision = p.revision""")
+O["embedding_pending"] = sql("l_partial l_records", """SELECT r.id AS record_id,
+    r.current_revision AS revision FROM l_records r LEFT JOIN l_partial p ON p.record_id = r.id
+    WHERE readable AND p.revision IS DISTINCT FROM r.current_revision""")
+O["embedding_status"] = sql("l_partial l_records", """SELECT 'm' AS model, 'v1' AS model_revision,
+    64 AS dimensions, count(*) AS eligible_records, count(p.record_id) AS indexed_records,
+    count(*) - count(p.record_id) AS pending_records FROM l_records r LEFT JOIN l_partial p
+    ON p.record_id = r.id AND p.revision = r.current_revision WHERE r.readable""")
+O["index_gate"] = sql("l_partial l_records", """SELECT 'full' AS index, 0 AS pending_records,
+    'dense' AS strategy UNION ALL
+    SELECT 'partial', count(*) - count(p.record_id),
+      CASE WHEN count(*) = count(p.record_id) THEN 'dense' ELSE 'bm25' END
+    FROM l_records r LEFT JOIN l_partial p
+    ON p.record_id = r.id AND p.revision = r.current_revision WHERE r.readable""")
+_norm = "sqrt(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])))"
+O["vector_valid"] = f"""SELECT vec_id, CASE WHEN abs({_norm} - 1) > 0.001
+      THEN 'embedding must be L2-normalized' END AS as_stored,
+    CASE WHEN label % 2 = 1 THEN 'embedding has invalid dimensions or values'
+         WHEN abs({_norm} - 1) > 0.001 THEN 'embedding must be L2-normalized' END AS other_size,
+    CASE WHEN abs({_norm} * (label + 1) - 1) > 0.001 THEN 'embedding must be L2-normalized' END
+    AS scaled FROM (SELECT *, embedding AS v FROM embeddings)"""
+O["l2_normalize"] = """SELECT vec_id, CASE WHEN label > 0 THEN 1.0::DOUBLE END AS norm,
+    CASE WHEN label > 0 THEN 1.0::DOUBLE END AS cosine FROM embeddings"""
+O["dense_score"] = sql("l_gain l_full l_qvec", """SELECT g.query_id, g.record_id,
+    round(list_inner_product(CAST(vector AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS similarity
+    FROM (SELECT DISTINCT query_id, record_id FROM l_gain) g
+    JOIN l_full f ON f.record_id = g.record_id JOIN l_qvec q ON q.query_id = g.query_id""")
+O["dense_topk"] = sql("l_dense", """SELECT query_id, dense_rank, record_id,
+    round(similarity, 6) AS similarity FROM l_dense""")
+O["semantic_search"] = sql("l_similar l_active l_queries", f"""SELECT s.query_id,
+    row_number() OVER (PARTITION BY s.query_id ORDER BY round(similarity, 9) DESC, record_id DESC)
+      AS dense_rank, record_id, round(similarity, 6) AS similarity,
+    'semantic:cosine,model:m@v1,' || {_scope_tag} || ',kind,lifecycle,labels:all' AS tags
+    FROM l_similar s JOIN l_queries q ON q.query_id = s.query_id
+    WHERE kind IN ('note','metric','idea')
+    AND record_id IN (SELECT record_id FROM l_active WHERE label_id = 121)
+    QUALIFY dense_rank <= 10""")
+O["search_records"] = sql("l_postings l_records l_active l_scopes", f"""SELECT query_id, position,
+    record_id, CASE WHEN fetched > 10 THEN min(record_id) OVER (PARTITION BY query_id) END
+    AS next_before_id, 'fts:title_or_payload,' || {_scope_tag} || ',kind,lifecycle,labels:all'
+    AS tags FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS fetched FROM (
+      SELECT q.query_id, include_global, a.record_id,
+        row_number() OVER (PARTITION BY q.query_id ORDER BY a.record_id DESC) AS position
+      FROM (SELECT query_id, two, (query_id // 1000) % 20 + 1 AS scope_id,
+              (query_id // 1000) % 2 = 0 AS include_global FROM pairs) q
+      JOIN (SELECT query_id, record_id, count(*) AS found FROM
+         (SELECT query_id, unnest(two) AS w FROM pairs) t
+         JOIN l_postings p ON p.term = {tok("w")}[1] GROUP BY ALL) a
+        ON a.query_id = q.query_id AND found = len(two)
+      JOIN l_records r ON r.id = a.record_id AND r.kind IN ('note','metric','idea','snippet')
+      WHERE (r.scope_id = q.scope_id
+             OR (include_global AND r.scope_id IN (SELECT id FROM l_scopes WHERE name = 'global')))
+      AND a.record_id IN (SELECT record_id FROM l_active WHERE label_id = 121))
+    WHERE position <= 11) WHERE position <= 10""", PAIRS)
+O["embedding_upsert"] = sql("l_partial l_records", """
+    SELECT 'outcome' AS part, p.record_id, p.revision, CASE WHEN p.record_id % 10 = 0 THEN 'invalid'
+      WHEN NOT r.readable THEN 'missing' WHEN r.current_revision <> p.revision THEN 'stale'
+      ELSE 'applied' END AS outcome FROM l_partial p JOIN l_records r ON r.id = p.record_id
+    UNION ALL SELECT 'stored', p.record_id, p.revision, '' FROM l_partial p
+      JOIN l_records r ON r.id = p.record_id WHERE p.revision > 1
+      OR (p.record_id % 10 <> 0 AND r.readable AND r.current_revision = p.revision)""")
+_count = "length(t) - length(replace(t, '{}', '')) + 1"
+O["embedding_sync"] = sql("l_records l_revisions", f"""SELECT record_id, revision,
+    {", ".join(f"round(CAST(CAST(c{i} / n AS FLOAT) AS DOUBLE), 5) AS v{i}" for i in range(4))}
+    FROM (SELECT *, sqrt(CAST(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3 AS DOUBLE)) AS n FROM (
+      SELECT record_id, revision,
+      {", ".join(f"{_count.format(c)} AS c{i}" for i, c in enumerate("aent"))} FROM (
+        SELECT r.id AS record_id, v.revision,
+          {squeeze("nfc_normalize(v.title || chr(10) || v.body)")} AS t
+        FROM l_records r JOIN l_revisions v ON v.record_id = r.id
+          AND v.revision = r.current_revision WHERE r.readable)))""")
+O["record_text"] = sql("l_records l_revisions", f"""SELECT r.id AS record_id, v.revision,
+    {squeeze("nfc_normalize(v.title || chr(10) || v.body)")} AS text FROM l_records r
+    JOIN l_revisions v ON v.record_id = r.id AND v.revision = r.current_revision""")
+
+# Recall
+
+O["candidate_fusion"] = sql("l_fused", """SELECT query_id, record_id, bm25_rank,
+    round(bm25_score, 6) AS bm25_score, dense_rank, round(dense_similarity, 6) AS dense_similarity
+    FROM l_fused""")
+O["recall_candidates"] = sql("l_lexical", """SELECT query_id, record_id, bm25_rank,
+    NULL::BIGINT AS dense_rank, round(score, 6) AS bm25_score FROM l_lexical""")
+_rrf = """round(coalesce(1.0::DOUBLE / (60 + bm25_rank), 0)
+    + coalesce(1.0::DOUBLE / (60 + dense_rank), 0), 9)"""
+O["rrf_score"] = sql("l_fused", f"SELECT query_id, record_id, {_rrf} AS rrf_score FROM l_fused")
+O["matched_by"] = sql("l_fused", """SELECT query_id, record_id, concat_ws(',',
+    CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END,
+    CASE WHEN dense_rank IS NOT NULL THEN 'dense' END) AS matched_by FROM l_fused""")
+O["recall_order"] = sql("l_ordered", "SELECT query_id, position, record_id FROM l_ordered")
+_used = "Dense ordering is used because the semantic index is complete."
+O["recall_explanation"] = sql("l_fused", f"""SELECT query_id, record_id, CASE
+    WHEN dense_rank IS NOT NULL AND bm25_rank IS NOT NULL THEN
+      printf('Dense rank %d with cosine %.4f; BM25 rank %d with score %.6f. {_used}',
+             dense_rank, dense_similarity, bm25_rank, bm25_score)
+    WHEN dense_rank IS NOT NULL THEN printf(
+      'Dense rank %d with cosine %.4f; no top-20 BM25 match. {_used}', dense_rank, dense_similarity)
+    ELSE printf('BM25 rank %d with score %.6f; no top-20 dense match.', bm25_rank, bm25_score)
+    END AS text FROM l_fused""")
+O["recall_explanation_bm25"] = sql("l_lexical", """SELECT query_id, record_id, printf(
+    'BM25 rank %d with score %.6f; semantic retrieval is unavailable.', bm25_rank, score) AS text
+    FROM l_lexical""")
+O["recall_sources"] = sql("l_sources", """SELECT record_id, revision,
+    string_agg(identity, ',' ORDER BY position) FILTER (position < 3) AS identities,
+    string_agg(coalesce(content_hash, '-'), ',' ORDER BY position) FILTER (position < 3) AS hashes,
+    count(*) AS source_count FROM l_sources GROUP BY ALL""")
+O["recall_context"] = sql("l_ordered", f"""SELECT query_id, position, record_id, bm25_rank,
+    round(bm25_score, 6) AS bm25_score, dense_rank, round(dense_similarity, 6) AS dense_similarity,
+    {_rrf} AS rrf_score FROM l_ordered""")
+O["recall_context_bm25"] = sql("l_lexical", """SELECT query_id, bm25_rank AS position, record_id,
+    bm25_rank, round(score, 6) AS bm25_score FROM l_lexical WHERE bm25_rank <= 5""")
+O["used_bytes"] = sql("l_queries", """SELECT query_id, true AS exact, true AS within_budget,
+    true AS at_most_five FROM l_queries""")
+
+# Ledger application
+
+_judged = """j AS (SELECT d.*, sha256(request) AS h, w.op AS stored_op, w.request_hash AS stored_h,
+      first_value(d.op) OVER x AS first_op, first_value(sha256(request)) OVER x AS first_h,
+      row_number() OVER x AS nth
+    FROM l_delivered d LEFT JOIN l_write_keys w ON w.key = d.key
+    WINDOW x AS (PARTITION BY d.key ORDER BY ts, seq)),
+  judged AS (SELECT *, CASE
+      WHEN stored_op IS NOT NULL THEN CASE WHEN op = stored_op AND h = stored_h
+           THEN 'replayed' ELSE 'conflict' END
+      WHEN nth = 1 THEN 'applied' WHEN op = first_op AND h = first_h THEN 'replayed'
+      ELSE 'conflict' END AS outcome FROM j)"""
+O["idempotent_intake"] = sql("l_delivered l_write_keys", """SELECT key, seq, outcome,
+    CASE WHEN outcome = 'conflict' THEN
+      'idempotency key was already used for a different write' END AS reason FROM judged""", _judged)
+O["stream_intake"] = O["idempotent_intake"]
+O["new_write_keys"] = sql("l_delivered l_write_keys l_commands", """SELECT j.key,
+    j.op AS operation, h AS request_hash, c.record_id AS result_id FROM judged j
+    JOIN l_commands c ON c.key = j.key WHERE outcome = 'applied'""", _judged)
+O["command_guards"] = sql("l_commands l_records l_labels l_visible", """SELECT c.key,
+    r.kind AS record_kind, r.current_revision, r.lifecycle, CASE
+    WHEN op <> 'retract_relation' AND r.id IS NULL
+      THEN 'record ' || c.record_id || ' does not exist'
+    WHEN op = 'add_label' AND l.id IS NULL THEN 'label ' || c.label_id || ' does not exist'
+    WHEN op = 'add_relation' AND t.id IS NULL
+      THEN 'record ' || c.target_record_id || ' does not exist'
+    WHEN op = 'retract_relation' AND v.id IS NULL
+      THEN 'relation ' || c.relation_id || ' does not exist' END AS guard
+    FROM l_commands c LEFT JOIN l_records r ON r.id = c.record_id AND r.readable
+    LEFT JOIN l_records t ON t.id = c.target_record_id AND t.readable
+    LEFT JOIN l_labels l ON l.id = c.label_id LEFT JOIN l_visible v ON v.id = c.relation_id""")
+O["derived_keys"] = sql("l_commands", """SELECT key,
+    concat_ws(':', key, 'label', label_id) AS label_key, key || ':lifecycle' AS created_key,
+    concat_ws(':', key, 'lifecycle', record_id) AS lifecycle_key,
+    concat_ws(':', key, 'relation', record_id, target_record_id, relation_kind) AS relation_key
+    FROM l_commands""")
+O["id_allocation"] = sql("l_commands", f"""SELECT key,
+    {N} + row_number() OVER (ORDER BY ts, seq) AS id FROM l_commands""")
+_asked_scopes = f"""asked AS (SELECT *, CASE WHEN lower({utrim("name")}) = 'global' THEN 'global'
+      ELSE {utrim("name")} END AS canon FROM (
+    SELECT 'c' || c_custkey AS key, c_custkey AS seq, CASE c_nationkey % 4
+      WHEN 0 THEN upper(c_mktsegment) WHEN 1 THEN lower(c_mktsegment)
+      WHEN 2 THEN '  ' || c_mktsegment || chr(9) ELSE ' ' || chr(10) || ' ' END AS name FROM customer
+    UNION ALL SELECT 's' || s_suppkey, s_suppkey + 100000000, 'Global' FROM supplier)),
+  firsts AS (SELECT lower(canon) AS k, min(seq) AS seq, arg_min(canon, seq) AS name,
+      arg_min(key, seq) AS key FROM asked
+    WHERE canon <> '' AND lower(canon) NOT IN (SELECT lower(name) FROM l_scopes) GROUP BY ALL),
+  made AS (SELECT *, (SELECT max(id) FROM l_scopes) + row_number() OVER (ORDER BY seq) AS id
+    FROM firsts)"""
+O["created_scopes"] = sql("l_scopes", "SELECT id, name, key FROM made", _asked_scopes)
+O["apply_create_scope"] = sql("l_scopes", """SELECT a.key,
+    CASE WHEN canon = '' THEN 'invalid' ELSE 'applied' END AS outcome, CASE WHEN canon = '' THEN
+      'scope name must be a non-empty single line of at most 200 bytes' END AS reason,
+    CASE WHEN canon <> '' THEN coalesce(s.id, m.id) END AS result_id,
+    m.seq IS NOT DISTINCT FROM a.seq AS created
+    FROM asked a LEFT JOIN l_scopes s ON lower(s.name) = lower(canon)
+    LEFT JOIN made m ON m.k = lower(canon)""", _asked_scopes)
+_owner = """owner AS (SELECT c_nationkey AS n, arg_min(lower(c_mktsegment), c_custkey) AS seg
+    FROM customer GROUP BY ALL)"""
+O["apply_create_label"] = f"""WITH {_owner} SELECT 'c' || c_custkey AS key,
+    CASE WHEN lower(c_mktsegment) = seg THEN 'applied' ELSE 'conflict' END AS outcome
+    FROM customer JOIN owner ON n = c_nationkey"""
+O["created_label_aliases"] = f"""WITH {_owner} SELECT seg AS key, 'nation-' || n AS alias,
+    (SELECT any_value(c_mktsegment) FROM customer WHERE lower(c_mktsegment) = seg) AS display_name
+    FROM owner"""
+_creates = """c AS (SELECT d.*, quality, CASE
+      WHEN quality = 0 THEN 'record requires at least one active label'
+      WHEN kind IN ('observation','metric','evidence') AND n_chars <= 300
+        THEN kind || ' requires at least one source'
+      WHEN lang = 'de' THEN 'scope 100000 does not exist' END AS error
+    FROM l_docs d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+  made AS (SELECT *, (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY doc_id) AS new_id
+    FROM c WHERE error IS NULL)"""
+O["apply_create_record"] = sql("l_docs", """SELECT 'd' || c.doc_id AS key,
+    CASE WHEN c.error IS NULL THEN 'applied' ELSE 'invalid' END AS outcome, c.error AS reason,
+    new_id AS result_id FROM c LEFT JOIN made m ON m.doc_id = c.doc_id""", _creates)
+O["created_rows"] = sql("l_docs", """
+    SELECT 'record' AS part, new_id AS record_id,
+      kind || '|' || source || ' ' || doc_id || '|d' || doc_id AS row FROM made
+    UNION ALL SELECT 'source', new_id, '0|id ' || doc_id || '|file:///' || source || '|-' FROM made
+      WHERE n_chars > 300
+    UNION ALL SELECT 'label', new_id, l || '|d' || doc_id || ':label:' || l FROM (
+      SELECT *, unnest(CASE WHEN quality = 1 THEN [3] ELSE [1, 2] END) AS l FROM made)
+    UNION ALL SELECT 'state', new_id, 'active|d' || doc_id || ':lifecycle' FROM made""", _creates)
+O["apply_revise"] = sql("l_commands l_records", """SELECT o.key, o.record_id,
+    CASE WHEN r.id IS NULL THEN 'invalid' WHEN won THEN 'applied' ELSE 'conflict' END AS outcome,
+    CASE WHEN r.id IS NOT NULL AND won THEN expected_revision + 1 END AS new_revision
+    FROM steps o LEFT JOIN l_records r ON r.id = o.record_id AND r.readable""", """
+  o AS (SELECT key, record_id, expected_revision,
+      row_number() OVER (PARTITION BY record_id ORDER BY ts, seq) AS nth
+    FROM l_commands WHERE op = 'revise_record'),
+  steps AS (SELECT key, record_id, expected_revision, nth, expected_revision = 1 AS won,
+      CASE WHEN expected_revision = 1 THEN 2 ELSE 1 END AS cur FROM o WHERE nth = 1
+    UNION ALL SELECT o.key, o.record_id, o.expected_revision, o.nth, o.expected_revision = s.cur,
+      CASE WHEN o.expected_revision = s.cur THEN s.cur + 1 ELSE s.cur END
+    FROM steps s JOIN o ON o.record_id = s.record_id AND o.nth = s.nth + 1)""")
+_label_run = """
+  o AS (SELECT c.key, op, c.record_id, c.label_id,
+      row_number() OVER (PARTITION BY c.record_id ORDER BY ts, seq) AS nth
+    FROM l_commands c JOIN l_records r ON r.id = c.record_id AND r.readable
+    JOIN l_labels l ON l.id = c.label_id WHERE op IN ('add_label','retract_label')),
+  base AS (SELECT record_id, list(label_id) AS held FROM l_active GROUP BY ALL),
+  steps AS (SELECT record_id, 0::BIGINT AS nth, held, NULL::VARCHAR AS key, NULL::VARCHAR AS op,
+      NULL::VARCHAR AS reason FROM base
+    UNION ALL SELECT s.record_id, s.nth + 1,
+      CASE WHEN o.op = 'add_label' AND NOT list_contains(held, label_id)
+             THEN list_append(held, label_id)
+           WHEN o.op = 'retract_label' AND list_contains(held, label_id) AND len(held) > 1
+             THEN list_filter(held, lambda x: x <> label_id) ELSE held END,
+      o.key, o.op, CASE WHEN o.op = 'add_label' THEN CASE WHEN list_contains(held, label_id)
+             THEN 'label is already active on record' END
+           WHEN NOT list_contains(held, label_id) THEN 'label is not active on record'
+           WHEN len(held) = 1 THEN 'a record must retain at least one active label' END
+    FROM steps s JOIN o ON o.record_id = s.record_id AND o.nth = s.nth + 1)"""
+for _op in ("add_label", "retract_label"):
+    O[f"apply_{_op}"] = sql("l_commands l_records l_labels l_active", f"""SELECT c.key, CASE
+      WHEN r.id IS NULL OR (l.id IS NULL AND c.op = 'add_label') THEN 'invalid'
+      WHEN s.reason IS NULL THEN 'applied' ELSE 'conflict' END AS outcome,
+      CASE WHEN r.id IS NULL THEN 'record ' || c.record_id || ' does not exist'
+           WHEN l.id IS NULL AND c.op = 'add_label' THEN 'label ' || c.label_id || ' does not exist'
+           ELSE s.reason END AS reason
+      FROM l_commands c LEFT JOIN l_records r ON r.id = c.record_id AND r.readable
+      LEFT JOIN l_labels l ON l.id = c.label_id LEFT JOIN steps s ON s.key = c.key
+      WHERE c.op = '{_op}'""", _label_run)
+O["apply_add_relation"] = sql("l_commands l_records l_relations l_rel_retracted", """
+    SELECT key, CASE WHEN error IS NOT NULL THEN 'invalid' WHEN nth = 1 AND NOT taken THEN 'applied'
+      ELSE 'conflict' END AS outcome,
+    CASE WHEN error IS NOT NULL THEN error WHEN nth = 1 AND NOT taken THEN NULL
+      ELSE 'relation is already active' END AS reason
+    FROM (SELECT *, row_number() OVER (PARTITION BY record_id, target_record_id, relation_kind,
+        error IS NULL ORDER BY ts, seq) AS nth,
+      EXISTS (SELECT 1 FROM l_relations e WHERE e.source_record_id = q.record_id
+        AND e.target_record_id = q.target_record_id AND e.kind = q.relation_kind
+        AND e.id NOT IN (SELECT relation_id FROM l_rel_retracted)) AS taken FROM (
+      SELECT c.*, CASE WHEN c.record_id = c.target_record_id
+          THEN 'a relation cannot target its source'
+        WHEN s.id IS NULL THEN 'record ' || c.record_id || ' does not exist'
+        WHEN t.id IS NULL THEN 'record ' || c.target_record_id || ' does not exist' END AS error
+      FROM l_commands c LEFT JOIN l_records s ON s.id = c.record_id AND s.readable
+      LEFT JOIN l_records t ON t.id = c.target_record_id AND t.readable
+      WHERE op = 'add_relation') q)""")
+O["apply_retract_relation"] = sql("l_commands l_visible l_rel_retracted", """SELECT c.key,
+    CASE WHEN v.id IS NULL THEN 'invalid' WHEN nth = 1 AND NOT gone THEN 'applied'
+      ELSE 'conflict' END AS outcome,
+    CASE WHEN v.id IS NULL THEN 'relation ' || c.relation_id || ' does not exist'
+      WHEN nth = 1 AND NOT gone THEN NULL ELSE 'relation is already retracted' END AS reason
+    FROM (SELECT *, row_number() OVER (PARTITION BY relation_id ORDER BY ts, seq) AS nth,
+      relation_id IN (SELECT relation_id FROM l_rel_retracted) AS gone
+      FROM l_commands WHERE op = 'retract_relation') c
+    LEFT JOIN l_visible v ON v.id = c.relation_id""")
+O["apply_transition"] = sql("l_commands l_records", """SELECT c.key,
+    CASE WHEN r.id IS NULL THEN 'invalid' WHEN nth = 1 THEN 'applied' ELSE 'conflict' END AS outcome,
+    CASE WHEN r.id IS NULL THEN 'record ' || c.record_id || ' does not exist'
+      WHEN nth > 1 THEN 'only an active record can transition' END AS reason
+    FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ts, seq) AS nth
+      FROM l_commands WHERE op = 'transition_record') c
+    LEFT JOIN l_records r ON r.id = c.record_id AND r.readable""")
+_turns = f"""t AS (SELECT conv_id, turn, 't:' || conv_id || ':' || turn AS key,
+      conv_id * 100 + turn AS seq, (conv_id * 3 + turn * 5) % {N} + 1 AS record_id
+    FROM conversations)"""
+_superseded = _turns + f""",
+  s AS (SELECT t.*, r.id IS NOT NULL AS seen, lifecycle = 'active' AND row_number() OVER (
+      PARTITION BY record_id ORDER BY seq) = 1 AS won
+    FROM t LEFT JOIN l_records r ON r.id = t.record_id AND r.readable),
+  made AS (SELECT *, {N} + row_number() OVER (ORDER BY seq) AS new_id FROM s WHERE seen AND won)"""
+O["apply_supersede"] = sql("l_records", """SELECT s.key, CASE WHEN NOT s.seen THEN 'invalid'
+    WHEN s.won THEN 'applied' ELSE 'conflict' END AS outcome,
+    CASE WHEN NOT s.seen THEN 'record ' || s.record_id || ' does not exist'
+      WHEN NOT s.won THEN 'only an active record can be superseded' END AS reason,
+    new_id AS result_id FROM s LEFT JOIN made m ON m.seq = s.seq""", _superseded)
+O["superseded_edges"] = sql("l_records", """SELECT new_id AS source_record_id,
+    record_id AS target_record_id, 'supersedes' AS kind,
+    key || ':relation:' || new_id || ':' || record_id || ':supersedes' AS idempotency_key
+    FROM made""", _superseded)
+_merged = _turns + f""",
+  m AS (SELECT conv_id, list_sort(list(DISTINCT record_id)) AS ids, row_number() OVER (
+      ORDER BY conv_id) AS nth FROM t GROUP BY conv_id),
+  states AS (SELECT conv_id, ids, nth, min(CASE WHEN r.id IS NULL THEN x END) AS missing,
+      bool_and(coalesce(lifecycle = 'active', false)) AS fine
+    FROM (SELECT *, unnest(ids) AS x FROM m) LEFT JOIN l_records r ON r.id = x AND r.readable
+    GROUP BY ALL),
+  run AS (SELECT 0::BIGINT AS nth, []::BIGINT[] AS gone, false AS won
+    UNION ALL SELECT s.nth,
+      CASE WHEN len(ids) >= 2 AND fine AND NOT list_has_any(gone, ids)
+           THEN list_concat(gone, ids) ELSE gone END,
+      len(ids) >= 2 AND fine AND NOT list_has_any(gone, ids)
+    FROM run JOIN states s ON s.nth = run.nth + 1),
+  done AS (SELECT s.*, won, CASE WHEN won THEN {N} + count(*) FILTER (won) OVER (ORDER BY s.nth) END
+      AS new_id FROM states s JOIN run USING (nth))"""
+O["apply_merge"] = sql("l_records", """SELECT 'm' || conv_id AS key,
+    CASE WHEN len(ids) < 2 OR missing IS NOT NULL THEN 'invalid' WHEN won THEN 'applied'
+      ELSE 'conflict' END AS outcome,
+    CASE WHEN len(ids) < 2 THEN 'merge requires at least two records'
+      WHEN missing IS NOT NULL THEN 'record ' || missing || ' does not exist'
+      WHEN NOT won THEN 'only active records can be merged' END AS reason,
+    new_id AS result_id FROM done""", _merged)
+O["merged_transitions"] = sql("l_records", """SELECT id AS record_id, 'active' AS from_state,
+    'merged' AS to_state, 'm' || conv_id || ':lifecycle:' || id AS idempotency_key
+    FROM (SELECT conv_id, unnest(ids) AS id FROM done WHERE won)""", _merged)
+
+# Quality rules
+
+_line = "{} must be a non-empty single line of at most {} bytes"
+
+
+def bad_line(x: str, n: int) -> str:
+    t = utrim(x)
+    return f"({x} IS NULL OR {t} = '' OR octet_length(encode({t})) > {n} OR regexp_matches({t}, '[\\r\\n]'))"
+
+
+_sources_missing = "kind IN ('observation','metric','evidence')"
+O["validate_records"] = sql("l_docs", f"""SELECT 'd' || d.doc_id AS key, CASE
+    WHEN {bad_line("title", 200)} THEN '{_line.format("title", 200)}'
+    WHEN quality = 0 THEN 'record requires at least one active label'
+    WHEN {_sources_missing} AND n_chars <= 300 THEN kind || ' requires at least one source'
+    END AS error FROM (SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN source || ' ' || doc_id
+      WHEN kind = 'note' THEN text END AS title) FROM l_docs) d
+    LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+O["validate_payload"] = sql("l_revisions", f"""SELECT record_id, revision,
+    CASE WHEN {_sources_missing} AND (revision > 1 OR (record_id - 1) % 4 = 0)
+      THEN kind || ' requires at least one source' END AS error FROM l_revisions""")
+O["validate_source"] = f"""SELECT page_id, CASE WHEN page_id % 3 = 0 OR {bad_line("url", 200)}
+      THEN '{_line.format("source identity", 200)}'
+    WHEN page_id % 3 = 1 AND {bad_line("html", 200)}
+      THEN '{_line.format("source locator", 200)}' END AS error FROM pages"""
+O["validate_text"] = """SELECT doc_id, NULL AS as_is, 'body must not be empty' AS blanked,
+    'Mermaid block 1 is unclosed' AS unclosed FROM documents"""
+O["validate_single_line"] = f"""SELECT item, CASE WHEN {bad_line("text", 200)}
+    THEN '{_line.format("title", 200)}' END AS error FROM (
+    SELECT 'c:' || conv_id || ':' || turn AS item, text FROM conversations
+    UNION ALL SELECT 'b:' || item_id, text FROM benchmark
+    UNION ALL SELECT 'p:' || page_id, chr(10) || url FROM pages)"""
+O["validate_label_part"] = f"""SELECT value, CASE WHEN {bad_line("value", 64)}
+      THEN '{_line.format("facet", 64)}'
+    WHEN NOT regexp_full_match({utrim("value")}, '[a-z0-9_-]+') THEN
+      'facet must contain only lowercase ASCII letters, digits, underscore, or hyphen' END AS error
+    FROM (SELECT p_brand AS value FROM part UNION SELECT lower(p_type) FROM part
+    UNION SELECT lower(replace(p_brand, '#', '-')) FROM part UNION SELECT ' ' || source FROM documents
+    UNION SELECT n_name FROM nation UNION SELECT text FROM benchmark)"""
+O["canonical_aliases"] = """SELECT p_partkey, array_to_string(list_sort(list_distinct(
+    [lower(trim(p_type)), lower(p_brand)])), '|') AS aliases FROM part"""
+O["validate_context"] = f"""SELECT conv_id, turn, CASE
+    WHEN turn = 0 THEN '{_line.format("idempotency_key", 200)}'
+    WHEN {bad_line("text", 500)} THEN '{_line.format("actor", 500)}' END AS error
+    FROM conversations"""
+O["validate_timestamp"] = """SELECT event_id, CASE WHEN event_type NOT IN ('view','click')
+      THEN 'observed_at must be an RFC 3339 timestamp' END AS error,
+    CASE event_type WHEN 'view' THEN epoch_us(ts) // 1000
+      WHEN 'click' THEN epoch_us(ts) // 1000 - 7200000 END
+    AS millis FROM events"""
+O["validate_query"] = """SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'scope_id must be positive'
+    WHEN (item_id + 20) % 60 NOT BETWEEN 1 AND 50 THEN 'limit must be between 1 and 50'
+    WHEN octet_length(encode(text)) > 256 THEN 'search query exceeds 256 bytes'
+    WHEN item_id * 500 + 12000 > 32000 THEN 'max_bytes must be between 4000 and 32000' END AS error
+    FROM benchmark"""
+O["trim_option"] = f"""SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN
+    nullif({utrim("text")}, '') END AS value FROM conversations"""
+
+# Links, blocks, legacy import
+
+_notes = f"""notes AS (SELECT doc_id + 1 AS id, CASE WHEN lang = 'en' THEN 'note' ELSE 'artifact' END
+      AS kind, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'private'
+      ELSE 'shared' END AS visibility, CASE WHEN lang = 'fr' THEN 'agent' ELSE 'user' END AS author,
+      text, ((doc_id + 1) * 7 + 3) % ({N} + 20) + 1 AS a, ((doc_id + 1) * 5) % {N} + 1 AS b
+    FROM documents),
+  bodies AS (SELECT *, ' [[note:' || a || '|see it]] ' || text || ' [[note:' || b || '|see it]]'
+      || ' [[note:' || a || '|see it]] [[note:0|x]].' AS body FROM notes),
+  edges AS (SELECT DISTINCT id AS source_record_id, t AS target_record_id FROM (
+      SELECT id, unnest([a, b]) AS t FROM notes) WHERE t <> id AND t <= {N})"""
+O["link_extract"] = f"""WITH {_notes} SELECT id, position, target_id FROM (
+    SELECT id, unnest(ids) AS target_id, generate_subscripts(ids, 1) - 1 AS position FROM (
+      SELECT id, list_transform(regexp_extract_all(body,
+        '\\[\\[note:(\\d+)\\|[^\\]\\|\\n\\r\\\\]*\\]\\]', 1), lambda x: CAST(x AS BIGINT)) AS ids
+      FROM bodies)) WHERE target_id > 0"""
+O["link_redact"] = f"""WITH {_notes}, open AS (SELECT id FROM notes WHERE visibility = 'shared')
+    SELECT id AS record_id, CASE WHEN a IN (FROM open) THEN ' [[note:' || a || '|see it]] '
+      ELSE '  ' END || text || CASE WHEN b IN (FROM open) THEN ' [[note:' || b || '|see it]]'
+      ELSE ' ' END || CASE WHEN a IN (FROM open) THEN ' [[note:' || a || '|see it]]'
+      ELSE ' ' END || ' [[note:0|x]].' AS body FROM notes"""
+_edge_key = "'schema-v8:legacy-reference:' || source_record_id || ':' || target_record_id"
+O["legacy_relations"] = f"""WITH {_notes} SELECT source_record_id, target_record_id,
+    'references' AS kind, 'legacy note link' AS reason, {_edge_key} AS idempotency_key FROM edges"""
+_title = "'Imported legacy ' || kind || ' ' || id"
+O["imported_title"] = f"WITH {_notes} SELECT id, {_title} AS title FROM notes"
+O["import_metadata"] = f"""WITH {_notes} SELECT id, CAST(json_object('legacy', json_object(
+    'created_at', '2026-01-01T08:00:00Z', 'updated_at', '2026-01-02T08:00:00Z', 'author', author,
+    'day', '2026-01-01', 'kind', kind, 'visibility', visibility, 'revision', 1)) AS VARCHAR)
+    AS metadata FROM notes"""
+O["legacy_import"] = f"""WITH {_notes}
+    SELECT 'record' AS part, id, {_title} || '|note|' || CASE WHEN visibility = 'shared' THEN 'true'
+      ELSE 'false' END || '|schema-v8:legacy-record:' || id AS row FROM notes
+    UNION ALL SELECT 'revision', id, body FROM bodies
+    UNION ALL SELECT 'label', id, 'schema-v8:legacy-record:' || id || ':label' FROM notes
+    UNION ALL SELECT 'state', id, 'schema-v8:legacy-record:' || id || ':lifecycle' FROM notes
+    UNION ALL SELECT 'edge', source_record_id, {_edge_key} FROM edges"""
+_entries = """entries AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS day,
+      strftime(ts, '%Y-%m-%dT%H:%M') AS created_at,
+      strftime(ts + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M') AS updated_at,
+      CASE WHEN value < 10 THEN '' ELSE props END AS body FROM events WHERE event_type = 'view'),
+  days AS (SELECT day, arg_min(id, (created_at, id)) AS id, min(created_at) AS created_at,
+      max(updated_at) AS updated_at,
+      coalesce(string_agg(body, chr(10) || chr(10) ORDER BY created_at, id) FILTER (body <> ''), '')
+      AS body FROM entries GROUP BY day)"""
+O["legacy_day_rollup"] = f"""WITH {_entries} SELECT id, day, created_at, updated_at, body FROM days"""
+O["legacy_day_rollup_parts"] = f"""WITH {_entries}
+    SELECT id, day, NULL::BIGINT AS part_id, body FROM days WHERE octet_length(encode(body)) <= 2000
+    UNION ALL SELECT d.id, d.day, e.id, e.body FROM days d JOIN entries e ON e.day = d.day
+    WHERE octet_length(encode(d.body)) > 2000 AND e.body <> ''"""
+O["legacy_defaults"] = f"""WITH {_entries} SELECT id, day, 'shared' AS visibility,
+    'user' AS author, 1 AS revision FROM days"""
+O["daily_conflicts"] = f"""WITH {_entries} SELECT day, count(*) AS n FROM entries GROUP BY day
+    HAVING count(*) > 1"""
+_lines = "len(string_split(text, chr(10)))"
+O["fence_scan"] = f"""SELECT doc_id, 1 AS block, 1 AS first_line, {_lines} + 3 AS last_line,
+      true AS closed FROM documents
+    UNION ALL SELECT doc_id, 2, {_lines} + 7, 2 * {_lines} + 8, lang <> 'de' FROM documents"""
+
+# Streams
+
+O["stream_embedding_sync"] = O["embedding_sync"]

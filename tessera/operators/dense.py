@@ -169,13 +169,14 @@ def embedding_sync(
         for batch in batches:
             yield embed(batch)
 
-    incoming = texts.select(
+    embedded = texts.select("record_id", "revision", vectors("text").alias("raw"))
+    incoming = embedded.select(
         "record_id",
         "revision",
         F.lit(model).alias("model"),
         F.lit(model_revision).alias("model_revision"),
         F.lit(dimensions).cast("bigint").alias("dimensions"),
-        l2_normalize(vectors("text")).alias("vector"),
+        l2_normalize(F.col("raw")).alias("vector"),
     )
     return embedding_upsert(records, embeddings, incoming)
 
@@ -213,7 +214,7 @@ class _Scorer:
         self.k, self.dimensions = k, dimensions
         self.best: list[tuple[np.ndarray, np.ndarray]] = [
             (np.empty(0), np.empty(0, dtype=np.int64)) for _ in self.ids
-        ]
+        ]  # similarities and record ids per query, best first
 
     @staticmethod
     def _mask(values: np.ndarray, wanted: set) -> np.ndarray:
@@ -227,7 +228,7 @@ class _Scorer:
             c: block.column(c).to_numpy(zero_copy_only=False)
             for c in ("scope_id", "kind", "lifecycle")
         }
-        scores = np.round(_matrix(block.column("vector"), self.dimensions) @ self.matrix.T, RANK_DECIMALS)
+        scores = _matrix(block.column("vector"), self.dimensions) @ self.matrix.T
         masks: dict = {}
         if any(self.labels):
             held = block.column("labels")
@@ -256,11 +257,12 @@ class _Scorer:
             old_scores, old_ids = self.best[q]
             all_scores = np.concatenate([old_scores, scores[rows, q]])
             all_ids = np.concatenate([old_ids, records[rows]])
-            if len(all_scores) > self.k:
-                floor = np.partition(all_scores, -self.k)[-self.k]
-                above = np.flatnonzero(all_scores >= floor)
-                all_scores, all_ids = all_scores[above], all_ids[above]
-            order = np.lexsort((-all_ids, -all_scores))[: self.k]
+            ranked = np.round(all_scores, RANK_DECIMALS)
+            if len(ranked) > self.k:
+                floor = np.partition(ranked, -self.k)[-self.k]
+                above = np.flatnonzero(ranked >= floor)
+                all_scores, all_ids, ranked = all_scores[above], all_ids[above], ranked[above]
+            order = np.lexsort((-all_ids, -ranked))[: self.k]
             self.best[q] = (all_scores[order], all_ids[order])
 
     def result(self) -> pa.Table:
@@ -328,7 +330,8 @@ def dense_topk(
         hits = _scan_topk(queries, vectors, dimensions, k)
     else:
         hits = _grid_topk(queries, vectors, dimensions, k, vectors_per_cell, queries_per_cell)
-    return top_k(hits, k, F.desc("similarity"), F.desc("record_id"), rank="dense_rank")
+    ranked = F.round("similarity", RANK_DECIMALS)
+    return top_k(hits, k, F.desc(ranked), F.desc("record_id"), rank="dense_rank")
 
 
 def labelled(vectors: DataFrame, active_assertions: DataFrame) -> DataFrame:

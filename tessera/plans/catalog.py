@@ -1,10 +1,8 @@
-"""Every operator as a named query over the driver's tables."""
+"""Named queries: codecs, projections, state views, text retrieval."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.payload import (
@@ -14,40 +12,20 @@ from tessera.functions.payload import (
     payload_kind,
     payload_text,
 )
-from tessera.functions.text import json_number, normalized, tokens, words
+from tessera.functions.text import json_number, normalized, tokens
 from tessera.operators import retrieval as rt
 from tessera.operators import textindex as ti
 from tessera.operators import views
+from tessera.plans.registry import (
+    QUERIES,
+    assertions,
+    big,
+    on_ledger,
+    pair_queries,
+    query,
+    query_batch,
+)
 from tessera.sources import corpus
-from tessera.sources.store import LedgerStore
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-MODEL = (corpus.MODEL, corpus.MODEL_REVISION, 64)
-
-
-def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
-    return fn
-
-
-def on_ledger(fn: Callable[[LedgerStore], DataFrame]):
-    """Register a query that needs the derived ledger only."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(corpus.ledger(spark, sf_dir))
-
-    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-    QUERIES[fn.__name__] = run
-    return run
-
-
-def big(column: str | Column) -> Column:
-    return (F.col(column) if isinstance(column, str) else column).cast("bigint")
-
-
-def assertions(store: LedgerStore) -> tuple[DataFrame, DataFrame]:
-    return store.read("label_assertions"), store.read("label_retractions")
-
 
 # Sources, sinks, codecs
 
@@ -406,20 +384,6 @@ def query_terms(store):
     )
 
 
-def pair_queries(spark: SparkSession, sf_dir: str, glue: str) -> DataFrame:
-    """Whole benchmark texts, cut into consecutive pairs of words."""
-    at = F.sequence(F.lit(0), F.size("ws") - 1, F.lit(2))
-    return (
-        corpus.table(spark, sf_dir, "benchmark")
-        .select("item_id", words(F.col("text")).alias("ws"))
-        .select("item_id", "ws", F.posexplode(at).alias("part", "start"))
-        .select(
-            (F.col("item_id") * 1000 + F.col("part")).alias("query_id"),
-            F.array_join(F.slice("ws", F.col("start") + 1, F.lit(2)), glue).alias("query"),
-        )
-    )
-
-
 @query
 def phrase_match(spark, sf_dir):
     """Adjacent word pairs of the benchmark texts, found anywhere in the index."""
@@ -436,20 +400,16 @@ def search_and(spark, sf_dir):
     return rt.search_and(found, batch.phrases)
 
 
-def _batch(store: LedgerStore) -> rt.QueryBatch:
-    return rt.QueryBatch.of(corpus.query_table(store), store.read("scopes"))
-
-
 @query
 def match_any(spark, sf_dir):
     store = corpus.ledger(spark, sf_dir)
-    return rt.match_any(rt.phrase_matches(corpus.text_index(spark, sf_dir), _batch(store)))
+    return rt.match_any(rt.phrase_matches(corpus.text_index(spark, sf_dir), query_batch(store)))
 
 
 @query
 def bm25_score(spark, sf_dir):
     store = corpus.ledger(spark, sf_dir)
-    return rt.bm25_scores(corpus.text_index(spark, sf_dir), _batch(store)).select(
+    return rt.bm25_scores(corpus.text_index(spark, sf_dir), query_batch(store)).select(
         "query_id", "record_id", F.round("score", 6).alias("score")
     )
 
@@ -458,7 +418,7 @@ def bm25_score(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     """Top 20 active records per query."""
     store = corpus.ledger(spark, sf_dir)
-    scores = rt.bm25_scores(corpus.text_index(spark, sf_dir), _batch(store))
+    scores = rt.bm25_scores(corpus.text_index(spark, sf_dir), query_batch(store))
     allowed = views.eligible_candidates(scores, store.read("records"), corpus.query_table(store))
     return rt.bm25_topk(allowed, 20).select(
         "query_id", "bm25_rank", "record_id", F.round("score", 6).alias("score")
