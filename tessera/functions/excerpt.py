@@ -37,16 +37,18 @@ def focus(folded: str, terms: list[str]) -> int:
     return len(folded[: folded.index(max(found)[2])].encode())
 
 
-def excerpt(text: str, query: str, max_bytes: int) -> str:
-    """At most ``max_bytes`` of ``text`` with whitespace collapsed, cut marks included."""
+def centred(flat: str, query: str) -> tuple[bytes, int]:
+    """UTF-8 bytes of a whitespace-collapsed text, and where its excerpt should centre."""
+    return flat.encode(), focus(flat.lower(), query_terms(query))
+
+
+def window(data: bytes, centre: int, max_bytes: int) -> str:
+    """At most ``max_bytes`` of ``data`` around ``centre``, cut marks included."""
     if max_bytes <= 0:
         return ""
-    flat = SPACE.sub(" ", text).strip(" ")
-    data = flat.encode()
     if len(data) <= max_bytes:
-        return flat
+        return data.decode()
     mark = len(MARK.encode())
-    centre = focus(flat.lower(), query_terms(query))
     lead = mark if centre > 0 else 0
     room = max(0, max_bytes - lead - mark)
     start = boundary(data, max(0, centre - room // 3))
@@ -57,9 +59,15 @@ def excerpt(text: str, query: str, max_bytes: int) -> str:
     return (MARK if start > 0 else "") + middle + (MARK if end < len(data) else "")
 
 
+def excerpt(text: str, query: str, max_bytes: int) -> str:
+    flat = SPACE.sub(" ", text).strip(" ")
+    return window(*centred(flat, query), max_bytes)
+
+
 @F.pandas_udf(T.StringType())
 def excerpts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Excerpts of texts whose whitespace is collapsed already."""
     for texts, queries, sizes in batches:
         yield pd.Series(
-            [excerpt(t, q, int(n)) for t, q, n in zip(texts, queries, sizes, strict=True)]
+            [window(*centred(t, q), int(n)) for t, q, n in zip(texts, queries, sizes, strict=True)]
         )

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from tessera.functions.text import trim_option, utrim
 from tessera.limits import DIRECT_RELATIONS
 from tessera.operators import quality, views
+from tessera.session import cut
 from tessera.operators.ordering import (
     ORDER,
     allocate_ids,
@@ -289,21 +290,23 @@ def apply_create_record(
     error = quality.record(
         F.col("scope_id"), F.col("title"), F.col("label_ids"), F.col("payload"), F.col("sources")
     )
-    judged = commands.withColumn("error", error)
     usable = labels.filter("active").select(F.col("id").alias("label_id"))
     unknown_label = (
-        judged.select("seq", F.explode("label_ids").alias("label_id"))
+        commands.select("seq", F.explode("label_ids").alias("label_id"))
         .join(usable, "label_id", "left_anti")
         .select("seq")
         .distinct()
         .withColumn("bad_label", F.lit(True))
     )
     known_scope = scopes.select(F.col("id").alias("scope_id"), F.lit(True).alias("known_scope"))
-    judged = (
-        judged.join(known_scope, "scope_id", "left")
+    # Rules run once; what is kept and ordered is one narrow row per command.
+    verdicts = cut(
+        commands.select("key", *ORDER, "scope_id", error.alias("error"))
+        .join(known_scope, "scope_id", "left")
         .join(unknown_label, "seq", "left")
-        .withColumn(
-            "error",
+        .select(
+            "key",
+            *ORDER,
             F.coalesce(
                 "error",
                 F.when(
@@ -311,14 +314,14 @@ def apply_create_record(
                     F.format_string("scope %d does not exist", "scope_id"),
                 ),
                 F.when(F.col("bad_label"), F.lit("label does not exist")),
-            ),
+            ).alias("error"),
         )
     )
-    ready = judged.filter("error IS NULL").drop("error", "known_scope", "bad_label")
-    created = allocate_ids(ready, ORDER, start_id, "record_id").withColumn(
-        "title", utrim(F.col("title"))
-    )
-    outcomes = judged.join(created.select("seq", "record_id"), "seq", "left").select(
+    ids = allocate_ids(
+        verdicts.filter("error IS NULL").select(*ORDER), ORDER, start_id, "record_id"
+    ).select("seq", "record_id")
+    created = commands.join(ids, "seq").withColumn("title", utrim(F.col("title")))
+    outcomes = verdicts.join(ids, "seq", "left").select(
         "key",
         "seq",
         F.when(F.col("error").isNull(), APPLIED).otherwise(INVALID).alias("outcome"),
@@ -518,19 +521,52 @@ def apply_labels(
     rows = rows.join(counts, "record_id", "left").withColumn(
         "after", F.coalesce("base", F.lit(0)) + F.col("moved")
     )
-    rows = rows.withColumn("before", F.col("after") - F.col("change"))
+    rows = cut(
+        rows.withColumn("before", F.col("after") - F.col("change")).select(
+            "record_id", "label_id", "op", *ORDER, "change", "after", "before"
+        )
+    )
     emptied = (F.col("change") == -1) & (F.col("after") == 0)
+    plain = (
+        F.when(F.col("change") != 0, "")
+        .when(adding, LABEL_ACTIVE)
+        .otherwise(LABEL_INACTIVE)
+    )
+    verdicts = rows.select("seq", plain.alias("verdict"))
+    # Labels that ever empty their record; in most batches there are none.
+    risky = rows.filter(emptied).select("record_id", "label_id").distinct()
+    if not risky.isEmpty():
+        verdicts = (
+            verdicts.join(_kept_labels(rows, risky, adding, emptied), "seq", "left")
+            .select("seq", F.coalesce("fixed", "verdict").alias("verdict"))
+        )
+    return (
+        guarded.join(verdicts, "seq", "left")
+        .select(
+            "key",
+            *ORDER,
+            "op",
+            "record_id",
+            "label_id",
+            F.when(F.col("guard").isNotNull(), INVALID)
+            .when(F.col("verdict") == "", APPLIED)
+            .otherwise(CONFLICT)
+            .alias("outcome"),
+            F.coalesce("guard", F.nullif("verdict", F.lit(""))).alias("reason"),
+        )
+    )
+
+
+def _kept_labels(rows: DataFrame, risky: DataFrame, adding: Column, emptied: Column) -> DataFrame:
+    """Verdicts that differ because a record kept its last label: (seq, fixed)."""
     # A command that would end a span of its own label.
     clearing = adding | (F.col("before") >= 1)
-
     by_label = (
         Window.partitionBy("record_id", "label_id")
         .orderBy(*[F.desc(c) for c in ORDER])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     at = F.struct(*ORDER)
-    # Labels that ever empty their record; for most batches there are none or few.
-    risky = rows.filter(emptied).select("record_id", "label_id").distinct()
     on_risky = rows.join(risky, ["record_id", "label_id"], "left_semi").withColumn(
         "clear", F.last(F.when(clearing, at), ignorenulls=True).over(by_label)
     )
@@ -568,7 +604,7 @@ def apply_labels(
         F.struct(*ORDER).alias("span_start"),
         F.col("clear").alias("span_end"),
     )
-    corrected = (
+    return (
         rows.join(risky, ["record_id", "label_id"], "left_semi")
         .join(spans, ["record_id", "label_id"])
         .filter(
@@ -584,31 +620,6 @@ def apply_labels(
             .alias("fixed"),
         )
     )
-    plain = (
-        F.when(F.col("change") != 0, "")
-        .when(adding, LABEL_ACTIVE)
-        .otherwise(LABEL_INACTIVE)
-    )
-    verdicts = (
-        rows.select("seq", plain.alias("plain"))
-        .join(corrected, "seq", "left")
-        .select("seq", F.coalesce("fixed", "plain").alias("verdict"))
-    )
-    return (
-        guarded.join(verdicts, "seq", "left")
-        .select(
-            "key",
-            *ORDER,
-            "op",
-            "record_id",
-            "label_id",
-            F.when(F.col("guard").isNotNull(), INVALID)
-            .when(F.col("verdict") == "", APPLIED)
-            .otherwise(CONFLICT)
-            .alias("outcome"),
-            F.coalesce("guard", F.nullif("verdict", F.lit(""))).alias("reason"),
-        )
-    )
 
 
 def apply_add_relation(
@@ -742,12 +753,13 @@ def _endings(
     commands: DataFrame, records: DataFrame, start_id: int, error: Column, conflict: str
 ) -> tuple[DataFrame, DataFrame]:
     judged = commands.withColumn("error", error)
-    settled = resolve_endings(judged.filter("error IS NULL"), records)
-    won = judged.join(settled.filter("won").select("seq"), "seq", "left_semi")
-    created = allocate_ids(won.drop("error"), ORDER, start_id, "new_id")
+    settled = cut(resolve_endings(judged.filter("error IS NULL"), records))
+    order = judged.select(*ORDER).join(settled.filter("won").select("seq"), "seq", "left_semi")
+    ids = allocate_ids(order, ORDER, start_id, "new_id").select("seq", "new_id")
+    created = judged.drop("error").join(ids, "seq")
     outcomes = (
         judged.join(settled, "seq", "left")
-        .join(created.select("seq", "new_id"), "seq", "left")
+        .join(ids, "seq", "left")
         .select(
             "key",
             *ORDER,

@@ -72,10 +72,6 @@ def text(
     return first_error(*errors)
 
 
-def optional_text(name: str, value: Column) -> Column:
-    return text(name, value, required=False)
-
-
 def timestamp(value: Column) -> Column:
     """The instant of an RFC 3339 text, or null. The pattern comes first because Spark's own
     parser also takes dates and words such as ``yesterday``."""
@@ -110,15 +106,10 @@ def source(s: Column) -> Column:
     )
 
 
-def _needs_source(kind: str, sources: Column) -> Column:
-    return error_if(F.coalesce(F.size(sources), F.lit(0)) < 1, NEEDS_SOURCE.format(kind))
-
-
-def _metric(p: Column, sources: Column) -> Column:
+def _metric(p: Column) -> Column:
     value = p["value"]
     start, end = timestamp(p["interval"]["start"]), timestamp(p["interval"]["end"])
     has_interval = p["interval"].isNotNull()
-    entries = F.map_entries(p["dimensions"])
     infinite = F.lit(float("inf"))
     return first_error(
         single_line("name", p["name"], MAX_NAME_BYTES),
@@ -131,68 +122,100 @@ def _metric(p: Column, sources: Column) -> Column:
         error_if(has_interval & (end < start), INTERVAL_ORDER),
         at_most("dimensions", p["dimensions"], MAX_ITEMS),
         first_in(
-            F.array_sort(entries),
+            F.array_sort(F.map_entries(p["dimensions"])),
             lambda e: first_error(
                 single_line("dimension key", e["key"], MAX_NAME_BYTES),
                 single_line("dimension value", e["value"], MAX_NAME_BYTES),
             ),
         ),
-        optional_text("method", p["method"]),
-        _needs_source("metric", sources),
     )
 
 
-def _snippet(p: Column, sources: Column) -> Column:
+def _after_snippet(p: Column, sources: Column) -> Column:
     usable = F.exists(
         sources,
         lambda s: trim_option(s["locator"]).isNotNull() & trim_option(s["content_hash"]).isNotNull(),
     )
     return first_error(
-        single_line("language", p["language"], MAX_NAME_BYTES),
-        text("code", p["code"], fenced=False),
         single_line("runtime", p["runtime"], MAX_NAME_BYTES, required=False),
         at_most("dependencies", p["dependencies"], MAX_ITEMS),
-        first_in(
-            p["dependencies"], lambda d: single_line("dependency", d, MAX_NAME_BYTES)
-        ),
+        first_in(p["dependencies"], lambda d: single_line("dependency", d, MAX_NAME_BYTES)),
         error_if(
             (p["origin"] == "imported") & ~F.coalesce(usable, F.lit(False)), NEEDS_IMPORT_SOURCE
         ),
     )
 
 
+# The long texts of each kind in declared order; the first one is required.
+TEXTS = {
+    "note": ["body"],
+    "observation": ["statement"],
+    "decision": ["choice", "question", "rationale"],
+    "idea": ["proposal"],
+    "snippet": ["code"],
+    "metric": ["method"],
+    "evidence": ["claim", "action", "outcome", "impact"],
+}
+
+
+def _long_texts(p: Column) -> Column:
+    """Rules of the long texts, as one expression for all kinds. Code may hold open blocks, and
+    the method of a metric may be absent."""
+    listed = None
+    for kind, names in TEXTS.items():
+        fields = F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("name"),
+                    p[name].alias("value"),
+                    F.lit(i == 0 and kind != "metric").alias("required"),
+                    F.lit(name != "code").alias("fenced"),
+                )
+                for i, name in enumerate(names)
+            ]
+        )
+        test = p["kind"] == kind
+        listed = F.when(test, fields) if listed is None else listed.when(test, fields)
+
+    def rule(field: Column) -> Column:
+        value = field["value"]
+        long = F.octet_length(value) > MAX_BODY_BYTES
+        missing = F.when(value.isNull(), field["required"]).otherwise(blank(value))
+        before_long, after_long = TOO_LONG.split("{}", 1)
+        return (
+            F.when(long, F.concat(F.lit(before_long), field["name"], F.lit(after_long.format(MAX_BODY_BYTES))))
+            .when(missing, F.concat(field["name"], F.lit(EMPTY.format(""))))
+            .when(field["fenced"], fences.fence_error(value))
+        )
+
+    return first_in(listed, rule)
+
+
 def payload(p: Column, sources: Column) -> Column:
     """Rules of the payload's kind, after those of its sources."""
-    by_kind = {
-        "note": lambda: text("body", p["body"]),
-        "observation": lambda: first_error(
-            text("statement", p["statement"]),
-            timestamp_error("observed_at", p["observed_at"]),
-            _needs_source("observation", sources),
-        ),
-        "decision": lambda: first_error(
-            text("choice", p["choice"]),
-            optional_text("question", p["question"]),
-            optional_text("rationale", p["rationale"]),
-            timestamp_error("decided_at", p["decided_at"]),
-        ),
-        "idea": lambda: text("proposal", p["proposal"]),
-        "snippet": lambda: _snippet(p, sources),
-        "metric": lambda: _metric(p, sources),
-        "evidence": lambda: first_error(
-            text("claim", p["claim"]),
-            optional_text("action", p["action"]),
-            optional_text("outcome", p["outcome"]),
-            optional_text("impact", p["impact"]),
-            _needs_source("evidence", sources),
-        ),
-    }
-    branch = error_if(
-        p["kind"].isNull() | ~p["kind"].isin(*KINDS), "payload kind is not known"
+    kind = p["kind"]
+    needs = F.when(
+        kind.isin("observation", "metric", "evidence")
+        & (F.coalesce(F.size(sources), F.lit(0)) < 1),
+        F.format_string(NEEDS_SOURCE.replace("{}", "%s"), kind),
+    )
+    before = F.when(
+        kind == "snippet", single_line("language", p["language"], MAX_NAME_BYTES)
+    ).when(kind == "metric", _metric(p))
+    after = (
+        F.when(kind == "observation", timestamp_error("observed_at", p["observed_at"]))
+        .when(kind == "decision", timestamp_error("decided_at", p["decided_at"]))
+        .when(kind == "snippet", _after_snippet(p, sources))
+    )
+    return first_error(
+        at_most("sources", sources, MAX_SOURCES),
+        first_in(sources, source),
+        error_if(kind.isNull() | ~kind.isin(*KINDS), "payload kind is not known"),
+        before,
+        _long_texts(p),
+        after,
+        needs,
     )
-    for kind, rule in by_kind.items():
-        branch = F.when(p["kind"] == kind, rule()).otherwise(branch)
-    return first_error(at_most("sources", sources, MAX_SOURCES), first_in(sources, source), branch)
 
 
 def ids(name: str, values: Column, limit: int = MAX_LABEL_IDS) -> Column:

@@ -20,6 +20,11 @@ SCORE_SCALE = 1e14
 BROADCAST_QUERIES = 2_000
 
 
+def few(queries: DataFrame) -> bool:
+    """True for a batch of at most ``BROADCAST_QUERIES`` queries; reads no more rows than that."""
+    return queries.select("query_id").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+
+
 def query_phrases(queries: DataFrame) -> DataFrame:
     """One row per whitespace term of a query, with the tokens of the term.
 
@@ -103,34 +108,75 @@ def _lookup(index: TextIndex, batch: QueryBatch, wanted: DataFrame, scoped: bool
 
 
 def _long_hits(index: TextIndex, batch: QueryBatch, distinct: DataFrame, scoped: bool) -> DataFrame:
-    """Matches of phrases of several tokens: shifted position lists intersect, title and body
-    apart. A group holds one row per token, at most the query length."""
+    """Matches of phrases of several tokens, in title and body apart.
+
+    The postings of a phrase's rarest token give its possible starts; the other tokens are
+    looked up only for those records. A phrase with a token the index lacks is gone early.
+    """
     keys = ["phrase_id", "scope_id"] if scoped else ["phrase_id"]
-    on = ["bucket", "term", "scope_id"] if scoped else ["bucket", "term"]
-    parts = (
+    tokens_of = (
         distinct.filter(F.size("tokens") > 1)
-        .select(*keys, F.size("tokens").alias("n"), F.posexplode("tokens").alias("offset", "term"))
+        .select("phrase_id", "tokens")
+        .distinct()
+        .select("phrase_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("offset", "term"))
         .withColumn("bucket", index.bucket(F.col("term")))
     )
+    part = F.struct("offset", "term", "bucket")
+    phrases = (
+        index.term_stats()
+        .join(batch.hint(tokens_of), ["bucket", "term"])
+        .groupBy("phrase_id", "n")
+        .agg(F.min(F.struct("df", part.alias("part"))).alias("rarest"), F.collect_list(part).alias("parts"))
+        .filter(F.size("parts") == F.col("n"))
+        .select(
+            "phrase_id",
+            F.col("rarest.part.offset").alias("offset"),
+            F.col("rarest.part.term").alias("term"),
+            F.col("rarest.part.bucket").alias("bucket"),
+            F.filter("parts", lambda p: p["offset"] != F.col("rarest.part.offset")).alias("others"),
+        )
+    )
+    on = ["bucket", "term"]
+    if scoped:
+        phrases = phrases.join(batch.hint(distinct.select(*keys).distinct()), "phrase_id")
+        on = [*on, "scope_id"]
 
     def shifted(column: str) -> Column:
         return F.transform(F.col(column), lambda p: p - F.col("offset"))
 
-    grouped = (
+    starts = (
         index.postings()
-        .join(batch.hint(parts), on)
+        .join(batch.hint(phrases), on)
         .select(
-            *keys, "record_id", "dl", "n", shifted("title_pos").alias("t"), shifted("body_pos").alias("b")
+            *keys, "record_id", "dl", F.size("others").alias("n"), "others",
+            shifted("title_pos").alias("t"), shifted("body_pos").alias("b"),
         )
-        .groupBy(*keys, "record_id", "dl", "n")
+        .select("*", F.inline("others"))
+        .drop("others")
+    )
+    # Only the terms asked for are shuffled, each (term, record) once.
+    asked_terms = tokens_of.select("bucket", "term").distinct()
+    found = (
+        index.postings()
+        .join(batch.hint(asked_terms), ["bucket", "term"], "left_semi")
+        .select("bucket", "term", "record_id", "title_pos", "body_pos")
+    )
+    met = (
+        starts.join(found, ["bucket", "term", "record_id"])
+        .withColumn("t", F.array_intersect("t", shifted("title_pos")))
+        .withColumn("b", F.array_intersect("b", shifted("body_pos")))
+        .filter((F.size("t") > 0) | (F.size("b") > 0))
+    )
+    # One row per further token of the phrase, fewer than the query has bytes.
+    grouped = (
+        met.groupBy(*keys, "record_id", "dl", "n")
         .agg(F.collect_list(F.struct("t", "b")).alias("lists"))
         .filter(F.size("lists") == F.col("n"))
     )
 
     def common(side: str) -> Column:
-        rest = F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(1)))
         first = F.col("lists")[0][side]
-        return F.aggregate(rest, first, lambda acc, s: F.array_intersect(acc, s[side]))
+        return F.aggregate("lists", first, lambda acc, s: F.array_intersect(acc, s[side]))
 
     return (
         grouped.withColumn("tf", (F.size(common("t")) + F.size(common("b"))).cast("bigint"))

@@ -39,7 +39,7 @@ TERM_STATS = T.StructType(
         T.StructField("bucket", T.IntegerType()),
     ]
 )
-BUCKETS = 16
+BUCKETS = 8
 
 
 def index_text(payload: Column, index_source: str = "text") -> Column:
@@ -48,14 +48,18 @@ def index_text(payload: Column, index_source: str = "text") -> Column:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """(record_id, scope_id, title, body) -> one row per (term, record).
+    """(record_id, revision, scope_id, title, body) -> one row per (term, record).
 
-    Rows of one document are counted inside the task that tokenizes it, so only finished
-    postings are shuffled.
+    The grouping keys contain those of the join that found the current revisions, so a
+    document is counted in the task that tokenizes it and only finished postings are shuffled.
     """
     title, body = tokens(F.col("title")), tokens(F.col("body"))
     cut = documents.select(
-        "record_id", "scope_id", title.alias("title_tokens"), body.alias("body_tokens")
+        "record_id",
+        "revision",
+        "scope_id",
+        title.alias("title_tokens"),
+        body.alias("body_tokens"),
     ).withColumn("dl", (F.size("title_tokens") + F.size("body_tokens")).cast("bigint"))
 
     def placed(side: str, column: str) -> Column:
@@ -66,6 +70,7 @@ def postings(documents: DataFrame) -> DataFrame:
 
     exploded = cut.select(
         "record_id",
+        "revision",
         "scope_id",
         "dl",
         F.inline(
@@ -76,10 +81,14 @@ def postings(documents: DataFrame) -> DataFrame:
     def positions(side: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("pos"))))
 
-    return exploded.groupBy("record_id", "scope_id", "dl", "term").agg(
-        F.count("*").alias("tf"),
-        positions("t").alias("title_pos"),
-        positions("b").alias("body_pos"),
+    return (
+        exploded.groupBy("record_id", "revision", "scope_id", "dl", "term")
+        .agg(
+            F.count("*").alias("tf"),
+            positions("t").alias("title_pos"),
+            positions("b").alias("body_pos"),
+        )
+        .drop("revision")
     )
 
 
@@ -92,7 +101,13 @@ def indexed_documents(
     )
     return current.join(
         revisions.select("record_id", "revision", "title", "payload"), ["record_id", "revision"]
-    ).select("record_id", "scope_id", "title", index_text(F.col("payload"), index_source).alias("body"))
+    ).select(
+        "record_id",
+        "revision",
+        "scope_id",
+        "title",
+        index_text(F.col("payload"), index_source).alias("body"),
+    )
 
 
 def doc_stats(documents: DataFrame, posting_rows: DataFrame) -> DataFrame:
@@ -152,7 +167,7 @@ class TextIndex:
 
 
 def write_index(
-    documents: DataFrame, root: str, buckets: int = BUCKETS, spread: int = 8
+    documents: DataFrame, root: str, buckets: int = BUCKETS, spread: int = 4
 ) -> TextIndex:
     """Tokenize documents and store the index below ``root``.
 
@@ -164,7 +179,7 @@ def write_index(
 
 
 def store_index(
-    rows: DataFrame, documents: DataFrame, root: str, buckets: int, spread: int = 8
+    rows: DataFrame, documents: DataFrame, root: str, buckets: int, spread: int = 4
 ) -> TextIndex:
     spark = rows.sparkSession
     salt = F.pmod(F.xxhash64("record_id"), F.lit(spread))

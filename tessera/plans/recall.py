@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.excerpt import excerpt
+from tessera.functions.excerpt import centred, window
 from tessera.functions.payload import payload_text
+from tessera.functions.text import squeeze
 from tessera.limits import (
     EXCERPT_MAX_BYTES,
     EXCERPT_MIN_BYTES,
@@ -20,8 +21,9 @@ from tessera.limits import (
     RRF_K,
 )
 from tessera.operators import dense, views
-from tessera.operators.retrieval import QueryBatch, bm25_scores, bm25_topk, top_k
+from tessera.operators.retrieval import QueryBatch, bm25_scores, bm25_topk, few, top_k
 from tessera.operators.textindex import TextIndex
+from tessera.session import cut
 from tessera.sources.store import LedgerStore
 
 # Wording of the explanations.
@@ -137,7 +139,18 @@ def recall_candidates(
 def evidence(
     store: LedgerStore, ordered: DataFrame, queries: DataFrame, semantic_available: bool
 ) -> DataFrame:
-    """The selected rows with everything the result shows. Texts are read only now."""
+    """The selected rows with everything the result shows.
+
+    The selection, at most five rows per query, is kept in the shared folder and then meets the
+    tables; for a batch of checked size it is sent to their scans, so no text is shuffled that
+    is not shown.
+    """
+    bounded = few(queries)
+    picked = cut(ordered.join(queries.select("query_id", "query"), "query_id"))
+
+    def hint(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if bounded else df
+
     records = store.read("records").select(
         F.col("id").alias("record_id"), "scope_id", "kind", "title", "lifecycle", "current_revision"
     )
@@ -147,21 +160,27 @@ def evidence(
     revisions = store.read("record_revisions").select(
         "record_id",
         F.col("revision").alias("current_revision"),
-        payload_text(F.col("payload")).alias("text"),
-        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("server_time"),
+        "payload",
+        "created_at",
         "actor",
         "thread",
         "client",
     )
-    sources = recall_sources(store.read("source_references")).withColumnRenamed(
-        "revision", "current_revision"
+    known = records.join(hint(picked), "record_id").join(scopes, "scope_id")
+    keys = records.select("record_id", "current_revision").join(
+        hint(picked.select("record_id").distinct()), "record_id", "left_semi"
     )
+    sources = recall_sources(
+        store.read("source_references")
+        .withColumnRenamed("revision", "current_revision")
+        .join(hint(keys), ["record_id", "current_revision"], "left_semi")
+        .withColumnRenamed("current_revision", "revision")
+    ).withColumnRenamed("revision", "current_revision")
     rows = (
-        ordered.join(records, "record_id")
-        .join(scopes, "scope_id")
-        .join(revisions, ["record_id", "current_revision"])
+        revisions.join(hint(known), ["record_id", "current_revision"])
         .join(sources, ["record_id", "current_revision"], "left")
-        .join(queries.select("query_id", "query"), "query_id")
+        .withColumn("text", squeeze(payload_text(F.col("payload"))))
+        .withColumn("server_time", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     )
     shown = F.struct(
         "record_id",
@@ -197,49 +216,60 @@ def encoded(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def with_used_bytes(result: dict) -> tuple[str, int]:
-    """JSON of the result, carrying its own byte length."""
-    result = {**result, "used_bytes": 0}
-    while True:
-        text = encoded(result)
-        size = len(text.encode())
-        if size == result["used_bytes"]:
-            return text, size
-        result["used_bytes"] = size
+def json_bytes(value: object) -> int:
+    return len(encoded(value).encode())
+
+
+def own_size(other_bytes: int) -> int:
+    """Size of a text that states its own size, given the bytes beside that number."""
+    size = other_bytes + 1
+    while other_bytes + len(str(size)) != size:
+        size = other_bytes + len(str(size))
+    return size
 
 
 def pack(head: dict, rows: list[dict], budget: int) -> tuple[str | None, int, int, str | None]:
     """(result JSON, used bytes, records, error) of at most five ordered rows.
 
     Most records at the smallest excerpt size come first; then the largest excerpt size that
-    still fits, found by halving.
+    still fits, found by halving. Sizes are added up; only the final result is encoded.
     """
+    texts = [centred(r["text"], r["query"]) for r in rows]
+    bare = [json_bytes({**r["evidence"], "excerpt": ""}) for r in rows]
+    frame = {**head, "budget_bytes": budget, "used_bytes": 0, "records": []}
+    frame_bytes = json_bytes(frame) - 1
+
+    def size(count: int, excerpt_bytes: int) -> int:
+        shown = sum(
+            bare[i] + json_bytes(window(*texts[i], excerpt_bytes)) - 2 for i in range(count)
+        )
+        return own_size(frame_bytes + shown + max(0, count - 1))
 
-    def build(count: int, size: int) -> tuple[str, int]:
+    def result(count: int, excerpt_bytes: int) -> tuple[str, int, int, None]:
         shown = [
-            {**r["evidence"], "excerpt": excerpt(r["text"], r["query"], size)} for r in rows[:count]
+            {**rows[i]["evidence"], "excerpt": window(*texts[i], excerpt_bytes)}
+            for i in range(count)
         ]
-        return with_used_bytes({**head, "budget_bytes": budget, "used_bytes": 0, "records": shown})
+        used = size(count, excerpt_bytes)
+        return encoded({**frame, "used_bytes": used, "records": shown}), used, count, None
 
     fewest = min(len(rows), RECALL_MIN_RESULTS)
     count = len(rows)
-    best = build(count, EXCERPT_MIN_BYTES)
-    while best[1] > budget and count > fewest:
+    while count > fewest and size(count, EXCERPT_MIN_BYTES) > budget:
         count -= 1
-        best = build(count, EXCERPT_MIN_BYTES)
-    if best[1] > budget:
-        best = build(fewest, 0)
-        if best[1] > budget:
+    best = EXCERPT_MIN_BYTES
+    if size(count, best) > budget:
+        best = 0
+        if size(count, best) > budget:
             return None, 0, 0, TOO_SMALL.format(fewest)
     low, high = EXCERPT_MIN_BYTES, EXCERPT_MAX_BYTES
     while low < high:
         middle = (low + high + 1) // 2
-        trial = build(count, middle)
-        if trial[1] <= budget:
-            low, best = middle, trial
+        if size(count, middle) <= budget:
+            low = best = middle
         else:
             high = middle - 1
-    return best[0], best[1], count, None
+    return result(count, best)
 
 
 _PACKED = "query_id bigint, n_records bigint, used_bytes bigint, result string, error string"

@@ -489,7 +489,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> LedgerStore:
         n_vectors = table(spark, sf_dir, "embeddings").count()
         store.write("records", records(spark, sf_dir, n), sort_by="id")
         record_rows = store.read("records")
-        store.write("record_revisions", revisions(spark, sf_dir))
+        store.write("record_revisions", revisions(spark, sf_dir).repartition("record_id", "revision"))
         store.write("source_references", source_references(spark, sf_dir))
         store.write("scopes", scopes(spark, sf_dir))
         store.write("labels", label_rows(spark, sf_dir))
