@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from tessera.functions.text import trim_option, utrim
 from tessera.limits import DIRECT_RELATIONS
 from tessera.operators import quality, views
-from tessera.session import cut
 from tessera.operators.ordering import (
     ORDER,
     allocate_ids,
@@ -25,6 +24,7 @@ from tessera.operators.ordering import (
     running_sum,
     with_slices,
 )
+from tessera.session import cut
 
 # Wording of the conflicts.
 KEY_REUSED = "idempotency key was already used for a different write"
@@ -45,6 +45,19 @@ ALIAS_TAKEN = "label alias %s belongs to another label"
 APPLIED, REPLAYED, CONFLICT, INVALID = "applied", "replayed", "conflict", "invalid"
 
 
+# A batch of at most this many commands is sent to the scans of the ledger tables, so that a
+# small batch does not shuffle a large ledger. Ids are 8 bytes, keys at most 200.
+SMALL_BATCH = 200_000
+
+
+def narrowed(table: DataFrame, column: str, commands: DataFrame, key: str) -> DataFrame:
+    """Rows of a ledger table that the commands name; the whole table for a large batch."""
+    if commands.select(key).limit(SMALL_BATCH + 1).count() > SMALL_BATCH:
+        return table
+    named = commands.select(F.col(key).alias(column)).distinct()
+    return table.join(F.broadcast(named), column, "left_semi")
+
+
 def request_hash(request: Column) -> Column:
     return F.sha2(request.cast("binary"), 256)
 
@@ -59,7 +72,7 @@ def idempotent_intake(commands: DataFrame, write_keys: DataFrame) -> DataFrame:
     first = hashed.groupBy("key").agg(
         F.min(F.struct(*ORDER, "op", "request_hash")).alias("first")
     )
-    stored = write_keys.select(
+    stored = narrowed(write_keys, "key", commands, "key").select(
         "key", F.struct(F.col("operation").alias("op"), "request_hash").alias("stored")
     )
     owners = first.join(stored, "key", "left").select(
@@ -108,19 +121,21 @@ def command_guards(
 ) -> DataFrame:
     """Look up what a command names and say what is missing (column ``guard``, null when all
     is there). Hidden and unknown records give the same message."""
-    seen = records.filter("readable").select(
+    open_records = records.filter("readable")
+    seen = narrowed(open_records, "id", commands, "record_id").select(
         F.col("id").alias("record_id"),
         F.col("kind").alias("record_kind"),
         "lifecycle",
         "current_revision",
     )
-    target = records.filter("readable").select(
+    target = narrowed(open_records, "id", commands, "target_record_id").select(
         F.col("id").alias("target_record_id"), F.lit(True).alias("target_seen")
     )
     known_labels = labels.filter("active").select(
         F.col("id").alias("label_id"), F.lit(True).alias("label_seen")
     )
-    ends = views.visible_edges(records, relations).select(
+    named = narrowed(relations, "id", commands, "relation_id")
+    ends = views.visible_edges(records, named).select(
         F.col("id").alias("relation_id"), F.lit(True).alias("relation_seen")
     )
     uses_record = F.col("op") != "retract_relation"
@@ -154,7 +169,7 @@ def command_guards(
 
 def _readable(commands: DataFrame, records: DataFrame, *columns: str) -> DataFrame:
     """Commands with columns of their record; ``seen`` is null for a hidden or unknown one."""
-    state = records.filter("readable").select(
+    state = narrowed(records.filter("readable"), "id", commands, "record_id").select(
         F.col("id").alias("record_id"), F.lit(True).alias("seen"), *columns
     )
     return commands.join(state, "record_id", "left")
@@ -496,7 +511,9 @@ def apply_labels(
     usable = labels.filter("active").select(
         F.col("id").alias("label_id"), F.lit(True).alias("usable")
     )
-    pairs = active.select("record_id", "label_id").distinct()
+    pairs = narrowed(active, "record_id", commands, "record_id").select(
+        "record_id", "label_id"
+    ).distinct()
     guarded = _readable(commands, records).join(usable, "label_id", "left").withColumn(
         "guard",
         F.when(F.col("seen").isNull(), _missing()).when(
@@ -627,7 +644,7 @@ def apply_add_relation(
 ) -> DataFrame:
     """Outcome per add_relation command (record_id, target_record_id, relation_kind)."""
     edge = ["record_id", "target_record_id", "relation_kind"]
-    target = records.filter("readable").select(
+    target = narrowed(records.filter("readable"), "id", commands, "target_record_id").select(
         F.col("id").alias("target_record_id"), F.lit(True).alias("target_seen")
     )
     judged = (
@@ -641,7 +658,8 @@ def apply_add_relation(
             .when(F.col("target_seen").isNull(), _missing("target_record_id")),
         )
     )
-    taken = views.active_edges(relations, retractions).select(
+    near = narrowed(relations, "source_record_id", commands, "record_id")
+    taken = views.active_edges(near, retractions).select(
         F.col("source_record_id").alias("record_id"),
         "target_record_id",
         F.col("kind").alias("relation_kind"),
@@ -668,7 +686,8 @@ def apply_retract_relation(
     commands: DataFrame, records: DataFrame, relations: DataFrame, retractions: DataFrame
 ) -> DataFrame:
     """Outcome per retract_relation command (relation_id): first of a batch wins."""
-    seen = views.visible_edges(records, relations).select(
+    named = narrowed(relations, "id", commands, "relation_id")
+    seen = views.visible_edges(records, named).select(
         F.col("id").alias("relation_id"), F.lit(True).alias("seen")
     )
     judged = commands.join(seen, "relation_id", "left")

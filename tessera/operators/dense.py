@@ -45,8 +45,13 @@ def embedding_valid(
         "lifecycle",
     )
     stored = of_model(embeddings, model, model_revision).filter(F.col("dimensions") == dimensions)
-    return stored.select("record_id", "revision", "vector").join(
-        current, ["record_id", "revision"]
+    # Both tables hold a record once and are bucketed by its id. The revision is compared after
+    # the join, so that the id alone is the join key and neither vectors nor records are shuffled.
+    return (
+        stored.select("record_id", F.col("revision").alias("embedded"), "vector")
+        .join(current, "record_id")
+        .filter(F.col("embedded") - F.col("revision") == 0)
+        .drop("embedded")
     )
 
 
@@ -77,13 +82,14 @@ def embedding_status(
     stored = (
         of_model(embeddings, model, model_revision)
         .filter(F.col("dimensions") == dimensions)
-        .select("record_id", F.col("revision").alias("current_revision"), F.lit(1).alias("hit"))
+        .select("record_id", F.col("revision").alias("embedded"))
     )
+    indexed = F.col("embedded") == F.col("current_revision")
     counted = (
         records.filter("readable")
         .select(F.col("id").alias("record_id"), "current_revision")
-        .join(stored, ["record_id", "current_revision"], "left")
-        .agg(F.count("*").alias("eligible_records"), F.count("hit").alias("indexed_records"))
+        .join(stored, "record_id", "left")
+        .agg(F.count("*").alias("eligible_records"), F.count_if(indexed).alias("indexed_records"))
     )
     return counted.select(
         F.lit(model).alias("model"),
@@ -373,7 +379,7 @@ def _grid_topk(
     cols = max(1, math.ceil(queries.count() / queries_per_cell))
 
     def numbers(n: int) -> Column:
-        return F.sequence(F.lit(0), F.lit(n - 1))
+        return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
     left = queries.withColumn("cell_q", F.pmod(F.xxhash64("query_id"), F.lit(cols))).withColumn(
         "cell_v", F.explode(numbers(rows))
@@ -381,8 +387,8 @@ def _grid_topk(
     right = (
         _with_labels(vectors)
         .select(*_VECTOR_COLUMNS)
-        .withColumn("cell_v", F.pmod(F.xxhash64("record_id"), F.lit(rows)).cast("int"))
-        .withColumn("cell_q", F.explode(numbers(cols)).cast("bigint"))
+        .withColumn("cell_v", F.pmod(F.xxhash64("record_id"), F.lit(rows)))
+        .withColumn("cell_q", F.explode(numbers(cols)))
     )
 
     def score(q: pa.Table, v: pa.Table) -> pa.Table:

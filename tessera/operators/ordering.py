@@ -24,15 +24,18 @@ def allocate_ids(rows: DataFrame, order: list[str], start: int, name: str = "id"
     )
     part = F.shiftright("_at", 33)
     within = F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    offsets, total = {}, start
-    for row in sorted(sizes, key=lambda r: r["part"]):
-        offsets[row["part"]] = total
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()
+    offsets, total = [], start
+    for row in sorted(sizes, key=lambda r: r["_part"]):
+        offsets.append((row["_part"], total))
         total += row["n"]
-    if not offsets:
-        return ranged.withColumn(name, F.lit(None).cast("bigint")).drop("_at")
-    by_part = F.create_map(*[F.lit(v).cast("bigint") for kv in offsets.items() for v in kv])
-    return ranged.withColumn(name, by_part[part] + within + 1).drop("_at")
+    known = rows.sparkSession.createDataFrame(offsets, "_part bigint, _offset bigint")
+    return (
+        ranged.withColumn("_part", part)
+        .join(F.broadcast(known), "_part")
+        .withColumn(name, F.col("_offset") + within + 1)
+        .drop("_at", "_part", "_offset")
+    )
 
 
 def with_slices(commands: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:

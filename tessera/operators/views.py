@@ -388,17 +388,24 @@ def record_document(store, ids: DataFrame | None = None) -> DataFrame:
     )
 
 
+def given(queries: DataFrame, name: str) -> Column:
+    """Whether a query brings a non-empty list in column ``name``."""
+    if name not in queries.columns:
+        return F.lit(False)
+    return F.coalesce(F.size(name), F.lit(0)) > 0
+
+
 def match_explanation(
-    text: bool, include_global: Column, kinds: bool, labels: bool, model: str | None = None
+    text: bool, include_global: Column, kinds: Column, labels: Column, model: str | None = None
 ) -> Column:
     """Tags that say why a record is in a result."""
     tags = [F.lit("fts:title_or_payload")] if text else []
     if model is not None:
         tags += [F.lit("semantic:cosine"), F.lit(f"model:{model}")]
-    tags.append(F.when(include_global, "scope:exact_or_global").otherwise("scope:exact"))
-    if kinds:
-        tags.append(F.lit("kind"))
-    tags.append(F.lit("lifecycle"))
-    if labels:
-        tags.append(F.lit("labels:all"))
-    return F.array(*tags)
+    tags += [
+        F.when(include_global, "scope:exact_or_global").otherwise("scope:exact"),
+        F.when(kinds, "kind"),
+        F.lit("lifecycle"),
+        F.when(labels, "labels:all"),
+    ]
+    return F.array_compact(F.array(*tags))

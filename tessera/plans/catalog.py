@@ -184,8 +184,10 @@ def normalized_text(store):
 
 @on_ledger
 def match_explanation(store):
-    tags = views.match_explanation(True, F.col("include_global"), True, False)
-    dense = views.match_explanation(False, F.col("include_global"), False, True, "m@v1")
+    tags = views.match_explanation(True, F.col("include_global"), F.lit(True), F.lit(False))
+    dense = views.match_explanation(
+        False, F.col("include_global"), F.lit(False), F.lit(True), "m@v1"
+    )
     return corpus.query_table(store).select(
         "query_id",
         F.array_join(tags, ",").alias("text_tags"),

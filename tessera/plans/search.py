@@ -29,10 +29,15 @@ def search_records(
     rows = views.eligible_candidates(found, store.read("records"), queries, held)
     asked = queries.select(
         "query_id",
-        "include_global",
         (F.col("before_id") if "before_id" in queries.columns else F.lit(None))
         .cast("bigint")
         .alias("before_id"),
+        views.match_explanation(
+            True,
+            F.col("include_global"),
+            views.given(queries, "kinds"),
+            views.given(queries, "label_ids"),
+        ).alias("match_explanation"),
     )
     rows = rows.join(asked, "query_id").filter(
         F.col("before_id").isNull() | (F.col("record_id") < F.col("before_id"))
@@ -43,9 +48,6 @@ def search_records(
         F.count("*").alias("fetched"),
         F.max(F.when(F.col("position") == limit, F.col("record_id"))).alias("last_id"),
     )
-    explained = views.match_explanation(
-        True, F.col("include_global"), "kinds" in queries.columns, "label_ids" in queries.columns
-    )
     return (
         fetched.filter(F.col("position") <= limit)
         .join(more, "query_id")
@@ -54,7 +56,7 @@ def search_records(
             "position",
             "record_id",
             F.when(F.col("fetched") > limit, F.col("last_id")).alias("next_before_id"),
-            explained.alias("match_explanation"),
+            "match_explanation",
         )
     )
 
@@ -83,10 +85,11 @@ def semantic_search(
     explained = views.match_explanation(
         False,
         F.col("include_global"),
-        "kinds" in queries.columns,
-        "label_ids" in queries.columns,
+        views.given(queries, "kinds"),
+        views.given(queries, "label_ids"),
         f"{model}@{model_revision}",
     )
-    return hits.join(queries.select("query_id", "include_global"), "query_id").select(
-        "query_id", "dense_rank", "record_id", "similarity", explained.alias("match_explanation")
+    tags = queries.select("query_id", explained.alias("match_explanation"))
+    return hits.join(tags, "query_id").select(
+        "query_id", "dense_rank", "record_id", "similarity", "match_explanation"
     )

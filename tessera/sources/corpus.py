@@ -487,7 +487,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> LedgerStore:
         store = LedgerStore(spark, new_folder(spark, "ledger"))
         n = n_documents(spark, sf_dir)
         n_vectors = table(spark, sf_dir, "embeddings").count()
-        store.write("records", records(spark, sf_dir, n), sort_by="id")
+        store.write("records", records(spark, sf_dir, n))
         record_rows = store.read("records")
         store.write("record_revisions", revisions(spark, sf_dir).repartition("record_id", "revision"))
         store.write("source_references", source_references(spark, sf_dir))

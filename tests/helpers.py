@@ -26,7 +26,7 @@ def build_store(spark, root, **tables):
     """A store with the given rows; tables that are not named are empty."""
     store = LedgerStore(spark, str(root))
     for name in TABLES:
-        rows_of(spark, name, tables.get(name, [])).write.parquet(store.path(name))
+        store.write(name, rows_of(spark, name, tables.get(name, [])))
     return store
 
 

@@ -171,4 +171,6 @@ def test_filters_and_paging(spark, tmp_path):
     cursors = {r["query_id"]: r["next_before_id"] for r in pages.collect()}
     assert [cursors[i] for i in range(4)] == [8, 5, None, 2]
     tags = pages.filter("query_id = 3").first()["match_explanation"]
-    assert tags == ["fts:title_or_payload", "scope:exact_or_global", "kind", "lifecycle", "labels:all"]
+    assert tags == ["fts:title_or_payload", "scope:exact_or_global", "lifecycle"]
+    tags = pages.filter("query_id = 6").first()["match_explanation"]
+    assert tags == ["fts:title_or_payload", "scope:exact", "lifecycle", "labels:all"]
