@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,23 +100,34 @@ _CHECKED = T.StructType([*PAYLOAD.fields, T.StructField("_corrupt", T.StringType
 _KEY = r"(?:`(?:[^`]|``)*`|[^<>,:` ]+)"
 
 
-def _parsed(text: Column) -> Column:
-    return F.from_json(text, _CHECKED, {"columnNameOfCorruptRecord": "_corrupt"})
-
-
-def payload_decode(text: Column) -> Column:
-    """Payload struct of a JSON text; null where :func:`decode_error` is not null."""
-    raw = _parsed(text)
-    return F.when(
-        decode_error(text).isNull(),
-        F.struct(*[raw[f.name].alias(f.name) for f in PAYLOAD.fields]),
+def decode(
+    rows: DataFrame, text: str, payload: str = "payload", error: str = "decode_error"
+) -> DataFrame:
+    """Add the payload struct of a JSON column, and why a text is not a payload.
+
+    The text is parsed once per view of it; the rules then read those columns. ``from_json``
+    alone would skip unknown fields and turn numbers into strings, so field names and the
+    written types are looked at as well.
+    """
+    source = F.col(text)
+    parsed = rows.withColumns(
+        {
+            "_raw": F.from_json(source, _CHECKED, {"columnNameOfCorruptRecord": "_corrupt"}),
+            "_keys": F.json_object_keys(source),
+            "_interval_keys": F.json_object_keys(F.get_json_object(source, "$.interval")),
+            "_types": F.schema_of_variant(F.try_parse_json(source)),
+        }
+    )
+    judged = parsed.withColumn(
+        error, _error(F.col("_raw"), F.col("_keys"), F.col("_interval_keys"), F.col("_types"))
+    )
+    good = F.struct(*[F.col("_raw")[f.name].alias(f.name) for f in PAYLOAD.fields])
+    return judged.withColumn(payload, F.when(F.col(error).isNull(), good)).drop(
+        "_raw", "_keys", "_interval_keys", "_types"
     )
 
 
-def decode_error(text: Column) -> Column:
-    """Why a JSON text is not a payload, or null."""
-    raw = _parsed(text)
-    keys = F.json_object_keys(text)
+def _error(raw: Column, keys: Column, interval_keys: Column, types: Column) -> Column:
     allowed = F.create_map(
         *[
             item
@@ -125,18 +136,14 @@ def decode_error(text: Column) -> Column:
         ]
     )
     known = F.try_element_at(allowed, raw["kind"])
-    interval_keys = F.json_object_keys(F.get_json_object(text, "$.interval"))
-
     missing = F.lit(False)
     for kind, (required, _) in FIELDS.items():
         for name in required:
             missing = missing | ((raw["kind"] == kind) & raw[name].isNull())
+    interval = raw["interval"]
     missing = missing | (
-        raw["interval"].isNotNull()
-        & (raw["interval"]["start"].isNull() | raw["interval"]["end"].isNull())
+        interval.isNotNull() & (interval["start"].isNull() | interval["end"].isNull())
     )
-    # from_json turns numbers into strings; the variant schema keeps the written types.
-    types = F.schema_of_variant(F.try_parse_json(text))
     flat = F.regexp_replace(
         types, f"dimensions: OBJECT<(?:{_KEY}: STRING(?:, )?)*>", "dimensions: VOID"
     )
@@ -146,10 +153,11 @@ def decode_error(text: Column) -> Column:
         | number.rlike(r"BIGINT|DOUBLE|DECIMAL|BOOLEAN|dimensions: OBJECT|value: STRING")
         | ~F.coalesce(raw["origin"].isin("imported", "generated"), F.lit(True))
     )
-    unknown = F.coalesce(F.size(F.array_except(keys, known)) > 0, F.lit(False)) | F.coalesce(
-        F.size(F.array_except(interval_keys, F.array(F.lit("start"), F.lit("end")))) > 0,
-        F.lit(False),
-    )
+
+    def beyond(names: Column, allowed_names: Column) -> Column:
+        return F.coalesce(F.size(F.array_except(names, allowed_names)) > 0, F.lit(False))
+
+    unknown = beyond(keys, known) | beyond(interval_keys, F.array(F.lit("start"), F.lit("end")))
     return (
         F.when(keys.isNull(), "not an object")
         .when(known.isNull(), "unknown kind")
@@ -157,4 +165,3 @@ def decode_error(text: Column) -> Column:
         .when(F.coalesce(mistyped, F.lit(True)), "wrong type")
         .when(missing, "missing field")
     )
-

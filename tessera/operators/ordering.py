@@ -135,29 +135,32 @@ def resolve_claims(claims: DataFrame, held: DataFrame) -> DataFrame:
             .select("command")
             .distinct()
         )
-        alive = cut(open_claims.join(blocked, "command", "left_anti"))
+        alive = open_claims.join(blocked, "command", "left_anti")
+        # Per resource: who comes first, and the first that wants it for another owner.
         per_owner = alive.groupBy("resource", "owner").agg(F.min("ord").alias("ord"))
-        ranked = per_owner.withColumn(
-            "place", F.row_number().over(Window.partitionBy("resource").orderBy("ord"))
-        ).filter("place <= 2")
-        first = ranked.groupBy("resource").agg(
-            F.max(F.when(F.col("place") == 1, F.col("owner"))).alias("leader"),
-            F.max(F.when(F.col("place") == 2, F.col("ord"))).alias("rival"),
+        first = (
+            per_owner.withColumn(
+                "place", F.row_number().over(Window.partitionBy("resource").orderBy("ord"))
+            )
+            .filter("place <= 2")
+            .groupBy("resource")
+            .agg(
+                F.max(F.when(F.col("place") == 1, F.col("owner"))).alias("leader"),
+                F.max(F.when(F.col("place") == 2, F.col("ord"))).alias("rival"),
+            )
         )
         ready = (F.col("owner") == F.col("leader")) & (
             F.col("rival").isNull() | (F.col("ord") < F.col("rival"))
         )
-        winners = cut(
+        waiting = (
             alive.join(first, "resource")
-            .groupBy("command")
-            .agg(F.min(ready).alias("ready"))
-            .filter("ready")
-            .select("command")
-        )
-        won = alive.join(winners, "command", "left_semi")
-        owned = cut(
-            owned.union(won.select("resource", "owner")).distinct()
+            .filter(~ready)
+            .select("command", F.lit(True).alias("waits"))
+            .distinct()
         )
-        accepted = accepted.union(winners)
-        open_claims = cut(alive.join(winners, "command", "left_anti"))
+        decided = cut(alive.join(waiting, "command", "left"))
+        won = decided.filter("waits IS NULL")
+        owned = owned.union(won.select("resource", "owner"))
+        accepted = accepted.union(won.select("command").distinct())
+        open_claims = decided.filter("waits").drop("waits")
     return accepted

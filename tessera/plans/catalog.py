@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.payload import (
-    decode_error,
-    payload_decode,
-    payload_encode,
-    payload_kind,
-    payload_text,
-)
+from tessera.functions.payload import decode, payload_encode, payload_kind, payload_text
 from tessera.functions.text import json_number, normalized, tokens
 from tessera.operators import retrieval as rt
 from tessera.operators import textindex as ti
@@ -86,12 +80,11 @@ def payload_decode_(spark, sf_dir):
     rows = good
     for more in (extra, number, lacking, props, talk):
         rows = rows.unionByName(more)
-    decoded = payload_decode(F.col("j"))
-    return rows.select(
+    return decode(rows, "j", error="error").select(
         "item",
-        decode_error(F.col("j")).alias("error"),
-        decoded["kind"].alias("kind"),
-        payload_text(decoded).alias("text"),
+        "error",
+        F.col("payload.kind").alias("kind"),
+        payload_text(F.col("payload")).alias("text"),
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fences, links, text
 from tessera.functions.excerpt import excerpt
-from tessera.functions.payload import decode_error, payload_encode, payload_text
+from tessera.functions.payload import decode, payload_encode, payload_text
 from tessera.schemas import PAYLOAD
 from tests.helpers import payload
 
@@ -64,7 +64,9 @@ def test_payload_text_and_json_of_a_metric(spark):
         '"interval":{"start":"2026-01-01T00:00:00Z","end":"2026-01-02T00:00:00Z"},'
         '"dimensions":{"host":"local","z":"1"},"method":"timer"}'
     )
-    assert value(spark, decode_error(F.lit(row[1]))) is None
+    back = decode(spark.createDataFrame([[row[1]]], "j string"), "j").first()
+    assert back["decode_error"] is None and tuple(back["payload"])[:2] == p[:2]
+    assert back["payload"]["dimensions"] == {"host": "local", "z": "1"}
 
 
 @pytest.mark.parametrize(
@@ -89,7 +91,9 @@ def test_payload_text_and_json_of_a_metric(spark):
     ],
 )
 def test_decode(spark, json, error):
-    assert value(spark, decode_error(F.lit(json))) == error
+    row = decode(spark.createDataFrame([[json]], "j string"), "j").first()
+    assert row["decode_error"] == error
+    assert (row["payload"] is None) is (error is not None)
 
 
 LINKED = (
