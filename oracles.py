@@ -442,6 +442,25 @@ O["search_records"] = sql("l_postings l_records l_active l_scopes", f"""SELECT q
              OR (include_global AND r.scope_id IN (SELECT id FROM l_scopes WHERE name = 'global')))
       AND a.record_id IN (SELECT record_id FROM l_active WHERE label_id = 121))
     WHERE position <= 11) WHERE position <= 10""", PAIRS)
+O["search_blank"] = sql("l_records l_active l_scopes", f"""SELECT query_id, position, record_id,
+    CASE WHEN fetched > 10 THEN min(record_id) OVER (PARTITION BY query_id) END AS next_before_id,
+    {_scope_tag} || CASE WHEN query_id % 3 = 0 THEN ',kind' ELSE '' END || ',lifecycle'
+      || CASE WHEN query_id % 5 = 0 THEN ',labels:all' ELSE '' END AS tags
+    FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS fetched FROM (
+      SELECT item_id AS query_id, item_id % 2 = 0 AS include_global, r.id AS record_id,
+        row_number() OVER (PARTITION BY item_id ORDER BY r.id DESC) AS position
+      FROM benchmark JOIN l_records r ON readable AND lifecycle = 'active'
+       AND (r.scope_id = item_id % 20 + 1 OR (item_id % 2 = 0
+            AND r.scope_id IN (SELECT id FROM l_scopes WHERE name = 'global')))
+       AND (item_id % 3 > 0 OR kind IN ('note','metric'))
+       AND (item_id % 5 > 0 OR r.id IN (SELECT record_id FROM l_active WHERE label_id = 121))
+       AND (item_id % 4 = 0 OR r.id < {N} - item_id * 7)) WHERE position <= 11)
+    WHERE position <= 10""")
+O["query_guards"] = sql("l_scopes l_labels", """SELECT item_id AS query_id,
+    CASE WHEN item_id % 25 + 1 NOT IN (SELECT id FROM l_scopes)
+      THEN 'scope ' || (item_id % 25 + 1) || ' does not exist'
+    WHEN item_id % 4 + 1 NOT IN (SELECT id FROM l_labels) THEN 'label does not exist' END AS guard
+    FROM benchmark""")
 O["embedding_upsert"] = sql("l_partial l_records", """
     SELECT 'outcome' AS part, p.record_id, p.revision, CASE WHEN p.record_id % 10 = 0 THEN 'invalid'
       WHEN NOT r.readable THEN 'missing' WHEN r.current_revision <> p.revision THEN 'stale'

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.payload import payload_text
 from tessera.functions.text import normalized
 from tessera.functions.vectors import dot, l2_normalize, vector_error
-from tessera.limits import GLOBAL_SCOPE
+from tessera.operators.blocks import QUERY_BYTES, best_rows, with_filters
 from tessera.operators.retrieval import top_k
 
 # Similarities are ranked after rounding to this many decimals, so equal vectors tie whatever
 # block they are scored in.
 RANK_DECIMALS = 9
-BROADCAST_BYTES = 64 * 1024 * 1024
-VECTORS_PER_CELL = 50_000
-QUERIES_PER_CELL = 2_000
 
 
 def of_model(embeddings: DataFrame, model: str, model_revision: str) -> DataFrame:
@@ -197,208 +193,45 @@ def dense_score(pairs: DataFrame, vectors: DataFrame, query_vectors: DataFrame)
     )
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(-1, dimensions)
-
-
-class _Scorer:
-    """Best k records per query over the blocks of vectors it is shown.
-
-    Scores of a block are one matrix product; only k rows per query are kept between blocks.
-    """
-
-    def __init__(self, queries: pd.DataFrame, k: int, dimensions: int):
-        self.ids = queries["query_id"].to_numpy()
-        self.matrix = np.array(queries["vector"].tolist(), dtype=np.float64).reshape(-1, dimensions)
-        self.scopes = [set(s) for s in queries["scope_ids"]]
-        self.kinds = [set(s) for s in queries["kinds"]]
-        self.lifecycles = [set(s) or {"active"} for s in queries["lifecycles"]]
-        self.labels = [set(s) for s in queries["label_ids"]]
-        self.k, self.dimensions = k, dimensions
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.empty(0), np.empty(0, dtype=np.int64)) for _ in self.ids
-        ]  # similarities and record ids per query, best first
-
-    @staticmethod
-    def _mask(values: np.ndarray, wanted: set) -> np.ndarray:
-        return np.isin(values, list(wanted))
-
-    def add(self, block: pa.RecordBatch | pa.Table) -> None:
-        if block.num_rows == 0 or len(self.ids) == 0:
-            return
-        records = block.column("record_id").to_numpy(zero_copy_only=False)
-        columns = {
-            c: block.column(c).to_numpy(zero_copy_only=False)
-            for c in ("scope_id", "kind", "lifecycle")
-        }
-        scores = _matrix(block.column("vector"), self.dimensions) @ self.matrix.T
-        masks: dict = {}
-        if any(self.labels):
-            held = block.column("labels")
-            held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
-            sizes = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(block.num_rows), sizes)
-            flat = held.flatten().to_numpy(zero_copy_only=False)
-
-        def mask(column: str, wanted: set) -> np.ndarray:
-            key = (column, frozenset(wanted))
-            if key not in masks:
-                masks[key] = self._mask(columns[column], wanted)
-            return masks[key]
-
-        for q in range(len(self.ids)):
-            keep = mask("scope_id", self.scopes[q]) & mask("lifecycle", self.lifecycles[q])
-            if self.kinds[q]:
-                keep = keep & mask("kind", self.kinds[q])
-            for label in self.labels[q]:
-                if ("label", label) not in masks:
-                    on = np.zeros(block.num_rows, dtype=bool)
-                    on[owner[flat == label]] = True
-                    masks["label", label] = on
-                keep = keep & masks["label", label]
-            rows = np.flatnonzero(keep)
-            old_scores, old_ids = self.best[q]
-            all_scores = np.concatenate([old_scores, scores[rows, q]])
-            all_ids = np.concatenate([old_ids, records[rows]])
-            ranked = np.round(all_scores, RANK_DECIMALS)
-            if len(ranked) > self.k:
-                floor = np.partition(ranked, -self.k)[-self.k]
-                above = np.flatnonzero(ranked >= floor)
-                all_scores, all_ids, ranked = all_scores[above], all_ids[above], ranked[above]
-            order = np.lexsort((-all_ids, -ranked))[: self.k]
-            self.best[q] = (all_scores[order], all_ids[order])
-
-    def result(self) -> pa.Table:
-        counts = [len(s) for s, _ in self.best]
-        joined = lambda part, empty: np.concatenate(part) if part else empty
-        return pa.table(
-            {
-                "query_id": pa.array(np.repeat(self.ids, counts), pa.int64()),
-                "record_id": pa.array(
-                    joined([i for _, i in self.best], np.empty(0)), pa.int64()
-                ),
-                "similarity": pa.array(
-                    joined([s for s, _ in self.best], np.empty(0)), pa.float64()
-                ),
-            }
-        )
-
-
-_VECTOR_COLUMNS = ["record_id", "scope_id", "kind", "lifecycle", "labels", "vector"]
-_HITS = "query_id bigint, record_id bigint, similarity double"
+def labelled(rows: DataFrame, active_assertions: DataFrame) -> DataFrame:
+    """Rows with the ids of the record's active labels (at most the label catalogue), which
+    queries with a label filter need."""
+    held = active_assertions.groupBy("record_id").agg(F.collect_set("label_id").alias("labels"))
+    return rows.join(held, "record_id", "left")
 
 
 def dense_queries(queries: DataFrame, query_vectors: DataFrame, scopes: DataFrame) -> DataFrame:
     """Queries with their vector, the scopes they may read, and their filters."""
-    global_id = scopes.filter(F.col("name") == GLOBAL_SCOPE).select("id").scalar()
-    allowed = F.when(F.col("include_global"), F.array("scope_id", global_id)).otherwise(
-        F.array("scope_id")
+    return with_filters(queries, scopes).join(
+        query_vectors.select("query_id", F.col("vector").alias("query_vector")), "query_id"
     )
-    strings = F.array().cast("array<string>")
-    no_ids = F.array().cast("array<bigint>")
 
-    def given(name: str) -> Column:
-        return F.coalesce(F.col(name), strings) if name in queries.columns else strings
 
-    return queries.select(
-        "query_id",
-        F.array_compact(allowed).alias("scope_ids"),
-        given("kinds").alias("kinds"),
-        given("lifecycles").alias("lifecycles"),
-        (
-            F.coalesce("label_ids", no_ids) if "label_ids" in queries.columns else no_ids
-        ).alias("label_ids"),
-    ).join(query_vectors.select("query_id", "vector"), "query_id")
+def similarities(queries: pd.DataFrame, block: pa.Table) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Values of a block as one matrix product, in double precision."""
+    asked = np.array(queries["query_vector"].tolist(), dtype=np.float64)
+    flat = block.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    scores = flat.astype(np.float64).reshape(block.num_rows, -1) @ asked.T
+    return lambda rows, q: scores[rows, q]
 
 
 def dense_topk(
-    queries: DataFrame,
-    vectors: DataFrame,
-    dimensions: int,
-    k: int,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    vectors_per_cell: int = VECTORS_PER_CELL,
-    queries_per_cell: int = QUERIES_PER_CELL,
+    queries: DataFrame, vectors: DataFrame, dimensions: int, k: int, **sizes: int
 ) -> DataFrame:
     """Best ``k`` vectors per query by exact similarity, then newest record.
 
-    ``queries`` come from :func:`dense_queries`, ``vectors`` from :func:`embedding_valid`.
-    Scores of whole blocks are computed as matrix products and no pair is ever a row: a task
-    emits k rows per query. A query batch of checked size is sent to every task; a larger one
-    meets the vectors in a grid of cells of bounded size.
+    ``queries`` come from :func:`dense_queries`, ``vectors`` from :func:`embedding_valid`;
+    ``sizes`` are those of :func:`best_rows`.
     """
-    room = broadcast_bytes // (dimensions * 8)
-    head = queries.limit(room + 1).count()
-    if head <= room:
-        hits = _scan_topk(queries, vectors, dimensions, k)
-    else:
-        hits = _grid_topk(queries, vectors, dimensions, k, vectors_per_cell, queries_per_cell)
+    hits = best_rows(
+        queries,
+        vectors,
+        k,
+        similarities,
+        ["vector"],
+        RANK_DECIMALS,
+        query_bytes=QUERY_BYTES + dimensions * 8,
+        **sizes,
+    ).withColumnRenamed("value", "similarity")
     ranked = F.round("similarity", RANK_DECIMALS)
     return top_k(hits, k, F.desc(ranked), F.desc("record_id"), rank="dense_rank")
-
-
-def labelled(vectors: DataFrame, active_assertions: DataFrame) -> DataFrame:
-    """Vectors with the ids of the record's active labels (at most the label catalogue), which
-    queries with a label filter need."""
-    held = active_assertions.groupBy("record_id").agg(F.collect_set("label_id").alias("labels"))
-    return vectors.join(held, "record_id", "left")
-
-
-def _with_labels(vectors: DataFrame) -> DataFrame:
-    if "labels" in vectors.columns:
-        return vectors
-    return vectors.withColumn("labels", F.lit(None).cast("array<bigint>"))
-
-
-def _scan_topk(queries: DataFrame, vectors: DataFrame, dimensions: int, k: int) -> DataFrame:
-    spark = queries.sparkSession
-    sent = spark.sparkContext.broadcast(queries.toPandas())
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(sent.value, k, dimensions)
-        for batch in batches:
-            scorer.add(batch)
-        yield from scorer.result().to_batches()
-
-    return _with_labels(vectors).select(*_VECTOR_COLUMNS).mapInArrow(score, _HITS)
-
-
-def _grid_topk(
-    queries: DataFrame,
-    vectors: DataFrame,
-    dimensions: int,
-    k: int,
-    vectors_per_cell: int,
-    queries_per_cell: int,
-) -> DataFrame:
-    # Ids are unique, so hashing them fills the cells evenly.
-    rows = max(1, math.ceil(vectors.count() / vectors_per_cell))
-    cols = max(1, math.ceil(queries.count() / queries_per_cell))
-
-    def numbers(n: int) -> Column:
-        return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-    left = queries.withColumn("cell_q", F.pmod(F.xxhash64("query_id"), F.lit(cols))).withColumn(
-        "cell_v", F.explode(numbers(rows))
-    )
-    right = (
-        _with_labels(vectors)
-        .select(*_VECTOR_COLUMNS)
-        .withColumn("cell_v", F.pmod(F.xxhash64("record_id"), F.lit(rows)))
-        .withColumn("cell_q", F.explode(numbers(cols)))
-    )
-
-    def score(q: pa.Table, v: pa.Table) -> pa.Table:
-        scorer = _Scorer(q.to_pandas(), k, dimensions)
-        if q.num_rows:
-            scorer.add(v)
-        return scorer.result()
-
-    return (
-        left.groupBy("cell_q", "cell_v")
-        .cogroup(right.groupBy("cell_q", "cell_v"))
-        .applyInArrow(score, _HITS)
-    )

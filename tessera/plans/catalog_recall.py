@@ -151,6 +151,42 @@ def search_records(spark, sf_dir):
     )
 
 
+@query
+def search_blank(spark, sf_dir):
+    """Blank queries list: per benchmark item its scope, from its cursor on, with filters."""
+    store = corpus.ledger(spark, sf_dir)
+    item = F.col("item_id")
+    n = corpus.n_documents(spark, sf_dir)
+    asked = corpus.table(spark, sf_dir, "benchmark").select(
+        item.alias("query_id"),
+        F.lit(" \n").alias("query"),
+        (item % 20 + 1).alias("scope_id"),
+        (item % 2 == 0).alias("include_global"),
+        F.when(item % 3 == 0, F.array(F.lit("note"), F.lit("metric"))).alias("kinds"),
+        F.when(item % 5 == 0, F.array(F.lit(121).cast("bigint"))).alias("label_ids"),
+        F.when(item % 4 > 0, n - item * 7).alias("before_id"),
+    )
+    return search.search_records(store, corpus.text_index(spark, sf_dir), asked, 10).select(
+        "query_id",
+        "position",
+        "record_id",
+        "next_before_id",
+        F.array_join("match_explanation", ",").alias("tags"),
+    )
+
+
+@query
+def query_guards(spark, sf_dir):
+    """Benchmark items ask in scopes and for labels of which some do not exist."""
+    store = corpus.ledger(spark, sf_dir)
+    asked = corpus.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        (F.col("item_id") % 25 + 1).alias("scope_id"),
+        F.array(F.lit(1).cast("bigint"), F.col("item_id") % 4 + 1).alias("label_ids"),
+    )
+    return search.query_guards(asked, store.read("scopes"), store.read("labels"))
+
+
 @on_ledger
 def embedding_upsert(store):
     """Incoming vectors against the ledger: outcomes, and what is stored afterwards."""

@@ -23,6 +23,7 @@ from tessera.limits import (
 from tessera.operators import dense, views
 from tessera.operators.retrieval import QueryBatch, bm25_scores, bm25_topk, few, top_k
 from tessera.operators.textindex import TextIndex
+from tessera.plans.search import EMPTY_RECALL, is_blank
 from tessera.session import cut
 from tessera.sources.store import LedgerStore
 
@@ -341,6 +342,7 @@ def recall_context(
     records = store.read("records")
     status = dense.embedding_status(records, embeddings, model, model_revision, dimensions)
     complete = dense.index_gate(status).first()["strategy"] == "dense"
+    answerable = is_blank(queries).filter("NOT blank").drop("blank")
     semantic = None
     if complete:
         vectors = dense.embedding_valid(records, embeddings, model, model_revision, dimensions)
@@ -349,22 +351,31 @@ def recall_context(
                 store.read("label_assertions"), store.read("label_retractions")
             )
             vectors = dense.labelled(vectors, held)
-        asked = dense.dense_queries(queries, query_vectors, store.read("scopes"))
+        asked = dense.dense_queries(answerable, query_vectors, store.read("scopes"))
         semantic = dense.dense_topk(asked, vectors, dimensions, RECALL_CANDIDATES)
-    ordered = recall_order(recall_candidates(store, index, queries, semantic))
+    ordered = recall_order(recall_candidates(store, index, answerable, semantic))
     if not packed:
         return ordered
     rows = evidence(store, ordered, queries, complete)
     results = recall_pack(rows, budget, complete, model, model_revision)
     nothing = empty_result(budget, complete, model, model_revision)
+    empty = F.col("n_records").isNull()
     return (
-        queries.select("query_id")
+        is_blank(queries)
+        .select("query_id", "blank")
         .join(results, "query_id", "left")
         .select(
             "query_id",
             F.coalesce("n_records", F.lit(0)).alias("n_records"),
-            F.coalesce("used_bytes", F.lit(len(nothing.encode()))).alias("used_bytes"),
-            F.when(F.col("n_records").isNull(), nothing).otherwise(F.col("result")).alias("result"),
-            "error",
+            F.when(F.col("blank"), 0)
+            .when(empty, len(nothing.encode()))
+            .otherwise(F.col("used_bytes"))
+            .cast("bigint")
+            .alias("used_bytes"),
+            F.when(F.col("blank"), F.lit(None))
+            .when(empty, nothing)
+            .otherwise(F.col("result"))
+            .alias("result"),
+            F.when(F.col("blank"), EMPTY_RECALL).otherwise(F.col("error")).alias("error"),
         )
     )

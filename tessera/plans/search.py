@@ -2,47 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import words
 from tessera.operators import dense, views
+from tessera.operators.blocks import best_rows, newest_first, with_filters
 from tessera.operators.retrieval import QueryBatch, phrase_matches, search_and, top_k
 from tessera.operators.textindex import TextIndex
 from tessera.sources.store import LedgerStore
 
 
+# Wording of the refusals.
+MISSING_SCOPE = "scope %d does not exist"
+MISSING_LABEL = "label does not exist"
+EMPTY_RECALL = "recall query must not be empty"
+
+
+def query_guards(queries: DataFrame, scopes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id, guard): what a query names that does not exist, else null. A label need not be
+    active to be asked for."""
+    known = scopes.select(F.col("id").alias("scope_id"), F.lit(True).alias("known"))
+    rows = queries.join(known, "scope_id", "left")
+    guard = F.when(F.col("known").isNull(), F.format_string(MISSING_SCOPE, "scope_id"))
+    if "label_ids" in queries.columns:
+        unknown = (
+            queries.select("query_id", F.explode("label_ids").alias("id"))
+            .join(labels.select("id"), "id", "left_anti")
+            .select("query_id", F.lit(True).alias("bad_label"))
+            .distinct()
+        )
+        rows = rows.join(unknown, "query_id", "left")
+        guard = guard.when(F.col("bad_label"), MISSING_LABEL)
+    return rows.select("query_id", guard.alias("guard"))
+
+
+def is_blank(queries: DataFrame) -> DataFrame:
+    """Queries without any term: a search lists, a recall refuses."""
+    return queries.withColumn(
+        "blank", F.coalesce(F.size(words(F.col("query"))), F.lit(0)) < 1
+    )
+
+
+def list_records(store: LedgerStore, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, record_id, position): newest ``k`` records that pass each query's filters."""
+    rows = store.read("records").filter("readable").select(
+        F.col("id").alias("record_id"), "scope_id", "kind", "lifecycle"
+    )
+    if "label_ids" in queries.columns:
+        rows = dense.labelled(rows, _held(store))
+    hits = best_rows(with_filters(queries, store.read("scopes")), rows, k, newest_first)
+    return top_k(hits.drop("value"), k, F.desc("record_id"), rank="position")
+
+
+def _held(store: LedgerStore) -> DataFrame:
+    return views.active_assertions(store.read("label_assertions"), store.read("label_retractions"))
+
+
 def search_records(
     store: LedgerStore, index: TextIndex, queries: DataFrame, limit: int = 20
 ) -> DataFrame:
     """Records that hold every term of the query and pass its filters, newest first.
 
     One page per query: (query_id, position, record_id, next_before_id, match_explanation).
-    A column ``before_id`` continues an earlier page.
+    A column ``before_id`` continues an earlier page. A blank query lists all records that pass.
     """
-    batch = QueryBatch.of(queries, store.read("scopes"))
+    judged = is_blank(queries)
+    asked = judged.filter("NOT blank").drop("blank")
+    batch = QueryBatch.of(asked, store.read("scopes"))
     found = search_and(phrase_matches(index, batch), batch.phrases)
-    held = None
-    if "label_ids" in queries.columns:
-        held = views.active_assertions(
-            store.read("label_assertions"), store.read("label_retractions")
+    held = _held(store) if "label_ids" in queries.columns else None
+    rows = views.eligible_candidates(found, store.read("records"), asked, held)
+    if "before_id" in queries.columns:
+        rows = (
+            rows.join(asked.select("query_id", "before_id"), "query_id")
+            .filter(F.col("before_id").isNull() | (F.col("record_id") < F.col("before_id")))
+            .drop("before_id")
         )
-    rows = views.eligible_candidates(found, store.read("records"), queries, held)
-    asked = queries.select(
+    fetched = top_k(rows, limit + 1, F.desc("record_id"), rank="position")
+    if not judged.filter("blank").isEmpty():
+        blank = judged.filter("blank").drop("blank")
+        fetched = fetched.unionByName(list_records(store, blank, limit + 1))
+    tags = judged.select(
         "query_id",
-        (F.col("before_id") if "before_id" in queries.columns else F.lit(None))
-        .cast("bigint")
-        .alias("before_id"),
-        views.match_explanation(
-            True,
-            F.col("include_global"),
-            views.given(queries, "kinds"),
-            views.given(queries, "label_ids"),
-        ).alias("match_explanation"),
-    )
-    rows = rows.join(asked, "query_id").filter(
-        F.col("before_id").isNull() | (F.col("record_id") < F.col("before_id"))
+        F.when(
+            F.col("blank"),
+            _search_tags(False, queries),
+        )
+        .otherwise(_search_tags(True, queries))
+        .alias("match_explanation"),
     )
-    fetched = top_k(rows, limit + 1, F.desc("record_id"), rank="position")
     # The extra row only says that there is a next page.
     more = fetched.groupBy("query_id").agg(
         F.count("*").alias("fetched"),
@@ -51,6 +100,7 @@ def search_records(
     return (
         fetched.filter(F.col("position") <= limit)
         .join(more, "query_id")
+        .join(tags, "query_id")
         .select(
             "query_id",
             "position",
@@ -61,6 +111,15 @@ def search_records(
     )
 
 
+def _search_tags(text: bool, queries: DataFrame) -> Column:
+    return views.match_explanation(
+        text,
+        F.col("include_global"),
+        views.given(queries, "kinds"),
+        views.given(queries, "label_ids"),
+    )
+
+
 def semantic_search(
     store: LedgerStore,
     embeddings: DataFrame,
@@ -76,10 +135,7 @@ def semantic_search(
     status = dense.embedding_status(records, embeddings, model, model_revision, dimensions)
     vectors = dense.embedding_valid(records, embeddings, model, model_revision, dimensions)
     if "label_ids" in queries.columns:
-        held = views.active_assertions(
-            store.read("label_assertions"), store.read("label_retractions")
-        )
-        vectors = dense.labelled(vectors, held)
+        vectors = dense.labelled(vectors, _held(store))
     asked = dense.dense_queries(queries, query_vectors, store.read("scopes"))
     hits = dense.dense_topk(asked, dense.require_complete(vectors, status), dimensions, limit)
     explained = views.match_explanation(

@@ -3,6 +3,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import dense, views
 from tessera.plans import recall, search
@@ -55,7 +56,7 @@ def test_dense_order_wins_and_lexical_fills_in(spark, fused):
 def test_recall_falls_back_when_a_vector_is_missing(spark, fused):
     store, index = fused
     some = store.read("record_embeddings").filter("record_id > 1")
-    queries = ask(spark, "needle", "nothing here")
+    queries = ask(spark, "needle", "nothing here", " ")
     rows = recall.recall_context(store, index, queries, qvec(spark, (1, 0)), some, *M, budget=4000, packed=False)
     got = found(rows, "position")
     assert sorted(got[0]) == [2, 5] and 1 not in got
@@ -64,6 +65,7 @@ def test_recall_falls_back_when_a_vector_is_missing(spark, fused):
         for r in recall.recall_context(store, index, queries, qvec(spark, (1, 0)), some, *M, budget=4000).collect()
     }
     assert '"strategy":"bm25","semantic_available":false,"model":null' in packed[0]["result"]
+    assert packed[2]["error"] == "recall query must not be empty" and packed[2]["result"] is None
     assert packed[1]["n_records"] == 0 and packed[1]["used_bytes"] == len(packed[1]["result"].encode())
 
 
@@ -109,9 +111,9 @@ def test_topk_against_brute_force(spark, path):
     asked = spark.createDataFrame(
         [(q, s, k, life, labels, v) for q, v, s, k, life, labels in queries],
         "query_id bigint, scope_ids array<bigint>, kinds array<string>, lifecycles array<string>, "
-        "label_ids array<bigint>, vector array<double>",
-    )
-    small = dict(broadcast_bytes=16, vectors_per_cell=70, queries_per_cell=5) if path == "grid" else {}
+        "label_ids array<bigint>, query_vector array<double>",
+    ).withColumn("before_id", F.lit(None).cast("bigint"))
+    small = dict(broadcast_bytes=16, rows_per_cell=70, queries_per_cell=5) if path == "grid" else {}
     got = found(dense.dense_topk(asked, vectors, 2, 7, **small), "dense_rank")
     assert got == brute(queries, records, 7)
 
