@@ -354,6 +354,14 @@ O["lifecycle_history"] = sql("l_transitions l_records", """SELECT record_id,
     string_agg(coalesce(from_state, '') || '>' || to_state, ',' ORDER BY t.id) AS path
     FROM l_transitions t JOIN l_records r ON r.id = t.record_id AND r.readable
     GROUP BY record_id""")
+O["ledger_refold"] = sql("l_records l_commands", """SELECT id AS record_id, lifecycle, current_revision,
+    strftime(CASE WHEN lifecycle = 'retracted' THEN greatest(first_at, TIMESTAMP '2026-01-01')
+      ELSE TIMESTAMP '2026-01-01' END, '%Y-%m-%d %H:%M:%S.%f') AS updated_at
+    FROM l_records r LEFT JOIN (SELECT record_id, min(ts) AS first_at FROM l_commands
+      WHERE op = 'transition_record' GROUP BY ALL) t ON t.record_id = r.id""")
+O["alias_ownership"] = sql("l_aliases", """SELECT w.alias, label_id FROM (
+    SELECT n_name AS alias FROM nation UNION ALL SELECT upper(alias) FROM l_aliases) w
+    LEFT JOIN l_aliases a ON lower(a.alias) = lower(w.alias)""")
 O["revision_history"] = sql("l_revisions l_records", """SELECT record_id, revision, v.title, reason
     FROM l_revisions v JOIN l_records r ON r.id = v.record_id AND r.readable""")
 O["list_scopes"] = sql("l_scopes", "SELECT id, name FROM l_scopes")

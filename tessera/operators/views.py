@@ -224,6 +224,16 @@ def search_labels(
     )
 
 
+def alias_owners(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(alias, label_id) of wanted aliases; null where an alias is free. Case does not matter."""
+    owners = aliases.select(F.lower("alias").alias("_alias"), "label_id")
+    return (
+        wanted.withColumn("_alias", F.lower("alias"))
+        .join(owners, "_alias", "left")
+        .select("alias", "label_id")
+    )
+
+
 def label_document(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     """Label with its canonical name and sorted aliases (a label has at most a few hundred)."""
     grouped = aliases.groupBy("label_id").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
@@ -250,6 +260,23 @@ def current_revision(records: DataFrame, revisions: DataFrame) -> DataFrame:
     return revisions.join(current, ["record_id", "revision"])
 
 
+def refold(revisions: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Lifecycle, newest revision and time of the last change per record, from the append-only
+    tables alone. All three are combined before the shuffle."""
+    newest = revisions.groupBy("record_id").agg(
+        F.max("revision").alias("current_revision"), F.max("created_at").alias("revised_at")
+    )
+    states = transitions.groupBy("record_id").agg(
+        F.max_by("to_state", "id").alias("lifecycle"), F.max("created_at").alias("changed_at")
+    )
+    return newest.join(states, "record_id").select(
+        "record_id",
+        "lifecycle",
+        "current_revision",
+        F.greatest("revised_at", "changed_at").alias("updated_at"),
+    )
+
+
 def revision_history(records: DataFrame, revisions: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """All revisions of readable records, one row each, keyed by (record_id, revision)."""
     seen = records.filter("readable").select(F.col("id").alias("record_id"))

@@ -350,6 +350,27 @@ def lifecycle_history(store):
     return steps.select("record_id", F.array_join(path, ",").alias("path"))
 
 
+@on_ledger
+def ledger_refold(store):
+    """Record state rebuilt from revisions and transitions."""
+    state = views.refold(store.read("record_revisions"), store.read("lifecycle_transitions"))
+    return state.withColumn(
+        "updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    )
+
+
+@query
+def alias_ownership(spark, sf_dir):
+    """Wanted aliases (nation names, label texts) and the label that has them already."""
+    store = corpus.ledger(spark, sf_dir)
+    wanted = (
+        corpus.table(spark, sf_dir, "nation")
+        .select(F.col("n_name").alias("alias"))
+        .union(store.read("label_aliases").select(F.upper("alias")))
+    )
+    return views.alias_owners(wanted, store.read("label_aliases"))
+
+
 @on_ledger
 def revision_history(store):
     return views.revision_history(store.read("records"), store.read("record_revisions")).select(

@@ -7,6 +7,7 @@ become scopes, conversation turns become later revisions, events become commands
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -487,26 +488,47 @@ def ledger(spark: SparkSession, sf_dir: str) -> LedgerStore:
         store = LedgerStore(spark, new_folder(spark, "ledger"))
         n = n_documents(spark, sf_dir)
         n_vectors = table(spark, sf_dir, "embeddings").count()
-        store.write("records", records(spark, sf_dir, n))
-        record_rows = store.read("records")
-        store.write("record_revisions", revisions(spark, sf_dir).repartition("record_id", "revision"))
-        store.write("source_references", source_references(spark, sf_dir))
-        store.write("scopes", scopes(spark, sf_dir))
-        store.write("labels", label_rows(spark, sf_dir))
-        store.write("label_aliases", label_aliases(spark, sf_dir))
-        store.write("label_assertions", label_assertions(spark, sf_dir))
-        store.write("label_retractions", label_retractions(spark, sf_dir))
-        store.write("record_relations", relations(spark, sf_dir, n))
-        store.write("relation_retractions", relation_retractions(spark, sf_dir, n))
-        store.write("lifecycle_transitions", lifecycle_transitions(record_rows))
-        store.write("write_keys", write_keys(spark, sf_dir, n))
-        store.write("record_embeddings", embeddings(spark, sf_dir, record_rows, n_vectors))
-        asked = queries(spark, sf_dir, n_vectors)
-        asked.write.parquet(store.path("queries"))
-        query_vectors(spark, sf_dir, n_vectors).write.parquet(store.path("query_vectors"))
-        store.write(
-            "record_embeddings", partial_embeddings(spark, sf_dir, record_rows), folder="partial_embeddings"
-        )
+
+        def put(name: str, make, folder: str | None = None):
+            return lambda: store.write(name, make(), folder=folder)
+
+        first = [
+            put("records", lambda: records(spark, sf_dir, n)),
+            put(
+                "record_revisions",
+                lambda: revisions(spark, sf_dir).repartition("record_id", "revision"),
+            ),
+            put("source_references", lambda: source_references(spark, sf_dir)),
+            put("scopes", lambda: scopes(spark, sf_dir)),
+            put("labels", lambda: label_rows(spark, sf_dir)),
+            put("label_aliases", lambda: label_aliases(spark, sf_dir)),
+            put("label_assertions", lambda: label_assertions(spark, sf_dir)),
+            put("label_retractions", lambda: label_retractions(spark, sf_dir)),
+            put("record_relations", lambda: relations(spark, sf_dir, n)),
+            put("relation_retractions", lambda: relation_retractions(spark, sf_dir, n)),
+            put("write_keys", lambda: write_keys(spark, sf_dir, n)),
+            lambda: queries(spark, sf_dir, n_vectors).write.parquet(store.path("queries")),
+            lambda: query_vectors(spark, sf_dir, n_vectors).write.parquet(
+                store.path("query_vectors")
+            ),
+        ]
+        known = store.read
+        second = [
+            put("lifecycle_transitions", lambda: lifecycle_transitions(known("records"))),
+            put(
+                "record_embeddings",
+                lambda: embeddings(spark, sf_dir, known("records"), n_vectors),
+            ),
+            put(
+                "record_embeddings",
+                lambda: partial_embeddings(spark, sf_dir, known("records")),
+                "partial_embeddings",
+            ),
+        ]
+        # The tables do not depend on each other within a step, so their small jobs overlap.
+        with ThreadPool(4) as pool:
+            for step in (first, second):
+                pool.map(lambda job: job(), step, chunksize=1)
         _BUILT[key] = store
     return _BUILT[key]
 
