@@ -652,6 +652,48 @@ for _op in ("add_label", "retract_label"):
       FROM l_commands c LEFT JOIN l_records r ON r.id = c.record_id AND r.readable
       LEFT JOIN l_labels l ON l.id = c.label_id LEFT JOIN steps s ON s.key = c.key
       WHERE c.op = '{_op}'""", _label_run)
+_inbox_run = _label_run.replace(
+    "SELECT record_id, list(label_id) AS held FROM l_active GROUP BY ALL",
+    "SELECT doc_id + 1 AS record_id, [1::BIGINT] AS held FROM documents",
+)
+O["apply_last_label"] = sql("l_commands l_records l_labels", """SELECT c.key, CASE
+    WHEN r.id IS NULL OR (l.id IS NULL AND c.op = 'add_label') THEN 'invalid'
+    WHEN s.reason IS NULL THEN 'applied' ELSE 'conflict' END AS outcome,
+    CASE WHEN r.id IS NULL THEN 'record ' || c.record_id || ' does not exist'
+         WHEN l.id IS NULL AND c.op = 'add_label' THEN 'label ' || c.label_id || ' does not exist'
+         ELSE s.reason END AS reason
+    FROM l_commands c LEFT JOIN l_records r ON r.id = c.record_id AND r.readable
+    LEFT JOIN l_labels l ON l.id = c.label_id LEFT JOIN steps s ON s.key = c.key
+    WHERE c.op IN ('add_label', 'retract_label')""", _inbox_run)
+O["label_ledger_rows"] = sql("l_commands l_records l_labels l_active l_assertions", """
+    SELECT part, assertion_id, key FROM (
+      SELECT 'assertion' AS part, id AS assertion_id, key FROM adds
+      UNION ALL SELECT 'retraction', coalesce(
+        (SELECT max(a.id) FROM adds a WHERE a.record_id = d.record_id AND a.label_id = d.label_id
+           AND (a.ts, a.seq) < (d.ts, d.seq)),
+        (SELECT max(a.id) FROM l_active a WHERE a.record_id = d.record_id
+           AND a.label_id = d.label_id)), key
+      FROM done d WHERE d.op = 'retract_label')""", _label_run + """,
+  done AS (SELECT c.* FROM l_commands c JOIN steps s ON s.key = c.key AND s.reason IS NULL),
+  adds AS (SELECT *, (SELECT max(id) FROM l_assertions) + row_number() OVER (ORDER BY ts, seq)
+    AS id FROM done WHERE op = 'add_label')""")
+_revise_run = """
+  o AS (SELECT key, actor, c.record_id, expected_revision,
+      row_number() OVER (PARTITION BY c.record_id ORDER BY ts, seq) AS nth
+    FROM l_commands c JOIN l_records r ON r.id = c.record_id AND r.readable
+    WHERE op = 'revise_record'),
+  steps AS (SELECT record_id, 0::BIGINT AS nth, 1::BIGINT AS cur, NULL::VARCHAR AS key,
+      NULL::VARCHAR AS actor, false AS won FROM o WHERE nth = 1
+    UNION ALL SELECT o.record_id, o.nth, s.cur + CASE WHEN expected_revision = s.cur THEN 1
+      ELSE 0 END, o.key, o.actor, expected_revision = s.cur
+    FROM steps s JOIN o ON o.record_id = s.record_id AND o.nth = s.nth + 1)"""
+O["revision_ledger_rows"] = sql("l_commands l_records", """
+    SELECT 'revision' AS part, record_id, cur AS revision, 'by ' || actor || '|' || key AS row
+      FROM steps WHERE won
+    UNION ALL SELECT 'source', record_id, cur, '0|' || actor FROM steps WHERE won
+    UNION ALL SELECT 'record', id, coalesce(last, 1), coalesce('by ' || who, title) FROM l_records r
+      LEFT JOIN (SELECT record_id, max(cur) AS last, arg_max(actor, cur) AS who FROM steps
+        WHERE won GROUP BY record_id) n ON n.record_id = r.id""", _revise_run)
 O["apply_add_relation"] = sql("l_commands l_records l_relations l_rel_retracted", """
     SELECT key, CASE WHEN error IS NOT NULL THEN 'invalid' WHEN nth = 1 AND NOT taken THEN 'applied'
       ELSE 'conflict' END AS outcome,
@@ -685,6 +727,21 @@ O["apply_transition"] = sql("l_commands l_records", """SELECT c.key,
     FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ts, seq) AS nth
       FROM l_commands WHERE op = 'transition_record') c
     LEFT JOIN l_records r ON r.id = c.record_id AND r.readable""")
+_plain = O["apply_add_relation"]
+O["relation_ledger_rows"] = f"""WITH added AS ({_plain}), ended AS ({O["apply_retract_relation"]}),
+    {", ".join(f"{n} AS ({CTES[n][1]})" for n in closure(["l_commands", "l_relations"]))}
+    SELECT 'edge' AS part, (SELECT max(id) FROM l_relations)
+      + row_number() OVER (ORDER BY ts, seq) AS id, concat_ws(':', c.key, 'relation', record_id,
+      target_record_id, relation_kind) AS idempotency_key
+    FROM l_commands c JOIN added a ON a.key = c.key AND a.outcome = 'applied'
+    UNION ALL SELECT 'end', relation_id, c.key FROM l_commands c
+    JOIN ended e ON e.key = c.key AND e.outcome = 'applied'"""
+O["transition_ledger_rows"] = sql("l_commands l_records", """
+    SELECT 'transition' AS part, c.record_id, key || ':lifecycle:' || c.record_id AS row
+    FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ts, seq) AS nth
+      FROM l_commands WHERE op = 'transition_record') c
+    JOIN l_records r ON r.id = c.record_id AND r.readable WHERE nth = 1
+    UNION ALL SELECT 'record', id, lifecycle FROM l_records""")
 _turns = f"""t AS (SELECT conv_id, turn, 't:' || conv_id || ':' || turn AS key,
       conv_id * 100 + turn AS seq, (conv_id * 3 + turn * 5) % {N} + 1 AS record_id
     FROM conversations)"""

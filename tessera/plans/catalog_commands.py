@@ -9,6 +9,7 @@ from tessera.functions.fences import fence_scan
 from tessera.functions.text import trim_option
 from tessera.limits import BUDGET_DEFAULT
 from tessera.operators import commands as cmd
+from tessera.operators import ledger_rows as rows_of
 from tessera.operators import legacy, ordering, quality, views
 from tessera.plans.registry import QUERIES, assertions, big, query
 from tessera.plans.catalog_recall import letter_model
@@ -247,6 +248,98 @@ def apply_retract_label(spark, sf_dir):
     )
 
 
+@query
+def apply_last_label(spark, sf_dir):
+    """The same commands on records that have nothing but the inbox label yet."""
+    store = corpus.ledger(spark, sf_dir)
+    return cmd.apply_labels(
+        issued(spark, sf_dir, "add_label", "retract_label"),
+        store.read("records"),
+        store.read("labels"),
+        store.read("label_assertions").filter("label_id = 1"),
+    ).select("key", "outcome", "reason")
+
+
+@query
+def label_ledger_rows(spark, sf_dir):
+    """Assertions and retractions that the label commands add."""
+    store = corpus.ledger(spark, sf_dir)
+    asked = issued(spark, sf_dir, "add_label", "retract_label")
+    outcomes = _label_outcomes(spark, sf_dir)
+    start = store.read("label_assertions").agg(F.max("id")).first()[0]
+    made = rows_of.new_assertions(asked, outcomes, start)
+    standing = views.latest_active_assertion(*assertions(store))
+    ended = rows_of.new_label_retractions(asked, outcomes, made, standing)
+    return made.select(
+        F.lit("assertion").alias("part"), F.col("id").alias("assertion_id"), "key"
+    ).unionByName(
+        ended.select(F.lit("retraction").alias("part"), "assertion_id",
+                     F.col("idempotency_key").alias("key"))
+    )
+
+
+@query
+def revision_ledger_rows(spark, sf_dir):
+    """Revisions that the revise commands add, and the record rows afterwards."""
+    store = corpus.ledger(spark, sf_dir)
+    records = store.read("records").withColumn("current_revision", F.lit(1).cast("bigint"))
+    asked = issued(spark, sf_dir, "revise_record")
+    outcomes = cmd.apply_revise(asked, records)
+    first = store.read("record_revisions").filter("revision = 1").select("record_id", "payload")
+    full = asked.join(first, "record_id").withColumns(
+        {
+            "title": F.concat(F.lit(" by "), "actor"),
+            "sources": F.array(F.struct(F.col("actor").alias("identity"),
+                                        *[F.lit(None).cast("string").alias(c) for c in
+                                          ("locator", "version", "content_hash", "anchor", "quote")])),
+        }
+    )
+    revisions, sources = rows_of.new_revisions(full, outcomes)
+    after = rows_of.updated_records(records, revisions)
+    return (
+        revisions.select(F.lit("revision").alias("part"), "record_id", "revision",
+                         F.concat_ws("|", "title", "idempotency_key").alias("row"))
+        .unionByName(sources.select(F.lit("source"), "record_id", "revision",
+                                    F.concat_ws("|", "position", "identity")).toDF(
+            "part", "record_id", "revision", "row"))
+        .unionByName(after.select(F.lit("record").alias("part"), F.col("id").alias("record_id"),
+                                  F.col("current_revision").alias("revision"),
+                                  F.col("title").alias("row")))
+    )
+
+
+@query
+def relation_ledger_rows(spark, sf_dir):
+    """Edges that the add commands add, and retractions of edges."""
+    store = corpus.ledger(spark, sf_dir)
+    add, end = issued(spark, sf_dir, "add_relation"), issued(spark, sf_dir, "retract_relation")
+    start = store.read("record_relations").agg(F.max("id")).first()[0]
+    made = rows_of.new_relations(
+        add, cmd.apply_add_relation(add, store.read("records"), *edges(store)), start
+    )
+    ended = rows_of.new_relation_retractions(
+        end, cmd.apply_retract_relation(end, store.read("records"), *edges(store))
+    )
+    return made.select(F.lit("edge").alias("part"), "id", "idempotency_key").unionByName(
+        ended.select(F.lit("end").alias("part"), F.col("relation_id").alias("id"), "idempotency_key")
+    )
+
+
+@query
+def transition_ledger_rows(spark, sf_dir):
+    """Transitions that the commands add to active records, and the record rows afterwards."""
+    records = corpus.ledger(spark, sf_dir).read("records").withColumn("lifecycle", F.lit("active"))
+    asked = issued(spark, sf_dir, "transition_record")
+    made = rows_of.new_transitions(asked, cmd.apply_transition(asked, records))
+    after = rows_of.updated_records(records, transitions=made)
+    return made.select(
+        F.lit("transition").alias("part"), "record_id", F.col("idempotency_key").alias("row")
+    ).unionByName(
+        after.select(F.lit("record").alias("part"), F.col("id").alias("record_id"),
+                     F.col("lifecycle").alias("row"))
+    )
+
+
 @query
 def apply_add_relation(spark, sf_dir):
     store = corpus.ledger(spark, sf_dir)
