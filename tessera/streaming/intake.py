@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.commands import APPLIED, idempotent_intake
 from tessera.operators.dense import embedding_sync
+from tessera.session import cut
 
 KEYS = "key string, operation string, request_hash string, result_id bigint, batch bigint"
 
@@ -22,6 +23,10 @@ class CommandIntake:
     new keys into folders named after the batch. A batch that is run again after a failure
     overwrites exactly its own folders, so the result is the same as without the failure; no
     watermark or state store is needed.
+
+    ``prepare`` shapes a batch into commands. ``apply`` gets the commands whose keys are new and
+    the batch number, and returns their outcomes (seq, outcome, reason); what it writes itself
+    must be named after the batch too. A command it refuses leaves its key free.
     """
 
     def __init__(
@@ -29,9 +34,10 @@ class CommandIntake:
         spark: SparkSession,
         root: str,
         prior_keys: DataFrame,
-        prepare: Callable[[DataFrame], DataFrame],
+        prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+        apply: Callable[[DataFrame, int], DataFrame] | None = None,
     ):
-        self.spark, self.root, self.prepare = spark, root, prepare
+        self.spark, self.root, self.prepare, self.apply = spark, root, prepare, apply
         (
             prior_keys.select("key", "operation", "request_hash", "result_id")
             .write.mode("overwrite")
@@ -51,6 +57,17 @@ class CommandIntake:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         judged = idempotent_intake(self.prepare(batch), self.keys(before=batch_id))
+        if self.apply is not None:
+            judged = cut(judged)
+            verdicts = self.apply(
+                judged.filter(F.col("outcome") == APPLIED).drop("outcome", "reason"), batch_id
+            ).select("seq", F.col("outcome").alias("verdict"), F.col("reason").alias("refusal"))
+            judged = judged.join(verdicts, "seq", "left").withColumns(
+                {
+                    "outcome": F.coalesce("verdict", "outcome"),
+                    "reason": F.coalesce("refusal", "reason"),
+                }
+            )
         place = f"{self.root}/outcomes/batch={batch_id}"
         judged.select("key", "op", "ts", "seq", "request_hash", "outcome", "reason").write.mode(
             "overwrite"

@@ -1,7 +1,11 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tessera.operators import commands as cmd
+from tessera.operators import ledger_rows
 from tessera.streaming.intake import CommandIntake
+from tests.helpers import rows_of
 
 T0 = dt.datetime(2026, 1, 1)
 SCHEMA = "key string, op string, ts timestamp_ntz, seq bigint, request string"
@@ -47,3 +51,31 @@ def test_a_restarted_stream_goes_on(spark, tmp_path):
     run()
     run()
     assert state(intake) == {1: "applied", 2: "applied", 3: "replayed", 4: "conflict"}
+
+
+def test_applied_batches_move_the_state_and_refused_keys_stay_free(spark, tmp_path):
+    records = rows_of(spark, "records", [
+        dict(id=i, scope_id=1, kind="note", lifecycle="active", current_revision=1, readable=True) for i in (1, 2)])
+    none = spark.createDataFrame([], "key string, operation string, request_hash string, result_id bigint")
+    ended = str(tmp_path / "transitions")
+
+    def apply(commands, batch_id):
+        asked = commands.withColumn("record_id", F.col("request").cast("bigint")).withColumn("actor", F.lit("a"))
+        earlier = records
+        if batch_id:
+            done = spark.read.option("basePath", ended).parquet(ended).filter(F.col("batch") < batch_id)
+            earlier = ledger_rows.updated_records(records, transitions=done)
+        outcomes = cmd.apply_transition(asked, earlier)
+        ledger_rows.new_transitions(asked.withColumn("reason", F.lit("r")), outcomes).write.mode(
+            "overwrite").parquet(f"{ended}/batch={batch_id}")
+        return outcomes
+
+    intake = CommandIntake(spark, str(tmp_path / "in"), none, apply=apply)
+    intake(batch(spark, ("a", "transition_record", 1, "1"), ("b", "transition_record", 2, "1"),
+                 ("a", "transition_record", 3, "1"), ("c", "transition_record", 4, "9")), 0)
+    again = batch(spark, ("d", "transition_record", 5, "1"), ("b", "transition_record", 6, "2"))
+    intake(again, 1)
+    intake(again, 1)
+    assert state(intake) == {1: "applied", 2: "conflict", 3: "replayed", 4: "invalid", 5: "conflict", 6: "applied"}
+    assert {r["key"] for r in intake.keys().collect()} == {"a", "b"}
+    assert spark.read.parquet(ended).count() == 2
