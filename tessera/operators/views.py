@@ -137,23 +137,16 @@ def eligible_candidates(
     else:
         rows = rows.filter(F.col("lifecycle") == "active")
     if "label_ids" in filters and held_labels is not None:
-        distinct = F.array_distinct(F.coalesce("label_ids", F.array().cast("array<bigint>")))
-        rows = rows.withColumn("wanted", distinct)
-        asked = rows.filter(F.size("wanted") > 0).select(
-            "query_id", "record_id", F.size("wanted").alias("n"), F.explode("wanted").alias("label_id")
-        )
-        held = held_labels.select("record_id", "label_id").distinct()
-        passed = (
-            asked.join(held, ["record_id", "label_id"])
-            .groupBy("query_id", "record_id", "n")
-            .count()
-            .filter("count = n")
-            .select("query_id", "record_id")
-        )
-        free = rows.filter(F.size("wanted") == 0)
-        rows = free.unionByName(
-            rows.filter(F.size("wanted") > 0).join(passed, ["query_id", "record_id"], "left_semi")
+        wanted = queries.select(F.explode("label_ids").alias("label_id")).distinct()
+        # A record holds at most as many labels as the catalogue has.
+        held = (
+            held_labels.join(wanted, "label_id", "left_semi")
+            .groupBy("record_id")
+            .agg(F.collect_set("label_id").alias("held"))
         )
+        none = F.array().cast("array<bigint>")
+        lacking = F.array_except(F.coalesce("label_ids", none), F.coalesce("held", none))
+        rows = rows.join(held, "record_id", "left").filter(F.size(lacking) == 0)
     return rows.select(*candidates.columns)
 
 

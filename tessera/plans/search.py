@@ -68,7 +68,8 @@ def search_records(
     A column ``before_id`` continues an earlier page. A blank query lists all records that pass.
     """
     judged = is_blank(queries)
-    asked = judged.filter("NOT blank").drop("blank")
+    any_blank = not judged.filter("blank").isEmpty()
+    asked = judged.filter("NOT blank").drop("blank") if any_blank else queries
     batch = QueryBatch.of(asked, store.read("scopes"))
     found = search_and(phrase_matches(index, batch), batch.phrases)
     held = _held(store) if "label_ids" in queries.columns else None
@@ -80,15 +81,12 @@ def search_records(
             .drop("before_id")
         )
     fetched = top_k(rows, limit + 1, F.desc("record_id"), rank="position")
-    if not judged.filter("blank").isEmpty():
+    if any_blank:
         blank = judged.filter("blank").drop("blank")
         fetched = fetched.unionByName(list_records(store, blank, limit + 1))
     tags = judged.select(
         "query_id",
-        F.when(
-            F.col("blank"),
-            _search_tags(False, queries),
-        )
+        F.when(F.col("blank"), _search_tags(False, queries))
         .otherwise(_search_tags(True, queries))
         .alias("match_explanation"),
     )
