@@ -26,9 +26,8 @@ from tessera.operators.ordering import (
 )
 from tessera.session import cut
 
-# Wording of the conflicts.
+# Wording of conflicts and reasons.
 KEY_REUSED = "idempotency key was already used for a different write"
-REVISION_CONFLICT = "revision conflict: expected %d, current %d"
 LABEL_ACTIVE = "label is already active on record"
 LABEL_INACTIVE = "label is not active on record"
 LAST_LABEL = "a record must retain at least one active label"
@@ -40,7 +39,7 @@ NOT_SUPERSEDABLE = "only an active record can be superseded"
 NOT_MERGEABLE = "only active records can be merged"
 MERGE_TOO_FEW = "merge requires at least two records"
 OTHER_LIFECYCLE = "use supersede_record or merge_records for that lifecycle"
-ALIAS_TAKEN = "label alias %s belongs to another label"
+CREATED = "record created"
 
 APPLIED, REPLAYED, CONFLICT, INVALID = "applied", "replayed", "conflict", "invalid"
 
@@ -365,14 +364,14 @@ def fan_out(created: DataFrame) -> dict[str, DataFrame]:
         F.lit(1).cast("bigint").alias("revision"),
         "title",
         "payload",
-        F.lit("record created").alias("reason"),
+        F.lit(CREATED).alias("reason"),
         F.col("ts").alias("created_at"),
         F.col("key").alias("idempotency_key"),
     )
     assertions = created.select(
         "record_id",
         F.explode(F.array_distinct("label_ids")).alias("label_id"),
-        F.lit("record created").alias("reason"),
+        F.lit(CREATED).alias("reason"),
         "key",
         "ts",
     ).withColumn("idempotency_key", F.concat_ws(":", "key", F.lit("label"), "label_id"))
@@ -380,7 +379,7 @@ def fan_out(created: DataFrame) -> dict[str, DataFrame]:
         "record_id",
         F.lit(None).cast("string").alias("from_state"),
         F.lit("active").alias("to_state"),
-        F.lit("record created").alias("reason"),
+        F.lit(CREATED).alias("reason"),
         F.col("ts").alias("created_at"),
         F.concat(F.col("key"), F.lit(":lifecycle")).alias("idempotency_key"),
     )

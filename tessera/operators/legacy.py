@@ -9,7 +9,15 @@ from tessera.functions.links import link_ids, redact, targets
 from tessera.limits import MAX_BODY_BYTES
 from tessera.schemas import PAYLOAD
 
+# Separator, title, reasons and keys that imported rows carry.
 SEPARATOR = "\n\n"
+TITLE = "Imported legacy %s %d"
+RECORD_KEY = "schema-v8:legacy-record"
+EDGE_KEY = "schema-v8:legacy-reference"
+REVISION_REASON = "legacy import"
+LABEL_REASON = "legacy import fallback"
+EDGE_REASON = "legacy note link"
+DEFAULTS = {"visibility": "shared", "author": "user", "revision": 1}
 
 
 def legacy_day_rollup(entries: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
@@ -58,13 +66,12 @@ def legacy_day_rollup(entries: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> Da
 
 def legacy_defaults(documents: DataFrame) -> DataFrame:
     """Columns that later versions added, with the values they give to older rows."""
-    defaults = {"visibility": "shared", "author": "user", "revision": 1}
-    missing = {k: F.lit(v) for k, v in defaults.items() if k not in documents.columns}
+    missing = {k: F.lit(v) for k, v in DEFAULTS.items() if k not in documents.columns}
     return documents.withColumns(missing) if missing else documents
 
 
 def imported_title(kind: Column, id_: Column) -> Column:
-    return F.format_string("Imported legacy %s %d", kind, id_)
+    return F.format_string(TITLE, kind, id_)
 
 
 def import_metadata() -> Column:
@@ -84,7 +91,7 @@ def legacy_import(documents: DataFrame, scope_id: int, label_id: int) -> dict[st
     The result holds the rows for records, revisions, assertions, transitions and relations.
     Stored bodies stay as they were; links are redacted on reading.
     """
-    key = F.concat(F.lit("schema-v8:legacy-record:"), F.col("id").cast("string"))
+    key = F.concat_ws(":", F.lit(RECORD_KEY), "id")
     rows = documents.select("*", key.alias("key"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in PAYLOAD.fields[2:]]
     records = rows.select(
@@ -103,20 +110,20 @@ def legacy_import(documents: DataFrame, scope_id: int, label_id: int) -> dict[st
         F.lit(1).cast("bigint").alias("revision"),
         imported_title(F.col("kind"), F.col("id")).alias("title"),
         F.struct(F.lit("note").alias("kind"), F.col("body"), *empty).alias("payload"),
-        F.lit("legacy import").alias("reason"),
+        F.lit(REVISION_REASON).alias("reason"),
         F.concat("key", F.lit(":revision")).alias("idempotency_key"),
     )
     assertions = rows.select(
         F.col("id").alias("record_id"),
         F.lit(label_id).cast("bigint").alias("label_id"),
-        F.lit("legacy import fallback").alias("reason"),
+        F.lit(LABEL_REASON).alias("reason"),
         F.concat("key", F.lit(":label")).alias("idempotency_key"),
     )
     transitions = rows.select(
         F.col("id").alias("record_id"),
         F.lit(None).cast("string").alias("from_state"),
         F.lit("active").alias("to_state"),
-        F.lit("legacy import").alias("reason"),
+        F.lit(REVISION_REASON).alias("reason"),
         F.concat("key", F.lit(":lifecycle")).alias("idempotency_key"),
     )
     return {
@@ -146,9 +153,9 @@ def legacy_relations(documents: DataFrame) -> DataFrame:
         "source_record_id",
         "target_record_id",
         F.lit("references").alias("kind"),
-        F.lit("legacy note link").alias("reason"),
+        F.lit(EDGE_REASON).alias("reason"),
         F.concat_ws(
-            ":", F.lit("schema-v8:legacy-reference"), "source_record_id", "target_record_id"
+            ":", F.lit(EDGE_KEY), "source_record_id", "target_record_id"
         ).alias("idempotency_key"),
     )
 
