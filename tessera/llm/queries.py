@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.lines import op2_line_dedup
+from tessera.llm.quality import op1_quality_rules
 from tessera.llm.sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_rules,
         op2_line_dedup,
     )
 }
