@@ -22,6 +22,59 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+OP6 = f"""
+WITH split AS (
+  SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, w FROM split
+), runs AS (
+  SELECT doc_id, p, hash(list_slice(w, p, p + 34)) AS h, array_to_string(list_slice(w, p, p + 34), ' ') AS run
+  FROM places WHERE p + 34 <= len(w)
+), repeated AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h, run) AS n FROM runs) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p + d AS p FROM repeated, (SELECT unnest(range(35)) AS d)
+), judged AS (
+  SELECT l.doc_id, l.p, l.w[l.p] AS word, g.p IS NOT NULL AS gone
+  FROM places l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.p = g.p
+), by_doc AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept
+  FROM judged GROUP BY doc_id
+)
+SELECT s.doc_id, coalesce(b.n_words, 0) AS n_words, coalesce(b.n_removed, 0) AS n_removed,
+  sha256(coalesce(b.kept, '')) AS kept_sha256
+FROM split s LEFT JOIN by_doc b ON s.doc_id = b.doc_id
+"""
+
+OP9 = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all({ASCII_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM split WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs p JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * shared >= 75 * (a.n + b.n - shared)
+), reach AS (
+  SELECT x AS doc_id, x AS r FROM (SELECT DISTINCT x FROM links)
+  UNION
+  SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r
+), least_id AS (
+  SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id,
+  coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_id l ON l.doc_id = d.doc_id
+"""
+
 ORACLES = {
+    "op6_substring_dedup": OP6,
+    "op9_minhash_near_dedup": OP9,
     "op2_line_dedup": OP2,
 }
