@@ -218,10 +218,10 @@ def grade_documents(
     """
     docs = keyed(docs, id_col, text_col, carry)
     model = train(docs.filter("doc_id is not null"), labels, grade, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value, WordFeatures()
+        model, words = Model(*shared.value), WordFeatures()
         for b in batches:
             texts = utf8(b.column("text"))
             score = np.array([model.weights[features(t, words)].sum() for t in texts], np.float64)

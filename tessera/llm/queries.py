@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.grades import op3_quality_classifier
+from tessera.llm.language import op10_language_id
 from tessera.llm.lines import op2_line_dedup
 from tessera.llm.minhash import op9_minhash_near_dedup
 from tessera.llm.packing import op5_packing
 from tessera.llm.quality import op1_quality_rules
 from tessera.llm.sql import ORACLES
 from tessera.llm.substrings import op6_substring_dedup
+from tessera.llm.topk import op7_topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -22,7 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_classifier,
         op5_packing,
         op6_substring_dedup,
+        op7_topk_search,
         op9_minhash_near_dedup,
+        op10_language_id,
     )
 }
 
