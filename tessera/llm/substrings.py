@@ -24,7 +24,6 @@ FILTER_BYTES = 64 << 20
 #: Bytes of text in a chunk, and (about) of text per bucket of window keys.
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-#: Bytes of candidate keys, and of other per-document arrays, stay in proportion to a chunk.
 
 _SECOND = 0xC2B2AE3D27D4EB4F | 3  # another base: keys of windows have 128 bits
 
@@ -114,11 +113,12 @@ class ChunkKeys:
         self.keys = keys[new]
         self.twice = np.bincount(self.place, minlength=len(self.keys)) > 1
         self.bucket = bucket[order][new].astype(np.int64)
-        self.bounds = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]][: len(self.keys)])
+        first = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]][: len(self.keys)])
+        self.parts = list(zip(first, np.append(first, len(self.keys))[1:], strict=True))
 
     def packets(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(bucket, keys, marks of those that the chunk itself holds twice)."""
-        for a, b in zip(self.bounds, np.r_[self.bounds[1:], len(self.keys)], strict=True):
+        for a, b in self.parts:
             yield int(self.bucket[a]), self.keys[a:b].tobytes(), np.packbits(self.twice[a:b]).tobytes()
 
 
@@ -212,7 +212,7 @@ def drop_repeated_runs(
                 rows, own = keys_of(pack, runs)
                 by_bucket = {m["bucket"]: m["marks"] for m in marked or ()}
                 repeated = np.zeros(len(own.keys), bool)
-                for a, z in zip(own.bounds, np.r_[own.bounds[1:], len(own.keys)], strict=True):
+                for a, z in own.parts:
                     bits = np.unpackbits(np.frombuffer(by_bucket[int(own.bucket[a])], np.uint8))
                     repeated[a:z] = bits[: z - a]
                 counts, removed, texts = [], [], []
