@@ -50,7 +50,7 @@ class Lists:
 
 def _number_kind(queries: np.ndarray, values: np.ndarray):
     """The fastest type in which all sums are exact."""
-    most = np.abs(queries).max(initial=0.0) * np.abs(values).max(initial=0.0) * max(1, queries.shape[1])
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(values).max(initial=0)) * max(1, queries.shape[1])
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
@@ -74,7 +74,7 @@ def search_block(
         return (np.empty(0, np.int64),) * 3
     kind = _number_kind(queries, values)
     if kind is object:  # beyond doubles: whole numbers of any size
-        scores = queries.astype(object) @ values.astype(object).T
+        scores = queries.astype(np.int64).astype(object) @ values.astype(np.int64).astype(object).T
         alive = ids[None, :] != query_ids[:, None]
         found = [_best(scores[i], alive[i], k) for i in range(m)]
         rows = np.repeat(np.arange(m), [len(f) for f in found])
