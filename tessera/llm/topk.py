@@ -124,6 +124,36 @@ def search_block(
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(best).astype(np.int64)
 
 
+def search_repeated(
+    values: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate id, score) of the k best ids; candidates sorted by id may share ids.
+
+    The first rows of all ids are one block, their second rows the next, and so on; after each
+    block the k best ids of a query are kept.
+    """
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+    turn = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+    best = (np.empty(0, np.int64),) * 3
+    for t in range(int(turn.max(initial=-1)) + 1):
+        own = np.flatnonzero(turn == t)
+        row, at, score = search_block(values[own], ids[own], queries, query_ids, k)
+        found = row, ids[own][at], score
+        if t:
+            row, which, score = (np.concatenate(x) for x in zip(best, found, strict=True))
+            order = np.lexsort((-score, which, row))
+            row, which, score = row[order], which[order], score[order]
+            new = np.r_[True, (row[1:] != row[:-1]) | (which[1:] != which[:-1])][: len(row)]
+            row, which, score = row[new], which[new], score[new]
+            order = np.lexsort((which, -score, row))
+            row, which, score = row[order], which[order], score[order]
+            start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+            place = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+            found = tuple(x[place < k] for x in (row, which, score))
+        best = found
+    return best
+
+
 def _finite(vector: Column) -> Column:
     return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
@@ -179,8 +209,8 @@ def top_k(
             flat = side["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
             parts.append((flat.reshape(side.num_rows, -1) if side.num_rows else flat.reshape(0, 0), side["id"].to_numpy()))
         (values, ids), (wanted, query_ids) = parts
-        at, column, score = search_block(values, ids, wanted, query_ids, k)
-        return pa.table({"query_id": query_ids[at], "vec_id": ids[column], "score": score})
+        at, which, score = search_repeated(values, ids, wanted, query_ids, k)
+        return pa.table({"query_id": query_ids[at], "vec_id": which, "score": score})
 
     keys = ["size", "block", "group"]
     found = (
