@@ -119,7 +119,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         JOIN embeddings e ON e.vec_id = (r.id - 1) % {NV}"""),
     "l_partial": (["l_records"], """SELECT vec_id + 1 AS record_id, label % 2 + 1 AS revision,
         embedding AS vector FROM embeddings WHERE vec_id + 1 IN (SELECT id FROM l_records)"""),
-    "l_queries": ([], f"""SELECT item_id * 1000 + part AS query_id,
+    "l_queries": ([], f"""SELECT row_number() OVER (ORDER BY item_id, part) AS query_id,
         array_to_string(terms[part * 8 + 1 : part * 8 + 8], ' ') AS query,
         item_id % 20 + 1 AS scope_id, item_id % 2 = 0 AS include_global,
         (item_id * 7 + part) % {NV} AS vec_id
@@ -371,7 +371,7 @@ O["list_scopes"] = sql("l_scopes", "SELECT id, name FROM l_scopes")
 O["tokenize"] = f"SELECT doc_id, array_to_string({tok('text')}, ' ') AS tokens FROM documents"
 O["query_terms"] = sql("l_terms", """SELECT query_id, term_ix, term,
     array_to_string(tokens, ' ') AS tokens FROM l_terms""")
-PAIRS = f"""pairs AS (SELECT item_id * 1000 + part AS query_id, ws[part * 2 + 1 : part * 2 + 2] AS two
+PAIRS = f"""pairs AS (SELECT row_number() OVER (ORDER BY item_id, part) AS query_id, item_id, ws[part * 2 + 1 : part * 2 + 2] AS two
     FROM (SELECT item_id, string_split({squeeze("text")}, ' ') AS ws FROM benchmark) b,
     LATERAL (SELECT unnest(range(0, (len(ws) + 1) // 2)) AS part) p)"""
 O["phrase_match"] = sql("l_places", """SELECT query_id, 0 AS term_ix, record_id, count(*) AS tf
@@ -439,8 +439,8 @@ O["search_records"] = sql("l_postings l_records l_active l_scopes", f"""SELECT q
     AS tags FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS fetched FROM (
       SELECT q.query_id, include_global, a.record_id,
         row_number() OVER (PARTITION BY q.query_id ORDER BY a.record_id DESC) AS position
-      FROM (SELECT query_id, two, (query_id // 1000) % 20 + 1 AS scope_id,
-              (query_id // 1000) % 2 = 0 AS include_global FROM pairs) q
+      FROM (SELECT query_id, two, item_id % 20 + 1 AS scope_id,
+              item_id % 2 = 0 AS include_global FROM pairs) q
       JOIN (SELECT query_id, record_id, count(*) AS found FROM
          (SELECT query_id, unnest(two) AS w FROM pairs) t
          JOIN l_postings p ON p.term = {tok("w")}[1] GROUP BY ALL) a
@@ -477,7 +477,14 @@ O["embedding_upsert"] = sql("l_partial l_records", """
       JOIN l_records r ON r.id = p.record_id WHERE p.revision > 1
       OR (p.record_id % 10 <> 0 AND r.readable AND r.current_revision = p.revision)""")
 _count = "length(t) - length(replace(t, '{}', '')) + 1"
-O["embedding_sync"] = sql("l_records l_revisions", f"""SELECT record_id, revision,
+_held = """held AS (SELECT p.record_id, p.revision, p.record_id % 3 = 1 AS other,
+      CASE WHEN p.record_id % 3 = 1 THEN p.vector[1:4] ELSE [1, 0, 0, 0]::FLOAT[] END AS w
+    FROM l_partial p),
+  valid AS (SELECT h.* FROM held h JOIN l_records r ON r.id = h.record_id
+    WHERE NOT r.readable OR (NOT other AND r.current_revision = h.revision))"""
+O["embedding_sync"] = sql("l_records l_revisions l_partial", f"""SELECT record_id, revision,
+    {", ".join(f"round(CAST(w[{i + 1}] AS DOUBLE), 5) AS v{i}" for i in range(4))} FROM valid
+    UNION ALL SELECT record_id, revision,
     {", ".join(f"round(CAST(CAST(c{i} / n AS FLOAT) AS DOUBLE), 5) AS v{i}" for i in range(4))}
     FROM (SELECT *, sqrt(CAST(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3 AS DOUBLE)) AS n FROM (
       SELECT record_id, revision,
@@ -485,7 +492,8 @@ O["embedding_sync"] = sql("l_records l_revisions", f"""SELECT record_id, revisio
         SELECT r.id AS record_id, v.revision,
           {squeeze("nfc_normalize(v.title || chr(10) || v.body)")} AS t
         FROM l_records r JOIN l_revisions v ON v.record_id = r.id
-          AND v.revision = r.current_revision WHERE r.readable)))""")
+          AND v.revision = r.current_revision WHERE r.readable
+          AND r.id NOT IN (SELECT record_id FROM valid))))""", _held)
 O["record_text"] = sql("l_records l_revisions", f"""SELECT r.id AS record_id, v.revision,
     {squeeze("nfc_normalize(v.title || chr(10) || v.body)")} AS text FROM l_records r
     JOIN l_revisions v ON v.record_id = r.id AND v.revision = r.current_revision""")
@@ -743,7 +751,7 @@ O["transition_ledger_rows"] = sql("l_commands l_records", """
     JOIN l_records r ON r.id = c.record_id AND r.readable WHERE nth = 1
     UNION ALL SELECT 'record', id, lifecycle FROM l_records""")
 _turns = f"""t AS (SELECT conv_id, turn, 't:' || conv_id || ':' || turn AS key,
-      conv_id * 100 + turn AS seq, (conv_id * 3 + turn * 5) % {N} + 1 AS record_id
+      row_number() OVER (ORDER BY conv_id, turn) AS seq, (conv_id * 3 + turn * 5) % {N} + 1 AS record_id
     FROM conversations)"""
 _superseded = _turns + f""",
   s AS (SELECT t.*, r.id IS NOT NULL AS seen, lifecycle = 'active' AND row_number() OVER (
@@ -864,6 +872,7 @@ O["link_redact"] = f"""WITH {_notes}, open AS (SELECT id FROM notes WHERE visibi
       ELSE '  ' END || text || CASE WHEN b IN (FROM open) THEN ' [[note:' || b || '|see it]]'
       ELSE ' ' END || CASE WHEN a IN (FROM open) THEN ' [[note:' || a || '|see it]]'
       ELSE ' ' END || ' [[note:0|x]].' AS body FROM notes"""
+O["visible_revisions"] = O["link_redact"]
 _edge_key = "'schema-v8:legacy-reference:' || source_record_id || ':' || target_record_id"
 O["legacy_relations"] = f"""WITH {_notes} SELECT source_record_id, target_record_id,
     'references' AS kind, 'legacy note link' AS reason, {_edge_key} AS idempotency_key FROM edges"""
@@ -883,16 +892,13 @@ O["legacy_import"] = f"""WITH {_notes}
 _entries = """entries AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS day,
       strftime(ts, '%Y-%m-%dT%H:%M') AS created_at,
       strftime(ts + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M') AS updated_at,
-      CASE WHEN value < 10 THEN '' ELSE props END AS body FROM events WHERE event_type = 'view'),
+      CASE WHEN value < 10 THEN '' ELSE props END AS body FROM events),
   days AS (SELECT day, arg_min(id, (created_at, id)) AS id, min(created_at) AS created_at,
-      max(updated_at) AS updated_at,
-      coalesce(string_agg(body, chr(10) || chr(10) ORDER BY created_at, id) FILTER (body <> ''), '')
-      AS body FROM entries GROUP BY day)"""
-O["legacy_day_rollup"] = f"""WITH {_entries} SELECT id, day, created_at, updated_at, body FROM days"""
-O["legacy_day_rollup_parts"] = f"""WITH {_entries}
-    SELECT id, day, NULL::BIGINT AS part_id, body FROM days WHERE octet_length(encode(body)) <= 2000
-    UNION ALL SELECT d.id, d.day, e.id, e.body FROM days d JOIN entries e ON e.day = d.day
-    WHERE octet_length(encode(d.body)) > 2000 AND e.body <> ''"""
+      max(updated_at) AS updated_at FROM entries GROUP BY day)"""
+O["legacy_day_rollup"] = f"""WITH {_entries} SELECT id, day, created_at, updated_at FROM days"""
+O["legacy_day_rollup_parts"] = f"""WITH {_entries} SELECT day, id AS entry_id, body,
+    row_number() OVER (PARTITION BY day ORDER BY created_at, id) - 1 AS position
+    FROM entries WHERE body <> ''"""
 O["legacy_defaults"] = f"""WITH {_entries} SELECT id, day, 'shared' AS visibility,
     'user' AS author, 1 AS revision FROM days"""
 O["daily_conflicts"] = f"""WITH {_entries} SELECT day, count(*) AS n FROM entries GROUP BY day

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,7 +78,13 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield text.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-def normalized(text: Column) -> Column:
-    """NFKC and whitespace collapse; ASCII-only text skips the Python step."""
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.when(ascii_only, squeeze(text)).otherwise(squeeze(nfkc(text)))
+def normalized(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a text column in NFKC and its whitespace collapsed.
+
+    Rows are parted first: a UDF under a condition would still get every row, and ASCII text is
+    in NFKC already. Rows with a null text stay.
+    """
+    ascii_only = F.coalesce(F.octet_length(column) == F.char_length(column), F.lit(True))
+    plain = rows.filter(ascii_only).withColumn(column, squeeze(F.col(column)))
+    other = rows.filter(~ascii_only).withColumn(column, squeeze(nfkc(F.col(column))))
+    return plain.unionByName(other)

@@ -27,6 +27,7 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_IDF_FLOOR = 1e-6
 
+# Names of kinds, states and relations.
 KINDS = ["note", "observation", "decision", "idea", "snippet", "metric", "evidence"]
 LIFECYCLES = ["active", "superseded", "merged", "retracted"]
 DIRECT_RELATIONS = [

@@ -15,6 +15,7 @@ from tessera.functions.payload import payload_text
 from tessera.functions.text import normalized
 from tessera.functions.vectors import dot, l2_normalize, vector_error
 from tessera.operators.blocks import QUERY_BYTES, best_rows, with_filters
+from tessera.operators.legacy import visible_revisions
 from tessera.operators.retrieval import top_k
 
 # Similarities are ranked after rounding to this many decimals, so equal vectors tie whatever
@@ -136,17 +137,33 @@ def embedding_upsert(
     return stored, outcome
 
 
-def record_text(records: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(record_id, revision, text) that a model embeds: normalized title and payload text."""
-    current = records.select(
-        F.col("id").alias("record_id"), F.col("current_revision").alias("revision")
-    )
-    text = F.concat_ws("\n", "title", payload_text(F.col("payload")))
-    return (
-        revisions.select("record_id", "revision", "title", "payload")
-        .join(current, ["record_id", "revision"])
-        .select("record_id", "revision", normalized(text).alias("text"))
+def record_text(
+    records: DataFrame,
+    revisions: DataFrame,
+    wanted: DataFrame | None = None,
+    ledger: DataFrame | None = None,
+) -> DataFrame:
+    """(record_id, revision, text) that a model embeds: normalized title and payload text.
+
+    ``wanted`` narrows the revisions by (record_id, revision) before any text is made; ``ledger``
+    has all records if ``records`` has not.
+    """
+    current = wanted
+    if current is None:
+        current = records.select(
+            F.col("id").alias("record_id"), F.col("current_revision").alias("revision")
+        )
+    rows = (
+        visible_revisions(records, revisions, ledger)
+        .select("record_id", "revision", "title", "payload")
+        .join(current, ["record_id", "revision"], "left_semi")
+        .select(
+            "record_id",
+            "revision",
+            F.concat_ws("\n", "title", payload_text(F.col("payload"))).alias("text"),
+        )
     )
+    return normalized(rows, "text")
 
 
 def embedding_sync(
@@ -157,6 +174,7 @@ def embedding_sync(
     model: str,
     model_revision: str,
     dimensions: int,
+    ledger: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Embed every pending record with the caller's model and upsert the vectors.
 
@@ -164,7 +182,7 @@ def embedding_sync(
     tasks. Vectors are scaled to unit length before they are stored.
     """
     pending = embedding_pending(records, embeddings, model, model_revision, dimensions)
-    texts = record_text(records, revisions).join(pending, ["record_id", "revision"], "left_semi")
+    texts = record_text(records, revisions, pending, ledger)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.links import link_ids, redact, targets
-from tessera.limits import MAX_BODY_BYTES
+from tessera.operators.ordering import allocate_ids
 from tessera.schemas import PAYLOAD
+from tessera.session import cut
 
 # Separator, title, reasons and keys that imported rows carry.
 SEPARATOR = "\n\n"
@@ -20,48 +21,31 @@ EDGE_REASON = "legacy note link"
 DEFAULTS = {"visibility": "shared", "author": "user", "revision": 1}
 
 
-def legacy_day_rollup(entries: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
-    """One document per day from (id, day, created_at, updated_at, body) entries.
+def legacy_day_rollup(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(days, parts) from (id, day, created_at, updated_at, body) entries.
 
-    Its id and creation time are those of the day's first entry, its body the non-empty bodies
-    in (created_at, id) order with a blank line between them. A day whose body would exceed
-    ``max_bytes`` is not gathered: it comes as one row per entry, ordered by ``part``, and the
-    body is those rows joined in that order.
+    A day's id and creation time are those of its first entry. Its body is the ordered ``parts``
+    (day, position, entry_id, body): the non-empty bodies in (created_at, id) order, to be read
+    with a blank line (``SEPARATOR``) between them. Parts stay rows, so a day has no size limit.
     """
-    size = F.octet_length("body").cast("bigint")
     first = F.min(F.struct("created_at", "id"))
-    days = entries.groupBy("day").agg(
-        first.alias("first"),
-        F.max("updated_at").alias("updated_at"),
-        F.coalesce(F.sum(F.when(size > 0, size + len(SEPARATOR))), F.lit(0)).alias("bytes"),
-    )
+    days = entries.groupBy("day").agg(first.alias("first"), F.max("updated_at").alias("updated_at"))
     head = days.select(
-        "day",
         F.col("first.id").alias("id"),
+        "day",
         F.col("first.created_at").alias("created_at"),
         "updated_at",
-        "bytes",
     )
-    bodies = entries.filter(size > 0).select(
-        "day", F.struct("created_at", "id").alias("part"), "body"
+    # numbered over all days, then counted from each day's first number: no day is one task's work
+    bodies = entries.filter(F.octet_length("body") > 0).select(
+        "day", "created_at", F.col("id").alias("entry_id"), "body"
     )
-    fits = F.col("bytes") <= max_bytes + len(SEPARATOR)
-    small = head.filter(fits)
-    gathered = (
-        bodies.join(small.select("day"), "day", "left_semi")
-        .groupBy("day")
-        .agg(F.array_sort(F.collect_list(F.struct("part", "body"))).alias("items"))
+    numbered = allocate_ids(bodies, ["day", "created_at", "entry_id"], 0, "number")
+    starts = cut(numbered.groupBy("day").agg(F.min("number").alias("start")))
+    parts = numbered.join(starts, "day").select(
+        "day", (F.col("number") - F.col("start")).alias("position"), "entry_id", "body"
     )
-    whole = small.join(gathered, "day", "left").select(
-        "id",
-        "day",
-        "created_at",
-        "updated_at",
-        F.lit(None).cast(bodies.schema["part"].dataType).alias("part"),
-        F.coalesce(F.array_join(F.col("items.body"), SEPARATOR), F.lit("")).alias("body"),
-    )
-    parts = head.filter(~fits).join(bodies, "day").select(*whole.columns)
-    return whole.unionByName(parts)
+    return head, parts
 
 
 def legacy_defaults(documents: DataFrame) -> DataFrame:
@@ -181,6 +165,46 @@ def link_redact(bodies: DataFrame, readable_ids: DataFrame) -> DataFrame:
     )
 
 
+def visible_revisions(
+    records: DataFrame, revisions: DataFrame, ledger: DataFrame | None = None
+) -> DataFrame:
+    """``revisions`` as readers may see them: imported notes lose links to hidden records.
+
+    Where ``records`` is only a part of them, ``ledger`` says what links may name.
+
+    Only the ids that links name travel, one row per imported record comes back (a map from
+    revision to its visible targets), and it joins on the record id, by which both tables are
+    bucketed.
+    """
+    body = F.col("payload.body")
+    imported = records.filter("import_metadata IS NOT NULL").select(F.col("id").alias("record_id"))
+    linked = (
+        revisions.join(imported, "record_id", "left_semi")
+        .filter(body.contains("[[note:"))
+        .select("record_id", "revision", targets(body).alias("targets"))
+    )
+    seen = (records if ledger is None else ledger).filter("readable").select(
+        F.col("id").alias("target_id")
+    )
+    visible = (
+        linked.select("record_id", "revision", F.explode_outer("targets").alias("target_id"))
+        .join(seen.withColumn("seen", F.lit(True)), "target_id", "left")
+        .groupBy("record_id", "revision")
+        .agg(F.collect_set(F.when(F.col("seen"), F.col("target_id"))).alias("visible"))
+        .groupBy("record_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("revision", "visible"))).alias("_visible"))
+    )
+    allowed = F.try_element_at("_visible", F.col("revision"))
+    shown = F.when(allowed.isNull(), body).otherwise(redact(body, allowed))
+    fields = [shown.alias(f) if f == "body" else F.col(f"payload.{f}") for f in PAYLOAD.names]
+    return revisions.join(visible, "record_id", "left").select(
+        *[
+            F.when(F.col("payload").isNotNull(), F.struct(*fields)).alias("payload") if c == "payload" else F.col(c)
+            for c in revisions.columns
+        ]
+    )
+
+
 def days_with_two_dailies(documents: DataFrame) -> DataFrame:
     """Days that break the rule of one daily note per day."""
     return (

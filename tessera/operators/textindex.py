@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tessera.functions.payload import payload_encode, payload_text
 from tessera.functions.text import tokens
 from tessera.limits import BM25_IDF_FLOOR
+from tessera.operators.legacy import visible_revisions
 
 _INTS = T.ArrayType(T.IntegerType())
 POSTINGS = T.StructType(
@@ -93,14 +94,19 @@ def postings(documents: DataFrame) -> DataFrame:
 
 
 def indexed_documents(
-    records: DataFrame, revisions: DataFrame, index_source: str = "text"
+    records: DataFrame,
+    revisions: DataFrame,
+    index_source: str = "text",
+    ledger: DataFrame | None = None,
 ) -> DataFrame:
-    """Title and text of the current revision of every readable record."""
+    """Title and text of the current revision of every readable record, links to hidden records
+    redacted; ``ledger`` has all records if ``records`` has not."""
     current = records.filter("readable").select(
         F.col("id").alias("record_id"), "scope_id", F.col("current_revision").alias("revision")
     )
+    shown = visible_revisions(records, revisions, ledger)
     return current.join(
-        revisions.select("record_id", "revision", "title", "payload"), ["record_id", "revision"]
+        shown.select("record_id", "revision", "title", "payload"), ["record_id", "revision"]
     ).select(
         "record_id",
         "revision",

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.payload import payload_text
 from tessera.limits import GLOBAL_SCOPE
+from tessera.operators.legacy import visible_revisions
 
 
 def readable(records: DataFrame) -> DataFrame:
@@ -363,7 +364,7 @@ def record_document(store, ids: DataFrame | None = None) -> DataFrame:
     wanted = rows.select("record_id")
     scopes = store.read("scopes").select(F.col("id").alias("scope_id"), F.col("name").alias("scope_name"))
     revisions = store.read("record_revisions")
-    current = revisions.select(
+    current = visible_revisions(records, revisions).select(
         "record_id",
         F.col("revision").alias("current_revision"),
         payload_text(F.col("payload")).alias("text"),

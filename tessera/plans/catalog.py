@@ -60,7 +60,7 @@ def payload_decode_(spark, sf_dir):
     )
     extra = revisions.select(
         F.concat_ws(":", F.lit("x"), "record_id", "revision").alias("item"),
-        F.concat(F.lit('{"extra":true,'), F.substring(text, 2, 10_000_000)).alias("j"),
+        F.concat(F.lit('{"extra":true,'), F.substr(text, F.lit(2))).alias("j"),
     )
     docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     number = docs.select(
@@ -116,7 +116,9 @@ def text_index_refresh(spark, sf_dir):
     revised = store.read("records").filter("current_revision > 1").withColumn(
         "current_revision", F.lit(1).cast("bigint")
     )
-    changed = ti.indexed_documents(revised, store.read("record_revisions"))
+    changed = ti.indexed_documents(
+        revised, store.read("record_revisions"), ledger=store.read("records")
+    )
     return _posting_rows(ti.refreshed(index, changed))
 
 
@@ -170,9 +172,8 @@ def label_canonical(store):
 @on_ledger
 def normalized_text(store):
     text = F.concat_ws("\n", "title", payload_text(F.col("payload")))
-    return store.read("record_revisions").select(
-        "record_id", "revision", normalized(text).alias("text")
-    )
+    rows = store.read("record_revisions").select("record_id", "revision", text.alias("text"))
+    return normalized(rows, "text")
 
 
 @on_ledger

@@ -12,7 +12,7 @@ from tessera.operators import commands as cmd
 from tessera.operators import ledger_rows as rows_of
 from tessera.operators import legacy, ordering, quality, views
 from tessera.plans.registry import QUERIES, assertions, big, query
-from tessera.plans.catalog_recall import letter_model
+from tessera.plans.catalog_recall import letter_model, letter_vectors
 from tessera.session import new_folder
 from tessera.sources import corpus
 from tessera.streaming.intake import CommandIntake, VectorSync
@@ -367,13 +367,14 @@ def apply_transition(spark, sf_dir):
 def turn_commands(spark, sf_dir) -> DataFrame:
     """One command per conversation turn, on a record the turn points at."""
     n = corpus.n_documents(spark, sf_dir)
-    return corpus.table(spark, sf_dir, "conversations").select(
+    turns = corpus.table(spark, sf_dir, "conversations").select(
         F.concat_ws(":", F.lit("t"), "conv_id", "turn").alias("key"),
         F.lit(corpus.EPOCH).cast("timestamp_ntz").alias("ts"),
-        (F.col("conv_id") * 100 + F.col("turn")).alias("seq"),
         "conv_id",
+        "turn",
         ((F.col("conv_id") * 3 + F.col("turn") * 5) % n + 1).alias("record_id"),
     )
+    return ordering.allocate_ids(turns, ["conv_id", "turn"], 0, "seq").drop("turn")
 
 
 def _next_id(store) -> int:
@@ -611,6 +612,14 @@ def link_redact(spark, sf_dir):
     )
 
 
+@query
+def visible_revisions(spark, sf_dir):
+    """Imported notes as readers see them: links to private notes are gone."""
+    made = legacy.legacy_import(legacy_documents(spark, sf_dir), 1, 1)
+    shown = legacy.visible_revisions(made["records"], made["revisions"])
+    return shown.select("record_id", F.col("payload.body").alias("body"))
+
+
 @query
 def legacy_relations(spark, sf_dir):
     return legacy.legacy_relations(legacy_documents(spark, sf_dir))
@@ -651,8 +660,8 @@ def legacy_import(spark, sf_dir):
 
 
 def legacy_entries(spark, sf_dir) -> DataFrame:
-    """View events as daily entries; cheap ones are blank."""
-    return corpus.table(spark, sf_dir, "events").filter("event_type = 'view'").select(
+    """Events as daily entries; cheap ones are blank."""
+    return corpus.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("created_at"),
@@ -663,22 +672,20 @@ def legacy_entries(spark, sf_dir) -> DataFrame:
 
 @query
 def legacy_day_rollup(spark, sf_dir):
-    return legacy.legacy_day_rollup(legacy_entries(spark, sf_dir)).select(
-        "id", "day", "created_at", "updated_at", "body"
-    )
+    days, _ = legacy.legacy_day_rollup(legacy_entries(spark, sf_dir))
+    return days.select("id", "day", "created_at", "updated_at")
 
 
 @query
 def legacy_day_rollup_parts(spark, sf_dir):
-    """The same with a limit of 2000 bytes: larger days come in parts."""
-    return legacy.legacy_day_rollup(legacy_entries(spark, sf_dir), 2000).select(
-        "id", "day", F.col("part.id").alias("part_id"), "body"
-    )
+    """The bodies of the days, part by part."""
+    _, parts = legacy.legacy_day_rollup(legacy_entries(spark, sf_dir))
+    return parts.select("day", "position", "entry_id", "body")
 
 
 @query
 def legacy_defaults(spark, sf_dir):
-    rolled = legacy.legacy_day_rollup(legacy_entries(spark, sf_dir))
+    rolled, _ = legacy.legacy_day_rollup(legacy_entries(spark, sf_dir))
     return legacy.legacy_defaults(rolled).select(
         "id", "day", "visibility", "author", big("revision").alias("revision")
     )
@@ -740,7 +747,7 @@ def stream_embedding_sync(spark, sf_dir):
     store = corpus.ledger(spark, sf_dir)
     root = new_folder(spark, "sync")
     revisions = store.read("record_revisions")
-    initial = store.read("record_embeddings").limit(0)
+    initial = letter_vectors(store)
     sync = VectorSync(
         spark, root, lambda: (store.read("records"), revisions), letter_model, "letters", "v1", 4, initial
     )
@@ -751,4 +758,4 @@ def stream_embedding_sync(spark, sf_dir):
     )
     sync.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
     pick = [F.round(F.col("vector")[i].cast("double"), 5).alias(f"v{i}") for i in range(4)]
-    return sync.vectors(1_000_000_000).select("record_id", "revision", *pick)
+    return sync.vectors().select("record_id", "revision", *pick)

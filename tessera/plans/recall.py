@@ -21,6 +21,7 @@ from tessera.limits import (
     RRF_K,
 )
 from tessera.operators import dense, views
+from tessera.operators.legacy import visible_revisions
 from tessera.operators.retrieval import QueryBatch, bm25_scores, bm25_topk, few, top_k
 from tessera.operators.textindex import TextIndex
 from tessera.plans.search import EMPTY_RECALL, is_blank
@@ -158,7 +159,8 @@ def evidence(
     scopes = store.read("scopes").select(
         F.col("id").alias("scope_id"), F.col("name").alias("scope_name")
     )
-    revisions = store.read("record_revisions").select(
+    shown_revisions = visible_revisions(store.read("records"), store.read("record_revisions"))
+    revisions = shown_revisions.select(
         "record_id",
         F.col("revision").alias("current_revision"),
         "payload",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
+from tessera.operators.ordering import allocate_ids
 from tessera.operators.retrieval import QueryBatch
 from tessera.sources import corpus
 from tessera.sources.store import LedgerStore
@@ -43,15 +44,17 @@ def assertions(store: LedgerStore) -> tuple[DataFrame, DataFrame]:
 def pair_queries(spark: SparkSession, sf_dir: str, glue: str) -> DataFrame:
     """Whole benchmark texts, cut into consecutive pairs of words."""
     at = F.sequence(F.lit(0), F.size("ws") - 1, F.lit(2))
-    return (
+    pairs = (
         corpus.table(spark, sf_dir, "benchmark")
         .select("item_id", words(F.col("text")).alias("ws"))
         .select("item_id", "ws", F.posexplode(at).alias("part", "start"))
         .select(
-            (F.col("item_id") * 1000 + F.col("part")).alias("query_id"),
+            "item_id",
+            "part",
             F.array_join(F.slice("ws", F.col("start") + 1, F.lit(2)), glue).alias("query"),
         )
     )
+    return allocate_ids(pairs, ["item_id", "part"], 0, "query_id").drop("part")
 
 
 def query_batch(store: LedgerStore) -> QueryBatch:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.payload import MAIN_TEXT
 from tessera.functions.text import words
 from tessera.limits import DIRECT_RELATIONS, KINDS
+from tessera.operators.ordering import allocate_ids
 from tessera.operators.textindex import TextIndex, indexed_documents, write_index
 from tessera.schemas import PAYLOAD
 from tessera.session import new_folder
@@ -49,7 +50,7 @@ def n_documents(spark: SparkSession, sf_dir: str) -> int:
 
 
 def scope_id(source: Column) -> Column:
-    return F.substring(source, 4, 20).cast("bigint") + 1
+    return F.regexp_extract(source, r"^\D*(\d+)$", 1).try_cast("bigint") + 1
 
 
 def payload_of(text: Column) -> Column:
@@ -455,12 +456,13 @@ def queries(spark: SparkSession, sf_dir: str, n_vectors: int) -> DataFrame:
     """Whole benchmark texts, cut into consecutive eight-word queries (query length is limited)."""
     terms = words(F.col("text"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("terms") - 1, F.lit(0)), F.lit(QUERY_WORDS))
-    return (
+    cut_up = (
         table(spark, sf_dir, "benchmark")
         .select("item_id", terms.alias("terms"))
         .select("item_id", "terms", F.posexplode(starts).alias("part", "start"))
         .select(
-            (F.col("item_id") * 1000 + F.col("part")).alias("query_id"),
+            "item_id",
+            "part",
             F.array_join(
                 F.slice("terms", F.col("start") + 1, F.lit(QUERY_WORDS)), " "
             ).alias("query"),
@@ -469,6 +471,9 @@ def queries(spark: SparkSession, sf_dir: str, n_vectors: int) -> DataFrame:
             ((F.col("item_id") * 7 + F.col("part")) % n_vectors).alias("vec_id"),
         )
     )
+    return allocate_ids(cut_up, ["item_id", "part"], 0, "query_id").select(
+        "query_id", "query", "scope_id", "include_global", "vec_id"
+    )
 
 
 def query_vectors(spark: SparkSession, sf_dir: str, n_vectors: int) -> DataFrame:

@@ -107,15 +107,16 @@ class VectorSync:
         self.model = (model, model_revision, dimensions)
         initial.write.mode("overwrite").parquet(f"{root}/vectors/batch=-1")
 
-    def vectors(self, up_to: int) -> DataFrame:
-        """Newest vector per record and model among the batches up to ``up_to``."""
+    def vectors(self, up_to: int | None = None) -> DataFrame:
+        """Newest vector per record and model, of all batches or those up to ``up_to``."""
         rows = self.spark.read.option("basePath", f"{self.root}/vectors").parquet(
             f"{self.root}/vectors"
         )
         columns = [c for c in rows.columns if c != "batch"]
+        if up_to is not None:
+            rows = rows.filter(F.col("batch") <= up_to)
         return (
-            rows.filter(F.col("batch") <= up_to)
-            .groupBy("record_id", "model", "model_revision")
+            rows.groupBy("record_id", "model", "model_revision")
             .agg(F.max_by(F.struct(*columns), "batch").alias("newest"))
             .select("newest.*")
         )
@@ -126,7 +127,9 @@ class VectorSync:
         # Only records of this batch can have become pending.
         changed = records.join(touched.withColumnRenamed("record_id", "id"), "id", "left_semi")
         known = self.vectors(batch_id - 1).join(touched, "record_id", "left_semi")
-        _, outcome = embedding_sync(changed, revisions, known, self.embed, *self.model)
+        _, outcome = embedding_sync(
+            changed, revisions, known, self.embed, *self.model, ledger=records
+        )
         outcome.filter("outcome = 'applied'").drop("outcome", "current_revision").write.mode(
             "overwrite"
         ).parquet(f"{self.root}/vectors/batch={batch_id}")

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.limits import DIRECT_RELATIONS
 from tessera.operators import commands as cmd
 from tessera.operators import ordering, views
 from tests.helpers import payload, rows_of
@@ -183,7 +184,7 @@ def test_intake(spark):
 
 
 def test_relations(spark):
-    kinds = ["references", "mentions", "derived_from", "supports", "contradicts", "summarizes"]
+    kinds = DIRECT_RELATIONS
     rows = [(f"k{i}", T0, i, 1, 2, k) for i, k in enumerate(kinds)]
     rows += [("x", T0, 90, 1, 2, "supports"), ("y", T0, 91, 1, 1, "supports"), ("z", T0, 92, 1, 3, "supports"),
              ("w", T0, 93, 1, 2, "supersedes")]

@@ -10,15 +10,22 @@ def test_day_rollup(spark):
          (4, "2024-01-02", "2024-01-02T09:00:00Z", "2024-01-02T09:00:00Z", "")],
         "id bigint, day string, created_at string, updated_at string, body string",
     )
-    rows = {r["day"]: r for r in legacy.legacy_day_rollup(entries).collect()}
-    first = rows["2024-01-01"]
-    assert (first["id"], first["created_at"], first["updated_at"], first["body"]) == (
-        3, "2024-01-01T08:00:00Z", "2024-01-02T00:00:00Z", "first\n\nsecond")
-    assert rows["2024-01-02"]["body"] == ""
-    parts = legacy.legacy_day_rollup(entries, 5).filter("day = '2024-01-01'").orderBy("part").collect()
-    assert [(r["id"], r["part"]["id"], r["body"]) for r in parts] == [(3, 3, "first"), (3, 9, "second")]
-    exact = legacy.legacy_day_rollup(entries, len("first\n\nsecond")).filter("day = '2024-01-01'").collect()
-    assert [r["part"] for r in exact] == [None]
+    days, parts = legacy.legacy_day_rollup(entries)
+    first = {r["day"]: r for r in days.collect()}["2024-01-01"]
+    assert (first["id"], first["created_at"], first["updated_at"]) == (
+        3, "2024-01-01T08:00:00Z", "2024-01-02T00:00:00Z")
+    assert days.count() == 2
+    got = [tuple(r) for r in parts.orderBy("day", "position").collect()]
+    assert got == [("2024-01-01", 0, 3, "first"), ("2024-01-01", 1, 9, "second")]
+
+
+def test_a_long_day_is_like_any_other(spark):
+    entries = spark.range(3).selectExpr(
+        "id", "'2024-01-01' AS day", "'c' AS created_at", "'u' AS updated_at", "repeat('x', 600000) AS body"
+    )
+    days, parts = legacy.legacy_day_rollup(entries)
+    assert days.count() == 1
+    assert [r[0] for r in parts.orderBy("position").select("entry_id").collect()] == [0, 1, 2]
 
 
 def test_import_hides_private_notes_and_their_links(spark):
@@ -40,3 +47,26 @@ def test_import_hides_private_notes_and_their_links(spark):
     assert shown[3] == "plain"
     assert {r["body"] for r in bodies.filter("record_id = 4").collect()} == {link}
     assert records.filter("id = 4").first()["title"] == "Imported legacy note 4"
+
+
+def test_redaction_wherever_imported_text_is_read(spark, tmp_path):
+    """The label of a link to a hidden record can't be searched, shown, embedded or recalled."""
+    from tessera.operators import dense, textindex
+    from tests.helpers import simple_store
+
+    body = "open words [[note:2|harbour plan]] and [[note:3|lantern list]] end"
+    store = simple_store(
+        spark, tmp_path / "ledger", [("one", body), ("two", "hidden"), ("three", "shown")],
+        override={1: dict(import_metadata="{}"), 2: dict(readable=False)},
+    )
+    records, revisions = store.read("records"), store.read("record_revisions")
+    docs = textindex.indexed_documents(records, revisions)
+    terms = {r["term"] for r in textindex.postings(docs).collect()}
+    assert "lantern" in terms and "harbour" not in terms
+    texts = [r["text"] for r in dense.record_text(records, revisions).collect()]
+    assert any("lantern" in t for t in texts) and not any("harbour" in t for t in texts)
+    changed = records.filter("id = 1")
+    part = dense.record_text(changed, revisions, ledger=records).filter("record_id = 1").first()["text"]
+    assert "lantern" in part and "harbour" not in part
+    shown = {r["record_id"]: r["text"] for r in views.record_document(store).collect()}
+    assert "lantern" in shown[1] and "harbour" not in shown[1]
