@@ -622,7 +622,9 @@ O["created_rows"] = sql("l_docs", """
     UNION ALL SELECT 'state', new_id, 'active|d' || doc_id || ':lifecycle' FROM made""", _creates)
 O["apply_revise"] = sql("l_commands l_records", """SELECT o.key, o.record_id,
     CASE WHEN r.id IS NULL THEN 'invalid' WHEN won THEN 'applied' ELSE 'conflict' END AS outcome,
-    CASE WHEN r.id IS NOT NULL AND won THEN expected_revision + 1 END AS new_revision
+    CASE WHEN r.id IS NULL THEN 'record ' || o.record_id || ' does not exist'
+      WHEN NOT won THEN 'revision conflict: expected ' || expected_revision || ', current ' || cur
+    END AS reason, CASE WHEN r.id IS NOT NULL AND won THEN expected_revision + 1 END AS new_revision
     FROM steps o LEFT JOIN l_records r ON r.id = o.record_id AND r.readable""", """
   o AS (SELECT key, record_id, expected_revision,
       row_number() OVER (PARTITION BY record_id ORDER BY ts, seq) AS nth

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions.text import trim_option, utrim
@@ -18,12 +19,15 @@ from tessera.operators import quality, views
 from tessera.operators.ordering import (
     ORDER,
     allocate_ids,
+    following_value,
+    latest_value,
     previous_value,
     reachable,
     resolve_claims,
     running_sum,
     with_slices,
 )
+from tessera.schemas import SOURCE
 from tessera.session import cut
 
 # Wording of conflicts and reasons.
@@ -40,6 +44,8 @@ NOT_MERGEABLE = "only active records can be merged"
 MERGE_TOO_FEW = "merge requires at least two records"
 OTHER_LIFECYCLE = "use supersede_record or merge_records for that lifecycle"
 CREATED = "record created"
+REVISION_CONFLICT = "revision conflict: expected %d, current %d"
+KIND_CHANGED = "record kind cannot change during revision"
 
 APPLIED, REPLAYED, CONFLICT, INVALID = "applied", "replayed", "conflict", "invalid"
 
@@ -410,25 +416,50 @@ def source_rows(rows: DataFrame, revision: Column) -> DataFrame:
     )
 
 
+def revise_error(columns: list[str]) -> Column:
+    """The first argument rule that a revise command breaks, of the arguments it brings."""
+    brings = set(columns)
+    sources = F.col("sources") if "sources" in brings else F.lit(None).cast(T.ArrayType(SOURCE))
+    rules = [
+        quality.positive("record_id", F.col("record_id")),
+        quality.positive("expected_revision", F.col("expected_revision")),
+    ]
+    if "title" in brings:
+        rules.append(quality.title(F.col("title")))
+    if "reason" in brings:
+        rules.append(quality.reason(F.col("reason")))
+    if "payload" in brings:
+        rules.append(quality.payload(F.col("payload"), sources))
+    return quality.first_error(*rules)
+
+
 def apply_revise(
     commands: DataFrame, records: DataFrame, rows_per_slice: int = 1_000_000
 ) -> DataFrame:
-    """Outcome per revise command; an applied one has its new revision number.
-
-    A command applies when the revision it expects is current. From the current revision on
-    this is a chain: the first command that expects it, then the first later one that expects
-    the next revision, and so on. Commands that no chain can enter are dropped per time slice
-    first; each remaining command points at its successor and the chains are followed by
-    doubling jumps, so neither a hot record nor a long chain is one task's work.
+    """Outcome and reason per revise command; an applied one has its new revision number.
+
+    Argument rules come first, then whether the record is there, then its revision at that point
+    of the batch, then its kind. From the current revision on the applied commands are a chain:
+    the first command that expects it, then the first later one that expects the next revision,
+    and so on. Commands that no chain can enter are dropped per slice first; each remaining
+    command points at its successor and the chains are followed by doubling jumps, so neither a
+    hot record nor a long chain is one task's work.
     """
-    state = _readable(commands, records, "kind", "current_revision")
-    ready = state.filter(
-        F.col("seen") & (F.col("expected_revision") >= F.col("current_revision"))
+    state = _readable(commands, records, "kind", "current_revision").withColumn(
+        "error", revise_error(commands.columns)
+    )
+    judged = state.filter("error IS NULL AND seen")
+    kind_ok = (
+        F.col("payload.kind") == F.col("kind") if "payload" in commands.columns else F.lit(True)
+    )
+    sliced = with_slices(
+        judged.select(
+            "record_id", "expected_revision", "current_revision", kind_ok.alias("kind_ok"), *ORDER
+        ),
+        rows_per_slice,
     )
-    if "payload" in commands.columns:
-        ready = ready.filter(F.col("payload.kind") == F.col("kind"))
-    narrow = with_slices(
-        ready.select("record_id", "expected_revision", "current_revision", *ORDER), rows_per_slice
+    narrow = sliced.filter(
+        F.col("kind_ok") & (F.col("expected_revision") >= F.col("current_revision"))
     )
 
     def levels(rows: DataFrame) -> DataFrame:
@@ -451,40 +482,45 @@ def apply_revise(
         .filter(~F.col("step") & (F.col("before").isNull() | F.col("before")))
         .select(*narrow.columns)
     )
-    backward = (
-        Window.partitionBy("record_id", "level")
-        .orderBy(*[F.desc(c) for c in ORDER])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     target = F.when(~F.col("step"), F.col("seq"))
     nodes = (
-        levels(enterable)
-        .withColumn("next", F.last(target, ignorenulls=True).over(backward))
+        following_value(levels(enterable), ["record_id", "level"], target, "next")
         .filter("step")
         .select(F.col("seq").alias("id"), "next")
     )
     roots = first_per(
         enterable.filter(F.col("expected_revision") == F.col("current_revision")), ["record_id"]
     ).select(F.col("first_seq").alias("id"))
-    won = reachable(nodes, roots).select(F.col("id").alias("seq"), F.lit(True).alias("won"))
-
-    # What a refused command met: the number of accepted commands before it.
-    decided = state.join(won, "seq", "left")
-    kind_ok = (
-        F.col("payload.kind") == F.col("kind") if "payload" in commands.columns else F.lit(True)
-    )
-    outcome = (
-        F.when(F.col("seen").isNull(), INVALID)
-        .when(F.col("won"), APPLIED)
-        .when(~kind_ok & (F.col("expected_revision") == F.col("current_revision")), INVALID)
-        .otherwise(CONFLICT)
-    )
-    return decided.select(
+    won = reachable(nodes, roots).select(F.col("id").alias("seq"), F.lit(1).alias("won"))
+
+    # What a command met: the revision before the batch and the applied commands before it.
+    met = running_sum(
+        sliced.join(won, "seq", "left").withColumn("won", F.coalesce("won", F.lit(0))),
+        ["record_id"],
+        F.col("won"),
+        "done",
+    ).select(
+        "seq",
+        (F.col("won") == 1).alias("won"),
+        (F.col("current_revision") + F.col("done") - F.col("won")).cast("bigint").alias("met"),
+    )
+    refusal = F.when(
+        F.col("met") != F.col("expected_revision"),
+        F.format_string(REVISION_CONFLICT, "expected_revision", "met"),
+    ).otherwise(KIND_CHANGED)
+    return state.join(met, "seq", "left").select(
         "key",
         *ORDER,
         "record_id",
         "expected_revision",
-        outcome.alias("outcome"),
+        F.when(F.col("error").isNotNull() | F.col("seen").isNull(), INVALID)
+        .when(F.col("won"), APPLIED)
+        .when(F.col("met") != F.col("expected_revision"), CONFLICT)
+        .otherwise(INVALID)
+        .alias("outcome"),
+        F.coalesce(
+            "error", F.when(F.col("seen").isNull(), _missing()), F.when(~F.col("won"), refusal)
+        ).alias("reason"),
         F.when(F.col("won"), F.col("expected_revision") + 1).alias("new_revision"),
     )
 
@@ -539,7 +575,7 @@ def apply_labels(
     )
     rows = cut(
         rows.withColumn("before", F.col("after") - F.col("change")).select(
-            "record_id", "label_id", "op", *ORDER, "change", "after", "before"
+            "record_id", "label_id", "op", *ORDER, "slice", "change", "after", "before"
         )
     )
     emptied = (F.col("change") == -1) & (F.col("after") == 0)
@@ -577,36 +613,33 @@ def _kept_labels(rows: DataFrame, risky: DataFrame, adding: Column, emptied: Col
     """Verdicts that differ because a record kept its last label: (seq, fixed)."""
     # A command that would end a span of its own label.
     clearing = adding | (F.col("before") >= 1)
-    by_label = (
-        Window.partitionBy("record_id", "label_id")
-        .orderBy(*[F.desc(c) for c in ORDER])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    at = F.struct(*ORDER)
-    on_risky = rows.join(risky, ["record_id", "label_id"], "left_semi").withColumn(
-        "clear", F.last(F.when(clearing, at), ignorenulls=True).over(by_label)
-    )
-    starts = on_risky.filter(emptied).select("record_id", "label_id", *ORDER, "clear")
+    at = F.struct(*ORDER, "slice")
+    on_risky = following_value(
+        rows.join(risky, ["record_id", "label_id"], "left_semi"),
+        ["record_id", "label_id"],
+        F.when(clearing, at),
+        "clear",
+    )
+    starts = on_risky.filter(emptied).select("record_id", "label_id", *ORDER, "slice", "clear")
+    none = F.lit(None).cast("bigint")
     events = starts.select(
-        "record_id", *ORDER, F.col("seq").alias("start"), F.lit(None).cast("bigint").alias("asks")
+        "record_id", *ORDER, "slice", F.lit(1).alias("turn"), F.col("seq").alias("start"), none.alias("asks")
     ).unionByName(
         starts.filter("clear IS NOT NULL").select(
             "record_id",
             F.col("clear.ts").alias("ts"),
             F.col("clear.seq").alias("seq"),
-            F.lit(None).cast("bigint").alias("start"),
+            F.col("clear.slice").alias("slice"),
+            F.lit(0).alias("turn"),
+            none.alias("start"),
             F.col("seq").alias("asks"),
         )
     )
-    # First start at or after the end of a span. A clearing retraction may itself empty nothing,
-    # so a start never coincides with the command that cleared its own span.
-    by_record = (
-        Window.partitionBy("record_id")
-        .orderBy(*[F.desc(c) for c in ORDER])
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    # First start at or after the end of a span: of one command's events the end comes first. A
+    # clearing retraction may itself empty nothing, so a start never coincides with the command
+    # that cleared its own span.
     nodes = (
-        events.withColumn("next", F.last("start", ignorenulls=True).over(by_record))
+        following_value(events, ["record_id"], F.col("start"), "next", [*ORDER, "turn"])
         .filter("asks IS NOT NULL")
         .select(F.col("asks").alias("id"), "next")
     )
@@ -614,17 +647,23 @@ def _kept_labels(rows: DataFrame, risky: DataFrame, adding: Column, emptied: Col
     kept = starts.join(
         reachable(nodes, roots).select(F.col("id").alias("seq")), "seq", "left_semi"
     )
+    # The spans of a label don't overlap: a command lies in the last one that starts before it.
     spans = kept.select(
-        "record_id",
-        "label_id",
-        F.struct(*ORDER).alias("span_start"),
-        F.col("clear").alias("span_end"),
-    )
+        "seq",
+        F.struct(
+            F.struct(*ORDER).alias("start"),
+            F.when(F.col("clear").isNotNull(), F.struct("clear.ts", "clear.seq")).alias("end"),
+        ).alias("span"),
+    )
+    within = latest_value(
+        rows.join(risky, ["record_id", "label_id"], "left_semi").join(spans, "seq", "left"),
+        ["record_id", "label_id"],
+        F.col("span"),
+        "inside",
+    ).withColumns({"span_start": F.col("inside.start"), "span_end": F.col("inside.end")})
     return (
-        rows.join(risky, ["record_id", "label_id"], "left_semi")
-        .join(spans, ["record_id", "label_id"])
-        .filter(
-            (F.struct(*ORDER) >= F.col("span_start"))
+        within.filter(
+            F.col("inside").isNotNull()
             & (F.col("span_end").isNull() | (F.struct(*ORDER) <= F.col("span_end")))
         )
         .select(

@@ -39,19 +39,18 @@ def allocate_ids(rows: DataFrame, order: list[str], start: int, name: str = "id"
 
 
 def with_slices(commands: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Cut the batch into time slices (column ``slice``) of about equal size.
+    """Cut the batch into slices (column ``slice``) of about equal size, in command order.
 
-    Steps that look at the previous command of a key work on (key, slice) groups, so a key
-    with a third of all commands is spread over all slices.
+    Steps that look at other commands of a key work on (key, slice) groups, so a key with a
+    third of all commands is spread over all slices. Slices are the range partitions of
+    (ts, seq), so a batch with a single timestamp is cut like any other; they are checkpointed,
+    so that a command stays in its slice.
     """
     wanted = -(-commands.count() // rows_per_slice)
     if wanted <= 1:
         return commands.withColumn("slice", F.lit(0))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    steps = [i / wanted for i in range(1, wanted)]
-    edges = commands.select(at.alias("at")).approxQuantile("at", steps, 0.2 / wanted)
-    bounds = F.array(*[F.lit(int(e)).cast("bigint") for e in sorted(set(edges))])
-    return commands.withColumn("slice", F.size(F.filter(bounds, lambda b: b < at)))
+    ranged = cut(commands.repartitionByRange(wanted, *ORDER))
+    return ranged.withColumn("slice", F.spark_partition_id())
 
 
 def previous_value(
@@ -99,6 +98,53 @@ def running_sum(rows: DataFrame, keys: list[str], value: Column, name: str) -> D
     )
 
 
+def latest_value(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """The last non-null ``value`` up to and including each row, per key in command order."""
+    local = Window.partitionBy(*keys, "slice").orderBy(*ORDER).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (
+        rows.groupBy(*keys, "slice")
+        .agg(F.max(F.when(value.isNotNull(), F.struct(*ORDER, value.alias("value")))).alias("_last"))
+        .withColumn("_carry", F.last("_last.value", ignorenulls=True).over(earlier))
+        .drop("_last")
+    )
+    return (
+        rows.withColumn("_local", F.last(value, ignorenulls=True).over(local))
+        .join(ends, [*keys, "slice"])
+        .withColumn(name, F.coalesce("_local", "_carry"))
+        .drop("_local", "_carry")
+    )
+
+
+def following_value(
+    rows: DataFrame, keys: list[str], value: Column, name: str, order: list[str] = ORDER
+) -> DataFrame:
+    """The first non-null ``value`` of a later row, per key in command order; null if there is
+    none."""
+    local = (
+        Window.partitionBy(*keys, "slice")
+        .orderBy(*[F.desc(c) for c in order])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    later = (
+        Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = (
+        rows.groupBy(*keys, "slice")
+        .agg(F.min(F.when(value.isNotNull(), F.struct(*order, value.alias("value")))).alias("_first"))
+        .withColumn("_carry", F.last("_first.value", ignorenulls=True).over(later))
+        .drop("_first")
+    )
+    return (
+        rows.withColumn("_local", F.last(value, ignorenulls=True).over(local))
+        .join(starts, [*keys, "slice"])
+        .withColumn(name, F.coalesce("_local", "_carry"))
+        .drop("_local", "_carry")
+    )
+
+
 def reachable(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Ids on the chains that start at ``roots``.
 

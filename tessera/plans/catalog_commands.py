@@ -221,7 +221,7 @@ def apply_revise(spark, sf_dir):
         "current_revision", F.lit(1).cast("bigint")
     )
     return cmd.apply_revise(issued(spark, sf_dir, "revise_record"), records).select(
-        "key", "record_id", "outcome", "new_revision"
+        "key", "record_id", "outcome", "reason", "new_revision"
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.limits import DIRECT_RELATIONS
 from tessera.operators import commands as cmd
 from tessera.operators import ordering, views
+from tessera.schemas import PAYLOAD, SOURCE
 from tests.helpers import payload, rows_of
 
 T0 = dt.datetime(2026, 1, 1)
@@ -54,6 +55,38 @@ def test_revise_against_replay(spark, slice_rows):
     assert max(r["new_revision"] or 0 for r in got.filter("record_id = 2").collect()) == current[2]
 
 
+@pytest.mark.parametrize("slice_rows", [1_000_000, 9])
+def test_revise_in_full_against_replay(spark, slice_rows):
+    """Argument rules, revision before kind, one timestamp, half of all commands on one record."""
+    rng = random.Random(slice_rows)
+    current, rows, want = dict.fromkeys(range(1, 5), 1), [], {}
+    for seq in range(120):
+        record = 1 if rng.random() < 0.5 else rng.randint(1, 5)
+        expected = rng.choice([current.get(record, 1), current.get(record, 1) - 1, rng.randint(1, 6)])
+        kind, body = rng.choice(["note", "note", "idea"]), rng.choice(["text", "text", " "])
+        title = rng.choice(["t", "t", "t", ""])
+        p = payload(kind, body=body) if kind == "note" else payload(kind, proposal=body)
+        rows.append((f"k{seq}", T0, seq, record, expected, title, "why", p, []))
+        if expected < 1 or not title or body == " ":
+            want[seq] = ("invalid", None)
+        elif record not in current:
+            want[seq] = ("invalid", f"record {record} does not exist")
+        elif current[record] != expected:
+            want[seq] = ("conflict", f"revision conflict: expected {expected}, current {current[record]}")
+        elif kind != "note":
+            want[seq] = ("invalid", cmd.KIND_CHANGED)
+        else:
+            current[record] += 1
+            want[seq] = ("applied", None)
+    schema = (f"key string, ts timestamp_ntz, seq bigint, record_id bigint, expected_revision bigint, title string, "
+              f"reason string, payload {PAYLOAD.simpleString()}, sources array<{SOURCE.simpleString()}>")
+    got = cmd.apply_revise(spark.createDataFrame(rows, schema), records(spark, 4, revision=dict.fromkeys(range(1, 5), 1)), slice_rows)
+    for r in got.collect():
+        outcome, reason = want[r["seq"]]
+        assert r["outcome"] == outcome, (r, want[r["seq"]])
+        assert reason is None or r["reason"] == reason
+
+
 @pytest.mark.parametrize(("seed", "slice_rows"), [(1, 1_000_000), (2, 60), (3, 25)])
 def test_labels_against_replay(spark, seed, slice_rows):
     rng = random.Random(seed)
