@@ -21,7 +21,11 @@ SAMPLE = 20_000
 SAMPLE_FEATURES = 4096
 #: The model takes the FEATURES buckets whose share of documents differs most between two grades,
 #: if by MIN_Z standard errors and found in MIN_DOCS documents of the sample.
-FEATURES, MIN_DOCS, MIN_Z = 1000, 5, 4.0
+FEATURES, MIN_DOCS, MIN_Z = 300, 5, 4.0
+#: … and no more than one feature for so many documents of the sample.
+SAMPLE_PER_FEATURE = 20
+#: Weight of the penalty on large weights.
+DECAY = 3e-5
 PREFIXES = (4, 5, 6, 7)
 #: Documents are kept from this probability of the wanted grade on.
 TAIL = 0.5
@@ -99,57 +103,75 @@ def screened(rows: list[np.ndarray], grades: np.ndarray, k: int) -> np.ndarray:
             error = np.sqrt(share * (1 - share) * (1 / sizes[a] + 1 / sizes[b]))
             gap = np.abs(counts[a] / sizes[a] - counts[b] / sizes[b])
             most = np.maximum(most, np.where(both >= MIN_DOCS, gap / error, 0))
-    best = np.argsort(-most, kind="stable")[:FEATURES]
+    best = np.argsort(-most, kind="stable")[: min(FEATURES, len(rows) // SAMPLE_PER_FEATURE)]
     return np.sort(best[most[best] > MIN_Z])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-5) -> Model:
-    """Maximum likelihood by gradient steps with momentum; deterministic.
+def fit(rows: list[np.ndarray], grades: np.ndarray, decay: float = DECAY, steps: int = 50) -> Model:
+    """Maximum likelihood with a penalty of decay / 2 * n * |weights|^2, by Newton's method.
 
-    Grades are 0 … K-1. Without rows, or with one grade only, no feature has a weight and the
-    thresholds give each grade its smoothed share.
+    The likelihood of ordered thresholds under a logistic link is concave, so halved Newton steps
+    reach its only maximum. Grades are 0 ... K-1. Without rows, or with one grade only, no feature
+    has a weight and the thresholds give each grade its smoothed share.
     """
     k = max(2, int(grades.max()) + 1) if len(grades) else 2
     shares = np.cumsum(np.bincount(grades, minlength=k) + 1.0)[:-1] / (len(grades) + k)
-    start = np.log(shares / (1 - shares))
+    limits = np.log(shares / (1 - shares))
     weights = np.zeros(BUCKETS)
     ids = screened(rows, grades, k) if len(rows) else np.empty(0, np.int64)
     if not len(ids):
-        return Model(weights, start)
-    new = np.full(BUCKETS, -1)
-    new[ids] = np.arange(len(ids))
-    own = [new[r][new[r] >= 0] for r in rows]
-    at = np.concatenate(own)
-    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        return Model(weights, limits)
     n, size = len(rows), len(ids)
-    # gaps between thresholds are exponentials, so the thresholds stay in order
-    p = np.r_[np.zeros(size), start[:1], np.log(np.maximum(np.diff(start), 1e-3))]
-    mean, square = np.zeros_like(p), np.zeros_like(p)
-    for step in range(1, steps + 1):
-        gaps = np.exp(p[size + 1 :])
-        limits = p[size] + np.r_[0.0, np.cumsum(gaps)]
-        score = np.bincount(row, weights=p[at], minlength=n)
-        below = _sigmoid(limits[None, :] - score[:, None])
-        edges = np.c_[np.zeros(n), below, np.ones(n)]
-        slope = edges * (1 - edges)
-        each = np.arange(n)
-        likely = np.maximum(edges[each, grades + 1] - edges[each, grades], 1e-9) * n
-        up, down = slope[each, grades + 1] / likely, slope[each, grades] / likely
-        by_limit = np.zeros(k + 1)
-        np.add.at(by_limit, grades + 1, -up)
-        np.add.at(by_limit, grades, down)
-        by_limit = by_limit[1:k]
-        tail = np.cumsum(by_limit[::-1])[::-1]
-        slopes = np.r_[
-            np.bincount(at, weights=(up - down)[row], minlength=size) + decay * p[:size],
-            tail[0],
-            tail[1:] * gaps,
-        ]
-        mean = 0.9 * mean + 0.1 * slopes
-        square = 0.999 * square + 0.001 * slopes * slopes
-        p -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
-    weights[ids] = p[:size]
-    return Model(weights, p[size] + np.r_[0.0, np.cumsum(np.exp(p[size + 1 :]))])
+    new = np.full(BUCKETS, -1)
+    new[ids] = np.arange(size)
+    has = np.zeros((n, size), np.float32)
+    for i, r in enumerate(rows):
+        at = new[r]
+        has[i, at[at >= 0]] = 1
+    # the limits above and below a row's grade, as columns; the outermost are infinite
+    above, below = np.eye(k + 1)[grades + 1][:, 1:k], np.eye(k + 1)[grades][:, 1:k]
+    w = np.zeros(size)
+
+    def at_limits(w: np.ndarray, limits: np.ndarray):
+        score = has @ w
+        edges = np.r_[-np.inf, limits, np.inf]
+        high, low = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
+        high, low = np.where(grades == k - 1, 1.0, high), np.where(grades == 0, 0.0, low)
+        likely = np.maximum(high - low, 1e-12)
+        if k > 2 and (np.diff(limits) <= 0).any():
+            return np.inf, high, low, likely
+        return -np.log(likely).sum() + decay / 2 * n * (w @ w), high, low, likely
+
+    loss, high, low, likely = at_limits(w, limits)
+    for _ in range(steps):
+        up, down = high * (1 - high) / likely, low * (1 - low) / likely
+        slope = np.r_[-has.T @ (down - up) + decay * n * w, below.T @ down - above.T @ up]
+        up_up, down_down = up * up - up * (1 - 2 * high), down * down + down * (1 - 2 * low)
+        both = -up * down
+        total = up_up + down_down + 2 * both
+        by_limit = above * (up_up + both)[:, None] + below * (down_down + both)[:, None]
+        curve = np.zeros((size + k - 1, size + k - 1))
+        curve[:size, :size] = has.T @ (has * total[:, None].astype(np.float32)) + decay * n * np.eye(size)
+        curve[:size, size:] = -has.T @ by_limit
+        curve[size:, :size] = curve[:size, size:].T
+        curve[size:, size:] = above.T @ (above * up_up[:, None]) + below.T @ (below * down_down[:, None])
+        cross = above.T @ (below * both[:, None])
+        curve[size:, size:] += cross + cross.T + 1e-9 * n * np.eye(k - 1)
+        step = np.linalg.solve(curve, slope)
+        for _ in range(30):
+            tried = at_limits(w - step[:size], limits - step[size:])
+            if tried[0] <= loss:
+                break
+            step /= 2
+        else:
+            break
+        gain = loss - tried[0]
+        w, limits = w - step[:size], limits - step[size:]
+        loss, high, low, likely = tried
+        if gain < 1e-7 * n:
+            break
+    weights[ids] = w
+    return Model(weights, limits)
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: str = GRADE, sample: int = SAMPLE) -> Model:

@@ -100,7 +100,7 @@ def test_slopes_of_the_fit():
     strength = rng.standard_normal(40) * 2
     score = np.array([strength[r].sum() for r in rows]) + rng.logistic(size=600)
     grade = np.digitize(score, [-2.0, 0.5, 3.0])
-    model = grades.fit(rows, grade, steps=3000, rate=0.02, decay=0.0)
+    model = grades.fit(rows, grade, decay=0.0)
     assert (np.diff(model.thresholds) > 0).all()
 
     def loss(weights, thresholds):
