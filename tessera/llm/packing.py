@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, map_batches, table
+from tessera.llm.common import keyed, map_batches, table, utf8
 from tessera.session import cut
 
 WINDOW = 2048
@@ -19,16 +18,17 @@ WINDOW = 2048
 END = 1
 #: Pieces that one task packs.
 SHARD_PIECES = 20_000
-#: Parts of texts whose ids a worker remembers.
-REMEMBERED = 200_000
-
-_PARTS = re.compile(r"[^ \t\r\n]+")
+#: Words whose ids a worker remembers, and text that one task should see at least: the tokenizer
+#: is asked once per distinct word and task, so small tasks ask for the same words again and again.
+REMEMBERED = 1_000_000
+TASK_BYTES = 256 << 20
 
 
 class Tokens(dict):
-    """Ids (little-endian unsigned 32-bit) of a text's parts between blanks.
+    """Ids (little-endian unsigned 32-bit) of a text's words between blanks.
 
-    Right for tokenizers that drop white space and never look across it, as word_bpe_49k does.
+    Right for tokenizers that lower-case, drop white space and never look across it, as
+    word_bpe_49k does.
     """
 
     def __init__(self, path: str):
@@ -37,17 +37,20 @@ class Tokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         found = np.array(ids, "<u4").tobytes()
-        if len(part) < 100:
-            self[part] = found
+        if len(word) < 100:
+            self[word] = found
         return found
 
-    def of(self, text: str | None) -> bytes:
-        return b"".join([self[p] for p in _PARTS.findall(text or "")])
+    def of(self, text: bytes | None) -> bytes:
+        text = text or b""
+        if b"<|" not in text:  # special tokens are found in the text as it stands
+            text = text.lower()
+        return b"".join([self[word] for word in text.split()])
 
 
 class OpenWindows:
@@ -103,13 +106,18 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every document cut into windows."""
+    """(doc_id, start, length, ids_crc32, doc_tokens) of every document cut into windows.
+
+    Small partitions of the input are read together, as long as all cores have one.
+    """
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
                 ids = tokens.of(text) + np.array([END], "<u4").tobytes()
                 total = len(ids) // 4
                 for start in range(0, total, window):
