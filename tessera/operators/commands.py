@@ -298,15 +298,8 @@ def apply_create_label(
     )
 
 
-def apply_create_record(
-    commands: DataFrame, scopes: DataFrame, labels: DataFrame, start_id: int
-) -> dict[str, DataFrame]:
-    """Validated create commands fanned out to the tables they write.
-
-    Commands carry scope_id, title, payload, sources and label_ids. The result has the new
-    ``records``, ``revisions``, ``sources``, ``assertions``, ``transitions`` and the
-    ``outcomes``.
-    """
+def record_errors(commands: DataFrame, scopes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, ts, seq, error): the first rule that a command's new record breaks, else null."""
     error = quality.record(
         F.col("scope_id"), F.col("title"), F.col("label_ids"), F.col("payload"), F.col("sources")
     )
@@ -319,8 +312,7 @@ def apply_create_record(
         .withColumn("bad_label", F.lit(True))
     )
     known_scope = scopes.select(F.col("id").alias("scope_id"), F.lit(True).alias("known_scope"))
-    # Rules run once; what is kept and ordered is one narrow row per command.
-    verdicts = cut(
+    return (
         commands.select("key", *ORDER, "scope_id", error.alias("error"))
         .join(known_scope, "scope_id", "left")
         .join(unknown_label, "seq", "left")
@@ -337,6 +329,19 @@ def apply_create_record(
             ).alias("error"),
         )
     )
+
+
+def apply_create_record(
+    commands: DataFrame, scopes: DataFrame, labels: DataFrame, start_id: int
+) -> dict[str, DataFrame]:
+    """Validated create commands fanned out to the tables they write.
+
+    Commands carry scope_id, title, payload, sources and label_ids. The result has the new
+    ``records``, ``revisions``, ``sources``, ``assertions``, ``transitions`` and the
+    ``outcomes``.
+    """
+    # Rules run once; what is kept and ordered is one narrow row per command.
+    verdicts = cut(record_errors(commands, scopes, labels))
     ids = allocate_ids(
         verdicts.filter("error IS NULL").select(*ORDER), ORDER, start_id, "record_id"
     ).select("seq", "record_id")
@@ -351,6 +356,11 @@ def apply_create_record(
     return {**fan_out(created), "outcomes": outcomes}
 
 
+def who(rows: DataFrame) -> list[Column]:
+    """The provenance columns that commands bring."""
+    return [F.col(c) for c in ("actor", "thread", "client") if c in rows.columns]
+
+
 def fan_out(created: DataFrame) -> dict[str, DataFrame]:
     """Ledger rows of new records; ``created`` holds one row per record with its id."""
     records = created.select(
@@ -363,6 +373,7 @@ def fan_out(created: DataFrame) -> dict[str, DataFrame]:
         F.lit(True).alias("readable"),
         F.col("ts").alias("created_at"),
         F.col("ts").alias("updated_at"),
+        *who(created),
         F.col("key").alias("idempotency_key"),
     )
     revisions = created.select(
@@ -372,6 +383,7 @@ def fan_out(created: DataFrame) -> dict[str, DataFrame]:
         "payload",
         F.lit(CREATED).alias("reason"),
         F.col("ts").alias("created_at"),
+        *who(created),
         F.col("key").alias("idempotency_key"),
     )
     assertions = created.select(
@@ -380,6 +392,8 @@ def fan_out(created: DataFrame) -> dict[str, DataFrame]:
         F.lit(CREATED).alias("reason"),
         "key",
         "ts",
+        F.col("ts").alias("created_at"),
+        *who(created),
     ).withColumn("idempotency_key", F.concat_ws(":", "key", F.lit("label"), "label_id"))
     transitions = created.select(
         "record_id",
@@ -387,6 +401,7 @@ def fan_out(created: DataFrame) -> dict[str, DataFrame]:
         F.lit("active").alias("to_state"),
         F.lit(CREATED).alias("reason"),
         F.col("ts").alias("created_at"),
+        *who(created),
         F.concat(F.col("key"), F.lit(":lifecycle")).alias("idempotency_key"),
     )
     return {
@@ -677,10 +692,34 @@ def _kept_labels(rows: DataFrame, risky: DataFrame, adding: Column, emptied: Col
     )
 
 
-def apply_add_relation(
+def apply_relations(
     commands: DataFrame, records: DataFrame, relations: DataFrame, retractions: DataFrame
 ) -> DataFrame:
-    """Outcome per add_relation command (record_id, target_record_id, relation_kind)."""
+    """Outcome per add_relation and retract_relation command, all in one order.
+
+    A retraction names a stored edge; from there on the edge may be added again.
+    """
+    asks = {op: commands.filter(F.col("op") == op) for op in ("add_relation", "retract_relation")}
+    ended = apply_retract_relation(asks["retract_relation"], records, relations, retractions)
+    released = ended.filter(F.col("outcome") == APPLIED).select(
+        "relation_id", F.struct(*ORDER).alias("released")
+    )
+    added = apply_add_relation(asks["add_relation"], records, relations, retractions, released)
+    columns = ["key", *ORDER, "outcome", "reason"]
+    return added.select(*columns).unionByName(ended.select(*columns))
+
+
+def apply_add_relation(
+    commands: DataFrame,
+    records: DataFrame,
+    relations: DataFrame,
+    retractions: DataFrame,
+    released: DataFrame | None = None,
+) -> DataFrame:
+    """Outcome per add_relation command (record_id, target_record_id, relation_kind).
+
+    ``released`` says when the batch itself retracts stored edges: (relation_id, released).
+    """
     edge = ["record_id", "target_record_id", "relation_kind"]
     target = narrowed(records.filter("readable"), "id", commands, "target_record_id").select(
         F.col("id").alias("target_record_id"), F.lit(True).alias("target_seen")
@@ -697,17 +736,24 @@ def apply_add_relation(
         )
     )
     near = narrowed(relations, "source_record_id", commands, "record_id")
-    taken = views.active_edges(near, retractions).select(
+    active = views.active_edges(near, retractions)
+    if released is None:
+        active = active.withColumn("released", F.lit(None).cast("struct<ts:timestamp_ntz,seq:bigint>"))
+    else:
+        active = active.join(released.withColumnRenamed("relation_id", "id"), "id", "left")
+    taken = active.groupBy(
         F.col("source_record_id").alias("record_id"),
         "target_record_id",
         F.col("kind").alias("relation_kind"),
+    ).agg(
+        F.max("released").alias("free_after"),
+        F.max(F.col("released").isNull()).alias("stays"),
     )
     # One row per edge decides it, so a command asked for by many is still one comparison.
-    firsts = (
-        first_per(judged.filter("error IS NULL"), edge)
-        .join(taken, edge, "left_anti")
-        .select(F.col("first_seq").alias("seq"), F.lit(True).alias("won"))
-    )
+    open_for = F.col("stays").isNull() | (~F.col("stays") & (F.struct(*ORDER) > F.col("free_after")))
+    firsts = first_per(
+        judged.filter("error IS NULL").join(taken, edge, "left").filter(open_for), edge
+    ).select(F.col("first_seq").alias("seq"), F.lit(True).alias("won"))
     return judged.join(firsts, "seq", "left").select(
         "key",
         *ORDER,
@@ -784,8 +830,8 @@ def _targets(commands: DataFrame, records: DataFrame) -> DataFrame:
 def resolve_endings(commands: DataFrame, records: DataFrame) -> DataFrame:
     """Outcome of commands that end records: supersede (one record) and merge (several).
 
-    All records of a command must be active when it runs, and all end with it. Shared records
-    are settled in rounds.
+    All records of a command must be active when it runs, and all end with it. If no command
+    has more than one, the first per record wins; else shared records are settled in rounds.
     """
     targets = _targets(commands, records)
     per_command = targets.groupBy("seq").agg(
@@ -793,7 +839,13 @@ def resolve_endings(commands: DataFrame, records: DataFrame) -> DataFrame:
         F.min(F.col("lifecycle") == "active").alias("all_active"),
     )
     open_commands = per_command.filter("missing_id IS NULL AND all_active").select("seq")
-    claims = targets.join(open_commands, "seq", "left_semi").select(
+    open_targets = targets.join(open_commands, "seq", "left_semi")
+    if commands.filter(F.size("record_ids") > 1).isEmpty():
+        won = first_per(open_targets, ["record_id"]).select(
+            F.col("first_seq").alias("seq"), F.lit(True).alias("won")
+        )
+        return per_command.join(won, "seq", "left")
+    claims = open_targets.select(
         F.col("seq").alias("command"),
         F.struct(*ORDER).alias("ord"),
         F.col("record_id").alias("resource"),
@@ -806,39 +858,76 @@ def resolve_endings(commands: DataFrame, records: DataFrame) -> DataFrame:
     return per_command.join(won, "seq", "left")
 
 
-def _endings(
-    commands: DataFrame, records: DataFrame, start_id: int, error: Column, conflict: str
-) -> tuple[DataFrame, DataFrame]:
-    judged = commands.withColumn("error", error)
-    settled = cut(resolve_endings(judged.filter("error IS NULL"), records))
-    order = judged.select(*ORDER).join(settled.filter("won").select("seq"), "seq", "left_semi")
-    ids = allocate_ids(order, ORDER, start_id, "new_id").select("seq", "new_id")
-    created = judged.drop("error").join(ids, "seq")
-    outcomes = (
-        judged.join(settled, "seq", "left")
-        .join(ids, "seq", "left")
-        .select(
-            "key",
-            *ORDER,
-            F.when(F.col("error").isNotNull() | F.col("missing_id").isNotNull(), INVALID)
-            .when(F.col("won"), APPLIED)
-            .otherwise(CONFLICT)
-            .alias("outcome"),
-            F.coalesce(
-                "error",
-                F.when(F.col("missing_id").isNotNull(), _missing("missing_id")),
-                F.when(F.col("won").isNull(), conflict),
-            ).alias("reason"),
-            F.col("new_id").alias("result_id"),
-        )
+def apply_endings(commands: DataFrame, records: DataFrame) -> DataFrame:
+    """Outcome of all commands that end records, in one order: transition_record,
+    supersede_record and merge_records compete for the same active records.
+
+    ``commands`` has ``op``, ``record_ids`` (the records it would end) and ``error``, an argument
+    rule it breaks.
+    """
+    settled = cut(resolve_endings(commands.filter("error IS NULL"), records))
+    conflict = (
+        F.when(F.col("op") == "supersede_record", NOT_SUPERSEDABLE)
+        .when(F.col("op") == "merge_records", NOT_MERGEABLE)
+        .otherwise(NOT_ACTIVE)
+    )
+    return commands.join(settled, "seq", "left").select(
+        "key",
+        *ORDER,
+        F.when(F.col("error").isNotNull() | F.col("missing_id").isNotNull(), INVALID)
+        .when(F.col("won"), APPLIED)
+        .otherwise(CONFLICT)
+        .alias("outcome"),
+        F.coalesce(
+            "error",
+            F.when(F.col("missing_id").isNotNull(), _missing("missing_id")),
+            F.when(F.col("won").isNull(), conflict),
+        ).alias("reason"),
+    )
+
+
+def _endings(commands: DataFrame, records: DataFrame, start_id: int) -> tuple[DataFrame, DataFrame]:
+    """(commands that ended records, with the id of their new record; outcomes)."""
+    outcomes = cut(apply_endings(commands, records))
+    won = outcomes.filter(F.col("outcome") == APPLIED).select(*ORDER)
+    ids = allocate_ids(won, ORDER, start_id, "new_id").select("seq", "new_id")
+    created = commands.drop("error").join(ids, "seq")
+    return created, outcomes.join(ids.withColumnRenamed("new_id", "result_id"), "seq", "left")
+
+
+def _replacement_error(
+    commands: DataFrame, own: Column, scopes: DataFrame | None, labels: DataFrame | None
+) -> DataFrame:
+    """``commands`` with ``error``: its own argument rule, then those of the new record it brings."""
+    judged = commands.withColumn("error", own)
+    if "payload" not in commands.columns:
+        return judged
+    errors = record_errors(commands, scopes, labels).select("seq", F.col("error").alias("_new_error"))
+    return (
+        judged.join(errors, "seq")
+        .withColumn("error", F.coalesce("error", "_new_error"))
+        .drop("_new_error")
+    )
+
+
+def _new_records(created: DataFrame) -> dict[str, DataFrame]:
+    """Rows of the replacements, if the commands bring them."""
+    if "payload" not in created.columns:
+        return {}
+    made = fan_out(
+        created.withColumn("record_id", F.col("new_id")).withColumn("title", utrim(F.col("title")))
     )
-    return created, outcomes
+    return {("created_transitions" if k == "transitions" else k): v for k, v in made.items()}
 
 
 def _ending_rows(created: DataFrame, to_state: str, kind: str, into: bool) -> dict[str, DataFrame]:
     """Edges and transitions of the records that ``created`` commands ended."""
-    ended = created.select("key", *ORDER, "new_id", F.explode("record_ids").alias("old_id"))
+    reason = [utrim(F.col("reason")).alias("reason")] if "reason" in created.columns else []
+    ended = created.select(
+        "key", *ORDER, *who(created), *reason, "new_id", F.explode("record_ids").alias("old_id")
+    )
     source, target = ("old_id", "new_id") if into else ("new_id", "old_id")
+    provenance = [*(["reason"] if reason else []), F.col("ts").alias("created_at"), *who(created)]
     edges = ended.select(
         F.col(source).alias("source_record_id"),
         F.col(target).alias("target_record_id"),
@@ -846,37 +935,58 @@ def _ending_rows(created: DataFrame, to_state: str, kind: str, into: bool) -> di
         F.concat_ws(":", "key", F.lit("relation"), source, target, F.lit(kind)).alias(
             "idempotency_key"
         ),
+        *provenance,
     )
     transitions = ended.select(
         F.col("old_id").alias("record_id"),
         F.lit("active").alias("from_state"),
         F.lit(to_state).alias("to_state"),
         F.concat_ws(":", "key", F.lit("lifecycle"), "old_id").alias("idempotency_key"),
+        *provenance,
     )
     return {"edges": edges, "transitions": transitions}
 
 
 def apply_supersede(
-    commands: DataFrame, records: DataFrame, start_id: int
+    commands: DataFrame,
+    records: DataFrame,
+    start_id: int,
+    scopes: DataFrame | None = None,
+    labels: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Supersede commands (record_id and the replacement's fields): the replacement is a new
-    record with an edge to the old one, which becomes superseded."""
-    single = commands.withColumn("record_ids", F.array("record_id"))
-    created, outcomes = _endings(
-        single, records, start_id, F.lit(None).cast("string"), NOT_SUPERSEDABLE
+    """Supersede commands: a new record replaces record_id, which becomes superseded.
+
+    Commands with scope_id, title, payload, sources and label_ids bring the replacement: its rules
+    are checked against ``scopes`` and ``labels``, and its rows are in the result. The first valid
+    command on an active record wins, without rounds.
+    """
+    single = _replacement_error(
+        commands.withColumns({"op": F.lit("supersede_record"), "record_ids": F.array("record_id")}),
+        F.lit(None).cast("string"),
+        scopes,
+        labels,
     )
+    created, outcomes = _endings(single, records, start_id)
     rows = _ending_rows(created, "superseded", "supersedes", into=False)
-    return {"created": created, "outcomes": outcomes, **rows}
+    return {"created": created, "outcomes": outcomes, **rows, **_new_records(created)}
 
 
-def apply_merge(commands: DataFrame, records: DataFrame, start_id: int) -> dict[str, DataFrame]:
-    """Merge commands (record_ids and the aggregate's fields): each input gets an edge to the
-    new aggregate and becomes merged; all inputs or none."""
-    distinct = commands.withColumn("record_ids", F.array_distinct("record_ids"))
-    error = quality.first_error(
+def apply_merge(
+    commands: DataFrame,
+    records: DataFrame,
+    start_id: int,
+    scopes: DataFrame | None = None,
+    labels: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Merge commands (record_ids): each input gets an edge to a new record and becomes merged;
+    all inputs or none. The new record's fields are as in :func:`apply_supersede`."""
+    distinct = commands.withColumns(
+        {"op": F.lit("merge_records"), "record_ids": F.array_distinct("record_ids")}
+    )
+    own = quality.first_error(
         quality.ids("record_ids", F.col("record_ids")),
         quality.error_if(F.size("record_ids") < 2, MERGE_TOO_FEW),
     )
-    created, outcomes = _endings(distinct, records, start_id, error, NOT_MERGEABLE)
+    created, outcomes = _endings(_replacement_error(distinct, own, scopes, labels), records, start_id)
     rows = _ending_rows(created, "merged", "merged_into", into=True)
-    return {"created": created, "outcomes": outcomes, **rows}
+    return {"created": created, "outcomes": outcomes, **rows, **_new_records(created)}

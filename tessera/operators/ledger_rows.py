@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import utrim
-from tessera.operators.commands import APPLIED, source_rows
+from tessera.operators.commands import APPLIED, source_rows, who
 from tessera.operators.ordering import ORDER, allocate_ids, previous_value, with_slices
 
 
@@ -16,10 +16,10 @@ def applied(commands: DataFrame, outcomes: DataFrame, *columns: str) -> DataFram
     return commands.join(won, "seq")
 
 
-def _provenance(key: Column | str = "key") -> list[Column]:
+def _provenance(rows: DataFrame, key: Column | str = "key") -> list[Column]:
     return [
         F.col("ts").alias("created_at"),
-        F.col("actor"),
+        *who(rows),
         (F.col(key) if isinstance(key, str) else key).alias("idempotency_key"),
     ]
 
@@ -33,7 +33,7 @@ def new_revisions(commands: DataFrame, outcomes: DataFrame) -> tuple[DataFrame,
         utrim(F.col("title")).alias("title"),
         "payload",
         utrim(F.col("reason")).alias("reason"),
-        *_provenance(),
+        *_provenance(rows),
     )
     return revisions, source_rows(rows, F.col("new_revision"))
 
@@ -43,7 +43,7 @@ def new_assertions(commands: DataFrame, outcomes: DataFrame, start_id: int) -> D
     rows = applied(commands.filter("op = 'add_label'"), outcomes)
     return allocate_ids(
         rows.select("record_id", "label_id", utrim(F.col("reason")).alias("reason"), "key",
-                    "actor", *ORDER),
+                    *who(rows), *ORDER),
         ORDER,
         start_id,
     )
@@ -72,9 +72,8 @@ def new_label_retractions(
     ).join(in_force.select(*pair, F.col("assertion_id").alias("standing")), pair, "left")
     paired = previous_value(events, pair, F.col("assertion_id"), "ends", F.col("standing"))
     named = paired.filter("assertion_id IS NULL").select("seq", F.col("ends").alias("assertion_id"))
-    return commands.join(named, "seq").select(
-        "assertion_id", utrim(F.col("reason")).alias("reason"), *_provenance()
-    )
+    rows = commands.join(named, "seq")
+    return rows.select("assertion_id", utrim(F.col("reason")).alias("reason"), *_provenance(rows))
 
 
 def new_relations(commands: DataFrame, outcomes: DataFrame, start_id: int) -> DataFrame:
@@ -89,24 +88,24 @@ def new_relations(commands: DataFrame, outcomes: DataFrame, start_id: int) -> Da
         "target_record_id",
         F.col("relation_kind").alias("kind"),
         utrim(F.col("reason")).alias("reason"),
-        *_provenance(key),
+        *_provenance(made, key),
     )
 
 
 def new_relation_retractions(commands: DataFrame, outcomes: DataFrame) -> DataFrame:
-    return applied(commands, outcomes).select(
-        "relation_id", utrim(F.col("reason")).alias("reason"), *_provenance()
-    )
+    rows = applied(commands, outcomes)
+    return rows.select("relation_id", utrim(F.col("reason")).alias("reason"), *_provenance(rows))
 
 
 def new_transitions(commands: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Transitions of applied transition commands."""
-    return applied(commands, outcomes).select(
+    rows = applied(commands, outcomes)
+    return rows.select(
         "record_id",
         F.lit("active").alias("from_state"),
         F.lit("retracted").alias("to_state"),
         utrim(F.col("reason")).alias("reason"),
-        *_provenance(F.concat_ws(":", "key", F.lit("lifecycle"), "record_id")),
+        *_provenance(rows, F.concat_ws(":", "key", F.lit("lifecycle"), "record_id")),
     )
 
 

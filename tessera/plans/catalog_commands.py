@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions.fences import fence_scan
 from tessera.functions.text import trim_option
 from tessera.limits import BUDGET_DEFAULT
+from tessera.operators import batch
 from tessera.operators import commands as cmd
 from tessera.operators import ledger_rows as rows_of
 from tessera.operators import legacy, ordering, quality, views
 from tessera.plans.registry import QUERIES, assertions, big, query
 from tessera.plans.catalog_recall import letter_model, letter_vectors
+from tessera.schemas import SOURCE
 from tessera.session import new_folder
 from tessera.sources import corpus
 from tessera.streaming.intake import CommandIntake, VectorSync
@@ -721,6 +723,69 @@ def fence_scan_(spark, sf_dir):
 QUERIES["fence_scan"] = QUERIES.pop("fence_scan_")
 
 
+# Whole batches
+
+
+def _batch(spark, sf_dir):
+    """(delivered commands of all operations, tables before): records are active at revision 1,
+    and a third of the revise commands has used its key already."""
+    n = corpus.n_documents(spark, sf_dir)
+    store = corpus.ledger(spark, sf_dir)
+    number = F.regexp_extract("key", r"(\d+)$", 1).cast("bigint")
+
+    def tables(name: str) -> DataFrame:
+        rows = store.read(name)
+        if name == "records":
+            return rows.withColumns(
+                {"lifecycle": F.lit("active"), "current_revision": F.lit(1).cast("bigint")}
+            )
+        return rows.filter(number % 3 == 0) if name == "write_keys" else rows
+
+    return corpus.delivered_commands(spark, sf_dir, n), tables
+
+
+@query
+def apply_batch(spark, sf_dir):
+    """All delivered commands, mixed, in one order."""
+    commands, tables = _batch(spark, sf_dir)
+    return batch.apply_batch(commands, tables).select(
+        "key", "seq", "outcome", "reason", "new_revision"
+    )
+
+
+@query
+def ledger_after_batch(spark, sf_dir):
+    """What the batch writes, table by table, and the records afterwards."""
+    commands, tables = _batch(spark, sf_dir)
+    outcomes = batch.apply_batch(commands, tables)
+    first = tables("record_revisions").filter("revision = 1").select("record_id", "payload")
+    none = F.array().cast(f"array<{SOURCE.simpleString()}>")
+    full = commands.join(first, "record_id", "left").withColumns(
+        {"title": F.concat(F.lit(" by "), "actor"), "sources": none}
+    )
+    made = batch.batch_rows(full, outcomes, tables)
+
+    def part(name: str, id_: str, *row: str) -> DataFrame:
+        return made[name].select(
+            F.lit(name).alias("part"), F.col(id_).cast("bigint").alias("id"), F.concat_ws("|", *row).alias("row")
+        )
+
+    rows = part("records", "id", "current_revision", "lifecycle", "title")
+    for more in (
+        part("record_revisions", "record_id", "revision", "title", "actor", "idempotency_key"),
+        part("label_assertions", "record_id", "label_id", "actor", "idempotency_key"),
+        made["label_retractions"].select(
+            F.lit("label_retractions"), F.lit(0).cast("bigint"), F.concat_ws("|", "actor", "idempotency_key")
+        ),
+        part("record_relations", "id", "source_record_id", "actor", "idempotency_key"),
+        part("relation_retractions", "relation_id", "actor", "idempotency_key"),
+        part("lifecycle_transitions", "record_id", "to_state", "actor", "idempotency_key"),
+        part("write_keys", "result_id", "key", "operation", "request_hash"),
+    ):
+        rows = rows.union(more)
+    return rows
+
+
 # Streams
 
 
