@@ -395,7 +395,9 @@ def apply_supersede(spark, sf_dir):
 
 @query
 def superseded_edges(spark, sf_dir):
-    return _supersede(spark, sf_dir)["edges"]
+    return _supersede(spark, sf_dir)["edges"].select(
+        "source_record_id", "target_record_id", "kind", "idempotency_key"
+    )
 
 
 def merge_commands(spark, sf_dir) -> DataFrame:
@@ -423,7 +425,9 @@ def apply_merge(spark, sf_dir):
 
 @query
 def merged_transitions(spark, sf_dir):
-    return _merge(spark, sf_dir)["transitions"]
+    return _merge(spark, sf_dir)["transitions"].select(
+        "record_id", "from_state", "to_state", "idempotency_key"
+    )
 
 
 # Quality rules
