@@ -795,16 +795,22 @@ def ledger_after_batch(spark, sf_dir):
 
 @query
 def stream_intake(spark, sf_dir):
-    """Events as a file stream of commands, judged micro-batch by micro-batch."""
+    """Events as a file stream of commands, judged in four micro-batches in order of time."""
     n = corpus.n_documents(spark, sf_dir)
     store = corpus.ledger(spark, sf_dir)
     root = new_folder(spark, "intake")
     source = f"{root}/commands"
     delivered = corpus.delivered_commands(spark, sf_dir, n)
-    delivered.repartitionByRange(3, "ts", "seq").sortWithinPartitions("ts", "seq").write.parquet(source)
+    cuts = delivered.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).approxQuantile(
+        "at", [0.25, 0.5, 0.75], 0.01
+    )
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        part = delivered.filter((at > low) & (at <= high))
+        part.coalesce(1).write.mode("append").parquet(source)  # files are taken in order of writing
     intake = CommandIntake(spark, root, store.read("write_keys"), lambda batch: batch)
     stream = (
-        spark.readStream.schema(delivered.schema).option("maxFilesPerTrigger", 100).parquet(source)
+        spark.readStream.schema(delivered.schema).option("maxFilesPerTrigger", 1).parquet(source)
     )
     intake.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
     return intake.outcomes().select("key", "seq", "outcome", "reason")

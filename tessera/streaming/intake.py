@@ -7,10 +7,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.operators.batch import apply_batch, batch_rows
 from tessera.operators.commands import APPLIED, idempotent_intake
 from tessera.operators.dense import embedding_sync
+from tessera.operators.ledger_rows import updated_records
 from tessera.session import cut
 
 KEYS = "key string, operation string, request_hash string, result_id bigint, batch bigint"
@@ -38,9 +41,10 @@ class CommandIntake:
         apply: Callable[[DataFrame, int], DataFrame] | None = None,
     ):
         self.spark, self.root, self.prepare, self.apply = spark, root, prepare, apply
+        # Kept from the first start on: a restart must not find its own keys among the prior ones.
         (
             prior_keys.select("key", "operation", "request_hash", "result_id")
-            .write.mode("overwrite")
+            .write.mode("ignore")
             .parquet(f"{root}/keys/batch=-1")
         )
 
@@ -69,15 +73,23 @@ class CommandIntake:
                 }
             )
         place = f"{self.root}/outcomes/batch={batch_id}"
-        judged.select("key", "op", "ts", "seq", "request_hash", "outcome", "reason").write.mode(
-            "overwrite"
-        ).parquet(place)
+        result = F.col("record_id") if "record_id" in judged.columns else F.lit(None)
+        judged.select(
+            "key",
+            "op",
+            "ts",
+            "seq",
+            "request_hash",
+            "outcome",
+            "reason",
+            result.cast("bigint").alias("result_id"),
+        ).write.mode("overwrite").parquet(place)
         written = self.spark.read.parquet(place)
         written.filter(F.col("outcome") == APPLIED).select(
             "key",
             F.col("op").alias("operation"),
             "request_hash",
-            F.lit(None).cast("bigint").alias("result_id"),
+            "result_id",
         ).write.mode("overwrite").parquet(f"{self.root}/keys/batch={batch_id}")
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -85,6 +97,76 @@ class CommandIntake:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+class LedgerIntake:
+    """Sink of a command stream that applies whole micro-batches of mixed operations to a ledger.
+
+    ``base`` gives the tables before the stream by name. Every batch is judged against them and the
+    rows of the batches before it, and writes its outcomes and rows into folders named after the
+    batch; a batch that is run again overwrites exactly its own. Where a stream is cut into batches
+    doesn't change any outcome. ``prepare`` shapes a batch into commands with the arguments that
+    ``tessera.operators.batch`` expects, payloads and sources of revise commands included.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        base: Callable[[str], DataFrame],
+        prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+    ):
+        self.spark, self.root, self.base, self.prepare = spark, root, base, prepare
+        self.changed = [
+            "record_revisions", "source_references", "label_assertions", "label_retractions",
+            "record_relations", "relation_retractions", "lifecycle_transitions", "write_keys",
+        ]
+
+    def _added(self, table: str, before: int | None) -> DataFrame | None:
+        """Rows of earlier batches; None before the first."""
+        if before == 0:
+            return None
+        folder = f"{self.root}/rows/{table}"
+        schema = T.StructType([*self.base(table).schema.fields, T.StructField("batch", T.LongType())])
+        rows = self.spark.read.schema(schema).option("basePath", folder).parquet(folder)
+        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+
+    def table(self, name: str, before: int | None = None) -> DataFrame:
+        """A table of the ledger after all batches, or after those before ``before``."""
+        if name == "records":
+            added = [self._added(t, before) for t in ("record_revisions", "lifecycle_transitions")]
+            return self.base(name) if added[0] is None else updated_records(self.base(name), *added)
+        if name not in self.changed:
+            return self.base(name)
+        added = self._added(name, before)
+        return self.base(name) if added is None else self.base(name).unionByName(added)
+
+    def outcomes(self) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.root}/outcomes").parquet(
+            f"{self.root}/outcomes"
+        )
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        def tables(name: str) -> DataFrame:
+            return self.table(name, batch_id)
+
+        commands = cut(self.prepare(batch))
+        place = f"{self.root}/outcomes/batch={batch_id}"
+        apply_batch(commands, tables).write.mode("overwrite").parquet(place)
+        rows = batch_rows(commands, self.spark.read.parquet(place), tables)
+        for name in self.changed:
+            shape = self.base(name).schema
+            shaped = [
+                (F.col(f.name) if f.name in rows[name].columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in shape.fields
+            ]
+            rows[name].select(*shaped).write.mode("overwrite").parquet(
+                f"{self.root}/rows/{name}/batch={batch_id}"
+            )
+
+    def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+        writer = stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 class VectorSync:
     """Sink of a revision stream: embeds what the batch left pending.
 
