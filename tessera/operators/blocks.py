@@ -22,6 +22,8 @@ from tessera.limits import GLOBAL_SCOPE
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_CELL = 50_000
 QUERIES_PER_CELL = 2_000
+# Values of (query, row) pairs that a task holds at once, 8 bytes each.
+VALUES_AT_ONCE = 4_000_000
 # Beside its vector a query holds a few short lists.
 QUERY_BYTES = 512
 FILTER_COLUMNS = ["record_id", "scope_id", "kind", "lifecycle", "labels"]
@@ -114,10 +116,13 @@ class BestRows:
             return
         records = block.column("record_id").to_numpy()
         rows_of = self.filter.open(block)
-        value_of = self.values(self.queries, block)
+        # Values are made for some queries at a time, however many queries and rows there are.
+        step = max(1, VALUES_AT_ONCE // block.num_rows)
         for q in range(len(self.ids)):
+            if q % step == 0:
+                value_of = self.values(self.queries.iloc[q : q + step], block)
             rows = rows_of(q)
-            values, ids = value_of(rows, q), records[rows]
+            values, ids = value_of(rows, q % step), records[rows]
             if self.best[q] is not None:
                 values = np.concatenate([self.best[q][0], values])
                 ids = np.concatenate([self.best[q][1], ids])

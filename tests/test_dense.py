@@ -1,11 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import dense, views
+from tessera.operators import blocks, dense, views
 from tessera.plans import recall, search
 from tests.helpers import payload, rows_of, simple_store
 from tests.test_retrieval import ask, found, index_of
@@ -248,3 +250,34 @@ def test_bucketed_folder_is_read_by_a_new_catalog_entry(spark, fused):
     store, _ = fused
     spark.sql(f"DROP TABLE {store._name('records')}")
     assert store.read("records").count() == 5
+
+
+def test_values_are_made_in_bounded_pieces(monkeypatch):
+    """Many queries and rows give small matrices, and the same result."""
+    rng = np.random.default_rng(4)
+    n, m, d = 500, 300, 8
+    queries = pd.DataFrame({
+        "query_id": range(m), "scope_ids": [[1]] * m, "kinds": [[]] * m, "lifecycles": [[]] * m,
+        "label_ids": [[]] * m, "before_id": [None] * m, "query_vector": list(rng.standard_normal((m, d))),
+    })
+    block = pa.table({
+        "record_id": pa.array(range(n), pa.int64()), "scope_id": pa.array([1 + i % 2 for i in range(n)], pa.int64()),
+        "kind": ["note"] * n, "lifecycle": ["active"] * n, "labels": pa.nulls(n, pa.list_(pa.int64())),
+        "vector": pa.array(list(rng.standard_normal((n, d)).astype(np.float32)), pa.list_(pa.float32())),
+    })
+    largest = []
+
+    def values(asked, rows):
+        largest.append(len(asked) * rows.num_rows)
+        return dense.similarities(asked, rows)
+
+    def result():
+        best = blocks.BestRows(queries, 5, values, 9)
+        best.add(block)
+        return [(r["query_id"], r["record_id"], round(r["value"], 9)) for r in best.result().to_pylist()]
+
+    whole = result()
+    monkeypatch.setattr(blocks, "VALUES_AT_ONCE", 4_000)
+    largest.clear()
+    assert result() == whole and len(whole) == 5 * m
+    assert max(largest) <= 4_000
