@@ -17,7 +17,7 @@ from tessera.llm.common import keyed, map_batches, of_ids, table, utf8
 BUCKETS = 1 << 20
 #: The fit reads at most this many labelled documents, those with the smallest hash of their id,
 #: and of each at most this many features, those with the smallest hash.
-SAMPLE = 20_000
+SAMPLE = 12_000
 SAMPLE_FEATURES = 4096
 #: The model takes the FEATURES buckets whose share of documents differs most between two grades,
 #: if by MIN_Z standard errors and found in MIN_DOCS documents of the sample.
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = GRADE, sample: int =
         .limit(sample)
         .collect()
     )
-    rows = [np.frombuffer(r["pack"], "<i4").astype(np.int64) for r in got]
+    rows = [np.frombuffer(r["pack"], "<i4") for r in got]
     return fit(rows, np.array([r["grade"] for r in got], np.int64))
 
 
