@@ -25,6 +25,8 @@ from tessera.llm.common import map_batches
 BITS = 4
 #: Words (8 bytes each) of a shard.
 SHARD = 1 << 13
+#: Hashes that a task holds before it sends its shards.
+HELD = 1_000_000
 _U = np.uint64
 
 
@@ -130,7 +132,7 @@ def build(
             got = [v for v in hashes_of(b) if len(v)]
             values += got
             held += sum(map(len, got))
-            if held > 4_000_000:
+            if held > HELD:
                 yield _task_shards(values, words)
                 values, held = [], 0
         if values:

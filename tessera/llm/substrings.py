@@ -22,7 +22,7 @@ SPAN = 35
 #: Limit of each of the two filters, which are broadcast.
 FILTER_BYTES = 64 << 20
 #: Bytes of text in a chunk, and (about) of text per bucket of window keys.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 
 _SECOND = 0xC2B2AE3D27D4EB4F | 3  # another base: keys of windows have 128 bits
