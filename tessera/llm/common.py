@@ -18,6 +18,9 @@ SMALL_IDS = 4_000_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 200_000
 
+#: Text that one task should see at least, where a task works once per distinct word.
+TASK_BYTES = 256 << 20
+
 BASE = 0x9E3779B97F4A7C13  # 3 modulo 8: its powers differ in all but few low bits
 _U = np.uint64
 
@@ -46,6 +49,16 @@ def map_batches(
     return df.mapInArrow(fn, schema)
 
 
+def large_tasks(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with small partitions read together, as long as all cores have one.
+
+    For work that is done once per distinct word and task: small tasks repeat it.
+    """
+    size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(max(cores, size // TASK_BYTES))
+
+
 def utf8(column) -> list[bytes | None]:
     """The strings of an Arrow column as bytes."""
     return pc.cast(column, pa.binary()).to_pylist()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, map_batches, table, utf8
+from tessera.llm.common import keyed, large_tasks, map_batches, table, utf8
 from tessera.session import cut
 
 WINDOW = 2048
@@ -18,10 +18,8 @@ WINDOW = 2048
 END = 1
 #: Pieces that one task packs.
 SHARD_PIECES = 20_000
-#: Words whose ids a worker remembers, and text that one task should see at least: the tokenizer
-#: is asked once per distinct word and task, so small tasks ask for the same words again and again.
+#: Words whose ids a worker remembers.
 REMEMBERED = 1_000_000
-TASK_BYTES = 256 << 20
 
 
 class Tokens(dict):
@@ -40,6 +38,10 @@ class Tokens(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
+        core = word.rstrip(b".,;:!?")
+        if core != word and core[-1:].isalpha():  # ASCII letters never join what follows them
+            found = self[word] = self[core] + self[word[len(core) :]]
+            return found
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         found = np.array(ids, "<u4").tobytes()
         if len(word) < 100:
@@ -108,10 +110,9 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of every document cut into windows.
 
-    Small partitions of the input are read together, as long as all cores have one.
+    Small partitions of the input are read together: the tokenizer is asked once per word and task.
     """
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+    docs = large_tasks(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer)
