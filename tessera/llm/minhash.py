@@ -142,11 +142,12 @@ def link_near_duplicates(
     Documents with equal sets become one class, represented by its smallest id. Representatives
     meet in the buckets of their bands. A bucket gives a star: its smallest id as the center, one
     edge to each other member, so the number of candidates is that of bucket places. Candidates are
-    confirmed on full sets. Buckets that then still hold several components draw stars from other,
-    randomly chosen centers, only to members outside the center's component, until
-    QUIET_ROUNDS rounds in a row link nothing new. Two members of which neither was ever a center
-    remain unseen; as each pair at the limit shares a dozen buckets with centers of their own,
-    that is rare, and links through third documents usually join them anyway.
+    confirmed on full sets. Buckets that then still hold several components draw stars among
+    these: one randomly chosen member of each, one of them the center, so an edge per component and
+    bucket at most. Such rounds, with other members each, go on until QUIET_ROUNDS of them in a row
+    link nothing new. A link that no star ever showed remains unseen; as a pair at the limit shares
+    a dozen buckets, each with a draw of its own, that is rare, and links through third documents
+    usually join the two anyway.
 
     Nothing gathers a bucket, a class or a component in one task: minima combine before they are
     shuffled, and the joins on hot keys read both sides straight from a shuffle, where Spark splits
@@ -183,11 +184,14 @@ def link_near_duplicates(
     quiet, turn = 0, 0
     while quiet < QUIET_ROUNDS:
         turn += 1
-        place = members.join(labels, members["rep"] == labels["node"], "left").select(
-            "bucket", "rep", F.coalesce("component", "rep").alias("component")
-        )
-        place = saved(place, "places")
         pick = F.xxhash64("rep", "bucket", F.lit(turn))
+        place = saved(
+            members.join(labels, members["rep"] == labels["node"], "left")
+            .select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+            .groupBy("bucket", "component")
+            .agg(F.min_by("rep", pick).alias("rep")),
+            "places",
+        )
         stars = saved(
             place.groupBy("bucket")
             .agg(
