@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import REMEMBERED, keyed, map_batches, table
+from tessera.llm.common import keyed, large_tasks, map_batches, table
 from tessera.llm.store import saved
 
 #: A word is frequent if it makes up at least one in FREQUENT of all words, so there are at most
 #: FREQUENT of them; their ids go to every task.
 FREQUENT = 400_000
+#: Words whose ids a task remembers.
+REMEMBERED = 600_000
 #: Parts of the literal rank map, each searched from its start.
 PARTS = 1 << 15
 
@@ -192,7 +194,7 @@ def encode(
     schema = "doc_id bigint, ids array<int>"
     if carry:
         schema += f", row {docs.schema['row'].dataType.simpleString()}"
-    return map_batches(docs, run, schema)
+    return map_batches(large_tasks(docs), run, schema)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
