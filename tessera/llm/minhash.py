@@ -19,8 +19,13 @@ PERCENT = 75
 #: A pair at the limit shares none of the bands in about 3 of 10 million cases.
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
-#: Stars are drawn again until this many rounds in a row link nothing.
-QUIET_ROUNDS = 2
+#: Stars are drawn until this many rounds in a row link nothing; then all pairs that are left follow.
+QUIET_ROUNDS = 1
+#: Pairs of a bucket that the first turn over them looks at; each later turn looks at twice as many.
+TURN_PAIRS = 1_000_000
+
+#: Longs of a set's parities: for each of 64 times as many bins, whether it holds an odd number.
+PARITY_LONGS = 8
 
 _U = np.uint64
 
@@ -71,33 +76,43 @@ class Sketcher:
         return key
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bits in which two sets differ: at most as many as there are elements in only one of them."""
+    bins = 64 * PARITY_LONGS
+    odd = np.bincount((shingles >> _U(32)).astype(np.int64) % bins, minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, print, bands): print identifies the set, bands are bucket keys."""
+    """(doc_id, n_shingles, print, bands, parity): print identifies the set, bands are bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(words)
         for b in batches:
-            sizes, prints, bands = [], [], []
+            sizes, prints, bands, odd = [], [], [], []
             for text in utf8(b.column("text")):
                 found = sketcher.shingles(text)
                 sizes.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 bands.append(sketcher.bands(found).view(np.int64) if len(found) else None)
+                odd.append(parities(found) if len(found) else None)
             yield pa.record_batch(
                 [
                     b.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(prints, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(odd, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "print", "bands"],
+                names=["doc_id", "n_shingles", "print", "bands", "parity"],
             )
 
-    return map_batches(docs, run, "doc_id bigint, n_shingles bigint, print binary, bands array<bigint>")
+    schema = "doc_id bigint, n_shingles bigint, print binary, bands array<bigint>, parity array<bigint>"
+    return map_batches(docs, run, schema)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """The (center, member) pairs whose full shingle sets are similar enough."""
+def measured(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """(center, member, far, near): the Jaccard distance of full sets, and whether it is small enough."""
     members = texts.select(F.col("doc_id").alias("member"), F.col("text").alias("text_m"))
     centers = texts.select(F.col("doc_id").alias("center"), F.col("text").alias("text_c"))
 
@@ -105,21 +120,95 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
         sketcher = Sketcher(words)
         last, of_last = None, None
         for b in batches:
-            marks = []
+            far, near = [], []
             for one, other in zip(utf8(b.column("text_c")), utf8(b.column("text_m")), strict=True):
                 if of_last is None or one != last:  # rows of a center follow one another
                     last, of_last = one, sketcher.shingles(one)
                 found = sketcher.shingles(other)
                 both = len(np.intersect1d(of_last, found, assume_unique=True))
-                marks.append(both > 0 and 100 * both >= percent * (len(of_last) + len(found) - both))
-            marks = pa.array(marks, pa.bool_())
+                either = len(of_last) + len(found) - both
+                far.append(1 - both / either if either else 0.0)
+                near.append(both > 0 and 100 * both >= percent * either)
             yield pa.record_batch(
-                [b.column("center").filter(marks), b.column("member").filter(marks)],
-                names=["center", "member"],
+                [b.column("center"), b.column("member"), pa.array(far, pa.float64()), pa.array(near, pa.bool_())],
+                names=["center", "member", "far", "near"],
             )
 
     rows = pairs.join(members, "member").join(centers, "center")
-    return map_batches(rows.select("center", "member", "text_c", "text_m"), check, "center bigint, member bigint")
+    schema = "center bigint, member bigint, far double, near boolean"
+    return map_batches(rows.select("center", "member", "text_c", "text_m"), check, schema)
+
+
+def remaining(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, rep, sizes, far, main, slice) of the buckets that hold several components.
+
+    ``main`` marks the members of the component that has most of the bucket; the others are dealt
+    over slices, so that a slice and the bucket make about TURN_PAIRS pairs.
+    """
+    placed = saved(with_component(members, labels), "placed")
+    counts = saved(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")), "counts")
+    mixed = saved(
+        counts.groupBy("bucket")
+        .agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
+        .filter("parts > 1")
+        .select(
+            "bucket",
+            F.col("most.component").alias("most"),
+            F.ceil(F.col("all") * (F.col("all") - F.col("most.n")) / TURN_PAIRS).alias("slices"),
+        ),
+        "mixed",
+    )
+    return saved(
+        placed.join(mixed, "bucket").select(
+            "bucket",
+            "rep",
+            "n_shingles",
+            "parity",
+            "far",
+            (F.col("component") == F.col("most")).alias("main"),
+            F.pmod(F.xxhash64("rep", "bucket"), F.col("slices")).alias("slice"),
+        ),
+        "remaining",
+    )
+
+
+def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
+    joined = members.join(labels, members["rep"] == labels["node"], "left")
+    return joined.select(*[members[c] for c in members.columns], F.coalesce("component", "rep").alias("component"))
+
+
+def pairs_of_turn(left: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Distinct pairs across components that have a member in the turn's slices of a bucket.
+
+    A pair comes up with the lower of its two slices; members of ``main`` have none. Left out are
+    only pairs that can't be similar enough: sets of sizes too different, sets whose distances to
+    the bucket's center differ by more than the limit (Jaccard distance is a metric), and sets whose
+    parities differ in more bins than similar sets have elements apart.
+    """
+    low, high = (1 << turn) - 1, (1 << (turn + 1)) - 1
+    placed = saved(with_component(left, labels), "placed")
+    one = placed.filter(~F.col("main") & F.col("slice").between(low, high - 1)).alias("one")
+    other = placed.alias("other")
+    first = (
+        F.col("other.main")
+        | (F.col("other.slice") > F.col("one.slice"))
+        | ((F.col("other.slice") == F.col("one.slice")) & (F.col("other.rep") > F.col("one.rep")))
+    )
+    least, most = F.least("one.n_shingles", "other.n_shingles"), F.greatest("one.n_shingles", "other.n_shingles")
+    apart = sum(
+        F.bit_count(F.col("one.parity")[i].bitwiseXOR(F.col("other.parity")[i])) for i in range(PARITY_LONGS)
+    )
+    rows = one.join(
+        other,
+        (F.col("one.bucket") == F.col("other.bucket"))
+        & (F.col("one.component") != F.col("other.component"))
+        & first
+        & (100 * least >= percent * most)
+        & ((100 + percent) * apart <= (100 - percent) * (least + most))
+        & (F.abs(F.col("one.far") - F.col("other.far")) <= 1 - percent / 100 + 1e-9),
+    )
+    ends = F.least("one.rep", "other.rep").alias("center"), F.greatest("one.rep", "other.rep").alias("member")
+    return rows.select(*ends).distinct()
 
 
 def link_near_duplicates(
@@ -143,11 +232,11 @@ def link_near_duplicates(
     meet in the buckets of their bands. A bucket gives a star: its smallest id as the center, one
     edge to each other member, so the number of candidates is that of bucket places. Candidates are
     confirmed on full sets. Buckets that then still hold several components draw stars among
-    these: one randomly chosen member of each, one of them the center, so an edge per component and
-    bucket at most. Such rounds, with other members each, go on until QUIET_ROUNDS of them in a row
-    link nothing new. A link that no star ever showed remains unseen; as a pair at the limit shares
-    a dozen buckets, each with a draw of its own, that is rare, and links through third documents
-    usually join the two anyway.
+    these: one randomly chosen member of each, one of them the center, until a round links nothing
+    new. That joins most of what belongs together with few pairs, but proves nothing: so at last all
+    pairs of a bucket across components follow, in turns that look at twice as many pairs each and
+    know the links of the turns before. Only pairs that can't be similar enough are left out. In the
+    end every similar pair that shares a bucket lies in one component.
 
     Nothing gathers a bucket, a class or a component in one task: minima combine before they are
     shuffled, and the joins on hot keys read both sides straight from a shuffle, where Spark splits
@@ -160,11 +249,17 @@ def link_near_duplicates(
     first = saved(with_set.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     classed = saved(
         with_set.join(first, "print").select(
-            "doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")
+            "doc_id",
+            "rep",
+            "n_shingles",
+            "parity",
+            F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"),
         ),
         "classed",
     )
-    places = classed.filter("bands is not null").select("rep", F.explode("bands").alias("bucket"))
+    places = classed.filter("bands is not null").select(
+        "rep", "n_shingles", "parity", F.explode("bands").alias("bucket")
+    )
     shared = saved(
         places.groupBy("bucket")
         .agg(F.min("rep").alias("center"), F.max("rep").alias("last"))
@@ -172,22 +267,27 @@ def link_near_duplicates(
         .select("bucket", "center"),
         "buckets",
     )
-    members = saved(places.join(shared, "bucket").select("bucket", "rep", "center"), "members")
+    members = saved(places.join(shared, "bucket").select("bucket", "rep", "n_shingles", "parity", "center"), "members")
     texts = saved(of_ids(docs, members.select(F.col("rep").alias("doc_id")).distinct()), "texts")
 
     tested = saved(
         members.filter("rep <> center").select("center", F.col("rep").alias("member")).distinct(),
         "pairs",
     )
-    edges = saved(confirmed(tested, texts, percent, words), "edges")
+    of_stars = saved(measured(tested, texts, percent, words), "measured")
+    edges = of_stars.filter("near").select("center", "member")
     labels = components(edges, "center", "member")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = measured(pairs, texts, percent, words).filter("near")
+        return saved(near.select("center", "member"), "edges")
+
     quiet, turn = 0, 0
     while quiet < QUIET_ROUNDS:
         turn += 1
         pick = F.xxhash64("rep", "bucket", F.lit(turn))
         place = saved(
-            members.join(labels, members["rep"] == labels["node"], "left")
-            .select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+            with_component(members, labels)
             .groupBy("bucket", "component")
             .agg(F.min_by("rep", pick).alias("rep")),
             "places",
@@ -214,7 +314,7 @@ def link_near_duplicates(
         pairs = saved(pairs, "pairs")
         if pairs.isEmpty():
             break
-        more = saved(confirmed(pairs, texts, percent, words), "edges")
+        more = linked(pairs)
         tested = tested.unionByName(pairs)
         if more.isEmpty():
             quiet += 1
@@ -223,6 +323,24 @@ def link_near_duplicates(
         edges = edges.unionByName(more)
         labels = components(edges, "center", "member")
 
+    from_center = members.join(
+        of_stars.select("center", F.col("member").alias("rep"), "far"), ["center", "rep"], "left"
+    ).select("bucket", "rep", "n_shingles", "parity", F.coalesce("far", F.lit(0.0)).alias("far"))
+    left = remaining(from_center, labels)
+    slices = left.agg(F.coalesce(F.max("slice") + 1, F.lit(0))).first()[0]
+    turn = 0
+    while (1 << turn) - 1 < slices:
+        pairs = pairs_of_turn(left, labels, turn, percent).join(tested, ["center", "member"], "left_anti")
+        pairs = saved(pairs, "pairs")
+        turn += 1
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        more = linked(pairs)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            labels = components(edges, "center", "member")
+
     reached = classed.select("doc_id", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     )

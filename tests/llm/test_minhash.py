@@ -59,6 +59,23 @@ def test_chains_of_near_copies(spark):
     assert by_id(minhash.link_near_duplicates(docs).collect()) == by_id(brute(rows))
 
 
+def test_large_group_of_drifting_copies(spark):
+    """Each document is a copy of a random earlier one with one word changed: 76 % in common."""
+    rng = random.Random(11)
+    texts = [words(41, 5)]
+    for i in range(1, 2_000):
+        text = list(rng.choice(texts))
+        text[rng.randrange(8, 33)] = f"new{i}"
+        texts.append(text)
+    ids = rng.sample(range(10**6), len(texts))
+    docs = spark.createDataFrame(
+        [row(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)], edge_docs(spark).schema
+    ).repartition(4)
+    got = minhash.link_near_duplicates(docs).collect()
+    assert len(got) == len(texts)
+    assert {r["component_id"] for r in got} == {min(ids)}
+
+
 def test_empty(spark):
     assert minhash.link_near_duplicates(no_docs(spark)).collect() == []
 
