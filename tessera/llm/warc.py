@@ -44,23 +44,49 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
 
 
 def with_originals(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """Pages (page_id, url, html) with ``payload``, ``digest`` and, for repeats, ``original``.
+    """Pages (page_id, url, html) with ``payload``, ``digest``, ``page`` and, for repeats, ``original``.
 
-    The original of a repeated payload is its smallest page_id. Digests of repeated payloads meet
-    pages in a join that reads both sides straight from a shuffle, so Spark splits a hot digest.
+    ``page`` names the capture: the page_id, with a checksum of url and payload where rows of one
+    page_id differ in these. The original of a repeated payload is the capture of its smallest
+    page_id. Digests of repeated payloads and repeated ids meet pages in joins that read both sides
+    straight from a shuffle, so Spark splits a hot key.
     """
     payload = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    content = F.concat(F.coalesce(F.concat(F.lit("u"), F.col("url")), F.lit("")), F.lit("|"), F.col("digest"))
+    pages = pages.withColumn("content", F.substring(F.sha2(content, 256), 1, 32))
+    several = saved(
+        pages.filter("page_id is not null")
+        .groupBy("page_id")
+        .agg(F.min("content").alias("least"), F.max("content").alias("greatest"))
+        .filter("least < greatest")
+        .select("page_id", F.lit(True).alias("several")),
+        "several",
+    )
     repeated = saved(
         pages.filter(F.octet_length("payload") >= min_payload)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+        .agg(
+            F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "content"))).alias("first"),
+            F.count("*").alias("n"),
+        )
         .filter("n > 1 and first is not null")
-        .select("digest", "first"),
+        .select("digest", F.col("first.page_id").alias("page_id"), F.col("first.content").alias("content"))
+        .join(several, "page_id", "left")
+        .select("digest", F.col("page_id").alias("first"), _page().alias("first_page")),
         "repeated",
     )
-    original = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    return pages.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", original.alias("original"))
+    original = F.when(F.col("page_id") != F.col("first"), F.col("first_page"))
+    return (
+        pages.join(several, "page_id", "left")
+        .join(repeated, "digest", "left")
+        .select("page_id", "url", "payload", "digest", _page().alias("page"), original.alias("original"))
+    )
+
+
+def _page() -> Column:
+    number = F.col("page_id").cast("string")
+    return F.when(F.col("several"), F.concat(number, F.lit("-"), F.col("content"))).otherwise(number)
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", min_payload: int = MIN_PAYLOAD) -> None:
@@ -73,7 +99,9 @@ def write_warc(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z",
 
     - Null html is an empty payload. A null url leaves out the target line; blanks and control
       characters of a url become %20, so it can't break a header. A null page_id is archived without
-      an id and never revisits. Rows with equal ids are captures of their own. No rows, no files.
+      an id and never revisits. Rows with equal ids are captures of their own unless url and payload are equal
+      too: those are written alike, and read back as one capture with as many metadata records. No
+      rows, no files.
     - Other columns are ignored.
 
     The files are Spark's text output with the record end as the line separator: every executor
@@ -81,7 +109,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z",
     """
     rows = with_originals(pages.select("page_id", "url", "html"), min_payload)
     # ids by page, so that a revisit can name its response; a serial number for rows without an id
-    page = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none-"), F.monotonically_increasing_id().cast("string")))
+    page = F.coalesce(F.col("page"), F.concat(F.lit("none-"), F.monotonically_increasing_id().cast("string")))
     rows = rows.withColumn("page", page)
     urn = "urn:capture:"
     response = F.concat(F.lit(f"<{urn}"), F.col("page"), F.lit(":response>"))
@@ -112,7 +140,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z",
             dated,
             ("WARC-Payload-Digest", digest),
             ("WARC-Profile", PROFILE),
-            ("WARC-Refers-To", F.concat(F.lit(f"<{urn}"), F.col("original").cast("string"), F.lit(":response>"))),
+            ("WARC-Refers-To", F.concat(F.lit(f"<{urn}"), F.col("original"), F.lit(":response>"))),
             ("Content-Type", "application/http; msgtype=response"),
         ],
         http,
@@ -271,7 +299,9 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
     captures = saved(assemble(read_warc(spark, folder).drop("payload")), "captures")
-    return resolve_revisits(captures).select(
+    # rows alike in id, url and payload are one capture, with a metadata record of each
+    times = F.array_repeat(F.lit(1), F.greatest("n_metadata", F.lit(1)).cast("int"))
+    return resolve_revisits(captures).withColumn("_row", F.explode(times)).select(
         page_id_of("metadata").alias("page_id"),
         F.coalesce("response.payload_bytes", "original.response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),

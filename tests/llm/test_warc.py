@@ -113,3 +113,28 @@ def test_several_files(spark, tmp_path, monkeypatch):
     got = captures.select(warc.page_id_of("metadata"), "response.record_type", warc.page_id_of("original.metadata")).collect()
     want = [(i, "response" if i < 5 else "revisit", None if i < 5 else i % 5) for i in range(40)]
     assert by_id(got) == by_id(want)
+
+
+def test_query_gives_a_row_per_page_row(spark, tmp_path):
+    other = BIG + "other"
+    rows = [
+        (1, "http://a/1", BIG),
+        (1, "http://a/1", other),
+        (1, "http://a/b", other),
+        (2, "http://a/2", other),
+        (2, "http://a/2", "short"),
+        (2, "http://a/2", "short"),
+        (2, None, "short"),
+        (3, "http://a/3", BIG),
+        (3, "http://a/3", BIG),
+        (None, "http://a/none", "short"),
+    ]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op4_warc_transactions(spark, str(tmp_path)).collect()
+    first = {BIG: 1, other: 1}
+    want = []
+    for page, _, html in rows:
+        again = html in first and page != first[html]
+        digest = hashlib.sha256(html.encode()).hexdigest()
+        want.append((page, len(html), digest, "revisit" if again else "response", first[html] if again else None))
+    assert by_id(got) == by_id(want)
