@@ -10,6 +10,7 @@ from tessera.llm.bpe import op8_byte_bpe
 from tessera.llm.grades import op3_quality_classifier
 from tessera.llm.language import op10_language_id
 from tessera.llm.lines import op2_line_dedup
+from tessera.llm.manifest import op12_merkle_manifest
 from tessera.llm.minhash import op9_minhash_near_dedup
 from tessera.llm.packing import op5_packing
 from tessera.llm.quality import op1_quality_rules
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_minhash_near_dedup,
         op10_language_id,
+        op12_merkle_manifest,
     )
 }
 

@@ -100,10 +100,83 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM o
 """
 
+#: Unsigned CRC-32 of a text of ASCII characters, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, ignored:
+    xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _merkle_field(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _merkle_leaf(text: str) -> str:
+    columns = ("doc_id", "source", "lang", "n_chars", text)
+    return f"sha256({' || '.join(_merkle_field(c) for c in columns)})"
+
+
+OP12 = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_merkle_leaf("text")} AS leaf, {_merkle_leaf("low")} AS changed,
+    {CRC32.format("doc_id::VARCHAR")} % 3 = 0 AS tampered
+  FROM (SELECT *, {ASCII_LOWER.format("text")} AS low FROM documents)
+), leaves AS (
+  SELECT doc_id, lang, leaf, CASE WHEN tampered THEN changed ELSE leaf END AS shown,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), up AS (
+  SELECT lang, 0 AS l, r AS i, n, leaf AS d FROM leaves
+  UNION ALL
+  SELECT lang, any_value(l) + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(d, '' ORDER BY i))
+  FROM up WHERE n > 1 GROUP BY lang, i // 8
+), subroots AS (
+  SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS l, i, n, d FROM subroots
+  UNION ALL
+  SELECT any_value(l) + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(d, '' ORDER BY i))
+  FROM top WHERE n > 1 GROUP BY i // 8
+), steps AS (
+  SELECT f.lang, f.r, u.l,
+    string_agg(u.d, '' ORDER BY u.i) FILTER (u.i < f.r >> (3 * u.l)) AS before,
+    string_agg(u.d, '' ORDER BY u.i) FILTER (u.i > f.r >> (3 * u.l)) AS after
+  FROM leaves f JOIN up u ON f.lang IS NOT DISTINCT FROM u.lang AND u.n > 1 AND u.i // 8 = f.r >> (3 * u.l + 3)
+  GROUP BY ALL
+  UNION ALL
+  SELECT f.lang, f.r, 1000 + t.l,
+    string_agg(t.d, '' ORDER BY t.i) FILTER (t.i < s.i >> (3 * t.l)),
+    string_agg(t.d, '' ORDER BY t.i) FILTER (t.i > s.i >> (3 * t.l))
+  FROM leaves f JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang
+    JOIN top t ON t.n > 1 AND t.i // 8 = s.i >> (3 * t.l + 3)
+  GROUP BY ALL
+), counted AS (
+  SELECT lang, r, coalesce(before, '') AS before, coalesce(after, '') AS after,
+    row_number() OVER (PARTITION BY lang, r ORDER BY l) AS k, count(*) OVER (PARTITION BY lang, r) AS of
+  FROM steps
+), proofs AS (
+  SELECT lang, r, any_value(of) AS of, string_agg(before || after, '' ORDER BY k) AS proof FROM counted GROUP BY lang, r
+), folds AS (
+  SELECT lang, r, 0 AS k, shown AS d FROM leaves
+  UNION ALL
+  SELECT f.lang, f.r, f.k + 1, sha256(c.before || f.d || c.after)
+  FROM folds f JOIN counted c ON f.lang IS NOT DISTINCT FROM c.lang AND f.r = c.r AND c.k = f.k + 1
+)
+SELECT e.doc_id, e.leaf, s.d AS subroot, t.d AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+  f.d AS folded_root, f.d = t.d AS verified
+FROM leaves e
+JOIN subroots s ON e.lang IS NOT DISTINCT FROM s.lang
+JOIN (SELECT d FROM top WHERE n = 1) t ON true
+LEFT JOIN proofs p ON e.lang IS NOT DISTINCT FROM p.lang AND e.r = p.r
+JOIN folds f ON e.lang IS NOT DISTINCT FROM f.lang AND e.r = f.r AND f.k = coalesce(p.of, 0)
+"""
+
 ORACLES = {
     "op4_warc_transactions": OP4,
     "op7_topk_search": OP7,
     "op6_substring_dedup": OP6,
     "op9_minhash_near_dedup": OP9,
     "op2_line_dedup": OP2,
+    "op12_merkle_manifest": OP12,
 }
