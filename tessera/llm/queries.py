@@ -17,6 +17,7 @@ from tessera.llm.quality import op1_quality_rules
 from tessera.llm.sql import ORACLES
 from tessera.llm.substrings import op6_substring_dedup
 from tessera.llm.topk import op7_topk_search
+from tessera.llm.urls import op13_url_filters
 from tessera.llm.warc import op4_warc_transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_minhash_near_dedup,
         op10_language_id,
         op12_merkle_manifest,
+        op13_url_filters,
     )
 }
 

@@ -172,6 +172,82 @@ LEFT JOIN proofs p ON e.lang IS NOT DISTINCT FROM p.lang AND e.r = p.r
 JOIN folds f ON e.lang IS NOT DISTINCT FROM f.lang AND e.r = f.r AND f.k = coalesce(p.of, 0)
 """
 
+OP13_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def _rule_fits(rule: str) -> str:
+    host, _, path = rule.partition("/")
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+
+
+def _smoothed(kind: str, below: str) -> str:
+    return f"""CASE WHEN coalesce(x.n_{kind}, 0) > 0
+      THEN (coalesce(s.{kind}, 0) + x.kinds_{kind} * {below}) / (x.n_{kind} + x.kinds_{kind}) ELSE {below} END AS p_{kind}"""
+
+
+def _url_models(order: int) -> str:
+    """Statements seen, contexts and p for contexts of 0 to ``order`` characters."""
+    out = []
+    for k in range(order + 1):
+        below = ("1.0::DOUBLE / 1114112",) * 2 if k == 0 else ("b.p_allowed", "b.p_blocked")
+        join = f"JOIN p{k - 1} b ON b.model = w.model AND b.piece = right(w.piece, {k})" if k else ""
+        out.append(f"""seen{k} AS MATERIALIZED (
+  SELECT model, right(piece, {k + 1}) AS piece, sum(allowed)::BIGINT AS allowed, sum(blocked)::BIGINT AS blocked
+  FROM counts GROUP BY ALL
+), contexts{k} AS MATERIALIZED (
+  SELECT model, left(piece, {k}) AS context, sum(allowed)::BIGINT AS n_allowed, count(*) FILTER (allowed > 0) AS kinds_allowed,
+    sum(blocked)::BIGINT AS n_blocked, count(*) FILTER (blocked > 0) AS kinds_blocked
+  FROM seen{k} GROUP BY ALL
+), p{k} AS MATERIALIZED (
+  SELECT w.model, w.piece, {_smoothed("allowed", below[0])}, {_smoothed("blocked", below[1])}
+  FROM (SELECT DISTINCT model, right(piece, {k + 1}) AS piece FROM pieces) w
+  LEFT JOIN seen{k} s ON s.model = w.model AND s.piece = w.piece
+  LEFT JOIN contexts{k} x ON x.model = w.model AND x.context = left(w.piece, {k})
+  {join}
+)""")
+    return ", ".join(out)
+
+
+OP13 = f"""
+WITH parts AS (
+  SELECT row_number() OVER () AS r, page_id, url,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), split AS (
+  SELECT r, page_id, url, coalesce(rest, url, '') AS text,
+    {ASCII_LOWER.format("coalesce(regexp_extract(rest, '^[^/?#]*'), '')")} AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts
+), ruled AS (
+  SELECT *, CASE {" ".join(f"WHEN {_rule_fits(r)} THEN '{r}'" for _, r in sorted(OP13_RULES, key=lambda x: -len(x[1])))} END AS rule FROM split
+), urls AS MATERIALIZED (
+  SELECT *, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in OP13_RULES)} END AS decided,
+    CASE WHEN rule IS NULL THEN 2 WHEN left(md5(url), 1) < '8' THEN 0 ELSE 1 END AS model FROM ruled
+), pieces AS MATERIALIZED (
+  SELECT r, model, decided, substr(repeat(chr(2), 4) || text || chr(3), i, 5) AS piece
+  FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM urls)
+), counts AS MATERIALIZED (
+  SELECT m.model, piece, count(*) FILTER (decided = 'allow') AS allowed, count(*) FILTER (decided = 'block') AS blocked
+  FROM pieces p JOIN (VALUES (0), (1), (2)) m(model) ON m.model <> p.model WHERE decided IS NOT NULL GROUP BY ALL
+), {_url_models(4)}, scored AS (
+  SELECT r, greatest(-8192, least(8191, floor(sum(round((log2(p_allowed) - log2(p_blocked)) * 1048576)::BIGINT)::DOUBLE
+    / (count(*) * 4096))))::BIGINT AS step
+  FROM pieces JOIN p4 USING (model, piece) GROUP BY r
+), judged AS MATERIALIZED (
+  SELECT u.*, s.step FROM urls u JOIN scored s USING (r)
+), steps AS (
+  SELECT step, count(*) FILTER (decided = 'allow') AS a, count(*) FILTER (decided = 'block') AS b
+  FROM judged WHERE decided IS NOT NULL GROUP BY step
+), sums AS (
+  SELECT greatest(lag(step) OVER (ORDER BY step) + 1, least(step, 0)) AS step, sum(a) OVER (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above,
+    coalesce(sum(b) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(a) OVER () AS a, sum(b) OVER () AS b FROM steps
+), best AS (
+  SELECT step FROM sums WHERE a > 0 AND b > 0 ORDER BY above * b + below * a DESC, abs(step), step LIMIT 1
+)
+SELECT page_id, host, path, rule, coalesce(decided,
+  CASE WHEN step >= coalesce((SELECT step FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict, step
+FROM judged
+"""
+
 ORACLES = {
     "op4_warc_transactions": OP4,
     "op7_topk_search": OP7,
@@ -179,4 +255,5 @@ ORACLES = {
     "op9_minhash_near_dedup": OP9,
     "op2_line_dedup": OP2,
     "op12_merkle_manifest": OP12,
+    "op13_url_filters": OP13,
 }
