@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op8_byte_bpe
+from tessera.llm.codes import op11_vector_codes
 from tessera.llm.grades import op3_quality_classifier
 from tessera.llm.language import op10_language_id
 from tessera.llm.lines import op2_line_dedup
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_minhash_near_dedup,
         op10_language_id,
+        op11_vector_codes,
         op12_merkle_manifest,
         op13_url_filters,
     )

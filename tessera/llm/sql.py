@@ -248,12 +248,53 @@ SELECT page_id, host, path, rule, coalesce(decided,
 FROM judged
 """
 
+
+def _code_rounds(rounds: int) -> str:
+    """Statements near (assignment) and book (codebooks after it), round by round."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""near{k} AS MATERIALIZED (
+  SELECT r, a.p, min(256 * list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + e) AS m
+  FROM parts a JOIN book{k} b ON a.p = b.p GROUP BY r, a.p
+)""")
+        if k < rounds:
+            out.append(f"""book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM book{k} b LEFT JOIN (
+    SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+      SELECT a.p, m % 256 AS e, i, sum(a.v[i])::BIGINT AS s, count(*) AS n
+      FROM near{k} JOIN (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM parts) a USING (r, p) GROUP BY ALL
+    ) GROUP BY p, e
+  ) n ON n.p = b.p AND n.e = b.e
+)""")
+    return ", ".join(out)
+
+
+OP11 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, vec_id, p, list_slice(x, p * (len(x) // 4) + 1, (p + 1) * (len(x) // 4)) AS v
+  FROM kept, (SELECT unnest(range(4)) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 256
+), {_code_rounds(4)}, coded AS (
+  SELECT r, string_agg(lower(format('{{:02x}}', m % 256)), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM near4 GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book4
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
 ORACLES = {
     "op4_warc_transactions": OP4,
     "op7_topk_search": OP7,
     "op6_substring_dedup": OP6,
     "op9_minhash_near_dedup": OP9,
     "op2_line_dedup": OP2,
+    "op11_vector_codes": OP11,
     "op12_merkle_manifest": OP12,
     "op13_url_filters": OP13,
 }

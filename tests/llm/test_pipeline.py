@@ -33,5 +33,5 @@ def test_stages_with_odd_rows(spark):
 
 def test_registered():
     names = list(entry.queries())
-    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names
