@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import saved
+from tessera.llm.store import drop, saved
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -42,6 +42,39 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             ),
             "labels",
         )
-        labels = new.select("node", "component")
+        drop(labels)
+        labels = new
         if new.filter("component <> old").isEmpty():
-            return labels
+            drop(both)
+            return labels.select("node", "component")
+
+
+def extended(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``labels`` (node, component) after more edges: only components that these join are looked at.
+
+    Edges become edges between components, repeats and loops go, and components are joined as nodes.
+    The work grows with the number of components that meet, not with all edges there ever were.
+    """
+
+    def end(name: str, alias: str) -> DataFrame:
+        return labels.select(F.col("node").alias(name), F.col("component").alias(alias))
+
+    between = edges.join(end(a, "_a"), a, "left").join(end(b, "_b"), b, "left")
+    between = between.select(F.coalesce("_a", a).alias("one"), F.coalesce("_b", b).alias("other"))
+    between = saved(
+        between.filter("one <> other")
+        .select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other"))
+        .distinct(),
+        "between",
+    )
+    if between.isEmpty():
+        drop(between)
+        return labels
+    roots = components(between, "one", "other").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    moved = labels.join(roots, labels["component"] == roots["was"], "left").select(
+        "node", F.coalesce("now", "component").alias("component")
+    )
+    added = roots.join(labels, roots["was"] == labels["node"], "left_anti")
+    out = saved(moved.unionByName(added.select(F.col("was").alias("node"), F.col("now").alias("component"))), "labels")
+    drop(between)
+    return out

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordHashes, Windows, keyed, map_batches, mix, of_ids, table, utf8
-from tessera.llm.graph import components
-from tessera.llm.store import saved
+from tessera.llm.graph import components, extended
+from tessera.llm.store import drop, saved
 
 WORDS = 5
 PERCENT = 75
@@ -139,11 +139,12 @@ def measured(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Da
     return map_batches(rows.select("center", "member", "text_c", "text_m"), check, schema)
 
 
-def remaining(members: DataFrame, labels: DataFrame) -> DataFrame:
+def remaining(members: DataFrame, labels: DataFrame, traits: DataFrame, from_center: DataFrame) -> DataFrame:
     """(bucket, rep, sizes, far, main, slice) of the buckets that hold several components.
 
     ``main`` marks the members of the component that has most of the bucket; the others are dealt
-    over slices, so that a slice and the bucket make about TURN_PAIRS pairs.
+    over slices, so that a slice and the bucket make about TURN_PAIRS pairs. ``far`` is the distance
+    to the bucket's center where it was measured.
     """
     placed = saved(with_component(members, labels), "placed")
     counts = saved(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")), "counts")
@@ -158,18 +159,26 @@ def remaining(members: DataFrame, labels: DataFrame) -> DataFrame:
         ),
         "mixed",
     )
-    return saved(
-        placed.join(mixed, "bucket").select(
+    distances = from_center.select("center", F.col("member").alias("rep"), "far")
+    out = saved(
+        placed.join(mixed, "bucket")
+        .join(distances, ["center", "rep"], "left")
+        .join(traits, "rep")
+        .select(
             "bucket",
             "rep",
             "n_shingles",
             "parity",
-            "far",
+            F.when(
+                F.col("n_shingles").isNotNull(), F.when(F.col("rep") == F.col("center"), 0.0).otherwise(F.col("far"))
+            ).alias("far"),
             (F.col("component") == F.col("most")).alias("main"),
             F.pmod(F.xxhash64("rep", "bucket"), F.col("slices")).alias("slice"),
         ),
         "remaining",
     )
+    drop(placed, counts, mixed)
+    return out
 
 
 def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,6 +186,14 @@ def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select(*[members[c] for c in members.columns], F.coalesce("component", "rep").alias("component"))
 
 
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    for name in ("center", "member"):
+        ends = labels.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+        pairs = pairs.join(ends, name, "left").withColumn(f"of_{name}", F.coalesce(f"of_{name}", name))
+    return pairs.filter("of_center <> of_member").select("center", "member")
+
+
 def pairs_of_turn(left: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
     """Distinct pairs across components that have a member in the turn's slices of a bucket.
 
@@ -194,7 +211,9 @@ def pairs_of_turn(left: DataFrame, labels: DataFrame, turn: int, percent: int) -
         | (F.col("other.slice") > F.col("one.slice"))
         | ((F.col("other.slice") == F.col("one.slice")) & (F.col("other.rep") > F.col("one.rep")))
     )
-    least, most = F.least("one.n_shingles", "other.n_shingles"), F.greatest("one.n_shingles", "other.n_shingles")
+    sizes = F.col("one.n_shingles"), F.col("other.n_shingles")
+    known = sizes[0].isNotNull() & sizes[1].isNotNull()
+    least, most = F.when(known, F.least(*sizes)), F.when(known, F.greatest(*sizes))
     apart = sum(
         F.bit_count(F.col("one.parity")[i].bitwiseXOR(F.col("other.parity")[i])) for i in range(PARITY_LONGS)
     )
@@ -203,12 +222,14 @@ def pairs_of_turn(left: DataFrame, labels: DataFrame, turn: int, percent: int) -
         (F.col("one.bucket") == F.col("other.bucket"))
         & (F.col("one.component") != F.col("other.component"))
         & first
-        & (100 * least >= percent * most)
-        & ((100 + percent) * apart <= (100 - percent) * (least + most))
-        & (F.abs(F.col("one.far") - F.col("other.far")) <= 1 - percent / 100 + 1e-9),
+        & F.coalesce(100 * least >= percent * most, F.lit(True))
+        & F.coalesce((100 + percent) * apart <= (100 - percent) * (least + most), F.lit(True))
+        & F.coalesce(F.abs(F.col("one.far") - F.col("other.far")) <= 1 - percent / 100 + 1e-9, F.lit(True)),
     )
     ends = F.least("one.rep", "other.rep").alias("center"), F.greatest("one.rep", "other.rep").alias("member")
-    return rows.select(*ends).distinct()
+    out = saved(rows.select(*ends).distinct(), "turn")
+    drop(placed)
+    return out
 
 
 def link_near_duplicates(
@@ -231,8 +252,10 @@ def link_near_duplicates(
     Documents with equal sets become one class, represented by its smallest id. Representatives
     meet in the buckets of their bands. A bucket gives a star: its smallest id as the center, one
     edge to each other member, so the number of candidates is that of bucket places. Candidates are
-    confirmed on full sets. Buckets that then still hold several components draw stars among
-    these: one randomly chosen member of each, one of them the center, until a round links nothing
+    confirmed on full sets: first each member and the center that it shares most buckets with, so a
+    text goes out once; then the other edges of stars that still join two components. Links are
+    kept as components, which later links join; they are not followed anew. Buckets that then still
+    hold several components draw stars among these: one randomly chosen member of each, one of them the center, until a round links nothing
     new. That joins most of what belongs together with few pairs, but proves nothing: so at last all
     pairs of a bucket across components follow, in turns that look at twice as many pairs each and
     know the links of the turns before. Only pairs that can't be similar enough are left out. In the
@@ -251,15 +274,19 @@ def link_near_duplicates(
         with_set.join(first, "print").select(
             "doc_id",
             "rep",
-            "n_shingles",
-            "parity",
-            F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"),
+            *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("n_shingles", "parity", "bands")],
         ),
         "classed",
     )
-    places = classed.filter("bands is not null").select(
-        "rep", "n_shingles", "parity", F.explode("bands").alias("bucket")
+    # an id with several sets has no size and no parities that would hold for all of them
+    traits = (
+        classed.filter("bands is not null")
+        .groupBy("rep")
+        .agg(*[f(c).alias(f"{n}_{c}") for c in ("n_shingles", "parity") for n, f in (("low", F.min), ("high", F.max))])
+        .withColumn("one", (F.col("low_n_shingles") == F.col("high_n_shingles")) & (F.col("low_parity") == F.col("high_parity")))
+        .select("rep", *[F.when(F.col("one"), F.col(f"low_{c}")).alias(c) for c in ("n_shingles", "parity")])
     )
+    places = classed.filter("bands is not null").select("rep", F.explode("bands").alias("bucket"))
     shared = saved(
         places.groupBy("bucket")
         .agg(F.min("rep").alias("center"), F.max("rep").alias("last"))
@@ -267,20 +294,26 @@ def link_near_duplicates(
         .select("bucket", "center"),
         "buckets",
     )
-    members = saved(places.join(shared, "bucket").select("bucket", "rep", "n_shingles", "parity", "center"), "members")
+    members = saved(places.join(shared, "bucket").select("bucket", "rep", "center"), "members")
+    drop(first, shared)
     texts = saved(of_ids(docs, members.select(F.col("rep").alias("doc_id")).distinct()), "texts")
-
-    tested = saved(
-        members.filter("rep <> center").select("center", F.col("rep").alias("member")).distinct(),
-        "pairs",
+    votes = saved(
+        members.filter("rep <> center").groupBy("center", F.col("rep").alias("member")).agg(F.count("*").alias("n")),
+        "votes",
     )
-    of_stars = saved(measured(tested, texts, percent, words), "measured")
-    edges = of_stars.filter("near").select("center", "member")
-    labels = components(edges, "center", "member")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = measured(pairs, texts, percent, words).filter("near")
-        return saved(near.select("center", "member"), "edges")
+    # each member and the center it shares most buckets with; then centers that this has not joined to it
+    closest = F.max(F.struct("n", (-F.col("center")).alias("back")))["back"]
+    tested = saved(votes.groupBy("member").agg((-closest).alias("center")).select("center", "member"), "pairs")
+    from_center = saved(measured(tested, texts, percent, words), "measured")
+    labels = components(from_center.filter("near").select("center", "member"), "center", "member")
+    pairs = saved(
+        across(votes.select("center", "member"), labels).join(tested, ["center", "member"], "left_anti"), "pairs"
+    )
+    more = saved(measured(pairs, texts, percent, words), "measured")
+    labels = extended(labels, more.filter("near"), "center", "member")
+    from_center, tested = from_center.unionByName(more), tested.unionByName(pairs)
+    drop(votes)
 
     quiet, turn = 0, 0
     while quiet < QUIET_ROUNDS:
@@ -312,34 +345,30 @@ def link_near_duplicates(
             .join(tested, ["center", "member"], "left_anti")
         )
         pairs = saved(pairs, "pairs")
+        drop(place, stars)
         if pairs.isEmpty():
             break
-        more = linked(pairs)
+        more = saved(measured(pairs, texts, percent, words).filter("near"), "edges")
         tested = tested.unionByName(pairs)
-        if more.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        edges = edges.unionByName(more)
-        labels = components(edges, "center", "member")
-
-    from_center = members.join(
-        of_stars.select("center", F.col("member").alias("rep"), "far"), ["center", "rep"], "left"
-    ).select("bucket", "rep", "n_shingles", "parity", F.coalesce("far", F.lit(0.0)).alias("far"))
-    left = remaining(from_center, labels)
+        quiet = quiet + 1 if more.isEmpty() else 0
+        labels = extended(labels, more, "center", "member")
+        drop(more)
+
+    left = remaining(members, labels, traits, from_center)
     slices = left.agg(F.coalesce(F.max("slice") + 1, F.lit(0))).first()[0]
     turn = 0
     while (1 << turn) - 1 < slices:
-        pairs = pairs_of_turn(left, labels, turn, percent).join(tested, ["center", "member"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        found = pairs_of_turn(left, labels, turn, percent)
+        pairs = saved(found.join(tested, ["center", "member"], "left_anti"), "pairs")
+        drop(found)
         turn += 1
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
-        more = linked(pairs)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            labels = components(edges, "center", "member")
+        more = saved(measured(pairs, texts, percent, words).filter("near"), "edges")
+        labels = extended(labels, more, "center", "member")
+        drop(more)
+    drop(members, texts, left)
 
     reached = classed.select("doc_id", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"

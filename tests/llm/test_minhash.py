@@ -76,6 +76,63 @@ def test_large_group_of_drifting_copies(spark):
     assert {r["component_id"] for r in got} == {min(ids)}
 
 
+def test_work_grows_with_the_group(spark, monkeypatch):
+    """Measured pairs and links that components follow, for one group of near copies of a text."""
+    pairs, links = [], []
+    measured, components = minhash.measured, graph.components
+    monkeypatch.setattr(minhash, "measured", lambda p, *a: (pairs.append(p.count()), measured(p, *a))[1])
+    for module in (minhash, graph):
+        monkeypatch.setattr(module, "components", lambda e, *a: (links.append(e.count()), components(e, *a))[1])
+    base, rng = words(80, 21), random.Random(2)
+    for n in (500, 1_000, 2_000):
+        pairs.clear()
+        links.clear()
+        rows = [row(1, " ".join(base))]
+        for i in range(2, n + 1):
+            text = list(base)
+            text[rng.randrange(80)] = f"other{i}"
+            rows.append(row(i, " ".join(text)))
+        docs = spark.createDataFrame(rows, edge_docs(spark).schema).repartition(4)
+        assert {r["component_id"] for r in minhash.link_near_duplicates(docs).collect()} == {1}
+        assert sum(pairs) < 2 * n and sum(links) < 2 * n
+
+
+def test_ids_with_several_sets(spark):
+    """Rows of one id in several groups join these, whatever the sizes of their sets."""
+    a, b, c = (words(n, s) for n, s in ((60, 31), (90, 32), (40, 33)))
+    rows = []
+    for i in range(30):
+        for at, base in enumerate((a, b, c)):
+            text = list(base)
+            text[rng_place(i, len(text))] = f"v{i}x{at}"
+            rows.append(row(100 * at + i + 1, " ".join(text)))
+    rows += [row(5, " ".join(b)), row(5, " ".join(b[:-1])), row(105, " ".join(c)), row(105, " ".join(c))]
+    docs = spark.createDataFrame(rows, edge_docs(spark).schema).repartition(4)
+    assert by_id(minhash.link_near_duplicates(docs).collect()) == by_id(brute(rows))
+
+
+def rng_place(i, n):
+    return (7 * i + 3) % n
+
+
+def test_extended_labels(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "a bigint, b bigint")
+
+    labels = graph.components(frame(edges[:100]), "a", "b")
+    for at in (100, 180):
+        labels = graph.extended(labels, frame(edges[at : at + 80]), "a", "b")
+    want = graph.components(frame([e for e in edges if e[0] != e[1]]), "a", "b")
+    loops = {e[0] for e in edges if e[0] == e[1]}
+    got = {r["node"]: r["component"] for r in labels.collect()}
+    assert {n: c for n, c in got.items() if n not in loops} == {
+        r["node"]: r["component"] for r in want.collect() if r["node"] not in loops
+    }
+
+
 def test_empty(spark):
     assert minhash.link_near_duplicates(no_docs(spark)).collect() == []
 
