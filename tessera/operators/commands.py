@@ -8,6 +8,8 @@ effect in (ts, seq) order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,7 @@ NOT_ACTIVE = "only an active record can transition"
 NOT_SUPERSEDABLE = "only an active record can be superseded"
 NOT_MERGEABLE = "only active records can be merged"
 MERGE_TOO_FEW = "merge requires at least two records"
+ALIAS_TAKEN = "label alias %s belongs to another label"
 OTHER_LIFECYCLE = "use supersede_record or merge_records for that lifecycle"
 CREATED = "record created"
 REVISION_CONFLICT = "revision conflict: expected %d, current %d"
@@ -193,9 +196,11 @@ def first_per(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def apply_create_scope(commands: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_create_scope(
+    commands: DataFrame, scopes: DataFrame, ids: Callable[..., DataFrame] = allocate_ids
+) -> tuple[DataFrame, DataFrame]:
     """(new scopes, outcomes). Names are unique whatever their case; an existing name gives
-    the existing scope."""
+    the existing scope. ``ids`` numbers the new ones."""
     error = quality.single_line("scope name", F.col("name"), 200)
     judged = commands.withColumns(
         {"error": error, "name": quality.scope_name(F.col("name"))}
@@ -207,12 +212,10 @@ def apply_create_scope(commands: DataFrame, scopes: DataFrame) -> tuple[DataFram
         F.min(F.struct(*ORDER, "name", "key")).alias("first")
     )
     start = scopes.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    created = allocate_ids(
-        firsts.select("name_key", "first.*"), ORDER, start
-    )
-    ids = known.unionByName(created.select("name_key", F.col("id").alias("known_id")))
+    created = ids(firsts.select("name_key", "first.*"), ORDER, start)
+    named = known.unionByName(created.select("name_key", F.col("id").alias("known_id")))
     outcomes = (
-        judged.join(ids, "name_key", "left")
+        judged.join(named, "name_key", "left")
         .join(created.select("seq", F.lit(True).alias("created")), "seq", "left")
         .select(
             "key",
@@ -226,13 +229,30 @@ def apply_create_scope(commands: DataFrame, scopes: DataFrame) -> tuple[DataFram
     return created.select("id", "name", F.col("ts").alias("created_at"), "key"), outcomes
 
 
+def alias_refusals(refused: DataFrame, held: DataFrame, won: DataFrame) -> DataFrame:
+    """(seq, reason): the first alias of a refused command that another label has by then."""
+    granted = won.select(F.explode("aliases").alias("resource"), "owner", F.struct(*ORDER).alias("at"))
+    owners = held.select("resource", "owner", F.lit(None).cast(granted.schema["at"].dataType).alias("at")).unionByName(
+        granted.groupBy("resource").agg(F.min_by("owner", "at").alias("owner"), F.min("at").alias("at"))
+    )
+    asked = refused.select(
+        *ORDER, F.col("owner").alias("own"), F.posexplode("aliases").alias("place", "resource")
+    )
+    taken = asked.join(owners, "resource").filter(
+        (F.col("own") != F.col("owner")) & (F.col("at").isNull() | (F.col("at") < F.struct(*ORDER)))
+    )
+    first = taken.groupBy("seq").agg(F.min_by("resource", "place").alias("alias"))
+    return first.select("seq", F.format_string(ALIAS_TAKEN, "alias").alias("refusal"))
+
+
 def apply_create_label(
-    commands: DataFrame, labels: DataFrame, aliases: DataFrame
+    commands: DataFrame, labels: DataFrame, aliases: DataFrame, ids: Callable[..., DataFrame] = allocate_ids
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new labels, new aliases, outcomes).
 
     An existing (facet, key) gives the existing label and may gain aliases; its display name
-    stays. A command fails as a whole when one of its aliases belongs to another label.
+    stays. A command fails as a whole when one of its aliases belongs to another label. ``ids``
+    numbers the new ones.
     """
     error = quality.first_error(
         quality.label_part("facet", F.col("facet")),
@@ -269,18 +289,19 @@ def apply_create_label(
         .agg(F.min(F.struct(*ORDER, "facet", "label_key", "display_name")).alias("first"))
     )
     start = labels.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    created = allocate_ids(firsts.select("owner", "first.*"), ORDER, start)
-    ids = names.unionByName(created.select(F.col("id").alias("label_id"), "owner"))
+    created = ids(firsts.select("owner", "first.*"), ORDER, start)
+    named = names.unionByName(created.select(F.col("id").alias("label_id"), "owner"))
     new_aliases = (
         won.select("owner", F.explode("aliases").alias("alias"))
         .distinct()
         .join(held.select(F.col("resource").alias("alias")), "alias", "left_anti")
-        .join(ids, "owner")
+        .join(named, "owner")
         .select("label_id", "alias")
     )
     outcomes = (
         judged.join(decided.select("seq", "applied"), "seq", "left")
-        .join(ids, "owner", "left")
+        .join(alias_refusals(decided.filter("applied IS NULL OR NOT applied"), held, won), "seq", "left")
+        .join(named, "owner", "left")
         .select(
             "key",
             "seq",
@@ -288,6 +309,7 @@ def apply_create_label(
             .when(F.col("applied"), APPLIED)
             .otherwise(CONFLICT)
             .alias("outcome"),
+            F.coalesce("error", "refusal").alias("reason"),
             F.when(F.col("applied"), F.col("label_id")).alias("result_id"),
         )
     )
@@ -391,7 +413,7 @@ def fan_out(created: DataFrame) -> dict[str, DataFrame]:
         F.explode(F.array_distinct("label_ids")).alias("label_id"),
         F.lit(CREATED).alias("reason"),
         "key",
-        "ts",
+        *ORDER,
         F.col("ts").alias("created_at"),
         *who(created),
     ).withColumn("idempotency_key", F.concat_ws(":", "key", F.lit("label"), "label_id"))
@@ -936,6 +958,8 @@ def _ending_rows(created: DataFrame, to_state: str, kind: str, into: bool) -> di
             "idempotency_key"
         ),
         *provenance,
+        "key",
+        *ORDER,
     )
     transitions = ended.select(
         F.col("old_id").alias("record_id"),

@@ -38,15 +38,21 @@ def new_revisions(commands: DataFrame, outcomes: DataFrame) -> tuple[DataFrame,
     return revisions, source_rows(rows, F.col("new_revision"))
 
 
-def new_assertions(commands: DataFrame, outcomes: DataFrame, start_id: int) -> DataFrame:
-    """Label assertions of applied add_label commands, with ids in command order."""
+def new_assertions(
+    commands: DataFrame, outcomes: DataFrame, start_id: int, of_new: DataFrame | None = None
+) -> DataFrame:
+    """Label assertions of applied add_label commands, with ids in command order.
+
+    ``of_new`` are those that come with new records (see ``commands.fan_out``, with seq), numbered in
+    the same order, those of one command by label.
+    """
     rows = applied(commands.filter("op = 'add_label'"), outcomes)
-    return allocate_ids(
-        rows.select("record_id", "label_id", utrim(F.col("reason")).alias("reason"), "key",
-                    *who(rows), *ORDER),
-        ORDER,
-        start_id,
+    rows = rows.select(
+        "record_id", "label_id", utrim(F.col("reason")).alias("reason"), "key", *who(rows), *ORDER
     )
+    if of_new is not None:
+        rows = rows.unionByName(of_new.select(*rows.columns))
+    return allocate_ids(rows, [*ORDER, "label_id"], start_id)
 
 
 def new_label_retractions(
@@ -76,20 +82,30 @@ def new_label_retractions(
     return rows.select("assertion_id", utrim(F.col("reason")).alias("reason"), *_provenance(rows))
 
 
-def new_relations(commands: DataFrame, outcomes: DataFrame, start_id: int) -> DataFrame:
-    """Edges of applied add_relation commands, with ids in command order."""
+def new_relations(
+    commands: DataFrame, outcomes: DataFrame, start_id: int, of_endings: DataFrame | None = None
+) -> DataFrame:
+    """Edges of applied add_relation commands, with ids in command order.
+
+    ``of_endings`` are those between replaced records and their replacements (with ts and seq),
+    numbered in the same order, those of one command by their ends.
+    """
     key = F.concat_ws(
         ":", "key", F.lit("relation"), "record_id", "target_record_id", "relation_kind"
     )
-    made = allocate_ids(applied(commands, outcomes), ORDER, start_id)
-    return made.select(
-        "id",
+    rows = applied(commands, outcomes)
+    rows = rows.select(
         F.col("record_id").alias("source_record_id"),
         "target_record_id",
         F.col("relation_kind").alias("kind"),
         utrim(F.col("reason")).alias("reason"),
-        *_provenance(made, key),
+        *_provenance(rows, key),
+        "key",
+        *ORDER,
     )
+    if of_endings is not None:
+        rows = rows.unionByName(of_endings.select(*rows.columns))
+    return allocate_ids(rows, [*ORDER, "source_record_id", "target_record_id"], start_id)
 
 
 def new_relation_retractions(commands: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -113,7 +129,7 @@ def updated_records(
     records: DataFrame, revisions: DataFrame | None = None, transitions: DataFrame | None = None
 ) -> DataFrame:
     """Record rows after new revisions and transitions. Label and relation changes leave a
-    record's own row as it is."""
+    record's own row as it is, and so does the transition that made it active."""
     rows = records
     if revisions is not None:
         newest = revisions.groupBy(F.col("record_id").alias("id")).agg(
@@ -127,7 +143,7 @@ def updated_records(
             }
         ).drop("newest")
     if transitions is not None:
-        ended = transitions.select(
+        ended = transitions.filter("from_state IS NOT NULL").select(
             F.col("record_id").alias("id"), "to_state", F.col("created_at").alias("ended_at")
         )
         rows = rows.join(ended, "id", "left").withColumns(

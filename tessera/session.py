@@ -56,3 +56,14 @@ def cut(df, eager: bool = True):
     """Reliable checkpoint of ``df`` in the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared folder, read again.
+
+    For what one round of a loop hands to the next: a checkpoint keeps the estimated size of its plan,
+    and sizes of joins multiply from round to round until planning does nothing else.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

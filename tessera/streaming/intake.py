@@ -118,6 +118,7 @@ class LedgerIntake:
         self.changed = [
             "record_revisions", "source_references", "label_assertions", "label_retractions",
             "record_relations", "relation_retractions", "lifecycle_transitions", "write_keys",
+            "scopes", "labels", "label_aliases", "records",
         ]
 
     def _added(self, table: str, before: int | None) -> DataFrame | None:
@@ -132,8 +133,8 @@ class LedgerIntake:
     def table(self, name: str, before: int | None = None) -> DataFrame:
         """A table of the ledger after all batches, or after those before ``before``."""
         if name == "records":
-            added = [self._added(t, before) for t in ("record_revisions", "lifecycle_transitions")]
-            return self.base(name) if added[0] is None else updated_records(self.base(name), *added)
+            more = [self._added(t, before) for t in ("records", "record_revisions", "lifecycle_transitions")]
+            return self.base(name) if more[0] is None else updated_records(self.base(name).unionByName(more[0]), *more[1:])
         if name not in self.changed:
             return self.base(name)
         added = self._added(name, before)
@@ -152,13 +153,16 @@ class LedgerIntake:
         place = f"{self.root}/outcomes/batch={batch_id}"
         apply_batch(commands, tables).write.mode("overwrite").parquet(place)
         rows = batch_rows(commands, self.spark.read.parquet(place), tables)
+        rows["records"] = rows.get("new_records")
         for name in self.changed:
             shape = self.base(name).schema
+            new = rows.get(name)
+            new = self.spark.createDataFrame([], shape) if new is None else new
             shaped = [
-                (F.col(f.name) if f.name in rows[name].columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                (F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in shape.fields
             ]
-            rows[name].select(*shaped).write.mode("overwrite").parquet(
+            new.select(*shaped).write.mode("overwrite").parquet(
                 f"{self.root}/rows/{name}/batch={batch_id}"
             )
 

@@ -33,7 +33,7 @@ def start(spark):
         "write_keys": [dict(key="old", operation="add_label", request_hash="x", result_id=1)],
     }
     names = ["record_revisions", "source_references", "label_retractions", "relation_retractions",
-             "lifecycle_transitions", *tables]
+             "lifecycle_transitions", "scopes", "label_aliases", *tables]
     return {n: rows_of(spark, n, tables.get(n, [])) for n in names}
 
 
@@ -161,6 +161,7 @@ def test_key_of_a_refused_command_is_free(spark):
         dict(key="k", ts=T0, seq=3, op="add_label", request="b", record_id=1, label_id=2),
         dict(key="k", ts=T0, seq=4, op="retract_label", request="a", record_id=1, label_id=1),
     ]
+    rows = [dict(r, actor="a", thread="t", client="c") for r in rows]
     df = spark.createDataFrame([tuple(c.get(f.split()[0]) for f in SCHEMA.split(", ")) for c in rows], SCHEMA)
     tables = start(spark).__getitem__
     outcomes = batch.apply_batch(df.drop("sources", "title", "reason"), tables)
