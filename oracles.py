@@ -777,6 +777,25 @@ _outcomes = f"""firsts AS (SELECT key, outcome, reason, new_revision FROM ({_fre
 _head = f"""WITH {", ".join(f"{n} AS ({CTES[n][1]})" for n in closure(
     ["l_delivered", "l_commands", "l_records", "l_relations"]))}, {_outcomes}"""
 O["apply_batch"] = f"{_head} SELECT key, seq, outcome, reason, new_revision FROM judged"
+O["creating_batch"] = sql("l_records l_scopes", """asked AS (
+    SELECT c_custkey::BIGINT + 1 AS k, n_name, unnest(range(1, 9)) AS step FROM customer JOIN nation ON n_nationkey = c_nationkey
+  ), judged AS (
+    SELECT *, step <= 2 OR step = 5 OR step = 3 OR (step = 6 AND k % 3 = 2) AS won FROM asked
+    WHERE k % [1, 1, 3, 6, 5, 7, 11, 13][step] = 0
+  ), scope_ids AS (
+    SELECT n_name, (SELECT max(id) FROM l_scopes) + row_number() OVER (ORDER BY min(k)) AS id FROM judged WHERE step = 1 GROUP BY n_name
+  ), record_ids AS (
+    SELECT k, step, (SELECT max(id) FROM l_records) + row_number() OVER (ORDER BY k, step) AS id
+    FROM judged WHERE won AND step IN (2, 3, 6)
+  )
+  SELECT ['s', 'r', 'x', 't', 'a', 'm', 'z', 'f'][j.step] || j.k AS key, j.k * 10 + j.step AS seq,
+    CASE WHEN won THEN 'applied' WHEN j.step IN (4, 6) THEN 'conflict' ELSE 'invalid' END AS outcome,
+    CASE WHEN won THEN NULL WHEN j.step = 4 THEN 'only an active record can transition'
+      WHEN j.step = 6 THEN 'only active records can be merged' WHEN j.step = 7 THEN 'operation is not known'
+      ELSE 'no earlier command made a record under the key r' || (j.k + 1) END AS reason,
+    CASE j.step WHEN 1 THEN s.id ELSE r.id END AS made_id
+  FROM judged j LEFT JOIN scope_ids s ON s.n_name = j.n_name AND j.step = 1
+    LEFT JOIN record_ids r ON r.k = j.k AND r.step = j.step""").replace(")\nasked AS", "),\nasked AS", 1)
 O["ledger_after_batch"] = f"""{_head}, won AS (SELECT c.*, j.new_revision FROM judged j
     JOIN l_commands c ON c.key = j.key WHERE is_first AND outcome = 'applied'),
   edges AS (SELECT *, (SELECT max(id) FROM l_relations) + row_number() OVER (ORDER BY ts, seq) AS id

@@ -14,7 +14,7 @@ from tessera.operators import ledger_rows as rows_of
 from tessera.operators import legacy, ordering, quality, views
 from tessera.plans.registry import QUERIES, assertions, big, query
 from tessera.plans.catalog_recall import letter_model, letter_vectors
-from tessera.schemas import SOURCE
+from tessera.schemas import PAYLOAD, SOURCE
 from tessera.session import new_folder
 from tessera.sources import corpus
 from tessera.streaming.intake import CommandIntake, VectorSync
@@ -757,6 +757,57 @@ def apply_batch(spark, sf_dir):
     )
 
 
+def creating_commands(spark, sf_dir) -> DataFrame:
+    """Per customer: a scope for the nation, a record in it, and commands that name these by key.
+
+    Some records are superseded and then transitioned, some get a label, some are merged with the
+    one before. Some commands name a record that comes later, some have no operation.
+    """
+    people = corpus.table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") + 1).cast("bigint").alias("k"), "c_name", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey")
+    )
+    people = people.join(corpus.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    k, own = F.col("k"), F.concat(F.lit("r"), "k")
+    steps = [("s", "create_scope", F.lit(True)), ("r", "create_record", F.lit(True)), ("x", "supersede_record", k % 3 == 0),
+             ("t", "transition_record", k % 6 == 0), ("a", "add_label", k % 5 == 0), ("m", "merge_records", k % 7 == 0),
+             ("z", None, k % 11 == 0), ("f", "add_label", k % 13 == 0)]
+    asked = F.array(
+        *[
+            F.when(wanted, F.struct(F.lit(i).alias("step"), F.lit(letter).alias("letter"), F.lit(op).cast("string").alias("op")))
+            for i, (letter, op, wanted) in enumerate(steps, 1)
+        ]
+    )
+    rows = people.withColumn("asked", F.explode(F.filter(asked, lambda x: x.isNotNull()))).select("*", "asked.*")
+    makes = F.col("op").isin(*batch.RECORD_MAKERS)
+    named = {f.name: F.lit("note") if f.name == "kind" else F.col("c_mktsegment") if f.name == "body" else F.lit(None) for f in PAYLOAD}
+    payload = F.struct(*[named[f.name].cast(f.dataType).alias(f.name) for f in PAYLOAD])
+    return rows.select(
+        F.concat("letter", "k").alias("key"),
+        F.lit("2026-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+        (k * 10 + F.col("step")).alias("seq"),
+        "op",
+        F.concat_ws(" ", "op", "c_name").alias("request"),
+        F.lit(None).cast("bigint").alias("record_id"),
+        F.when(F.col("letter") == "f", F.concat(F.lit("r"), k + 1)).when(F.col("letter").isin("x", "t", "a"), own).alias("record_ref"),
+        F.when(F.col("letter") == "m", F.array(own, F.concat(F.lit("r"), k - 1))).alias("record_refs"),
+        F.when(makes, F.concat(F.lit("s"), "k")).alias("scope_ref"),
+        F.when(makes, F.array(F.lit(1).cast("bigint"))).alias("label_ids"),
+        F.when(F.col("op") == "add_label", F.lit(2).cast("bigint")).alias("label_id"),
+        F.when(F.col("op") == "create_scope", F.col("n_name")).alias("name"),
+        F.when(makes, F.col("c_name")).alias("title"),
+        F.when(makes, payload).alias("payload"),
+        F.array().cast(f"array<{SOURCE.simpleString()}>").alias("sources"),
+    )
+
+
+@query
+def creating_batch(spark, sf_dir):
+    """A batch that creates scopes and records and goes on with them."""
+    store = corpus.ledger(spark, sf_dir)
+    outcomes = batch.apply_batch(creating_commands(spark, sf_dir), store.read)
+    return outcomes.select("key", "seq", "outcome", "reason", "made_id")
+
+
 @query
 def ledger_after_batch(spark, sf_dir):
     """What the batch writes, table by table, and the records afterwards."""
