@@ -1,4 +1,4 @@
-"""WARC archives: writing captures, reading records, assembling transactions.
+"""WARC files: writing captures, reading records, assembling transactions.
 
 A capture is a response (or a revisit of an equal payload), a request and a metadata record, which
 name the response through WARC-Concurrent-To.
@@ -20,9 +20,9 @@ from tessera.session import new_folder
 
 #: Smaller payloads are always written whole.
 MIN_PAYLOAD = 100
-#: Captures of an archive file, which a reader holds at once.
+#: Captures of a WARC file, which a reader holds at once.
 FILE_CAPTURES = 1_000
-#: Header lines of an archived record that the reader returns as columns of their own.
+#: Header lines of a stored record that the reader returns as columns of their own.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _LINE = "\r\n"
@@ -90,7 +90,7 @@ def _page() -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", min_payload: int = MIN_PAYLOAD) -> None:
-    """Archives pages (page_id, url, html) as gzipped WARC files below ``path``.
+    """Stores pages (page_id, url, html) as gzipped WARC files below ``path``.
 
     Each row gives a response record with the page as an HTTP message, a request and a metadata
     record. Of rows with equal payloads of at least ``min_payload`` bytes only those with the
@@ -98,7 +98,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z",
     payload.
 
     - Null html is an empty payload. A null url leaves out the target line; blanks and control
-      characters of a url become %20, so it can't break a header. A null page_id is archived without
+      characters of a url become %20, so it can't break a header. A null page_id is stored without
       an id and never revisits. Rows with equal ids are captures of their own unless url and payload are equal
       too: those are written alike, and read back as one capture with as many metadata records. No
       rows, no files.
@@ -210,7 +210,7 @@ _HEADERS = (
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archive files below ``path``, gzipped or not, one row each.
+    """All records of the WARC files below ``path``, gzipped or not, one row each.
 
     ``payload`` is the HTTP body of a response, null for other types; ``payload_digest`` (SHA-256 in
     hex) and ``payload_bytes`` are computed from it, so they prove what was read. For a revisit the

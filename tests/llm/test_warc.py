@@ -1,4 +1,4 @@
-"""WARC archives: round trip, revisits, assembly."""
+"""WARC files: round trip, revisits, assembly."""
 
 import hashlib
 
