@@ -63,8 +63,10 @@ def random_commands(seed, n):
     rng = random.Random(seed)
     out = []
 
-    def some_ref():
-        return f"k{rng.randrange(n)}"
+    def some_ref(what):
+        """Mostly the key of an earlier command that would make such a thing, else any key."""
+        fit = [c["key"] for c in out if MAKERS.get(c["op"]) == what]
+        return rng.choice(fit) if fit and rng.random() < 0.85 else f"k{rng.randrange(n)}"
 
     for seq in range(n):
         if out and rng.random() < 0.08:
@@ -81,21 +83,21 @@ def random_commands(seed, n):
                       aliases=rng.choice([[], ["first"], ["x"], ["x", "y"], ["z"]]))
         if op in ("create_record", "supersede_record", "merge_records"):
             c |= dict(title=rng.choice([" t", "u", "v", ""]) if rng.random() < 0.2 else "new", body=rng.choice(["b"] * 9 + [""]))
-            c |= dict(scope_ref=some_ref()) if rng.random() < 0.3 else dict(scope_id=rng.choice([1, 2, 2, 99]))
+            c |= dict(scope_ref=some_ref("scope")) if rng.random() < 0.3 else dict(scope_id=rng.choice([1, 2, 2, 99]))
             c["label_ids"] = rng.choice([[1], [2, 1], [1, 1], [99], None])
             if rng.random() < 0.3:
-                c["label_refs"] = [some_ref()]
+                c["label_refs"] = [some_ref("label")]
         if op in ("supersede_record", "revise_record", "add_label", "retract_label", "add_relation", "transition_record"):
-            c |= dict(record_id=rng.choice([1, 2, 3, 99])) if rng.random() < 0.3 else dict(record_ref=some_ref())
+            c |= dict(record_id=rng.choice([1, 2, 3, 99])) if rng.random() < 0.3 else dict(record_ref=some_ref("record"))
         if op == "merge_records":
             c["record_ids"] = rng.sample(range(1, 4), rng.randint(0, 2))
-            c["record_refs"] = [some_ref() for _ in range(rng.randint(0, 2))]
+            c["record_refs"] = [some_ref("record") for _ in range(rng.randint(0, 2))]
         if op == "revise_record":
             c |= dict(title="rev", body="b2", expected_revision=rng.randint(1, 2))
         if op in ("add_label", "retract_label"):
-            c |= dict(label_ref=some_ref()) if rng.random() < 0.4 else dict(label_id=rng.choice([1, 2, 99]))
+            c |= dict(label_ref=some_ref("label")) if rng.random() < 0.4 else dict(label_id=rng.choice([1, 2, 99]))
         if op == "add_relation":
-            c |= dict(target_record_ref=some_ref()) if rng.random() < 0.6 else dict(target_record_id=rng.choice([1, 2, 3, 99]))
+            c |= dict(target_record_ref=some_ref("record")) if rng.random() < 0.6 else dict(target_record_id=rng.choice([1, 2, 3, 99]))
             c["relation_kind"] = "supports"
         out.append(c)
     return out
@@ -138,7 +140,7 @@ class Replay:
         return c
 
     def new_record(self, c):
-        if not c["title"].strip() or not c["body"] or not c["label_ids"] or len(set(c["label_ids"])) != len(c["label_ids"]):
+        if not c["title"].strip() or not c["body"] or not c["label_ids"]:  # repeated labels count once
             raise Invalid
         if c["scope_id"] not in self.scopes.values() or not set(c["label_ids"]) <= set(self.labels.values()):
             raise Invalid
@@ -267,9 +269,9 @@ def compare(want, tables):
     assert sorted(firsts) == [i for i in sorted(want.records) if i > 3]
 
 
-@pytest.mark.parametrize("seed, pieces", [(1, 1), (3, 2)])
+@pytest.mark.parametrize("seed, pieces", [(32, 2), (15, 1)])
 def test_replay(spark, tmp_path, seed, pieces):
-    commands = random_commands(seed, 70)
+    commands = random_commands(seed, 60)
     want = Replay()(commands)
     assert set(want.outcomes.values()) == {"applied", "invalid", "conflict", "replayed"}
     base = start(spark)
