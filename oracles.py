@@ -260,6 +260,10 @@ _first = sql("l_places", _POSTING_ROWS)
 O["text_index_refresh"] = _first.replace(
     "v.revision = r.current_revision", "v.revision = 1"
 )
+O["segment_postings"] = O["text_index_refresh"]
+O["segment_terms"] = sql("l_df", "SELECT term, df FROM l_df").replace(
+    "v.revision = r.current_revision", "v.revision = 1"
+)
 O["corpus_stats"] = sql("l_corpus", "SELECT n_docs, round(avgdl, 6) AS avgdl FROM l_corpus")
 O["document_frequency"] = sql("l_df", "SELECT term, df FROM l_df")
 
@@ -392,6 +396,7 @@ O["bm25_score"] = sql("l_scores", """SELECT query_id, record_id, round(score, 6)
     FROM l_scores""")
 O["bm25_topk"] = sql("l_lexical", """SELECT query_id, bm25_rank, record_id,
     round(score, 6) AS score FROM l_lexical""")
+O["segment_search"] = O["bm25_topk"]
 
 # Vector index and dense retrieval
 

@@ -122,6 +122,18 @@ def text_index_refresh(spark, sf_dir):
     return _posting_rows(ti.refreshed(index, changed))
 
 
+@query
+def segment_postings(spark, sf_dir):
+    """The same postings, of an index in which a second segment holds the first revisions."""
+    return _posting_rows(corpus.segmented_index(spark, sf_dir)[0].postings())
+
+
+@query
+def segment_terms(spark, sf_dir):
+    """Document frequencies that both segments add up to."""
+    return corpus.segmented_index(spark, sf_dir)[0].term_stats().select("term", "df")
+
+
 @query
 def corpus_stats(spark, sf_dir):
     index = corpus.text_index(spark, sf_dir)
@@ -440,3 +452,14 @@ def bm25_topk(spark, sf_dir):
     return rt.bm25_topk(allowed, 20).select(
         "query_id", "bm25_rank", "record_id", F.round("score", 6).alias("score")
     )
+
+
+@query
+def segment_search(spark, sf_dir):
+    """Top 20 active records per query, from an index of three segments."""
+    store = corpus.ledger(spark, sf_dir)
+    scores = rt.bm25_scores(corpus.segmented_index(spark, sf_dir)[1], query_batch(store))
+    allowed = views.eligible_candidates(scores, store.read("records"), corpus.query_table(store))
+    return rt.bm25_topk(allowed, 20).select(
+        "query_id", "bm25_rank", "record_id", F.round("score", 6).alias("score")
+    )

@@ -852,18 +852,16 @@ def stream_intake(spark, sf_dir):
     root = new_folder(spark, "intake")
     source = f"{root}/commands"
     delivered = corpus.delivered_commands(spark, sf_dir, n)
-    cuts = delivered.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).approxQuantile(
-        "at", [0.25, 0.5, 0.75], 0.01
-    )
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
-        part = delivered.filter((at > low) & (at <= high))
-        part.coalesce(1).write.mode("append").parquet(source)  # files are taken in order of writing
+    cuts = delivered.select(at.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01)
+    # Commands without a time come first.
+    quarter = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
     intake = CommandIntake(spark, root, store.read("write_keys"), lambda batch: batch)
-    stream = (
-        spark.readStream.schema(delivered.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    )
-    intake.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
+    for part in range(len(cuts) + 1):
+        delivered.filter(quarter == part).write.mode("append").parquet(source)
+        # What has arrived since the last start is one micro-batch, however many files it is.
+        stream = spark.readStream.schema(delivered.schema).parquet(source)
+        intake.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()
     return intake.outcomes().select("key", "seq", "outcome", "reason")
 
 

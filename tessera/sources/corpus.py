@@ -16,6 +16,7 @@ from tessera.functions.payload import MAIN_TEXT
 from tessera.functions.text import words
 from tessera.limits import DIRECT_RELATIONS, KINDS
 from tessera.operators.ordering import allocate_ids
+from tessera.operators.segments import SegmentedIndex, refresh_segments, write_segments
 from tessera.operators.textindex import TextIndex, indexed_documents, write_index
 from tessera.schemas import PAYLOAD
 from tessera.session import new_folder
@@ -558,3 +559,21 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
         documents = indexed_documents(store.read("records"), store.read("record_revisions"))
         _INDEXED[store.root] = write_index(documents, f"{store.root}/text_index")
     return _INDEXED[store.root]
+
+
+_SEGMENTED: dict[str, tuple[SegmentedIndex, SegmentedIndex]] = {}
+
+
+def segmented_index(spark: SparkSession, sf_dir: str) -> tuple[SegmentedIndex, SegmentedIndex]:
+    """An index in segments after all revised records are put back to their first revision, and
+    after they are brought up to the current one again."""
+    store = ledger(spark, sf_dir)
+    if store.root not in _SEGMENTED:
+        records, revisions = store.read("records"), store.read("record_revisions")
+        revised = records.filter("current_revision > 1")
+        first = revised.withColumn("current_revision", F.lit(1).cast("bigint"))
+        index = write_segments(indexed_documents(records, revisions), f"{store.root}/segments")
+        back = refresh_segments(index, indexed_documents(first, revisions, ledger=records))
+        again = refresh_segments(back, indexed_documents(revised, revisions, ledger=records))
+        _SEGMENTED[store.root] = back, again
+    return _SEGMENTED[store.root]
