@@ -13,47 +13,38 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import keyed, map_batches, table
 
-#: A language's sample: from each of SLOTS slots the labelled document with the smallest hash of its
-#: id, EXCERPT code points of it at most; all in all SYMBOLS symbols, so that an automaton has under
-#: 65,535 states.
-SLOTS, EXCERPT, SYMBOLS = 64, 1_000, 30_000
-#: Letters told apart; all others are one symbol. Runs of anything else are one gap.
-LETTERS = 94
+#: A language's sample: from each of SLOTS slots the labelled document with a letter that has the
+#: smallest hash of its id. Its SYMBOLS are dealt evenly among them, and each gives a window from a
+#: hashed place of its text. So an automaton has under 65,535 states.
+SLOTS, SYMBOLS = 64, 30_000
+LETTER = r"\p{L}"
 #: Symbols that are parsed as one piece; phrases don't cross from piece to piece.
 PIECE = 2048
 UNKNOWN = "und"
 #: How fast the score falls with the bits per symbol that separate languages.
 SHARPNESS = 8.0
 
-_OTHER, _GAP = 0, 1
+_GAP = ord(" ")
 _NONE = 0xFFFF
 
 
-class Alphabet:
-    """Symbols of code points: frequent letters, other letters, gaps."""
-
-    def __init__(self, symbols: np.ndarray, size: int):
-        self.symbols, self.size = symbols, size
+def lower_letters() -> np.ndarray:
+    """Per code point the lower case of a letter, and a gap for what is no letter."""
+    out = np.full(0x110000, _GAP, np.uint32)
+    for code in range(0x110000):
+        c = chr(code)
+        if c.isalpha():
+            out[code] = ord(c.lower()[0])
+    return out
 
-    @classmethod
-    def among(cls, texts: list[str]) -> Alphabet:
-        seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        frequent = sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS]
-        number = {c: i + 2 for i, c in enumerate(frequent)}
-        symbols = np.full(0x110000, _GAP, np.uint8)
-        for code in range(0x110000):
-            c = chr(code)
-            if c.isalpha():
-                symbols[code] = number.get(c.lower(), _OTHER)
-        return cls(symbols, len(frequent) + 2)
 
-    def of(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        found = self.symbols[codes]
-        gap = found == _GAP
-        keep = np.ones(len(found), bool)
-        keep[1:] = ~(gap[1:] & gap[:-1])
-        return found[keep]
+def symbols_of(text: str, letters: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of the lower-cased letters; a run of anything else is one gap."""
+    found = letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    gap = found == _GAP
+    keep = np.ones(len(found), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    return np.frombuffer(found[keep].tobytes().decode("utf-32-le").encode(), np.uint8)
 
 
 def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
@@ -96,23 +87,41 @@ def automaton(symbols: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    alphabet: Alphabet
+    """Automata of the languages, each over the bytes that its own sample has.
+
+    ``columns`` numbers a language's bytes; all others share a last column that leads nowhere.
+    """
+
+    letters: np.ndarray
     languages: tuple[str, ...]
+    columns: tuple[np.ndarray, ...]
     automata: tuple[np.ndarray, ...]
     log_sizes: np.ndarray
 
 
+def sample_symbols(texts: list[str], letters: np.ndarray) -> np.ndarray:
+    """All excerpts of a language, each with an even share of SYMBOLS at most, gaps between them."""
+    share = max(SYMBOLS // max(len(texts), 1) - 1, 1)
+    gap = np.array([_GAP], np.uint8)
+    return np.concatenate([part for t in texts for part in (symbols_of(t, letters)[:share], gap)])
+
+
 def fit(samples: dict[str, list[str]]) -> Model:
     """A model of sample texts per language; languages without a letter are left out."""
-    samples = {lang: texts for lang, texts in samples.items() if any(c.isalpha() for t in texts for c in t)}
-    alphabet = Alphabet.among([t for texts in samples.values() for t in texts])
-    languages, automata, sizes = [], [], []
+    letters = lower_letters()
+    languages, columns, automata, sizes = [], [], [], []
     for lang in sorted(samples):
-        joined = alphabet.of(" ".join(samples[lang]))[:SYMBOLS]
+        if not any(c.isalpha() for t in samples[lang] for c in t):
+            continue
+        joined = sample_symbols(samples[lang], letters)
+        own = np.unique(joined)
+        number = np.full(256, len(own), np.uint8)
+        number[own] = np.arange(len(own))
         languages.append(lang)
-        automata.append(automaton(joined, alphabet.size))
+        columns.append(number)
+        automata.append(automaton(number[joined], len(own) + 1))
         sizes.append(np.log2(len(joined) + 1))
-    return Model(alphabet, tuple(languages), tuple(automata), np.array(sizes))
+    return Model(letters, tuple(languages), tuple(columns), tuple(automata), np.array(sizes))
 
 
 def phrases(pieces: list[np.ndarray], next_state: np.ndarray) -> np.ndarray:
@@ -151,7 +160,7 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
     for i, text in enumerate(texts):
         if not text or not model.languages:
             continue
-        symbols = model.alphabet.of(text)
+        symbols = symbols_of(text, model.letters)
         if (symbols == _GAP).all():
             continue
         lengths[i] = len(symbols)
@@ -164,8 +173,8 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
     pieces, owners = [pieces[i] for i in order], np.array(owners)[order]
     judged = np.flatnonzero(lengths)
     bits = np.empty((len(model.languages), len(judged)))
-    for k, table_of_states in enumerate(model.automata):
-        count = np.bincount(owners, weights=phrases(pieces, table_of_states), minlength=len(texts))
+    for k, (number, next_state) in enumerate(zip(model.columns, model.automata, strict=True)):
+        count = np.bincount(owners, weights=phrases([number[p] for p in pieces], next_state), minlength=len(texts))
         bits[k] = count[judged] * model.log_sizes[k] / lengths[judged]
     best = bits.argmin(axis=0)
     share = 1 / np.exp2(-SHARPNESS * (bits - bits.min(axis=0))).sum(axis=0)
@@ -177,24 +186,38 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
 def learn(docs: DataFrame, lang_col: str, learns: Column) -> Model:
     """The model of a bounded sample of the labelled rows of (doc_id, text, lang) to learn from.
 
-    A first pass reads ids and labels only, and keeps one hash per language and slot; a second
-    reads the excerpts of those rows. SLOTS excerpts per language reach the driver.
+    A first pass keeps one hash per language and slot, of documents that have a letter; a second
+    reads windows of those texts. SYMBOLS code points per language reach the driver.
     """
-    labelled = docs.filter(learns & F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull())
+    labelled = docs.filter(
+        learns & F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(LETTER)
+    )
     mark = F.xxhash64("doc_id")
-    least = labelled.groupBy(lang_col, F.pmod(F.hash("doc_id"), F.lit(SLOTS)).alias("slot")).agg(F.min(mark).alias("mark"))
-    marks = sorted(r["mark"] for r in least.collect())
+    least = (
+        labelled.groupBy(lang_col, F.pmod(F.hash("doc_id"), F.lit(SLOTS)).alias("slot"))
+        .agg(F.min(mark).alias("mark"))
+        .collect()
+    )
+    if not least:
+        return fit({})
+    shares = {lang: SYMBOLS // n for lang, n in Counter(r[lang_col] for r in least).items()}
+    long = F.create_map(*[F.lit(v) for pair in shares.items() for v in pair])[F.col(lang_col)]
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - long, F.lit(0)) + 1) + 1
+    window = F.substr("text", start.cast("int"), long)
+    # A window without a letter gives way to one that starts with the text's first letter.
+    lettered = F.when(window.rlike(LETTER), window).otherwise(
+        F.substr("text", F.regexp_instr("text", F.lit(LETTER)), long)
+    )
     rows = (
-        labelled.filter(mark.isin(marks) if marks else F.lit(False))
+        labelled.filter(mark.isin(sorted({r["mark"] for r in least})))
         .groupBy("doc_id", lang_col)
-        .agg(F.min(F.substring("text", 1, EXCERPT)).alias("text"))
+        .agg(F.min(lettered).alias("text"))
         .orderBy(mark, lang_col)
         .collect()
     )
     samples: dict[str, list[str]] = {}
     for r in rows:
-        if r["text"]:
-            samples.setdefault(r[lang_col], []).append(r["text"])
+        samples.setdefault(r[lang_col], []).append(r["text"])
     return fit(samples)
 
 
@@ -230,13 +253,12 @@ def identify_language(
         docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("label")
     )
     model = learn(labelled, "label", ~held_out(F.col("doc_id")))
-    plain = (model.alphabet.symbols, model.alphabet.size, model.languages, model.automata, model.log_sizes)
+    plain = (model.letters, model.languages, model.columns, model.automata, model.log_sizes)
     shared = keys.sparkSession.sparkContext.broadcast(plain)
     keys = keyed(docs, id_col, text_col, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, size, *others = shared.value
-        model = Model(Alphabet(symbols, size), *others)
+        model = Model(*shared.value)
         for b in batches:
             lang, score = predict(b.column("text").to_pylist(), model)
             columns = [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)]

@@ -141,6 +141,93 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language.identify_language(blank).collect()} == {"und"}
 
 
+#: First letter and number of letters: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Devanagari,
+#: Bengali, Tamil, Telugu, Thai, Lao, Georgian, Amharic, Khmer, kana, Han, Hangul.
+SCRIPTS = [(0x61, 26), (0x3B1, 17), (0x430, 32), (0x561, 38), (0x5D0, 27), (0x628, 19), (0x915, 37), (0x995, 20),
+           (0xB95, 1), (0xC15, 20), (0xE01, 46), (0xE94, 4), (0x10D0, 33), (0x1200, 70), (0x1780, 35), (0x3042, 80),
+           (0x4E00, 5000), (0xAC00, 11000)]
+
+
+def made_languages(draw, n_docs):
+    """(doc_id, text, lang) of a random vocabulary per script, two of them Latin."""
+    rows = []
+    for k, (first, n) in enumerate([*SCRIPTS, SCRIPTS[0]]):
+        known = [chr(c) for c in range(first, first + max(n, 30)) if chr(c).isalpha()]
+        vocabulary = ["".join(draw.choices(known, k=draw.randrange(2, 7))) for _ in range(300)]
+        for _ in range(n_docs):
+            rows.append((len(rows), "12 " + " ".join(draw.choices(vocabulary, k=60)), f"l{k:02d}"))
+    return rows
+
+
+def test_many_scripts(spark):
+    rows = made_languages(random.Random(4), 60)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    right = Counter()
+    tried = Counter()
+    for r in language.identify_language(docs).filter("held_out").collect():
+        lang = rows[r["doc_id"]][2]
+        tried[lang] += 1
+        right[lang] += r["lang_pred"] == lang
+    assert len(tried) == len(SCRIPTS) + 1
+    assert {lang: right[lang] / n for lang, n in tried.items() if right[lang] / n <= 0.97} == {}
+
+
+def test_languages_are_learned_beside_empty_texts_and_from_any_place(spark):
+    draw = random.Random(6)
+    by_lang = {lang: ["".join(draw.choices("abcdefghij", k=5)) for _ in range(80)] for lang in ("en", "fr")}
+    rows = []
+    for i in range(6000):
+        lang = "fr" if i % 150 == 0 else "en"
+        body = " ".join(draw.choices(by_lang[lang], k=50))
+        # Most rows of the rare language are empty, and all texts begin alike.
+        rows.append((i, "1 2 3 " * 200 + "same head " * 120 + body, lang))
+        rows.append((6000 + i, draw.choice(["", "12 !", None]), "fr"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify_language(docs).collect()}
+    seen = [got[i]["lang_pred"] == "fr" for i in range(0, 6000, 150)]
+    assert sum(seen) >= 0.9 * len(seen)
+    assert got[6001]["lang_pred"] == "und"
+
+
+def test_predictions_equal_a_plain_parse():
+    draw = random.Random(8)
+    rows = made_languages(draw, 4)
+    samples = {}
+    for _, text, lang in rows:
+        samples.setdefault(lang, []).append(text)
+    model = language.fit(samples)
+
+    def plain(text):
+        return "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+
+    def squeezed(text):
+        return re.sub(" +", " ", plain(text)).encode()
+
+    joined = {lang: b"".join(squeezed(t) + b" " for t in texts) for lang, texts in samples.items()}
+
+    def bits(text, sample):
+        n = at = 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[at : end + 1] in sample:
+                end += 1
+            at, n = end, n + 1
+        return n * np.log2(len(sample) + 1) / len(text)
+
+    texts = [" ".join(draw.choices(" ".join(t for _, t, _ in draw.sample(rows, 2)).split(), k=30)) for _ in range(40)]
+    texts += [None, "", "7 !", "\u0130I \ud800x", "zz"]
+    found, scores = language.predict(texts, model)
+    for text, lang, score in zip(texts, found, scores, strict=True):
+        if not text or not any(map(str.isalpha, text)):
+            assert (lang, score) == ("und", 0)
+            continue
+        want = {x: bits(squeezed(text), sample) for x, sample in joined.items()}
+        best = min(sorted(want), key=want.get)
+        assert lang == best
+        total = sum(2.0 ** (-language.SHARPNESS * (b - want[best])) for b in want.values())
+        assert abs(score - 1 / total) < 1e-9
+
+
 def test_automaton_and_phrases():
     rng = random.Random(2)
     text = [rng.randrange(3) for _ in range(200)]
