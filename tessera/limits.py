@@ -3,6 +3,7 @@
 # Fixed values.
 MAX_QUERY_BYTES = 256
 MAX_PAGE = 50
+PAGE_DEFAULT = 20
 MAX_BODY_BYTES = 1_000_000
 MAX_TITLE_BYTES = 200
 MAX_NAME_BYTES = 200

@@ -21,6 +21,8 @@ from tessera.operators.retrieval import top_k
 # Similarities are ranked after rounding to this many decimals, so equal vectors tie whatever
 # block they are scored in.
 RANK_DECIMALS = 9
+# Fixed value: wording of the refusal.
+PENDING = "embedding index has %d pending records; run sync_embeddings"
 
 
 def of_model(embeddings: DataFrame, model: str, model_revision: str) -> DataFrame:
@@ -109,9 +111,7 @@ def index_gate(status: DataFrame) -> DataFrame:
 def require_complete(rows: DataFrame, status: DataFrame) -> DataFrame:
     """``rows``, failing when the index is not complete."""
     pending = status.select("pending_records").scalar()
-    message = F.format_string(
-        "embedding index has %d pending records; run sync_embeddings", pending
-    )
+    message = F.format_string(PENDING, pending)
     return rows.filter(F.when(pending > 0, F.raise_error(message)).otherwise(F.lit(True)))
 
 

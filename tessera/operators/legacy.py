@@ -172,9 +172,7 @@ def visible_revisions(
 
     Where ``records`` is only a part of them, ``ledger`` says what links may name.
 
-    Only the ids that links name travel, one row per imported record comes back (a map from
-    revision to its visible targets), and it joins on the record id, by which both tables are
-    bucketed.
+    Only the ids that links name travel, and one row per linking revision comes back.
     """
     body = F.col("payload.body")
     imported = records.filter("import_metadata IS NOT NULL").select(F.col("id").alias("record_id"))
@@ -190,14 +188,12 @@ def visible_revisions(
         linked.select("record_id", "revision", F.explode_outer("targets").alias("target_id"))
         .join(seen.withColumn("seen", F.lit(True)), "target_id", "left")
         .groupBy("record_id", "revision")
-        .agg(F.collect_set(F.when(F.col("seen"), F.col("target_id"))).alias("visible"))
-        .groupBy("record_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("revision", "visible"))).alias("_visible"))
+        .agg(F.collect_set(F.when(F.col("seen"), F.col("target_id"))).alias("_visible"))
     )
-    allowed = F.try_element_at("_visible", F.col("revision"))
+    allowed = F.col("_visible")
     shown = F.when(allowed.isNull(), body).otherwise(redact(body, allowed))
     fields = [shown.alias(f) if f == "body" else F.col(f"payload.{f}") for f in PAYLOAD.names]
-    return revisions.join(visible, "record_id", "left").select(
+    return revisions.join(visible, ["record_id", "revision"], "left").select(
         *[
             F.when(F.col("payload").isNotNull(), F.struct(*fields)).alias("payload") if c == "payload" else F.col(c)
             for c in revisions.columns

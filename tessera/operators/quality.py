@@ -277,14 +277,23 @@ def canonical_aliases(values: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(values, lambda a: F.lower(utrim(a)))))
 
 
+def page_limit(limit: Column) -> Column:
+    return error_if(~limit.between(1, MAX_PAGE), LIMIT_RANGE.format(MAX_PAGE))
+
+
+def query_text(value: Column) -> Column:
+    return error_if(F.octet_length(value) > MAX_QUERY_BYTES, QUERY_TOO_LONG.format(MAX_QUERY_BYTES))
+
+
+def recall_budget(budget: Column) -> Column:
+    return error_if(
+        ~budget.between(BUDGET_MIN, BUDGET_MAX), BUDGET_RANGE.format(BUDGET_MIN, BUDGET_MAX)
+    )
+
+
 def query(text_: Column, limit: Column, scope_id: Column, budget: Column) -> Column:
     return first_error(
-        positive("scope_id", scope_id),
-        error_if(~limit.between(1, MAX_PAGE), LIMIT_RANGE.format(MAX_PAGE)),
-        error_if(F.octet_length(text_) > MAX_QUERY_BYTES, QUERY_TOO_LONG.format(MAX_QUERY_BYTES)),
-        error_if(
-            ~budget.between(BUDGET_MIN, BUDGET_MAX), BUDGET_RANGE.format(BUDGET_MIN, BUDGET_MAX)
-        ),
+        positive("scope_id", scope_id), page_limit(limit), query_text(text_), recall_budget(budget)
     )
 
 

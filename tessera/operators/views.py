@@ -358,15 +358,15 @@ def record_document(store, ids: DataFrame | None = None) -> DataFrame:
     and as rows from :func:`relations_visible` and :func:`revision_history`.
     """
     records = store.read("records")
-    rows = records.filter("readable").withColumnRenamed("id", "record_id")
+    shown = records.filter("readable")
     if ids is not None:
-        rows = rows.join(ids, "record_id", "left_semi")
+        shown = shown.join(ids.select(F.col("record_id").alias("id")), "id", "left_semi")
+    rows = shown.withColumnRenamed("id", "record_id")
     wanted = rows.select("record_id")
     scopes = store.read("scopes").select(F.col("id").alias("scope_id"), F.col("name").alias("scope_name"))
     revisions = store.read("record_revisions")
-    current = visible_revisions(records, revisions).select(
+    current = visible_revisions(shown, current_revision(shown, revisions), records).select(
         "record_id",
-        F.col("revision").alias("current_revision"),
         payload_text(F.col("payload")).alias("text"),
         F.col("reason").alias("revision_reason"),
     )
@@ -390,17 +390,18 @@ def record_document(store, ids: DataFrame | None = None) -> DataFrame:
         .groupBy("record_id")
         .agg(F.count("*").alias("n_revisions"))
     )
-    steps = lifecycle_history(records, store.read("lifecycle_transitions"))
-    sources = record_sources(store.read("source_references")).withColumnRenamed(
-        "revision", "current_revision"
-    )
+    steps = lifecycle_history(shown, store.read("lifecycle_transitions"))
+    keys = shown.select(F.col("id").alias("record_id"), F.col("current_revision").alias("revision"))
+    sources = record_sources(
+        store.read("source_references").join(keys, ["record_id", "revision"], "left_semi")
+    ).drop("revision")
     return (
         rows.select(
             "record_id", "scope_id", "kind", "title", "lifecycle", "current_revision", "updated_at"
         )
         .join(scopes, "scope_id")
-        .join(current, ["record_id", "current_revision"])
-        .join(sources, ["record_id", "current_revision"], "left")
+        .join(current, "record_id")
+        .join(sources, "record_id", "left")
         .join(labels, "record_id", "left")
         .join(edges, "record_id", "left")
         .join(history, "record_id", "left")

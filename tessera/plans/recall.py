@@ -12,6 +12,7 @@ from tessera.functions.excerpt import centred, window
 from tessera.functions.payload import payload_text
 from tessera.functions.text import squeeze
 from tessera.limits import (
+    BUDGET_DEFAULT,
     EXCERPT_MAX_BYTES,
     EXCERPT_MIN_BYTES,
     RECALL_CANDIDATES,
@@ -153,13 +154,24 @@ def evidence(
     def hint(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if bounded else df
 
-    records = store.read("records").select(
+    ledger = store.read("records")
+    records = ledger.select(
         F.col("id").alias("record_id"), "scope_id", "kind", "title", "lifecycle", "current_revision"
     )
     scopes = store.read("scopes").select(
         F.col("id").alias("scope_id"), F.col("name").alias("scope_name")
     )
-    shown_revisions = visible_revisions(store.read("records"), store.read("record_revisions"))
+    keys = records.select("record_id", "current_revision").join(
+        hint(picked.select("record_id").distinct()), "record_id", "left_semi"
+    )
+    # Only what is shown is redacted.
+    chosen = hint(picked.select(F.col("record_id").alias("id")).distinct())
+    current = store.read("record_revisions").join(
+        hint(keys.withColumnRenamed("current_revision", "revision")),
+        ["record_id", "revision"],
+        "left_semi",
+    )
+    shown_revisions = visible_revisions(ledger.join(chosen, "id", "left_semi"), current, ledger)
     revisions = shown_revisions.select(
         "record_id",
         F.col("revision").alias("current_revision"),
@@ -170,9 +182,6 @@ def evidence(
         "client",
     )
     known = records.join(hint(picked), "record_id").join(scopes, "scope_id")
-    keys = records.select("record_id", "current_revision").join(
-        hint(picked.select("record_id").distinct()), "record_id", "left_semi"
-    )
     sources = recall_sources(
         store.read("source_references")
         .withColumnRenamed("revision", "current_revision")
@@ -280,12 +289,12 @@ _PACKED = "query_id bigint, n_records bigint, used_bytes bigint, result string,
 
 def recall_pack(
     rows: DataFrame,
-    budget: int,
     semantic_available: bool,
     model: str | None = None,
     model_revision: str | None = None,
 ) -> DataFrame:
-    """Packed result per query. A group is the at most five rows of :func:`recall_order`."""
+    """Packed result per query, by its ``budget``. A group is the at most five rows of
+    :func:`recall_order`, or one row without evidence for a query that found nothing."""
     head = {
         "strategy": "dense" if semantic_available else "bm25",
         "semantic_available": semantic_available,
@@ -298,8 +307,9 @@ def recall_pack(
         items = [
             {"evidence": json.loads(r.evidence), "text": r.text, "query": r.query}
             for r in ordered.itertuples()
+            if r.evidence is not None
         ]
-        text, used, count, error = pack(head, items, budget)
+        text, used, count, error = pack(head, items, int(group["budget"].iloc[0]))
         return pd.DataFrame(
             {
                 "query_id": [group["query_id"].iloc[0]],
@@ -313,17 +323,6 @@ def recall_pack(
     return rows.groupBy("query_id").applyInPandas(pack_query, _PACKED)
 
 
-def empty_result(budget: int, semantic_available: bool, model=None, model_revision=None) -> str:
-    """Result of a query that found nothing."""
-    head = {
-        "strategy": "dense" if semantic_available else "bm25",
-        "semantic_available": semantic_available,
-        "model": model if semantic_available else None,
-        "model_revision": model_revision if semantic_available else None,
-    }
-    return pack(head, [], budget)[0]
-
-
 def recall_context(
     store: LedgerStore,
     index: TextIndex,
@@ -333,10 +332,10 @@ def recall_context(
     model: str,
     model_revision: str,
     dimensions: int,
-    budget: int,
+    budget: int = BUDGET_DEFAULT,
     packed: bool = True,
 ) -> DataFrame:
-    """Whole recall for a batch of queries.
+    """Whole recall for a batch of queries. A column ``max_bytes`` gives each its own budget.
 
     Dense order is used when the vector index is complete, else the lexical order alone. The
     status is read once, so both retrievals and the order agree on the strategy.
@@ -358,10 +357,12 @@ def recall_context(
     ordered = recall_order(recall_candidates(store, index, answerable, semantic))
     if not packed:
         return ordered
-    rows = evidence(store, ordered, queries, complete)
-    results = recall_pack(rows, budget, complete, model, model_revision)
-    nothing = empty_result(budget, complete, model, model_revision)
-    empty = F.col("n_records").isNull()
+    own = F.lit(budget)
+    if "max_bytes" in queries.columns:
+        own = F.coalesce(F.col("max_bytes"), own)
+    found = evidence(store, ordered, answerable, complete)
+    rows = answerable.select("query_id", own.alias("budget")).join(found, "query_id", "left")
+    results = recall_pack(rows, complete, model, model_revision)
     return (
         is_blank(queries)
         .select("query_id", "blank")
@@ -369,15 +370,8 @@ def recall_context(
         .select(
             "query_id",
             F.coalesce("n_records", F.lit(0)).alias("n_records"),
-            F.when(F.col("blank"), 0)
-            .when(empty, len(nothing.encode()))
-            .otherwise(F.col("used_bytes"))
-            .cast("bigint")
-            .alias("used_bytes"),
-            F.when(F.col("blank"), F.lit(None))
-            .when(empty, nothing)
-            .otherwise(F.col("result"))
-            .alias("result"),
+            F.coalesce("used_bytes", F.lit(0)).cast("bigint").alias("used_bytes"),
+            "result",
             F.when(F.col("blank"), EMPTY_RECALL).otherwise(F.col("error")).alias("error"),
         )
     )

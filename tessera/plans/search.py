@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.text import words
+from tessera.limits import MAX_PAGE
 from tessera.operators import dense, views
 from tessera.operators.blocks import best_rows, newest_first, with_filters
 from tessera.operators.retrieval import QueryBatch, phrase_matches, search_and, top_k
@@ -65,8 +67,10 @@ def search_records(
     """Records that hold every term of the query and pass its filters, newest first.
 
     One page per query: (query_id, position, record_id, next_before_id, match_explanation).
-    A column ``before_id`` continues an earlier page. A blank query lists all records that pass.
+    A column ``before_id`` continues an earlier page. A column ``limit`` gives each query its own page
+    size, at most 50. A blank query lists all records that pass.
     """
+    most = MAX_PAGE if "limit" in queries.columns else limit
     judged = is_blank(queries)
     any_blank = not judged.filter("blank").isEmpty()
     asked = judged.filter("NOT blank").drop("blank") if any_blank else queries
@@ -80,35 +84,42 @@ def search_records(
             .filter(F.col("before_id").isNull() | (F.col("record_id") < F.col("before_id")))
             .drop("before_id")
         )
-    fetched = top_k(rows, limit + 1, F.desc("record_id"), rank="position")
+    fetched = top_k(rows, most + 1, F.desc("record_id"), rank="position")
     if any_blank:
         blank = judged.filter("blank").drop("blank")
-        fetched = fetched.unionByName(list_records(store, blank, limit + 1))
+        fetched = fetched.unionByName(list_records(store, blank, most + 1))
     tags = judged.select(
         "query_id",
+        own_limit(queries, limit).alias("most"),
         F.when(F.col("blank"), _search_tags(False, queries))
         .otherwise(_search_tags(True, queries))
         .alias("match_explanation"),
     )
     # The extra row only says that there is a next page.
-    more = fetched.groupBy("query_id").agg(
-        F.count("*").alias("fetched"),
-        F.max(F.when(F.col("position") == limit, F.col("record_id"))).alias("last_id"),
-    )
+    whole = Window.partitionBy("query_id")
+    last = F.when(F.col("position") == F.col("most"), F.col("record_id"))
     return (
-        fetched.filter(F.col("position") <= limit)
-        .join(more, "query_id")
-        .join(tags, "query_id")
+        fetched.join(tags, "query_id")
+        .filter(F.col("position") <= F.col("most") + 1)
+        .withColumns({"fetched": F.count("*").over(whole), "last_id": F.max(last).over(whole)})
+        .filter(F.col("position") <= F.col("most"))
         .select(
             "query_id",
             "position",
             "record_id",
-            F.when(F.col("fetched") > limit, F.col("last_id")).alias("next_before_id"),
+            F.when(F.col("fetched") > F.col("most"), F.col("last_id")).alias("next_before_id"),
             "match_explanation",
         )
     )
 
 
+def own_limit(queries: DataFrame, limit: int) -> Column:
+    """Each query's own number of rows, or ``limit``."""
+    if "limit" not in queries.columns:
+        return F.lit(limit)
+    return F.coalesce(F.col("limit"), F.lit(limit))
+
+
 def _search_tags(text: bool, queries: DataFrame) -> Column:
     return views.match_explanation(
         text,
@@ -128,14 +139,18 @@ def semantic_search(
     dimensions: int,
     limit: int = 20,
 ) -> DataFrame:
-    """Nearest eligible records per query; fails unless every readable record has a vector."""
+    """Nearest eligible records per query; fails unless every readable record has a vector.
+
+    A column ``limit`` gives each query its own number of hits, at most 50.
+    """
+    most = MAX_PAGE if "limit" in queries.columns else limit
     records = store.read("records")
     status = dense.embedding_status(records, embeddings, model, model_revision, dimensions)
     vectors = dense.embedding_valid(records, embeddings, model, model_revision, dimensions)
     if "label_ids" in queries.columns:
         vectors = dense.labelled(vectors, _held(store))
     asked = dense.dense_queries(queries, query_vectors, store.read("scopes"))
-    hits = dense.dense_topk(asked, dense.require_complete(vectors, status), dimensions, limit)
+    hits = dense.dense_topk(asked, dense.require_complete(vectors, status), dimensions, most)
     explained = views.match_explanation(
         False,
         F.col("include_global"),
@@ -143,7 +158,9 @@ def semantic_search(
         views.given(queries, "label_ids"),
         f"{model}@{model_revision}",
     )
-    tags = queries.select("query_id", explained.alias("match_explanation"))
-    return hits.join(tags, "query_id").select(
+    tags = queries.select(
+        "query_id", own_limit(queries, limit).alias("most"), explained.alias("match_explanation")
+    )
+    return hits.join(tags, "query_id").filter(F.col("dense_rank") <= F.col("most")).select(
         "query_id", "dense_rank", "record_id", "similarity", "match_explanation"
     )
