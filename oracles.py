@@ -474,6 +474,59 @@ O["query_guards"] = sql("l_scopes l_labels", """SELECT item_id AS query_id,
       THEN 'scope ' || (item_id % 25 + 1) || ' does not exist'
     WHEN item_id % 4 + 1 NOT IN (SELECT id FROM l_labels) THEN 'label does not exist' END AS guard
     FROM benchmark""")
+_outcome = "CASE WHEN reason IS NULL THEN 'answered' ELSE 'refused' END AS outcome, reason"
+_bad_limit = "query_id % 60 NOT BETWEEN 1 AND 50 THEN 'limit must be between 1 and 50'"
+O["guarded_search"] = sql("l_postings l_records l_active l_scopes", f"""SELECT a.query_id, {_outcome},
+    position, record_id, next_before_id, tags FROM asked a LEFT JOIN (
+      SELECT query_id, position, record_id,
+        CASE WHEN fetched > lim THEN min(record_id) OVER (PARTITION BY query_id) END AS next_before_id,
+        'fts:title_or_payload,' || {_scope_tag} || ',lifecycle,labels:all' AS tags
+      FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS fetched FROM (
+        SELECT q.query_id, include_global, lim, f.record_id,
+          row_number() OVER (PARTITION BY q.query_id ORDER BY f.record_id DESC) AS position
+        FROM asked q JOIN (SELECT query_id, record_id, count(*) AS found FROM
+           (SELECT query_id, unnest(two) AS w FROM pairs) t
+           JOIN l_postings p ON p.term = {tok("w")}[1] GROUP BY ALL) f
+          ON f.query_id = q.query_id AND found = len(two)
+        JOIN l_records r ON r.id = f.record_id AND r.lifecycle = 'active'
+        WHERE reason IS NULL AND (r.scope_id = q.scope_id
+          OR (include_global AND r.scope_id IN (SELECT id FROM l_scopes WHERE name = 'global')))
+        AND f.record_id IN (SELECT record_id FROM l_active WHERE label_id = 121))
+      WHERE position <= lim + 1) WHERE position <= lim) USING (query_id)""", PAIRS + f""",
+  asked AS (SELECT query_id, two, item_id % 25 AS scope_id, item_id % 2 = 0 AS include_global,
+    CASE WHEN query_id % 9 > 0 THEN query_id % 60 ELSE 20 END AS lim,
+    CASE WHEN item_id % 25 = 0 THEN 'scope_id must be positive'
+      WHEN query_id % 9 > 0 AND {_bad_limit}
+      WHEN query_id % 41 = 0 THEN 'search query exceeds 256 bytes'
+      WHEN item_id % 25 NOT IN (SELECT id FROM l_scopes)
+        THEN 'scope ' || (item_id % 25) || ' does not exist'
+      WHEN query_id % 13 = 0 THEN 'label does not exist' END AS reason FROM pairs)""")
+O["guarded_semantic"] = sql("l_similar l_queries l_scopes", f"""SELECT a.query_id, {_outcome},
+    dense_rank, record_id, round(similarity, 6) AS similarity FROM asked a LEFT JOIN (
+      SELECT query_id, record_id, similarity, row_number() OVER (PARTITION BY query_id
+        ORDER BY round(similarity, 9) DESC, record_id DESC) AS dense_rank FROM l_similar) s
+    ON s.query_id = a.query_id AND reason IS NULL AND dense_rank <= lim""", f"""asked AS (
+    SELECT query_id, query_id % 60 AS lim,
+    CASE WHEN query_id % 19 = 0 OR query_id % 13 = 0 THEN 'embedding has invalid dimensions or values'
+      WHEN query_id % 11 = 0 THEN 'embedding must be L2-normalized'
+      WHEN {_bad_limit}
+      WHEN query_id % 17 = 0 THEN 'scope 999999 does not exist'
+      WHEN scope_id NOT IN (SELECT id FROM l_scopes)
+        THEN 'scope ' || scope_id || ' does not exist' END AS reason FROM l_queries)""")
+_nth = ", ".join(f"max(record_id) FILTER (position = {i}) AS record_{i}" for i in (1, 2, 3))
+O["guarded_recall"] = sql("l_ordered l_queries l_scopes", f"""SELECT a.query_id, {_outcome},
+    CASE WHEN reason IS NULL THEN budget END AS budget_bytes, {_nth},
+    CASE WHEN reason IS NULL THEN true END AS exact,
+    CASE WHEN reason IS NULL THEN true END AS within_budget
+    FROM asked a LEFT JOIN l_ordered o ON o.query_id = a.query_id AND reason IS NULL
+    GROUP BY a.query_id, reason, budget""", """asked AS (SELECT query_id,
+    CASE WHEN query_id % 7 > 0 THEN query_id % 32 * 1000 + 2000 ELSE 12000 END AS budget,
+    CASE WHEN query_id % 7 > 0 AND query_id % 32 * 1000 + 2000 NOT BETWEEN 4000 AND 32000
+        THEN 'max_bytes must be between 4000 and 32000'
+      WHEN query_id % 23 > 0 AND strlen(query) > 256 THEN 'search query exceeds 256 bytes'
+      WHEN query_id % 23 = 0 OR trim(query) = '' THEN 'recall query must not be empty'
+      WHEN scope_id NOT IN (SELECT id FROM l_scopes)
+        THEN 'scope ' || scope_id || ' does not exist' END AS reason FROM l_queries)""")
 O["embedding_upsert"] = sql("l_partial l_records", """
     SELECT 'outcome' AS part, p.record_id, p.revision, CASE WHEN p.record_id % 10 = 0 THEN 'invalid'
       WHEN NOT r.readable THEN 'missing' WHEN r.current_revision <> p.revision THEN 'stale'

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.excerpt import excerpts
@@ -11,7 +11,7 @@ from tessera.functions.vectors import dot, l2_normalize, squared_norm, vector_er
 from tessera.limits import BUDGET_DEFAULT, BUDGET_MIN
 from tessera.operators import dense
 from tessera.operators import retrieval as rt
-from tessera.plans import recall, search
+from tessera.plans import guarded, recall, search
 from tessera.plans.registry import MODEL, QUERIES, on_ledger, pair_queries, query, query_batch
 from tessera.sources import corpus
 
@@ -397,3 +397,93 @@ def used_bytes(spark, sf_dir):
 def record_text(store):
     """What a model embeds for each record's current revision."""
     return dense.record_text(store.read("records"), store.read("record_revisions"))
+
+
+def _tags() -> Column:
+    return F.array_join("match_explanation", ",").alias("tags")
+
+
+@query
+def guarded_search(spark, sf_dir):
+    """Word-pair queries with a page size each. Some name a scope or label that does not exist, ask for
+    too much, or are too long."""
+    store = corpus.ledger(spark, sf_dir)
+    item, number = F.col("item_id"), F.col("query_id")
+    held = F.array(F.lit(121).cast("bigint"))
+    asked = pair_queries(spark, sf_dir, " ").select(
+        "query_id",
+        F.when(number % 41 == 0, F.concat("query", F.repeat(F.lit(" x"), F.lit(130))))
+        .otherwise(F.col("query"))
+        .alias("query"),
+        (item % 25).alias("scope_id"),
+        (item % 2 == 0).alias("include_global"),
+        F.when(number % 13 == 0, F.array_append(held, F.lit(9_999_999).cast("bigint")))
+        .otherwise(held)
+        .alias("label_ids"),
+        F.when(number % 9 > 0, number % 60).alias("limit"),
+    )
+    pages = guarded.search_records(store, corpus.text_index(spark, sf_dir), asked)
+    return pages.select(
+        "query_id", "outcome", "reason", "position", "record_id", "next_before_id", _tags()
+    )
+
+
+@on_ledger
+def guarded_semantic(store):
+    """Query vectors with a number of hits each; some are absent, too short or not of unit length."""
+    number = F.col("query_id")
+    asked = corpus.query_table(store).withColumns(
+        {
+            "scope_id": F.when(number % 17 == 0, 999_999).otherwise(F.col("scope_id")).cast("bigint"),
+            "limit": number % 60,
+        }
+    )
+    short, doubled = F.slice("vector", 1, 63), F.transform("vector", lambda x: x + x)
+    vectors = (
+        corpus.query_vector_table(store)
+        .filter(number % 19 > 0)
+        .withColumn(
+            "vector",
+            F.when(number % 13 == 0, short).when(number % 11 == 0, doubled).otherwise(F.col("vector")),
+        )
+    )
+    hits = guarded.semantic_search(store, store.read("record_embeddings"), asked, vectors, *MODEL)
+    return hits.select(
+        "query_id", "outcome", "reason", "dense_rank", "record_id",
+        F.round("similarity", 6).alias("similarity"),
+    )
+
+
+@query
+def guarded_recall(spark, sf_dir):
+    """Recall with a budget per query: the first three records of each result and its size."""
+    store = corpus.ledger(spark, sf_dir)
+    number = F.col("query_id")
+    asked = corpus.query_table(store).withColumns(
+        {
+            "query": F.when(number % 23 == 0, " ").otherwise(F.col("query")),
+            "max_bytes": F.when(number % 7 > 0, number % 32 * 1000 + 2000),
+        }
+    )
+    packed = guarded.recall_context(
+        store,
+        corpus.text_index(spark, sf_dir),
+        asked,
+        corpus.query_vector_table(store),
+        store.read("record_embeddings"),
+        *MODEL,
+    )
+
+    def stated(path: str) -> Column:
+        return F.get_json_object("result", path).cast("bigint")
+
+    budget = stated("$.budget_bytes")
+    return packed.select(
+        "query_id",
+        "outcome",
+        "reason",
+        budget.alias("budget_bytes"),
+        *[stated(f"$.records[{i}].record_id").alias(f"record_{i + 1}") for i in range(3)],
+        (stated("$.used_bytes") == F.octet_length("result")).alias("exact"),
+        (F.col("used_bytes") <= budget).alias("within_budget"),
+    )
