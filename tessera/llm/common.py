@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -59,6 +60,17 @@ def large_tasks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.coalesce(max(cores, size // TASK_BYTES))
 
 
+def give_back() -> None:
+    """Returns memory that earlier tasks of this Python worker have freed to the system.
+
+    Workers are used again by later stages and else keep what the largest of these took.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column) -> list[bytes | None]:
     """The strings of an Arrow column as bytes."""
     return pc.cast(column, pa.binary()).to_pylist()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, large_tasks, map_batches, table, utf8
+from tessera.llm.common import give_back, keyed, large_tasks, map_batches, table, utf8
 from tessera.session import cut
 
 WINDOW = 2048
@@ -115,6 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     docs = large_tasks(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # before the vocabulary is loaded
         tokens = Tokens(tokenizer)
         for b in batches:
             rows = []
