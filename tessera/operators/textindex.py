@@ -41,6 +41,8 @@ TERM_STATS = T.StructType(
     ]
 )
 BUCKETS = 8
+# Above every position in a text.
+BODY = 1 << 32
 
 
 def index_text(payload: Column, index_source: str = "text") -> Column:
@@ -48,48 +50,68 @@ def index_text(payload: Column, index_source: str = "text") -> Column:
     return payload_encode(payload) if index_source == "json" else payload_text(payload)
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """(record_id, revision, scope_id, title, body) -> one row per (term, record).
+def counted(documents: DataFrame) -> DataFrame:
+    """(record_id, revision, scope_id, title, body) -> (record_id, scope_id, dl, places): a document's
+    (term, place) pairs. Copies of equal length are one document.
 
-    The grouping keys contain those of the join that found the current revisions, so a
-    document is counted in the task that tokenizes it and only finished postings are shuffled.
+    Places in the title come first, those in the body from ``BODY`` on. The grouping keys contain
+    those of the join that found the current revisions, so texts are not shuffled again, and no
+    token becomes a row.
     """
-    title, body = tokens(F.col("title")), tokens(F.col("body"))
-    cut = documents.select(
-        "record_id",
-        "revision",
-        "scope_id",
-        title.alias("title_tokens"),
-        body.alias("body_tokens"),
-    ).withColumn("dl", (F.size("title_tokens") + F.size("body_tokens")).cast("bigint"))
+    copies = documents.groupBy("record_id", "revision", "scope_id").agg(
+        F.collect_list(F.struct("title", "body")).alias("copies")
+    )
+
+    def cut(copy: Column) -> Column:
+        return F.struct(tokens(copy["title"]).alias("title"), tokens(copy["body"]).alias("body"))
+
+    def length(copy: Column) -> Column:
+        return (F.size(copy["title"]) + F.size(copy["body"])).cast("bigint")
 
-    def placed(side: str, column: str) -> Column:
+    def placed(words: Column, start: int) -> Column:
         return F.transform(
-            F.col(column),
-            lambda t, i: F.struct(t.alias("term"), F.lit(side).alias("side"), i.alias("pos")),
+            words, lambda t, i: F.struct(t.alias("term"), (i + F.lit(start).cast("bigint")).alias("place"))
         )
 
-    exploded = cut.select(
-        "record_id",
-        "revision",
-        "scope_id",
-        "dl",
-        F.inline(
-            F.concat(placed("t", "title_tokens"), placed("b", "body_tokens"))
-        ),
+    def pairs(copy: Column) -> Column:
+        return F.concat(placed(copy["title"], 0), placed(copy["body"], BODY))
+
+    rows = copies.withColumn("copies", F.transform("copies", cut))
+    rows = rows.withColumn("dl", F.explode(F.array_distinct(F.transform("copies", length))))
+    same = F.filter("copies", lambda copy: length(copy) == F.col("dl"))
+    return rows.select(
+        "record_id", "scope_id", "dl", F.flatten(F.transform(same, pairs)).alias("places")
     )
 
-    def positions(side: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("pos"))))
 
-    return (
-        exploded.groupBy("record_id", "revision", "scope_id", "dl", "term")
-        .agg(
-            F.count("*").alias("tf"),
-            positions("t").alias("title_pos"),
-            positions("b").alias("body_pos"),
-        )
-        .drop("revision")
+def postings(documents: DataFrame) -> DataFrame:
+    """(record_id, revision, scope_id, title, body) -> one row per (term, record).
+
+    A document is counted in the task that tokenizes it and only finished postings are shuffled.
+    """
+
+    def first(pair: Column, i: Column) -> Column:
+        # Before the first pair there is none, so the comparison is null.
+        return F.when(F.coalesce(F.get("places", i - 1)["term"] != pair["term"], F.lit(True)), i)
+
+    rows = counted(documents).withColumn("places", F.sort_array("places"))
+    rows = rows.withColumn("starts", F.array_compact(F.transform("places", first)))
+
+    def run(start: Column, j: Column) -> Column:
+        end = F.coalesce(F.get("starts", j + 1), F.size("places"))
+        pairs = F.slice("places", start + 1, end - start)
+        return F.struct(F.get("places", start)["term"].alias("term"), pairs["place"].alias("at"))
+
+    runs = rows.select("record_id", "scope_id", "dl", F.inline(F.transform("starts", run)))
+    in_body = F.lit(BODY).cast("bigint")
+    return runs.select(
+        "record_id",
+        "scope_id",
+        "dl",
+        "term",
+        F.size("at").cast("bigint").alias("tf"),
+        F.filter("at", lambda p: p < in_body).cast(_INTS).alias("title_pos"),
+        F.transform(F.filter("at", lambda p: p >= in_body), lambda p: (p - in_body).cast("int")).alias("body_pos"),
     )
 
 
@@ -104,6 +126,10 @@ def indexed_documents(
     current = records.filter("readable").select(
         F.col("id").alias("record_id"), "scope_id", F.col("current_revision").alias("revision")
     )
+    if ledger is None:
+        # All texts are read. Adaptive execution would merge the partitions of the joins by the size
+        # of the texts, of which postings are a multiple; a number that is asked for stays.
+        revisions = revisions.repartition(shuffle_partitions(revisions.sparkSession), "record_id", "revision")
     shown = visible_revisions(records, revisions, ledger)
     return current.join(
         shown.select("record_id", "revision", "title", "payload"), ["record_id", "revision"]
@@ -143,6 +169,17 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(rows: DataFrame, folder: str, spread: int | None) -> DataFrame:
+    """Rows with every value of ``folder`` spread over ``spread`` tasks by record: by default so many
+    that the partitions of a shuffle get several pieces each, whatever the number of folders."""
+    spread = spread or max(4, shuffle_partitions(rows.sparkSession) // 2)
+    return rows.repartition(folder, F.pmod(F.xxhash64("record_id"), F.lit(spread)))
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """A written index. ``n_docs`` and ``avgdl`` are its one-row corpus statistics."""
@@ -173,11 +210,11 @@ class TextIndex:
 
 
 def write_index(
-    documents: DataFrame, root: str, buckets: int = BUCKETS, spread: int = 4
+    documents: DataFrame, root: str, buckets: int = BUCKETS, spread: int | None = None
 ) -> TextIndex:
     """Tokenize documents and store the index below ``root``.
 
-    Files are laid out by term bucket. Every bucket is spread over ``spread`` tasks by record,
+    Files are laid out by term bucket. Every bucket is spread over tasks by record (``dealt``),
     so the bucket that holds the most frequent term is not one task's work.
     """
     rows = postings(documents).withColumn("bucket", bucket_of(F.col("term"), buckets))
@@ -185,13 +222,11 @@ def write_index(
 
 
 def store_index(
-    rows: DataFrame, documents: DataFrame, root: str, buckets: int, spread: int = 4
+    rows: DataFrame, documents: DataFrame, root: str, buckets: int, spread: int | None = None
 ) -> TextIndex:
     spark = rows.sparkSession
-    salt = F.pmod(F.xxhash64("record_id"), F.lit(spread))
     (
-        rows.select(*POSTINGS.names)
-        .repartition("bucket", salt)
+        dealt(rows.select(*POSTINGS.names), "bucket", spread)
         .sortWithinPartitions("bucket", "term", "record_id")
         .write.partitionBy("bucket")
         .parquet(f"{root}/postings")

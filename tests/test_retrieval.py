@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as rt
 from tessera.operators import textindex as ti
@@ -174,3 +175,30 @@ def test_filters_and_paging(spark, tmp_path):
     assert tags == ["fts:title_or_payload", "scope:exact_or_global", "lifecycle"]
     tags = pages.filter("query_id = 6").first()["match_explanation"]
     assert tags == ["fts:title_or_payload", "scope:exact", "lifecycle", "labels:all"]
+
+
+def test_no_token_becomes_a_row_before_it_is_counted(spark):
+    docs = spark.createDataFrame(
+        [(1, 1, 1, "A b", "b a b"), (1, 1, 1, "b", "c a b b"), (1, 1, 1, None, "x"), (2, 1, None, "", "")],
+        "record_id bigint, revision bigint, scope_id bigint, title string, body string",
+    )
+    rows = ti.postings(docs)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan[plan.index("Aggregate"):]
+    # Copies of one length are one document.
+    got = {r["term"]: (r["dl"], r["tf"], r["title_pos"], r["body_pos"]) for r in rows.collect()}
+    assert got == {"a": (5, 3, [0], [1, 1]), "b": (5, 6, [0, 1], [0, 2, 2, 3]), "c": (5, 1, [], [0])}
+
+
+def test_index_files_are_written_by_as_many_tasks_as_a_shuffle_has(spark):
+    rows = spark.range(20_000).selectExpr("id AS record_id", "cast(id % 8 AS int) AS bucket")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "96")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = [r[0] for r in ti.dealt(rows, "bucket", None).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    # 8 buckets by 4 were 32 pieces, whatever the size of the index.
+    assert len(sizes) > 80 and max(sizes) < 4 * 20_000 / 96
