@@ -23,6 +23,8 @@ from tessera.operators.textindex import (
     TERM_STATS,
     TextIndex,
     bucket_of,
+    counted,
+    dealt,
     postings,
     term_stats,
 )
@@ -110,10 +112,9 @@ class SegmentedIndex(TextIndex):
         return self.term_changes()
 
 
-def _store_postings(rows: DataFrame, folder: str, spread: int) -> None:
+def _store_postings(rows: DataFrame, folder: str, spread: int | None) -> None:
     (
-        rows.select(*POSTINGS.names)
-        .repartition("bucket", F.pmod(F.xxhash64("record_id"), F.lit(spread)))
+        dealt(rows.select(*POSTINGS.names), "bucket", spread)
         .sortWithinPartitions("bucket", "term", "record_id")
         .write.partitionBy("bucket")
         .parquet(f"{folder}/postings")
@@ -121,9 +122,9 @@ def _store_postings(rows: DataFrame, folder: str, spread: int) -> None:
 
 
 def _store_documents(rows: DataFrame, folder: str) -> None:
+    """``rows`` come dealt out by part and record."""
     (
         rows.select("record_id", "dl", "terms", "part")
-        .repartition("part")
         .sortWithinPartitions("part", "record_id")
         .write.partitionBy("part")
         .parquet(f"{folder}/documents")
@@ -165,14 +166,14 @@ def open_segments(spark: SparkSession, root: str) -> SegmentedIndex:
     )
 
 
-def write_segments(documents: DataFrame, root: str, buckets: int = BUCKETS, spread: int = 4) -> SegmentedIndex:
+def write_segments(documents: DataFrame, root: str, buckets: int = BUCKETS, spread: int | None = None) -> SegmentedIndex:
     """A new index below ``root``: its first segment holds all ``documents``, one row per record."""
     empty = SegmentedIndex(documents.sparkSession, root, buckets, 0, 0.0, (), (), 0, 0)
     return refresh_segments(empty, documents, spread=spread)
 
 
 def refresh_segments(
-    index: SegmentedIndex, changed: DataFrame, removed: DataFrame | None = None, spread: int = 4
+    index: SegmentedIndex, changed: DataFrame, removed: DataFrame | None = None, spread: int | None = None
 ) -> SegmentedIndex:
     """A generation with one more segment: ``changed`` documents replaced or added, ``removed``
     (record_id) gone.
@@ -193,13 +194,16 @@ def refresh_segments(
     _store_postings(rows, folder, spread)
     written = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
 
-    held = written.groupBy("record_id").agg(F.max("dl").alias("dl"), F.collect_list("term").alias("terms"))
-    fresh = ids.filter("fresh").join(held, "record_id", "left").select(
+    # Lengths and terms come from the documents again: gathering them from postings would sort these.
+    lengths = counted(changed).select(
         "record_id",
         F.coalesce("dl", F.lit(0).cast("bigint")).alias("dl"),
-        F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+        F.array_distinct("places.term").alias("terms"),
         part_of(F.col("record_id"), index.buckets).alias("part"),
     )
+    fresh = lengths.groupBy("part", "record_id").agg(
+        F.max("dl").alias("dl"), F.flatten(F.collect_list("terms")).alias("terms")
+    )
     _store_documents(fresh, folder)
 
     totals = [F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")]
@@ -228,7 +232,7 @@ def refresh_segments(
     )
 
 
-def compact(index: SegmentedIndex, first: int = 0, spread: int = 4) -> SegmentedIndex:
+def compact(index: SegmentedIndex, first: int = 0, spread: int | None = None) -> SegmentedIndex:
     """A generation that has one segment in place of those from position ``first`` on.
 
     Answers stay the same. From 0 on nothing void is left; else the older segments are not touched,
@@ -239,7 +243,8 @@ def compact(index: SegmentedIndex, first: int = 0, spread: int = 4) -> Segmented
     spark, name = index.spark, f"segment-{uuid.uuid4().hex}"
     folder = f"{index.root}/{name}"
     _store_postings(index.live("postings", POSTINGS, first), folder, spread)
-    _store_documents(index.live("documents", DOCUMENTS, first), folder)
+    documents = index.live("documents", DOCUMENTS, first).select("record_id", "dl", "terms", "part")
+    _store_documents(documents.repartition("part", "record_id"), folder)
     _store_terms(index.term_changes(first).select("term", "df"), folder, index.buckets)
     ids = index.ids(first).select("record_id", "fresh")
     (ids if first else ids.filter("fresh")).write.parquet(f"{folder}/ids")

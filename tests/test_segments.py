@@ -126,3 +126,22 @@ def test_more_ids_than_are_broadcast(spark, tmp_path, monkeypatch):
     index = sg.write_segments(frame(spark, {1: "red", 2: "blue"}), str(tmp_path / "s"), buckets=3)
     index = sg.refresh_segments(index, frame(spark, {2: "tea"}))
     same(spark, index, {1: "red", 2: "tea"}, tmp_path / "w")
+
+
+def test_lists_of_terms_are_not_gathered_by_the_number_of_parts(spark, tmp_path):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        index = sg.write_segments(frame(spark, {i: "red tea" for i in range(90)}), str(tmp_path / "s"), buckets=2)
+        index = sg.refresh_segments(index, frame(spark, {i: "tea tea" for i in range(60)}))
+        whole = sg.compact(index)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for segment in (*index.segments, *whole.segments):
+        assert len(list(Path(index.root, segment).glob("documents/part=0/*.parquet"))) > 3
+    # A record that comes twice has the terms of both rows, whose postings count both.
+    twice = frame(spark, {1: "red"}).union(frame(spark, {1: "red tea tea"}))
+    held = sg.write_segments(twice, str(tmp_path / "t"), buckets=2).documents().collect()
+    assert [(r["record_id"], r["dl"], sorted(r["terms"])) for r in held] == [(1, 4, ["red", "red", "t1", "t1", "tea"])]
