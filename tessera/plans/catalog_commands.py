@@ -15,7 +15,7 @@ from tessera.operators import legacy, ordering, quality, views
 from tessera.plans.registry import QUERIES, assertions, big, query
 from tessera.plans.catalog_recall import letter_model, letter_vectors
 from tessera.schemas import PAYLOAD, SOURCE
-from tessera.session import new_folder
+from tessera.session import new_folder, written
 from tessera.sources import corpus
 from tessera.streaming.intake import CommandIntake, VectorSync
 
@@ -851,7 +851,8 @@ def stream_intake(spark, sf_dir):
     store = corpus.ledger(spark, sf_dir)
     root = new_folder(spark, "intake")
     source = f"{root}/commands"
-    delivered = corpus.delivered_commands(spark, sf_dir, n)
+    # Written once: every cut and quarter would join the events anew.
+    delivered = written(corpus.delivered_commands(spark, sf_dir, n), "delivered")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = delivered.select(at.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01)
     # Commands without a time come first.

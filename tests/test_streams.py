@@ -1,9 +1,11 @@
 import datetime as dt
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from tessera.operators import commands as cmd
 from tessera.operators import ledger_rows
+from tessera.plans import catalog_commands
 from tessera.streaming.intake import CommandIntake
 from tests.helpers import rows_of
 
@@ -79,3 +81,22 @@ def test_applied_batches_move_the_state_and_refused_keys_stay_free(spark, tmp_pa
     assert state(intake) == {1: "applied", 2: "conflict", 3: "replayed", 4: "invalid", 5: "conflict", 6: "applied"}
     assert {r["key"] for r in intake.keys().collect()} == {"a", "b"}
     assert spark.read.parquet(ended).count() == 2
+
+
+def test_delivered_commands_are_made_once(spark, monkeypatch):
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            passes.add(len(frame))
+            yield frame
+
+    rows = [(f"k{i}", "add", T0 + dt.timedelta(hours=i), i, "x") for i in range(8)] + [("n", "add", None, 9, "y")]
+    delivered = spark.createDataFrame(rows, SCHEMA).mapInPandas(counted, SCHEMA)
+    none = spark.createDataFrame([], "key string, operation string, request_hash string, result_id bigint")
+    monkeypatch.setattr(catalog_commands.corpus, "n_documents", lambda *_: 1)
+    monkeypatch.setattr(catalog_commands.corpus, "ledger", lambda *_: SimpleNamespace(read=lambda name: none))
+    monkeypatch.setattr(catalog_commands.corpus, "delivered_commands", lambda *_: delivered)
+    outcomes = catalog_commands.stream_intake(spark, "none").collect()
+    assert sorted((r["seq"], r["outcome"]) for r in outcomes) == [(i, "applied") for i in [*range(8), 9]]
+    assert passes.value == len(rows)
