@@ -868,17 +868,20 @@ def stream_intake(spark, sf_dir):
 
 @query
 def stream_embedding_sync(spark, sf_dir):
-    """Revisions as a file stream; every record ends with a vector of its current revision."""
+    """Revisions as a file stream in at most eight micro-batches; every record ends with a vector
+    of its current revision."""
     store = corpus.ledger(spark, sf_dir)
     root = new_folder(spark, "sync")
     revisions = store.read("record_revisions")
+    # A batch reads the whole table, so their number must not grow with the number of files.
+    files = len(revisions.inputFiles())
     initial = letter_vectors(store)
     sync = VectorSync(
         spark, root, lambda: (store.read("records"), revisions), letter_model, "letters", "v1", 4, initial
     )
     stream = (
         spark.readStream.schema(revisions.schema)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", max(1, -(-files // 8)))
         .parquet(store.path("record_revisions"))
     )
     sync.start(stream, f"{root}/checkpoint", available_now=True).awaitTermination()

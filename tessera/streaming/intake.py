@@ -14,6 +14,7 @@ from tessera.operators.batch import apply_batch, batch_rows
 from tessera.operators.commands import APPLIED, idempotent_intake
 from tessera.operators.dense import embedding_sync
 from tessera.operators.ledger_rows import updated_records
+from tessera.operators.segments import BROADCAST_IDS
 from tessera.session import cut
 
 KEYS = "key string, operation string, request_hash string, result_id bigint, batch bigint"
@@ -193,14 +194,17 @@ class VectorSync:
         self.model = (model, model_revision, dimensions)
         initial.write.mode("overwrite").parquet(f"{root}/vectors/batch=-1")
 
-    def vectors(self, up_to: int | None = None) -> DataFrame:
-        """Newest vector per record and model, of all batches or those up to ``up_to``."""
+    def vectors(self, up_to: int | None = None, of: DataFrame | None = None) -> DataFrame:
+        """Newest vector per record and model, of all batches or those up to ``up_to``, of all
+        records or those in ``of``."""
         rows = self.spark.read.option("basePath", f"{self.root}/vectors").parquet(
             f"{self.root}/vectors"
         )
         columns = [c for c in rows.columns if c != "batch"]
         if up_to is not None:
             rows = rows.filter(F.col("batch") <= up_to)
+        if of is not None:
+            rows = rows.join(of, "record_id", "left_semi")
         return (
             rows.groupBy("record_id", "model", "model_revision")
             .agg(F.max_by(F.struct(*columns), "batch").alias("newest"))
@@ -209,10 +213,14 @@ class VectorSync:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         records, revisions = self.tables()
-        touched = batch.select("record_id").distinct()
+        touched = cut(batch.select("record_id").distinct())
+        if touched.count() <= BROADCAST_IDS:
+            # A batch does not shuffle the texts and vectors of all others.
+            touched = F.broadcast(touched)
         # Only records of this batch can have become pending.
         changed = records.join(touched.withColumnRenamed("record_id", "id"), "id", "left_semi")
-        known = self.vectors(batch_id - 1).join(touched, "record_id", "left_semi")
+        revisions = revisions.join(touched, "record_id", "left_semi")
+        known = self.vectors(batch_id - 1, touched)
         _, outcome = embedding_sync(
             changed, revisions, known, self.embed, *self.model, ledger=records
         )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.operators import commands as cmd
 from tessera.operators import ledger_rows
 from tessera.plans import catalog_commands
+from tessera.streaming import intake as intake_module
 from tessera.streaming.intake import CommandIntake
 from tests.helpers import rows_of
 
@@ -100,3 +101,22 @@ def test_delivered_commands_are_made_once(spark, monkeypatch):
     outcomes = catalog_commands.stream_intake(spark, "none").collect()
     assert sorted((r["seq"], r["outcome"]) for r in outcomes) == [(i, "applied") for i in [*range(8), 9]]
     assert passes.value == len(rows)
+
+
+def test_a_batch_reads_texts_of_its_own_records(spark, tmp_path, monkeypatch):
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 3)], "record_id bigint")
+    revisions = ids.withColumn("text", F.concat(F.lit("t"), "record_id"))
+    records = ids.select(F.col("record_id").alias("id"), F.lit(1).alias("current_revision")).distinct()
+    initial = ids.distinct().selectExpr("record_id", "'m' AS model", "'v' AS model_revision", "1 AS revision")
+    seen = []
+
+    def sync(changed, texts, known, *_, **__):
+        seen.append([sorted(r[0] for r in part.collect()) for part in (changed.select("id"), texts, known)])
+        return None, initial.limit(0).selectExpr("*", "'' AS outcome", "1L AS current_revision")
+
+    monkeypatch.setattr(intake_module, "embedding_sync", sync)
+    made = intake_module.VectorSync(spark, str(tmp_path), lambda: (records, revisions), None, "m", "v", 1, initial)
+    made(ids.filter("record_id = 3"), 0)
+    monkeypatch.setattr(intake_module, "BROADCAST_IDS", 0)
+    made(ids.filter("record_id <> 1"), 1)
+    assert seen == [[[3], [3, 3], [3]], [[2, 3], [2, 3, 3], [2, 3]]]
