@@ -41,6 +41,8 @@ TERM_STATS = T.StructType(
     ]
 )
 BUCKETS = 8
+#: Bytes of indexed text in one task. Its postings take about 15 times as much while they are sorted.
+TEXT_PER_TASK = 16 << 20
 # Above every position in a text.
 BODY = 1 << 32
 
@@ -129,7 +131,7 @@ def indexed_documents(
     if ledger is None:
         # All texts are read. Adaptive execution would merge the partitions of the joins by the size
         # of the texts, of which postings are a multiple; a number that is asked for stays.
-        revisions = revisions.repartition(shuffle_partitions(revisions.sparkSession), "record_id", "revision")
+        revisions = revisions.repartition(text_tasks(revisions), "record_id", "revision")
     shown = visible_revisions(records, revisions, ledger)
     return current.join(
         shown.select("record_id", "revision", "title", "payload"), ["record_id", "revision"]
@@ -173,6 +175,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_tasks(revisions: DataFrame) -> int:
+    """Tasks that texts are dealt to: as many as a shuffle has, or more by the size of the texts."""
+    sizes = F.octet_length(payload_text(F.col("payload"))).cast("bigint")
+    total = revisions.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
+    return max(shuffle_partitions(revisions.sparkSession), -(-total // TEXT_PER_TASK))
+
+
 def dealt(rows: DataFrame, folder: str, spread: int | None) -> DataFrame:
     """Rows with every value of ``folder`` spread over ``spread`` tasks by record: by default so many
     that the partitions of a shuffle get several pieces each, whatever the number of folders."""
@@ -214,23 +223,27 @@ def write_index(
 ) -> TextIndex:
     """Tokenize documents and store the index below ``root``.
 
-    Files are laid out by term bucket. Every bucket is spread over tasks by record (``dealt``),
-    so the bucket that holds the most frequent term is not one task's work.
+    Files are laid out by term bucket. Every bucket is spread over tasks by record, so the bucket that
+    holds the most frequent term is not one task's work. Without ``spread`` a task writes the postings of
+    its documents, a file per bucket; with it every bucket has that many pieces (``dealt``).
     """
     rows = postings(documents).withColumn("bucket", bucket_of(F.col("term"), buckets))
     return store_index(rows, documents.select("record_id"), root, buckets, spread)
 
 
+def arranged(rows: DataFrame, spread: int | None) -> DataFrame:
+    """Postings in the tasks that write them, in the order of the files."""
+    rows = rows.select(*POSTINGS.names)
+    if spread is not None:
+        rows = dealt(rows, "bucket", spread)
+    return rows.sortWithinPartitions("bucket", "term", "record_id")
+
+
 def store_index(
     rows: DataFrame, documents: DataFrame, root: str, buckets: int, spread: int | None = None
 ) -> TextIndex:
     spark = rows.sparkSession
-    (
-        dealt(rows.select(*POSTINGS.names), "bucket", spread)
-        .sortWithinPartitions("bucket", "term", "record_id")
-        .write.partitionBy("bucket")
-        .parquet(f"{root}/postings")
-    )
+    arranged(rows, spread).write.partitionBy("bucket").parquet(f"{root}/postings")
     written = spark.read.schema(POSTINGS).parquet(f"{root}/postings")
     (
         term_stats(written)

@@ -202,3 +202,30 @@ def test_index_files_are_written_by_as_many_tasks_as_a_shuffle_has(spark):
             spark.conf.set(k, v)
     # 8 buckets by 4 were 32 pieces, whatever the size of the index.
     assert len(sizes) > 80 and max(sizes) < 4 * 20_000 / 96
+
+
+def test_postings_are_written_where_their_documents_are(spark):
+    docs = spark.createDataFrame(
+        [(i, 1, 1, "a b", f"b c{i}") for i in range(40)],
+        "record_id bigint, revision bigint, scope_id bigint, title string, body string",
+    )
+    rows = ti.postings(docs).withColumn("bucket", ti.bucket_of(F.col("term"), 3))
+
+    def shuffles(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString().count("Repartition")
+
+    assert shuffles(ti.arranged(rows, None)) == shuffles(rows) == 0
+    assert shuffles(ti.arranged(rows, 2)) == 1
+    assert ti.arranged(rows, None).exceptAll(ti.arranged(rows, 2)).isEmpty()
+
+
+def test_texts_are_dealt_to_more_tasks_the_more_text_there_is(spark, small, monkeypatch):
+    store, _ = small
+    records, revisions = store.read("records"), store.read("record_revisions")
+    usual = ti.text_tasks(revisions)
+    assert usual == ti.shuffle_partitions(spark)
+    monkeypatch.setattr(ti, "TEXT_PER_TASK", 1)
+    size = len("alpha only" + "alpha beta beta beta" + 2 * "equal terms" + "phrase one two three one two four" + "a a a a")
+    assert ti.text_tasks(revisions) == max(usual, size)
+    plan = ti.indexed_documents(records, revisions)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{size}" in plan[plan.index("RepartitionByExpression"):].splitlines()[0]
