@@ -6,8 +6,8 @@ become scopes, conversation turns become later revisions, events become commands
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -484,57 +484,72 @@ def query_vectors(spark: SparkSession, sf_dir: str, n_vectors: int) -> DataFrame
     return queries(spark, sf_dir, n_vectors).join(vectors, "vec_id").select("query_id", "vector")
 
 
+class DerivedLedger(LedgerStore):
+    """A ledger whose tables are written, whole, when they are first asked for.
+
+    ``makers`` write a folder each. A query that looks up labels need not wait for the texts.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(spark, root)
+        self.makers: dict[str, Callable[[], None]] = {}
+
+    def path(self, folder: str) -> str:
+        make = self.makers.pop(folder, None)
+        if make is not None:
+            try:
+                make()
+            except BaseException:
+                self.makers[folder] = make
+                raise
+        return super().path(folder)
+
+    def read_as(self, table: str, folder: str) -> DataFrame:
+        self.path(folder)
+        return super().read_as(table, folder)
+
+
 _BUILT: dict[tuple[str, str], LedgerStore] = {}
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> LedgerStore:
-    """The derived ledger, written once per application and scale."""
+    """The derived ledger, every table written once per application and scale."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        store = LedgerStore(spark, new_folder(spark, "ledger"))
+        store = DerivedLedger(spark, new_folder(spark, "ledger"))
         n = n_documents(spark, sf_dir)
         n_vectors = table(spark, sf_dir, "embeddings").count()
+        known = store.read
 
-        def put(name: str, make, folder: str | None = None):
-            return lambda: store.write(name, make(), folder=folder)
+        def put(name: str, make: Callable[[], DataFrame], folder: str | None = None) -> None:
+            store.makers[folder or name] = lambda: store.write(name, make(), folder=folder)
 
-        first = [
-            put("records", lambda: records(spark, sf_dir, n)),
-            put(
-                "record_revisions",
-                lambda: revisions(spark, sf_dir).repartition("record_id", "revision"),
-            ),
-            put("source_references", lambda: source_references(spark, sf_dir)),
-            put("scopes", lambda: scopes(spark, sf_dir)),
-            put("labels", lambda: label_rows(spark, sf_dir)),
-            put("label_aliases", lambda: label_aliases(spark, sf_dir)),
-            put("label_assertions", lambda: label_assertions(spark, sf_dir)),
-            put("label_retractions", lambda: label_retractions(spark, sf_dir)),
-            put("record_relations", lambda: relations(spark, sf_dir, n)),
-            put("relation_retractions", lambda: relation_retractions(spark, sf_dir, n)),
-            put("write_keys", lambda: write_keys(spark, sf_dir, n)),
-            lambda: queries(spark, sf_dir, n_vectors).write.parquet(store.path("queries")),
-            lambda: query_vectors(spark, sf_dir, n_vectors).write.parquet(
-                store.path("query_vectors")
-            ),
-        ]
-        known = store.read
-        second = [
-            put("lifecycle_transitions", lambda: lifecycle_transitions(known("records"))),
-            put(
-                "record_embeddings",
-                lambda: embeddings(spark, sf_dir, known("records"), n_vectors),
-            ),
-            put(
-                "record_embeddings",
-                lambda: partial_embeddings(spark, sf_dir, known("records")),
-                "partial_embeddings",
-            ),
-        ]
-        # The tables do not depend on each other within a step, so their small jobs overlap.
-        with ThreadPool(4) as pool:
-            for step in (first, second):
-                pool.map(lambda job: job(), step, chunksize=1)
+        def put_plain(folder: str, make: Callable[[], DataFrame]) -> None:
+            store.makers[folder] = lambda: make().write.parquet(store.path(folder))
+
+        put("records", lambda: records(spark, sf_dir, n))
+        put(
+            "record_revisions",
+            lambda: revisions(spark, sf_dir).repartition("record_id", "revision"),
+        )
+        put("source_references", lambda: source_references(spark, sf_dir))
+        put("scopes", lambda: scopes(spark, sf_dir))
+        put("labels", lambda: label_rows(spark, sf_dir))
+        put("label_aliases", lambda: label_aliases(spark, sf_dir))
+        put("label_assertions", lambda: label_assertions(spark, sf_dir))
+        put("label_retractions", lambda: label_retractions(spark, sf_dir))
+        put("record_relations", lambda: relations(spark, sf_dir, n))
+        put("relation_retractions", lambda: relation_retractions(spark, sf_dir, n))
+        put("write_keys", lambda: write_keys(spark, sf_dir, n))
+        put("lifecycle_transitions", lambda: lifecycle_transitions(known("records")))
+        put("record_embeddings", lambda: embeddings(spark, sf_dir, known("records"), n_vectors))
+        put(
+            "record_embeddings",
+            lambda: partial_embeddings(spark, sf_dir, known("records")),
+            "partial_embeddings",
+        )
+        put_plain("queries", lambda: queries(spark, sf_dir, n_vectors))
+        put_plain("query_vectors", lambda: query_vectors(spark, sf_dir, n_vectors))
         _BUILT[key] = store
     return _BUILT[key]
 
