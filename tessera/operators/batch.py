@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import utrim
@@ -31,8 +31,9 @@ from tessera.operators.commands import (
     request_hash,
     who,
 )
-from tessera.operators.naming import MAKES, PROVISIONAL, earlier_names, provisional, what_of, with_named
+from tessera.operators.naming import LISTS, MAKES, PROVISIONAL, REFS, earlier_names, provisional, what_of, with_named
 from tessera.operators.ordering import ORDER, allocate_ids
+from tessera.operators.textindex import shuffle_partitions
 from tessera.schemas import PAYLOAD, SOURCE
 from tessera.session import cut, written
 
@@ -217,6 +218,36 @@ def makings(commands: DataFrame, judged: DataFrame, names: DataFrame) -> DataFra
     )
 
 
+def hoped(commands: DataFrame, tables: Tables, names: DataFrame) -> DataFrame:
+    """What the batch would make (see MADE) if no command that makes a record were refused.
+
+    Scopes and labels name nothing, so what they make is known at once.
+    """
+    given = with_arguments(commands)
+    asked = given.filter("op = 'create_scope'").select("key", *ORDER, "name")
+    found = [apply_create_scope(asked, tables("scopes"), provisional)[-1]]
+    asked = given.filter("op = 'create_label'").select("key", *ORDER, "facet", "label_key", "display_name", "aliases")
+    if not asked.isEmpty():
+        found.append(apply_create_label(cut(asked), tables("labels"), tables("label_aliases"), provisional)[-1])
+    made = [part.select("seq", "outcome", F.col("result_id").alias("id")) for part in found]
+    makers = given.filter(F.col("op").isin(*RECORD_MAKERS))
+    made.append(makers.select("seq", F.lit(APPLIED).alias("outcome"), (F.lit(PROVISIONAL) + F.col("seq")).alias("id")))
+    own = makings(commands.filter(F.col("op").isin(*MAKES)), reduce(DataFrame.unionByName, made), names)
+    own = written(own, "hoped")
+    # Records lie in scopes and have labels that the batch itself makes.
+    again = names.unionByName(own.select(*names.columns))
+    return written(makings(commands.filter(F.col("op").isin(*MAKES)), reduce(DataFrame.unionByName, made), again), "made")
+
+
+def named_keys(commands: DataFrame) -> DataFrame | None:
+    """(what, ref): the keys by which commands name things."""
+    parts = [commands.select(F.lit(what).alias("what"), F.col(ref).alias("ref")) for ref, what in REFS.values() if ref in commands.columns]
+    parts += [
+        commands.select(F.lit(what).alias("what"), F.explode(ref).alias("ref")) for ref, what in LISTS.values() if ref in commands.columns
+    ]
+    return reduce(DataFrame.unionByName, parts).filter("ref IS NOT NULL").distinct() if parts else None
+
+
 def apply_batch(commands: DataFrame, tables: Tables) -> DataFrame:
     """Outcome of every command of a mixed batch, in (ts, seq) order across operations.
 
@@ -235,13 +266,16 @@ def apply_batch(commands: DataFrame, tables: Tables) -> DataFrame:
     Only an applied command uses up its key: later commands with that key replay it if they ask
     for the same, else they conflict. A command whose key was used up before the batch never runs.
     Which commands run thus depends on outcomes, and these on which commands run. All run at
-    first; then each key's commands up to its first applied one run again, until the set stays the
-    same, and with it what the commands make. What comes before the first wrong decision is right
-    in every round, so rounds end. A batch in which no key occurs twice and that creates nothing
-    needs one; one that creates needs as many as a chain of names is long (a record that replaces a
-    record that the batch made is a link), and one more.
+    first, as if all records were made that commands want to make (``hoped``); then each key's
+    commands up to its first applied one run again. What comes before the first wrong decision is
+    right in every round, so rounds end. A refused command changes nothing, so a round is the last
+    if no key has two applied commands or lost its only one, and if what commands name by key was
+    made as assumed. A batch in which neither happens needs one round; refusals along a chain of
+    names (a record that replaces a record that the batch made is a link) take a round per link.
     """
-    hashed = cut(commands.withColumn("request_hash", request_hash(F.col("request"))))
+    hashed = commands.withColumn("request_hash", request_hash(F.col("request")))
+    # Every step starts from these rows, so they are dealt to all tasks, not to a few by their size.
+    hashed = cut(hashed.repartition(shuffle_partitions(hashed.sparkSession), "seq"))
     order = F.struct(*ORDER)
     used = cut(
         narrowed(tables("write_keys"), "key", hashed, "key").select(
@@ -251,40 +285,41 @@ def apply_batch(commands: DataFrame, tables: Tables) -> DataFrame:
     free = hashed.join(used, "key", "left_anti")
     again = free.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     repeats = not again.isEmpty()
-    running, before = free, None
+    # Hashes and requests are for replays; rules look at the arguments.
+    running, before = free.drop("request", "request_hash"), None
+    asked = running
     present = {r["op"] for r in free.filter(F.col("op").isin(*OPS)).select("op").distinct().collect()}
     made = old_names = None
     if present & set(MAKES) or _has_names(free):
         old_names = cut(earlier_names(free, tables("write_keys")))
-        made = hashed.sparkSession.createDataFrame([], MADE)
+        made = hoped(asked, tables, old_names)
     while True:
         judged = cut(judge(running, tables, present, made, old_names))
+        as_assumed = True
         if made is not None:
             names = made.select(*old_names.columns).unionByName(old_names)
             now = written(makings(running, judged, names), "made")
-            as_before = now.exceptAll(made).isEmpty() and made.exceptAll(now).isEmpty()
+            other = now.exceptAll(made).unionByName(made.exceptAll(now)).select("what", "ref")
+            keys = named_keys(asked)
+            as_assumed = keys is None or other.join(keys, ["what", "ref"], "left_semi").isEmpty()
             made = now
-        if not repeats and (made is None or as_before):
-            break
         if not repeats:
+            if as_assumed:
+                break
             continue
         first = written(
             judged.filter(F.col("outcome") == APPLIED)
             .join(again, "key", "left_semi")
             .groupBy("key")
-            .agg(F.min(order).alias("first")),
+            .agg(F.min(order).alias("first"), F.max(order).alias("last")),
             "first",
         )
-        if before is not None:
-            moved = first.exceptAll(before).unionByName(before.exceptAll(first))
-            if moved.isEmpty() and (made is None or as_before):
-                break
+        lost = before is not None and not before.join(first, "key", "left_anti").isEmpty()
+        if as_assumed and not lost and first.filter("last > first").isEmpty():
+            judged = _up_to(judged, first, order)
+            break
         before = first
-        running = (
-            free.join(first, "key", "left")
-            .filter(F.col("first").isNull() | (order <= F.col("first")))
-            .drop("first")
-        )
+        running = _up_to(asked, first, order)
     applied = judged.filter(F.col("outcome") == APPLIED).join(
         hashed.select("seq", "op", "request_hash"), "seq"
     )
@@ -320,6 +355,12 @@ def apply_batch(commands: DataFrame, tables: Tables) -> DataFrame:
     return judged.select(*late.columns).unionByName(late)
 
 
+def _up_to(rows: DataFrame, first: DataFrame, order: Column) -> DataFrame:
+    """Rows of commands up to the first applied one of their key."""
+    met = rows.join(first.select("key", "first"), "key", "left")
+    return met.filter(F.col("first").isNull() | (order <= F.col("first"))).select(*rows.columns)
+
+
 def _has_names(commands: DataFrame) -> bool:
     refs = [F.col(c).isNotNull() for c in commands.columns if c.endswith(("_ref", "_refs"))]
     return bool(refs) and not commands.filter(F.greatest(*[r.cast("int") for r in [*refs, refs[0]]]) == 1).isEmpty()

@@ -60,7 +60,8 @@ SMALL_BATCH = 200_000
 
 def narrowed(table: DataFrame, column: str, commands: DataFrame, key: str) -> DataFrame:
     """Rows of a ledger table that the commands name; the whole table for a large batch."""
-    if commands.select(key).limit(SMALL_BATCH + 1).count() > SMALL_BATCH:
+    # Counted where the rows are: a limit would send them all to one task.
+    if commands.select(key).count() > SMALL_BATCH:
         return table
     named = commands.select(F.col(key).alias(column)).distinct()
     return table.join(F.broadcast(named), column, "left_semi")

@@ -388,18 +388,31 @@ def delivered_commands(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
         F.concat(F.lit("k"), "event_id").alias("key"), "value"
     )
     first = commands(spark, sf_dir, n).join(value, "key")
-    again = first.filter("value > 60").withColumn("seq", F.col("seq") + 1)
-    changed = (
-        first.filter("value < 2")
-        .withColumn("seq", F.col("seq") + 2)
-        .withColumn("request", F.concat("request", F.lit(" ")))
-    )
-    other = (
-        first.filter("value > 150")
-        .withColumn("seq", F.col("seq") + 3)
-        .withColumn("op", F.lit("read_record"))
-    )
-    return reduce(DataFrame.unionByName, [first, again, changed, other]).drop("value")
+
+    def sent(shift: int, more: str = "", other: str | None = None) -> Column:
+        return F.struct(
+            F.lit(shift).cast("bigint").alias("_shift"),
+            F.lit(more).alias("_more"),
+            F.lit(other).cast("string").alias("_other"),
+        )
+
+    # One join for all of them; what is not sent is null.
+    deliveries = F.array(
+        sent(0),
+        F.when(F.col("value") > 60, sent(1)),
+        F.when(F.col("value") < 2, sent(2, more=" ")),
+        F.when(F.col("value") > 150, sent(3, other="read_record")),
+    )
+    changed = {
+        "seq": F.col("seq") + F.col("_shift"),
+        "request": F.concat("request", "_more"),
+        "op": F.coalesce("_other", "op"),
+    }
+    return (
+        first.select("*", F.inline(F.array_compact(deliveries)))
+        .withColumns(changed)
+        .drop("value", "_shift", "_more", "_other")
+    )
 
 
 def write_keys(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:

@@ -324,3 +324,32 @@ def test_names_and_reasons(spark):
     after = batch.next_ledger(frame(spark, rows), outcomes, base.__getitem__)
     states = {r["id"]: r["lifecycle"] for r in after["records"].collect()}
     assert states == {1: "merged", 2: "active", 3: "active", 4: "superseded", 5: "merged", 6: "active"}
+
+
+def test_rounds(spark, monkeypatch):
+    """Chains of names, and repeated keys whose later commands change nothing, take one round; so do rows
+    that come twice."""
+    rounds, judge = [], batch.judge
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) < 4
+        return judge(*args)
+
+    monkeypatch.setattr(batch, "judge", counted)
+    base, new = start(spark), dict(title="n", body="b", label_ids=[1])
+    chain = [
+        made("s", 1, "create_scope", name="fresh"),
+        made("one", 2, "create_record", scope_ref="s", **new),
+        made("two", 3, "supersede_record", record_ref="one", scope_ref="s", **new),
+        made("end", 4, "transition_record", record_ref="two"),
+    ]
+    got = batch.apply_batch(frame(spark, chain), base.__getitem__).orderBy("seq").collect()
+    assert [(r["outcome"], r["made_id"]) for r in got] == [("applied", 3), ("applied", 4), ("applied", 5), ("applied", None)]
+    assert len(rounds) == 1
+    rounds.clear()
+    again = [made("b", 1, "transition_record", record_id=1), made("b", 2, "transition_record", record_id=1),
+             made("c", 3, "transition_record", record_id=2)]
+    got = batch.apply_batch(frame(spark, again + again[2:]), base.__getitem__).select("seq", "outcome").distinct()
+    assert {tuple(r) for r in got.collect()} == {(1, "applied"), (2, "replayed"), (3, "applied")}
+    assert len(rounds) == 1
