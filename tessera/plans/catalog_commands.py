@@ -812,12 +812,22 @@ def creating_batch(spark, sf_dir):
 def ledger_after_batch(spark, sf_dir):
     """What the batch writes, table by table, and the records afterwards."""
     commands, tables = _batch(spark, sf_dir)
-    outcomes = batch.apply_batch(commands, tables)
+    commands = written(commands, "delivered")
+    outcomes = written(batch.apply_batch(commands, tables), "outcomes")
     first = tables("record_revisions").filter("revision = 1").select("record_id", "payload")
-    none = F.array().cast(f"array<{SOURCE.simpleString()}>")
-    full = commands.join(first, "record_id", "left").withColumns(
-        {"title": F.concat(F.lit(" by "), "actor"), "sources": none}
+    # Texts go to the commands that write them, not to every command; the others meet the same rows without.
+    bare = first.select("record_id")
+    revises = F.col("op").eqNullSafe("revise_record")
+    won = outcomes.filter(revises & (F.col("outcome") == cmd.APPLIED)).select("seq")
+    asked = commands.filter(revises)
+    full = (
+        asked.join(won, "seq", "left_semi")
+        .join(first, "record_id", "left")
+        .unionByName(asked.join(won, "seq", "left_anti").join(bare, "record_id", "left"), allowMissingColumns=True)
+        .unionByName(commands.filter(~revises).join(bare, "record_id", "left"), allowMissingColumns=True)
     )
+    none = F.array().cast(f"array<{SOURCE.simpleString()}>")
+    full = full.withColumns({"title": F.concat(F.lit(" by "), "actor"), "sources": none})
     made = batch.batch_rows(full, outcomes, tables)
 
     def part(name: str, id_: str, *row: str) -> DataFrame:
