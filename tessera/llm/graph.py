@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.store import drop, saved
 
+#: So many edges are followed in one task: a shuffle a step would take far longer than the steps.
+FEW_EDGES = 10_000
+
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that undirected edges reach, for nodes with an edge.
@@ -14,24 +17,29 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     In each round a node takes the least label among its own, its neighbours' and its label's
     label, so labels travel two ways at once and long chains need few rounds. Rounds end when no
     label has changed. Node ids must not be null; loops and repeated edges are harmless.
+
+    ``edges`` is read three times. Up to FEW_EDGES of them are followed without a shuffle, more of
+    them are shuffled in every step.
     """
-    both = saved(
-        edges.select(F.col(a).alias("node"), F.col(b).alias("near"))
-        .unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("near")))
-        .distinct(),
-        "links",
-    )
+    few = edges.count() <= FEW_EDGES
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
+    turned = edges.select(F.col(b).alias("node"), F.col(a).alias("near"))
+    links = edges.select(F.col(a).alias("node"), F.col(b).alias("near")).unionByName(turned)
+    both = saved(dealt(links).distinct(), "links")
     labels = saved(
-        both.groupBy("node").agg(F.min("near").alias("near")).select(
+        dealt(both).groupBy("node").agg(F.min("near").alias("near")).select(
             "node", F.least("node", "near").alias("component")
         ),
         "labels",
     )
     while True:
-        of_near = labels.select(F.col("node").alias("near"), F.col("component").alias("seen"))
-        heard = both.join(of_near, "near").groupBy("node").agg(F.min("seen").alias("seen"))
-        of_label = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
-        jumped = labels.join(of_label, labels["component"] == of_label["label"], "left").select(
+        of_near = dealt(labels).select(F.col("node").alias("near"), F.col("component").alias("seen"))
+        heard = dealt(both).join(of_near, "near").groupBy("node").agg(F.min("seen").alias("seen"))
+        of_label = dealt(labels).select(F.col("node").alias("label"), F.col("component").alias("further"))
+        jumped = dealt(labels).join(of_label, labels["component"] == of_label["label"], "left").select(
             "node", "component", F.coalesce("further", "component").alias("further")
         )
         new = saved(
@@ -52,7 +60,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def extended(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
     """``labels`` (node, component) after more edges: only components that these join are looked at.
 
-    Edges become edges between components, repeats and loops go, and components are joined as nodes.
+    Edges become edges between components, loops go, and components are joined as nodes.
     The work grows with the number of components that meet, not with all edges there ever were.
     """
 
@@ -61,12 +69,7 @@ def extended(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
 
     between = edges.join(end(a, "_a"), a, "left").join(end(b, "_b"), b, "left")
     between = between.select(F.coalesce("_a", a).alias("one"), F.coalesce("_b", b).alias("other"))
-    between = saved(
-        between.filter("one <> other")
-        .select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other"))
-        .distinct(),
-        "between",
-    )
+    between = saved(between.filter("one <> other"), "between")
     if between.isEmpty():
         drop(between)
         return labels

@@ -19,8 +19,10 @@ PERCENT = 75
 #: A pair at the limit shares none of the bands in about 3 of 10 million cases.
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
-#: Stars are drawn until this many rounds in a row link nothing; then all pairs that are left follow.
+#: Stars are drawn until this many rounds in a row link nothing; then the pairs that are left follow.
 QUIET_ROUNDS = 1
+#: All pairs follow at once, without stars, if they are at most so many for each place in a bucket.
+PAIRS_A_PLACE = 128
 #: Pairs of a bucket that the first turn over them looks at; each later turn looks at twice as many.
 TURN_PAIRS = 1_000_000
 
@@ -139,34 +141,57 @@ def measured(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Da
     return map_batches(rows.select("center", "member", "text_c", "text_m"), check, schema)
 
 
-def remaining(members: DataFrame, labels: DataFrame, traits: DataFrame, from_center: DataFrame) -> DataFrame:
-    """(bucket, rep, sizes, far, main, slice) of the buckets that hold several components.
+def drawn(members: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """A random member of each component in each bucket, and the buckets with several components.
+
+    (bucket, component, rep, n) and (bucket, center, own, most, size, most_n): the star's center with
+    its component, the component that has most of the bucket, the members of both.
+    """
+    pick = F.xxhash64("rep", "bucket", F.lit(turn))
+    place = saved(
+        with_component(members, labels)
+        .groupBy("bucket", "component")
+        .agg(F.min_by("rep", pick).alias("rep"), F.count("*").alias("n")),
+        "places",
+    )
+    stars = saved(
+        place.groupBy("bucket")
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.min_by("rep", pick).alias("center"),
+            F.min_by("component", pick).alias("own"),
+            F.max(F.struct("n", "component")).alias("most"),
+            F.sum("n").alias("size"),
+        )
+        .filter("low < high")
+        .select("bucket", "center", "own", F.col("most.component").alias("most"), "size", F.col("most.n").alias("most_n")),
+        "stars",
+    )
+    return place, stars
+
+
+def remaining(
+    members: DataFrame, labels: DataFrame, stars: DataFrame, traits: DataFrame, from_center: DataFrame
+) -> DataFrame:
+    """(bucket, rep, component, sizes, far, main, slice) of the buckets that hold several components.
 
     ``main`` marks the members of the component that has most of the bucket; the others are dealt
     over slices, so that a slice and the bucket make about TURN_PAIRS pairs. ``far`` is the distance
     to the bucket's center where it was measured.
     """
-    placed = saved(with_component(members, labels), "placed")
-    counts = saved(placed.groupBy("bucket", "component").agg(F.count("*").alias("n")), "counts")
-    mixed = saved(
-        counts.groupBy("bucket")
-        .agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
-        .filter("parts > 1")
-        .select(
-            "bucket",
-            F.col("most.component").alias("most"),
-            F.ceil(F.col("all") * (F.col("all") - F.col("most.n")) / TURN_PAIRS).alias("slices"),
-        ),
-        "mixed",
-    )
+    slices = F.ceil(F.col("size") * (F.col("size") - F.col("most_n")) / TURN_PAIRS)
+    mixed = stars.select("bucket", "most", slices.alias("slices"))
     distances = from_center.select("center", F.col("member").alias("rep"), "far")
-    out = saved(
-        placed.join(mixed, "bucket")
+    return saved(
+        with_component(members, labels)
+        .join(mixed, "bucket")
         .join(distances, ["center", "rep"], "left")
         .join(traits, "rep")
         .select(
             "bucket",
             "rep",
+            "component",
             "n_shingles",
             "parity",
             F.when(
@@ -177,8 +202,6 @@ def remaining(members: DataFrame, labels: DataFrame, traits: DataFrame, from_cen
         ),
         "remaining",
     )
-    drop(placed, counts, mixed)
-    return out
 
 
 def with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,16 +217,15 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter("of_center <> of_member").select("center", "member")
 
 
-def pairs_of_turn(left: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Distinct pairs across components that have a member in the turn's slices of a bucket.
+def possible(placed: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+    """(center, member) of pairs across components that have a member in slices from low to below high.
 
     A pair comes up with the lower of its two slices; members of ``main`` have none. Left out are
     only pairs that can't be similar enough: sets of sizes too different, sets whose distances to
     the bucket's center differ by more than the limit (Jaccard distance is a metric), and sets whose
-    parities differ in more bins than similar sets have elements apart.
+    parities differ in more bins than similar sets have elements apart. A pair comes up in each of
+    its buckets.
     """
-    low, high = (1 << turn) - 1, (1 << (turn + 1)) - 1
-    placed = saved(with_component(left, labels), "placed")
     one = placed.filter(~F.col("main") & F.col("slice").between(low, high - 1)).alias("one")
     other = placed.alias("other")
     first = (
@@ -227,9 +249,18 @@ def pairs_of_turn(left: DataFrame, labels: DataFrame, turn: int, percent: int) -
         & F.coalesce(F.abs(F.col("one.far") - F.col("other.far")) <= 1 - percent / 100 + 1e-9, F.lit(True)),
     )
     ends = F.least("one.rep", "other.rep").alias("center"), F.greatest("one.rep", "other.rep").alias("member")
-    out = saved(rows.select(*ends).distinct(), "turn")
-    drop(placed)
-    return out
+    return rows.select(*ends)
+
+
+def few_possible(left: DataFrame, stars: DataFrame, places: int, percent: int) -> bool:
+    """Whether all pairs of a bucket across components, of all buckets, can follow at once.
+
+    They can if they are at most PAIRS_A_PLACE for each place in a bucket, so that looking at sizes,
+    distances and parities costs no more than stars would, and if those that could be similar are
+    no more than the places, so that measuring them doesn't either.
+    """
+    pairs = stars.agg(F.sum(F.col("size") * (F.col("size") - F.col("most_n")))).first()[0] or 0
+    return pairs <= PAIRS_A_PLACE * places and possible(left, 0, 1 + pairs, percent).count() <= places
 
 
 def link_near_duplicates(
@@ -254,12 +285,14 @@ def link_near_duplicates(
     edge to each other member, so the number of candidates is that of bucket places. Candidates are
     confirmed on full sets: first each member and the center that it shares most buckets with, so a
     text goes out once; then the other edges of stars that still join two components. Links are
-    kept as components, which later links join; they are not followed anew. Buckets that then still
-    hold several components draw stars among these: one randomly chosen member of each, one of them the center, until a round links nothing
-    new. That joins most of what belongs together with few pairs, but proves nothing: so at last all
-    pairs of a bucket across components follow, in turns that look at twice as many pairs each and
-    know the links of the turns before. Only pairs that can't be similar enough are left out. In the
-    end every similar pair that shares a bucket lies in one component.
+    kept as components, which later links join; they are not followed anew. Then all pairs across
+    components follow in the buckets that still hold several of these, at once if they are few for
+    the number of bucket places. If not, such buckets first draw stars among their components: one
+    randomly chosen member of each, one of them the center, until a round links nothing new. That
+    joins most of what belongs together with few pairs, but proves nothing; the pairs that then
+    still lie across components follow in turns that look at twice as many pairs each and know the
+    links of the turns before. Only pairs that can't be similar enough are left out. In the end
+    every similar pair that shares a bucket lies in one component.
 
     Nothing gathers a bucket, a class or a component in one task: minima combine before they are
     shuffled, and the joins on hot keys read both sides straight from a shuffle, where Spark splits
@@ -315,59 +348,57 @@ def link_near_duplicates(
     from_center, tested = from_center.unionByName(more), tested.unionByName(pairs)
     drop(votes)
 
-    quiet, turn = 0, 0
-    while quiet < QUIET_ROUNDS:
-        turn += 1
-        pick = F.xxhash64("rep", "bucket", F.lit(turn))
-        place = saved(
-            with_component(members, labels)
-            .groupBy("bucket", "component")
-            .agg(F.min_by("rep", pick).alias("rep")),
-            "places",
-        )
-        stars = saved(
-            place.groupBy("bucket")
-            .agg(
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-                F.min_by("rep", pick).alias("center"),
-                F.min_by("component", pick).alias("own"),
+    turn = 1
+    place, stars = drawn(members, labels, turn)
+    left = remaining(members, labels, stars, traits, from_center)
+    at_once = few_possible(left, stars, members.count(), percent)
+    if not at_once:
+        drop(left)
+        quiet = 0
+        while True:
+            pairs = (
+                place.join(stars.select("bucket", "center", "own"), "bucket")
+                .filter("component <> own")
+                .select(F.least("center", "rep").alias("center"), F.greatest("center", "rep").alias("member"))
+                .distinct()
+                .join(tested, ["center", "member"], "left_anti")
             )
-            .filter("low < high")
-            .select("bucket", "center", "own"),
-            "stars",
-        )
-        pairs = (
-            place.join(stars, "bucket")
-            .filter("component <> own")
-            .select(F.least("center", "rep").alias("center"), F.greatest("center", "rep").alias("member"))
-            .distinct()
-            .join(tested, ["center", "member"], "left_anti")
-        )
-        pairs = saved(pairs, "pairs")
-        drop(place, stars)
-        if pairs.isEmpty():
-            break
-        more = saved(measured(pairs, texts, percent, words).filter("near"), "edges")
-        tested = tested.unionByName(pairs)
-        quiet = quiet + 1 if more.isEmpty() else 0
-        labels = extended(labels, more, "center", "member")
-        drop(more)
+            pairs = saved(pairs, "pairs")
+            if pairs.isEmpty():
+                break
+            more = saved(measured(pairs, texts, percent, words).filter("near"), "edges")
+            tested = tested.unionByName(pairs)
+            quiet = quiet + 1 if more.isEmpty() else 0
+            labels = extended(labels, more, "center", "member")
+            drop(more)
+            if quiet == QUIET_ROUNDS:
+                break
+            drop(place, stars)
+            turn += 1
+            place, stars = drawn(members, labels, turn)
+        # the last round has linked nothing, so its buckets are those of the labels
+        left = remaining(members, labels, stars, traits, from_center)
 
-    left = remaining(members, labels, traits, from_center)
     slices = left.agg(F.coalesce(F.max("slice") + 1, F.lit(0))).first()[0]
-    turn = 0
-    while (1 << turn) - 1 < slices:
-        found = pairs_of_turn(left, labels, turn, percent)
+    placed, low, size = left, 0, slices if at_once else 1
+    while low < slices:
+        found = saved(possible(placed, low, low + size, percent).distinct(), "turn")
         pairs = saved(found.join(tested, ["center", "member"], "left_anti"), "pairs")
         drop(found)
-        turn += 1
+        low, size = low + size, 2 * size
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
         more = saved(measured(pairs, texts, percent, words).filter("near"), "edges")
         labels = extended(labels, more, "center", "member")
         drop(more)
+        if low < slices:
+            if placed is not left:
+                drop(placed)
+            placed = saved(with_component(left.drop("component"), labels), "placed")
+    if placed is not left:
+        drop(placed)
+    drop(place, stars)
     drop(members, texts, left)
 
     reached = classed.select("doc_id", "rep").join(

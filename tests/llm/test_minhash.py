@@ -97,6 +97,48 @@ def test_work_grows_with_the_group(spark, monkeypatch):
         assert sum(pairs) < 2 * n and sum(links) < 2 * n
 
 
+def groups_in_a_bucket(n, rng):
+    """Rows of groups with a passage in common: near copies within a group, unlike texts across."""
+    common, rows = words(60, 41), []
+    for g in range(n):
+        own = words(30, 100 + g)
+        for i in range(3):
+            text = common + own
+            text[rng.randrange(60, 90)] = f"g{g}x{i}"
+            rows.append(row(1000 + 10 * g + i, " ".join(text)))
+    return rows
+
+
+def test_few_pairs_follow_at_once(spark, monkeypatch):
+    """Rounds of stars cost far more than the few pairs that are left in small buckets."""
+    rounds, measured = [], minhash.measured
+    monkeypatch.setattr(minhash, "measured", lambda *a: (rounds.append(1), measured(*a))[1])
+    rows = groups_in_a_bucket(40, random.Random(3))
+    docs = spark.createDataFrame(rows, edge_docs(spark).schema).repartition(4)
+    assert by_id(minhash.link_near_duplicates(docs).collect()) == by_id(brute(rows))
+    assert len(rounds) == 2  # members with centers only: unlike texts are told by their parities
+
+
+def test_many_pairs_follow_after_stars(spark, monkeypatch):
+    """The rounds for large buckets, slices and shuffled edges give the same components."""
+    monkeypatch.setattr(minhash, "PAIRS_A_PLACE", 0)
+    monkeypatch.setattr(minhash, "TURN_PAIRS", 500)
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    rows = groups_in_a_bucket(25, random.Random(5)) + edge_rows()
+    docs = spark.createDataFrame(rows, edge_docs(spark).schema).repartition(4)
+    assert by_id(minhash.link_near_duplicates(docs).collect()) == by_id(brute(rows))
+
+
+def test_few_edges_without_a_shuffle(spark, monkeypatch):
+    plans, saved = [], graph.saved
+    monkeypatch.setattr(
+        graph, "saved", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), saved(df, name))[1]
+    )
+    edges = saved(spark.range(40).selectExpr("id as a", "id + 1 as b"), "edges")
+    assert {r["component"] for r in graph.components(edges, "a", "b").collect()} == {0}
+    assert plans and not any("hashpartitioning" in plan for plan in plans)
+
+
 def test_ids_with_several_sets(spark):
     """Rows of one id in several groups join these, whatever the sizes of their sets."""
     a, b, c = (words(n, s) for n, s in ((60, 31), (90, 32), (40, 33)))
