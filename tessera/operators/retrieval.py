@@ -40,6 +40,11 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     )
 
 
+def phrase_id() -> Column:
+    """Name of a phrase. Terms without tokens have the empty one, which is in no index."""
+    return F.coalesce(F.array_join("tokens", " "), F.lit(""))
+
+
 def query_scopes(queries: DataFrame, scopes: DataFrame) -> DataFrame:
     """(query_id, scope_id) rows of the scopes a query may read: its own, and the global one."""
     own = queries.select("query_id", "scope_id")
@@ -91,9 +96,7 @@ class QueryBatch:
 
     def asked(self) -> DataFrame:
         """Phrases that can match, keyed by their tokens."""
-        return self.phrases.filter(F.size("tokens") > 0).withColumn(
-            "phrase_id", F.array_join("tokens", " ")
-        )
+        return self.phrases.filter(F.size("tokens") > 0).withColumn("phrase_id", phrase_id())
 
 
 def _lookup(index: TextIndex, batch: QueryBatch, wanted: DataFrame, scoped: bool) -> DataFrame:
@@ -185,14 +188,23 @@ def _long_hits(index: TextIndex, batch: QueryBatch, distinct: DataFrame, scoped:
     )
 
 
-def phrase_matches(index: TextIndex, batch: QueryBatch) -> DataFrame:
-    """(query_id, term_ix, record_id, tf, dl): occurrences of each phrase per record."""
+def phrase_matches(index: TextIndex, batch: QueryBatch, shared: bool = False) -> DataFrame:
+    """(query_id, term_ix, record_id, tf, dl): occurrences of each phrase per record.
+
+    ``shared`` gives those of a phrase once, whoever asks for it: (phrase_id, record_id, tf, dl).
+    """
     scoped = batch.scoped is not None
+    if shared and scoped:
+        raise ValueError("matches of a batch with scopes differ by query")
     asked = batch.with_scopes(batch.asked())
+    distinct = asked.select(*batch.keys, "tokens").distinct()
+    if shared:
+        out = ["phrase_id", "record_id", "tf", "dl"]
+        hits = _lookup(index, batch, distinct, scoped).select(*out)
+        return hits.unionByName(_long_hits(index, batch, distinct, scoped)) if batch.long_phrases else hits
     out = ["query_id", "term_ix", "record_id", "tf", "dl"]
     hits = _lookup(index, batch, asked.drop("term"), scoped).select(*out)
     if batch.long_phrases:
-        distinct = asked.select(*batch.keys, "tokens").distinct()
         long = _long_hits(index, batch, distinct, scoped)
         hits = hits.unionByName(
             long.join(batch.hint(asked.drop("tokens", "term")), batch.keys).select(*out)
@@ -205,13 +217,72 @@ def match_any(matches: DataFrame) -> DataFrame:
     return matches.select("query_id", "record_id").distinct()
 
 
-def search_and(matches: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Records that hold every phrase of the query."""
+def search_and(matches: DataFrame, phrases: DataFrame, bounded: bool = False) -> DataFrame:
+    """Records that hold every phrase of the query.
+
+    ``matches`` are per query, or shared by all queries. Shared ones of a ``bounded`` batch are judged record by
+    record, so that none becomes a row per query and only (phrase, record) pairs are shuffled.
+    """
+    if "phrase_id" in matches.columns:
+        terms = phrases.withColumn("phrase_id", phrase_id())
+        if bounded:
+            return _held(matches, phrases, terms)
+        matches = matches.join(terms, "phrase_id")
     asked = phrases.groupBy("query_id").agg(F.count("*").alias("asked"))
     found = matches.groupBy("query_id", "record_id").agg(F.count("*").alias("found"))
     return found.join(asked, "query_id").filter("found = asked").select("query_id", "record_id")
 
 
+def _held(matches: DataFrame, phrases: DataFrame, terms: DataFrame) -> DataFrame:
+    """``search_and`` of shared matches and a batch that is broadcast.
+
+    A record's phrases are one array, no longer than the record has tokens. A query is looked at where the
+    record holds that phrase of it which fewest queries ask for; the others are looked up in the array.
+    """
+    # Sorted, so that all passes over the batch number its phrases alike.
+    numbers = terms.agg(F.sort_array(F.collect_set("phrase_id")).alias("ids")).select(
+        F.posexplode("ids").alias("no", "phrase_id")
+    )
+    asking = terms.groupBy("phrase_id").agg(F.count("*").alias("asking"))
+    numbered = (
+        terms.join(F.broadcast(numbers), "phrase_id")
+        .join(F.broadcast(asking), "phrase_id")
+        .select("query_id", "no", "asking")
+    )
+    parts = F.array_sort(F.collect_set(F.struct("asking", "no")))["no"]
+    queries = (
+        numbered.filter("query_id IS NOT NULL")
+        .groupBy("query_id")
+        .agg(parts.alias("parts"))
+        .select(
+            "query_id",
+            "parts",
+            F.col("parts")[0].alias("no"),
+            F.coalesce(F.get("parts", F.lit(1)), F.col("parts")[0]).alias("second"),
+        )
+    )
+    records = (
+        matches.join(F.broadcast(numbers), "phrase_id")
+        .groupBy("record_id")
+        .agg(F.collect_list("no").alias("have"))
+    )
+
+    def held(part: Column) -> Column:
+        return F.array_contains("have", part)
+
+    once = F.size("have") == F.size(F.array_distinct("have"))
+    whole = (
+        records.filter(once)
+        .select("record_id", "have", F.explode("have").alias("no"))
+        .join(F.broadcast(queries), "no")
+        .filter(held(F.col("second")) & ((F.size("parts") <= 2) | F.forall("parts", held)))
+        .select("query_id", "record_id")
+    )
+    # Copies of a record that differ in length have matches each, which all count.
+    copies = records.filter(~once).select("record_id", F.explode("have").alias("no"))
+    return whole.unionByName(search_and(copies.join(F.broadcast(numbered), "no"), phrases))
+
+
 def phrase_idf(index: TextIndex, batch: QueryBatch) -> DataFrame:
     """(phrase_id, idf): stored document frequency for one token, counted matches for more.
 

@@ -425,8 +425,8 @@ def phrase_match(spark, sf_dir):
 @query
 def search_and(spark, sf_dir):
     batch = rt.QueryBatch.of(pair_queries(spark, sf_dir, " "))
-    found = rt.phrase_matches(corpus.text_index(spark, sf_dir), batch)
-    return rt.search_and(found, batch.phrases)
+    found = rt.phrase_matches(corpus.text_index(spark, sf_dir), batch, shared=True)
+    return rt.search_and(found, batch.phrases, batch.bounded)
 
 
 @query

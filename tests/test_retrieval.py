@@ -229,3 +229,50 @@ def test_texts_are_dealt_to_more_tasks_the_more_text_there_is(spark, small, monk
     assert ti.text_tasks(revisions) == max(usual, size)
     plan = ti.indexed_documents(records, revisions)._jdf.queryExecution().optimizedPlan().toString()
     assert f"{size}" in plan[plan.index("RepartitionByExpression"):].splitlines()[0]
+
+
+def test_queries_share_matches_and_get_the_same_records(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(1, 1, 1, "alpha", "beta gamma one two"), (2, 1, 1, "alpha", "one"), (2, 1, 1, "alpha", "beta two one two"),
+         (3, 1, 1, "beta", "alpha alpha gamma"), (4, 1, 1, "gamma", "two one"), (5, 1, 1, None, "")],
+        "record_id bigint, revision bigint, scope_id bigint, title string, body string",
+    )
+    index = ti.write_index(docs, str(tmp_path / "i"), buckets=3)
+    asked = ["alpha beta", "alpha alpha", "alpha", "one-two alpha", "? alpha", "...", "alpha none", "gamma beta alpha",
+             "two", "", "one two alpha beta"] + 20 * ["beta alpha"]
+    batch = rt.QueryBatch.of(ask(spark, *asked))
+    matches = rt.phrase_matches(index, batch)
+    plain = sorted(rt.search_and(matches, batch.phrases).collect())
+    shared = rt.phrase_matches(index, batch, shared=True)
+    # Asked for by 26 queries, alpha has one row for each of its postings.
+    assert matches.filter("record_id = 3").join(batch.phrases, ["query_id", "term_ix"]).filter("term = 'alpha'").count() > 26
+    assert shared.filter("record_id = 3").groupBy("phrase_id").count().filter("count > 1").isEmpty()
+    for bounded in (True, False):
+        assert sorted(rt.search_and(shared, batch.phrases, bounded).collect()) == plain
+    got = found(rt.search_and(shared, batch.phrases, True))
+    assert got[0] == {1, 3} and got[1] == {1, 3} and got[10] == {1}
+    # The copies of record 2 count twice for alpha, as they did before.
+    assert got[7] == {1, 2, 3}
+    assert not got.keys() & {4, 5, 6, 9}
+
+
+def test_and_search_makes_no_row_per_query_and_match(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(i, 1, 1, "common", f"usual w{i}") for i in range(50)],
+        "record_id bigint, revision bigint, scope_id bigint, title string, body string",
+    )
+    index = ti.write_index(docs, str(tmp_path / "i"), buckets=3)
+    batch = rt.QueryBatch.of(ask(spark, *[f"common w{i} usual" for i in range(40)]))
+    rows = rt.search_and(rt.phrase_matches(index, batch, shared=True), batch.phrases, batch.bounded)
+    assert sorted(rows.collect()) == [(i, i) for i in range(40)]
+    # Records are shuffled, each with its phrases; before, each (query, record) pair with a match was.
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(record_id" in plan
+    assert rt.phrase_matches(index, batch, shared=True).count() == 50 + 50 + 40
+
+
+def test_shared_matches_need_a_batch_without_scopes(spark, small):
+    store, index = small
+    batch = rt.QueryBatch.of(ask(spark, "alpha"), store.read("scopes"))
+    with pytest.raises(ValueError, match="scopes"):
+        rt.phrase_matches(index, batch, shared=True)
