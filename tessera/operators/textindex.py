@@ -6,8 +6,12 @@ needs no join back to the documents and a scoped query reads only its scope's po
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +44,13 @@ TERM_STATS = T.StructType(
         T.StructField("bucket", T.IntegerType()),
     ]
 )
+_RUNS = (
+    "record_id bigint, scope_id bigint, dl bigint, term string, tf bigint, title_pos array<int>, body_pos array<int>"
+)
 BUCKETS = 8
+#: Bytes of words that a Python worker counts at once, and postings that it gives back at once.
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1 << 16
 #: Bytes of indexed text in one task. Its postings take about 15 times as much while they are sorted.
 TEXT_PER_TASK = 16 << 20
 # Above every position in a text.
@@ -52,13 +62,12 @@ def index_text(payload: Column, index_source: str = "text") -> Column:
     return payload_encode(payload) if index_source == "json" else payload_text(payload)
 
 
-def counted(documents: DataFrame) -> DataFrame:
-    """(record_id, revision, scope_id, title, body) -> (record_id, scope_id, dl, places): a document's
-    (term, place) pairs. Copies of equal length are one document.
+def cut_up(documents: DataFrame) -> DataFrame:
+    """(record_id, revision, scope_id, title, body) -> (record_id, scope_id, copies): the words of title and
+    body of all rows of a document.
 
-    Places in the title come first, those in the body from ``BODY`` on. The grouping keys contain
-    those of the join that found the current revisions, so texts are not shuffled again, and no
-    token becomes a row.
+    The grouping keys contain those of the join that found the current revisions, so texts are not shuffled
+    again, and no token becomes a row.
     """
     copies = documents.groupBy("record_id", "revision", "scope_id").agg(
         F.collect_list(F.struct("title", "body")).alias("copies")
@@ -67,6 +76,16 @@ def counted(documents: DataFrame) -> DataFrame:
     def cut(copy: Column) -> Column:
         return F.struct(tokens(copy["title"]).alias("title"), tokens(copy["body"]).alias("body"))
 
+    return copies.select("record_id", "scope_id", F.transform("copies", cut).alias("copies"))
+
+
+def counted(documents: DataFrame) -> DataFrame:
+    """(record_id, revision, scope_id, title, body) -> (record_id, scope_id, dl, places): a document's
+    (term, place) pairs. Copies of equal length are one document.
+
+    Places in the title come first, those in the body from ``BODY`` on.
+    """
+
     def length(copy: Column) -> Column:
         return (F.size(copy["title"]) + F.size(copy["body"])).cast("bigint")
 
@@ -78,7 +97,7 @@ def counted(documents: DataFrame) -> DataFrame:
     def pairs(copy: Column) -> Column:
         return F.concat(placed(copy["title"], 0), placed(copy["body"], BODY))
 
-    rows = copies.withColumn("copies", F.transform("copies", cut))
+    rows = cut_up(documents)
     rows = rows.withColumn("dl", F.explode(F.array_distinct(F.transform("copies", length))))
     same = F.filter("copies", lambda copy: length(copy) == F.col("dl"))
     return rows.select(
@@ -89,32 +108,69 @@ def counted(documents: DataFrame) -> DataFrame:
 def postings(documents: DataFrame) -> DataFrame:
     """(record_id, revision, scope_id, title, body) -> one row per (term, record).
 
-    A document is counted in the task that tokenizes it and only finished postings are shuffled.
+    A document is counted in the task that tokenizes it and only finished postings are shuffled. Copies of
+    equal length are one document; a copy without a title or a body has no postings.
     """
-
-    def first(pair: Column, i: Column) -> Column:
-        # Before the first pair there is none, so the comparison is null.
-        return F.when(F.coalesce(F.get("places", i - 1)["term"] != pair["term"], F.lit(True)), i)
-
-    rows = counted(documents).withColumn("places", F.sort_array("places"))
-    rows = rows.withColumn("starts", F.array_compact(F.transform("places", first)))
-
-    def run(start: Column, j: Column) -> Column:
-        end = F.coalesce(F.get("starts", j + 1), F.size("places"))
-        pairs = F.slice("places", start + 1, end - start)
-        return F.struct(F.get("places", start)["term"].alias("term"), pairs["place"].alias("at"))
-
-    runs = rows.select("record_id", "scope_id", "dl", F.inline(F.transform("starts", run)))
-    in_body = F.lit(BODY).cast("bigint")
-    return runs.select(
-        "record_id",
-        "scope_id",
-        "dl",
-        "term",
-        F.size("at").cast("bigint").alias("tf"),
-        F.filter("at", lambda p: p < in_body).cast(_INTS).alias("title_pos"),
-        F.transform(F.filter("at", lambda p: p >= in_body), lambda p: (p - in_body).cast("int")).alias("body_pos"),
-    )
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = term_runs(batch)
+            for start in range(0, rows.num_rows, BATCH_ROWS):
+                yield rows.slice(start, BATCH_ROWS)
+
+    return cut_up(documents).mapInArrow(runs, _RUNS)
+
+
+def term_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings of a batch of documents from :func:`cut_up`."""
+    lists = batch.column("copies")
+    copies = lists.flatten()
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    sides = [pc.struct_field(copies, "title"), pc.struct_field(copies, "body")]
+    sizes = [pc.fill_null(pc.list_value_length(s), -1).to_numpy(zero_copy_only=False).astype(np.int64) for s in sides]
+    whole = (sizes[0] >= 0) & (sizes[1] >= 0)
+    length = np.where(whole, sizes[0] + sizes[1], 0)
+    most = length.max(initial=0) + 1
+    found, group = np.unique(row * most + length, return_inverse=True)
+    several = len(found) < len(row)
+
+    words, of_copy, at = [], [], []
+    for side, size in zip(sides, sizes, strict=True):
+        n = np.maximum(size, 0)
+        copy = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
+        kept = whole[copy]
+        words.append(side.flatten().filter(pa.array(kept)))
+        of_copy.append(copy[kept])
+        at.append(place[kept])
+    coded = pa.concat_arrays(words).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n_terms = max(len(coded.dictionary), 1)
+    in_body = np.repeat([False, True], [len(a) for a in at])
+    at = np.concatenate(at)
+    key = group[np.concatenate(of_copy)] * n_terms + code
+    # Title before body and by place they come already, unless copies are put together.
+    order = np.lexsort((at, in_body, key)) if several else np.argsort(key, kind="stable")
+    key, at, in_body = key[order], at[order].astype(np.int32), in_body[order]
+
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = np.append(starts[1:], len(key))
+    before = np.concatenate([[0], np.cumsum(in_body)])
+    bodies = np.append(before[starts], before[-1])
+    titles = np.append(starts, len(key)) - bodies
+    doc, term = np.divmod(key[starts], n_terms)
+    source = pa.array(found[doc] // most)
+    columns = {
+        "record_id": batch.column("record_id").take(source),
+        "scope_id": batch.column("scope_id").take(source),
+        "dl": pa.array(found[doc] % most),
+        "term": coded.dictionary.take(pa.array(term)),
+        "tf": pa.array(ends - starts),
+        "title_pos": pa.ListArray.from_arrays(pa.array(titles, pa.int32()), pa.array(at[~in_body])),
+        "body_pos": pa.ListArray.from_arrays(pa.array(bodies, pa.int32()), pa.array(at[in_body])),
+    }
+    return pa.record_batch(list(columns.values()), names=list(columns))
 
 
 def indexed_documents(
